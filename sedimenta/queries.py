@@ -1,0 +1,7 @@
+"""Registered queries over the driver's tables, and the DuckDB SQL each is held against."""
+
+from __future__ import annotations
+
+FLAGSHIP = "profile_orders_fields"
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
