@@ -99,3 +99,28 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: in
     inside = dealt.where(at_end).withColumn("extra", F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest_part") - F.coalesce(upto, F.lit(0)))))
     taken = F.col("epochs") * F.col("size") + F.col("extra")
     return outside.unionByName(inside).select("doc_id", "source", "size", "source_size", "target", "epochs", taken.cast("long").alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
+    """The rows of ``docs`` (documents: doc_id, text, source, n_chars and more) as the mix takes them.
+
+    A row is repeated for each whole repetition; a part of one is a row with the document's first words, a
+    space between them, and their number of characters. Documents that the mix does not take are left out; those without words, of which nothing can
+    be taken, stay once. Rows that share an id are told apart by source and size, and where these agree too, they are
+    taken alike.
+    """
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
+    plan = mix(docs, seed=seed).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
+    plan = plan.dropDuplicates(["_id", "_source", "_size"])
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size"))
+    taken = docs.withColumn("_words", size).join(plan, same)
+    whole = F.when(F.col("_words") == 0, 1).otherwise(F.floor(F.col("_taken") / F.greatest("_words", F.lit(1))))
+    part = F.when(F.col("_words") == 0, 0).otherwise(F.col("_taken") % F.greatest("_words", F.lit(1)))
+    copies = F.concat(F.array_repeat(F.lit(-1).cast("long"), whole.cast("int")), F.filter(F.array(part.cast("long")), lambda x: x > 0))
+    rows = taken.withColumn("_cut", F.explode(copies))
+    words = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD_PATTERN), F.lit(0)), F.lit(1), F.col("_cut").cast("int")), " ")
+    first = F.when(F.col("_cut") < 0, F.col("text")).otherwise(words)
+    rows = rows.withColumn("text", first)
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.when(F.col("_cut") < 0, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+    return rows.select(*docs.columns)
