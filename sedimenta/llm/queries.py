@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedimenta.llm import exact_dedup, html, lm, mixing, packing, quality, simhash, tokens, topk
+from sedimenta.llm import exact_dedup, html, lm, mixing, packing, pii, quality, simhash, tokens, topk
 from sedimenta.llm.common import table
 
 
@@ -29,6 +29,11 @@ def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.find(docs, pii.fit_field(docs))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return quality.score(docs, quality.fit(docs, labels))
@@ -46,7 +51,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op1_topk": op1_topk, "op2_token_counts": op2_token_counts, "op3_simhash": op3_simhash, "op5_lm_scores": op5_lm_scores, "op7_quality": op7_quality, "op4_mixing": op4_mixing, "op8_exact_dedup": op8_exact_dedup, "op9_packing": op9_packing, "op10_html_text": op10_html_text}
+QUERIES = {"op1_topk": op1_topk, "op2_token_counts": op2_token_counts, "op3_simhash": op3_simhash, "op5_lm_scores": op5_lm_scores, "op6_pii": op6_pii, "op7_quality": op7_quality, "op4_mixing": op4_mixing, "op8_exact_dedup": op8_exact_dedup, "op9_packing": op9_packing, "op10_html_text": op10_html_text}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
