@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Parts of a sequence before it becomes a group of optional parts; depth below which structure is not told apart.
-SEQUENCE, DEPTH = 48, 40
+SEQUENCE, DEPTH = 48, 100
 #: Partial wrappers of a host that one task merges before the last merge: hosts are dealt to so many.
 SHARES = 16
 
@@ -82,6 +82,7 @@ def parse(page: str) -> Part:
     """The elements of a page; forgiving: what is not closed ends with what holds it or where its kind starts anew."""
     root = Part("", "", False, True)
     stack, at, links, articles = [root], 0, 0, 0
+    deeper: dict[str, int] = {}  # open elements below the depth; there, a block only ends a block
     tokens = _TOKEN.finditer(page)
 
     def text(upto: int):
@@ -106,6 +107,10 @@ def parse(page: str) -> Part:
             continue
         tag = m[3].lower()
         if m[2]:
+            if deeper.get(tag):
+                deeper[tag] -= 1
+                stack[-1].items.append(Part(tag, tag, False, True))
+                continue
             if tag == "a":
                 links = max(0, links - 1)
             elif tag == "br" or tag == "p" and not any(p.tag == "p" for p in stack):
@@ -148,13 +153,11 @@ def parse(page: str) -> Part:
             links = 0
             if tag in ("article", "main"):
                 articles += 1
+        stack[-1].items.append(part)
         if len(stack) <= DEPTH or part.boiler:
-            stack[-1].items.append(part)
-        else:
-            stack[-1].items.append(part)
-            part.key = tag
-        if not m[4].endswith("/") or part.block:
             stack.append(part)
+        else:
+            deeper[tag] = deeper.get(tag, 0) + 1
     text(len(page))
     return root
 
@@ -299,8 +302,18 @@ def mark_main(wrapper: list) -> None:
 
 
 def main_text(page: Part, wrapper: list) -> str:
-    """The text of a page in the parts of its host's wrapper that are the article, a block a paragraph."""
+    """The text of a page in the parts of its host's wrapper that are the article, a block a paragraph. A page that has
+    none of these parts is unlike the others of its host and is read by the wrapper that it is itself."""
+    text, met = _laid_over(page, wrapper)
+    if not met:
+        mark_main(own := wrapper_of(page))
+        text, _ = _laid_over(page, own)
+    return text
+
+
+def _laid_over(page: Part, wrapper: list) -> tuple[str, bool]:
     blocks: list[str] = []
+    met = False
     now: list[str] = []
 
     def flush():
@@ -310,6 +323,8 @@ def main_text(page: Part, wrapper: list) -> str:
         now.clear()
 
     def walk(part: Part, w: list | None, inside: bool):
+        nonlocal met
+        met = met or inside
         if part.block:
             flush()
         parts, at = (w[4] if w else []), 0
@@ -333,7 +348,7 @@ def main_text(page: Part, wrapper: list) -> str:
             flush()
 
     walk(page, wrapper, wrapper[5])
-    return "\n\n".join(blocks)
+    return "\n\n".join(blocks), met
 
 
 def host_of(url: str | None) -> str:

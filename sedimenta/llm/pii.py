@@ -173,6 +173,9 @@ class SkipChain:
                 v = self.unary.get(f)
                 if v is not None:
                     out[i] += v
+            shape = dict(_shape(w))
+            if shape["digits"] >= WHOLE[2] and not shape["luhn"]:
+                out[i, 3] -= 30  # a whole number that fails the check is no card
         return out
 
     def marginals(self, words: list[str], joined: list[bool], links: list[tuple[int, int]]) -> np.ndarray:
@@ -259,6 +262,8 @@ def fit(samples: list, rounds: int = 8, rate: float = 0.3) -> SkipChain:
                 linked.setdefault(i, []).append(j)
                 linked.setdefault(j, []).append(i)
             for i, w in enumerate(words):
+                if not labels[i] and any(labels[j] for j in linked.get(i, ())):
+                    continue  # a mention that the patterns may have missed is no example of O
                 before = i - 1 if joined[i] else None
                 after = i + 1 if i + 1 < len(words) and joined[i + 1] else None
                 features = list(_features(w, None if before is None else words[before], None if after is None else words[after]))

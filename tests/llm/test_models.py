@@ -16,8 +16,8 @@ from tests.llm.frames import ROWS, SMALL, documents
 
 
 def test_network_is_a_distribution_with_right_gradients():
-    tokens = np.full(lm.KINDS, 50)
-    shape = lm.shape_of([(i * 7919 * 64 + i % lm.KINDS, 500 // (i + 1) + 2) for i in range(60)], tokens + 400, tokens)
+    tokens = np.full(lm.KINDS, 2000)
+    shape = lm.shape_of([(i * 7919 * 64 + i % lm.KINDS, 500 // (i + 1) + 2) for i in range(60)], tokens, tokens // 8)
     p = {k: v.astype(float) + 0.1 * np.random.default_rng(0).standard_normal(v.shape) for k, v in lm.start_weights(shape, 8).items()}
     words = np.arange(1, len(shape.class_of))
     h = np.random.default_rng(1).standard_normal((1, 8))
