@@ -77,3 +77,25 @@ def from_cells(cells: DataFrame, columns: list[str]) -> DataFrame:
     """A wide table of cells; the pivot's values are given, so there is no pass to find them."""
     wide = cells.groupBy("row_key").pivot("column_index", list(range(len(columns)))).agg(F.first("value"))
     return wide.select("row_key", *[F.col(str(i)).alias(c) for i, c in enumerate(columns)])
+
+
+def markdown_blocks(df: DataFrame, within: str = "id", order: str = "line_no") -> DataFrame:
+    """within, block_no, kind, first, last, text of runs of lines: heading, list, code (between fences, these
+    included), paragraph or blank. A heading is a block of its own; other runs last as long as their kind does."""
+    w = Window.partitionBy(within).orderBy(order)
+    fence = F.col("line").rlike(r"^\s{0,3}```")
+    fences = F.sum(fence.cast("int")).over(w)
+    kind = (
+        F.when(fence | (fences % 2 == 1), "code")
+        .when(F.trim("line") == "", "blank")
+        .when(F.col("line").rlike(r"^#{1,6}\s"), "heading")
+        .when(F.col("line").rlike(r"^\s*([-*+]|\d+[.)])\s"), "list")
+        .otherwise("paragraph")
+    )
+    # a fence that closes ends its run: code runs are told apart by the number of opened fences
+    run = F.when(kind == "code", F.floor((fences + 1) / 2)).otherwise(-1)
+    marked = df.withColumn("kind", kind).withColumn("_run", run)
+    starts = (F.col("kind") != F.lag("kind").over(w)) | (F.col("_run") != F.lag("_run").over(w)) | (F.col("kind") == "heading")
+    numbered = marked.withColumn("block_no", F.sum(F.coalesce(starts, F.lit(True)).cast("int")).over(w) - 1)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "line"))), lambda x: x["line"]), "\n")
+    return numbered.groupBy(within, "block_no", "kind").agg(F.min(order).alias("first"), F.max(order).alias("last"), text.alias("text"))

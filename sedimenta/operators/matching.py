@@ -30,3 +30,27 @@ def best_matches(scored: DataFrame, k: int = 3) -> DataFrame:
     out = scored.withColumn("rank", F.row_number().over(order)).withColumn("gap", F.round(F.col("score") - F.coalesce(F.lead("score").over(order), F.lit(0.0)), 6))
     status = F.when((F.col("score") >= AUTO) & (F.col("gap") >= LEAD), "auto").when(F.col("score") >= REVIEW, "review").otherwise("rejected")
     return out.where(F.col("rank") <= k).withColumn("status", status)
+
+WEIGHTS = {"name": 0.35, "alias": 0.20, "type": 0.20, "pattern": 0.10, "structure": 0.10, "graph": 0.05}
+COMPATIBLE = {("integer", "integer"), ("integer", "decimal"), ("decimal", "decimal"), ("number", "number"), ("string", "string"), ("date", "date"), ("datetime", "datetime"), ("boolean", "boolean")}
+CONDITIONAL = {("integer", "string"): 0.75, ("decimal", "string"): 0.75, ("date", "datetime"): 0.75, ("decimal", "integer"): 0.5, ("string", "integer"): 0.5, ("string", "decimal"): 0.5, ("datetime", "date"): 0.5, ("number", "decimal"): 0.75, ("integer", "number"): 0.75}
+
+
+def type_compatibility(source_kind, target_kind):
+    """1 for kinds that go together, 0.75 or 0.5 for those that do under a condition, null for those that do not."""
+    pairs = [(a, b, 1.0) for a, b in sorted(COMPATIBLE)] + [(a, b, s) for (a, b), s in CONDITIONAL.items()]
+    table = F.create_map(*[F.lit(x) for a, b, s in pairs for x in (f"{a}>{b}", s)])
+    return F.try_element_at(table, F.concat_ws(">", source_kind, target_kind))
+
+
+def weighted(scored: DataFrame, signals: list[str]) -> DataFrame:
+    """``score``: the weighted sum of signals (columns), a missing one counting 0, without scaling up the rest."""
+    total = sum(F.coalesce(F.col(s), F.lit(0.0)) * WEIGHTS[s] for s in signals)
+    return scored.withColumn("score", F.bround(total, 6))
+
+
+def with_penalties(ranked: DataFrame, penalty: float = 0.10) -> DataFrame:
+    """Scores of best_matches less ``penalty`` for a lead under 0.1, and again where several sources want the target."""
+    wanted = F.count_if(F.col("rank") == 1).over(Window.partitionBy("target"))
+    less = F.when(F.col("gap") < LEAD, penalty).otherwise(0.0) + F.when((wanted > 1) & (F.col("rank") == 1), penalty).otherwise(0.0)
+    return ranked.withColumn("final", F.greatest(F.lit(0.0), F.bround(F.col("score") - less, 6)))

@@ -66,3 +66,10 @@ def row_fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
     """Rows with sha256 over the columns as text, in order, nulls told apart from the text of any value."""
     parts = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in columns]
     return df.withColumn("fingerprint", F.sha2(reduce(lambda a, b: F.concat(a, F.lit("\x1f"), b), parts), 256))
+
+
+def merged(stored: DataFrame, incoming: DataFrame, identity: list[str]) -> DataFrame:
+    """The table after an upsert: incoming rows in the place of stored ones of the same identity, others as they are.
+    Applying the same rows again changes nothing."""
+    kept = stored.join(incoming.select(*identity).distinct(), identity, "left_anti")
+    return kept.select(*stored.columns).unionByName(incoming.select(*stored.columns))

@@ -46,7 +46,7 @@ def tabular(cells: DataFrame, plan: TabularPlan) -> DataFrame:
     row = F.col("row_index")
     kept = cells.where((row >= plan.data_start) & (row <= plan.data_end if plan.data_end is not None else F.lit(True)) & ~row.isin(*plan.repeated_headers))
     indexes = sorted(set(plan.columns.values()))
-    wide = kept.where(F.col("column_index").isin(*indexes)).groupBy("row_index").pivot("column_index", indexes).agg(F.first("value"))
+    wide = kept.groupBy("row_index").pivot("column_index", indexes).agg(F.first("value"))
 
     def cell(name: str, index: int):
         value = F.col(str(index))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sedimenta.queries import loading, parsing, profiles, rules, scalars, streams, texts
+from sedimenta.queries import loading, parsing, profiles, reports, rules, scalars, streams, texts
 
 FLAGSHIP = "profile_orders_fields"
-_AREAS = (profiles, rules, loading, parsing, scalars, texts, streams)
+_AREAS = (profiles, rules, loading, parsing, reports, scalars, texts, streams)
 QUERIES = {name: q for area in _AREAS for name, q in area.QUERIES.items()}
 ORACLE_SQL = {name: sql for area in _AREAS for name, sql in area.ORACLE_SQL.items()}
