@@ -205,6 +205,17 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = FIT_DOCS, id_col: str =
     return fit_field(x, np.array([r["n"] for r in rows]), np.array([r["quality"] for r in rows]))
 
 
+def text_scores(texts: list[str | None], field: Field) -> np.ndarray:
+    """The quality of whole texts: the mean of their lines' marginals by length."""
+    scores = []
+    for chunk in _chunks(texts):
+        x, lengths, lines_of = line_features(chunk)
+        good, _ = forward_backward(field.pull(x, lines_of), lines_of, field.moves)
+        starts = np.cumsum(lines_of) - lines_of
+        scores += (np.add.reduceat(good * lengths, starts) / np.add.reduceat(lengths, starts)).tolist()
+    return np.clip(np.array(scores, float), 0, 1)
+
+
 def score(docs: DataFrame, field: Field, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: doc_id, held_out, score (0 to 1), predicted (1 if score >= threshold).
 
@@ -217,13 +228,7 @@ def score(docs: DataFrame, field: Field, threshold: float = THRESHOLD, id_col: s
         import pyarrow as pa
 
         for b in batches:
-            scores = []
-            for chunk in _chunks(b.column(1).to_pylist()):
-                x, lengths, lines_of = line_features(chunk)
-                good, _ = forward_backward(field.pull(x, lines_of), lines_of, field.moves)
-                starts = np.cumsum(lines_of) - lines_of
-                scores += (np.add.reduceat(good * lengths, starts) / np.add.reduceat(lengths, starts)).tolist()
-            scores = np.clip(np.array(scores, float), 0, 1)
+            scores = text_scores(b.column(1).to_pylist(), field)
             held = [fold(i) == 0 for i in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(held, pa.bool_()), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"]
@@ -233,7 +238,15 @@ def score(docs: DataFrame, field: Field, threshold: float = THRESHOLD, id_col: s
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
-def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are predicted good; columns as they are."""
-    rejected = score(docs, fit(docs, labels)).where("predicted = 0").select("doc_id")
-    return docs.join(rejected.distinct(), "doc_id", "left_anti")
+def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are predicted good; columns as they are. Rows are judged where they are read, so nothing
+    is shuffled."""
+    field, at = fit(docs, labels), docs.columns.index(text_col)
+
+    def keep(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield b.filter(pa.array(text_scores(b.column(at).to_pylist(), field) >= threshold))
+
+    return docs.mapInArrow(keep, docs.schema)
