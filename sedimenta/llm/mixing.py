@@ -59,25 +59,16 @@ def water_fill(sources: DataFrame, total: int, max_epochs: int = MAX_EPOCHS) ->
     return sources.withColumn("target", F.least(F.col("weight") * F.lit(level or 0.0), cap.cast("double")))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row for each row of ``docs``: doc_id, source, size, source_size, target, epochs, taken.
+def _keyed(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """Rows as ``row``, with what a mix needs of them: doc_id, source, size, draw and the draw's range and part."""
+    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
+    keys = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"))
+    keys = keys.withColumn("draw", F.xxhash64(F.lit(seed), "doc_id"))
+    return keys.withColumn("range", F.pmod("draw", F.lit(PARTS))).withColumn("part", F.pmod(F.shiftright("draw", 8), F.lit(PARTS)))
 
-    A source whose target is r times its size gives every document floor(r) whole repetitions. The rest is taken from
-    its documents in the order of a seeded hash of the id until the target is met; the document in which that
-    happens gives only its first words, so a source misses its target by less than one word. Ties of the hash go by
-    id, then size; rows that agree in these too are interchangeable.
 
-    Null texts have size 0, and null sources are one source, ranked last. A source without words has target 0. Where
-    the sum of all caps is below the total, all sources stop at their caps. Repeated rows are rows of their own;
-    further columns are ignored; an empty table gives an empty result.
-    """
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
-    draw = F.xxhash64(F.lit(seed), F.col(id_col))
-    rows = written(
-        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), draw.alias("draw"))
-        .withColumn("range", F.pmod("draw", F.lit(PARTS)))
-        .withColumn("part", F.pmod(F.shiftright("draw", 8), F.lit(PARTS)))
-    )
+def _plan(rows: DataFrame, weights, max_epochs: int) -> DataFrame:
+    """For each source s: its size, target, whole epochs, and where the rest of its mix ends."""
     ranges = written(rows.groupBy("source", "range").agg(F.sum("size").alias("words")))
     ranked = _ranked(ranges.groupBy("source").agg(F.sum("words").alias("source_size")))
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
@@ -89,38 +80,55 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: in
 
     plan = _end(ranges, plan, "range", "rest")
     here = rows.join(plan.select("s", "last_range"), F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("last_range")))
-    plan = _end(here.groupBy("source", "part").agg(F.sum("size").alias("words")), plan, "part", "rest_range")
+    return _end(here.groupBy("source", "part").agg(F.sum("size").alias("words")), plan, "part", "rest_range")
+
 
+def _deal(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """Rows with source_size, target, epochs and taken. Only the rows of the last part of each source are sorted."""
     dealt = rows.join(plan, F.col("source").eqNullSafe(F.col("s")))
     before = (F.col("range") < F.col("last_range")) | ((F.col("range") == F.col("last_range")) & (F.col("part") < F.col("last_part")))
     at_end = F.coalesce((F.col("range") == F.col("last_range")) & (F.col("part") == F.col("last_part")), F.lit(False))
     outside = dealt.where(~at_end).withColumn("extra", F.when(before, F.col("size")).otherwise(0))
     upto = F.sum("size").over(Window.partitionBy("source").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1))
     inside = dealt.where(at_end).withColumn("extra", F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest_part") - F.coalesce(upto, F.lit(0)))))
-    taken = F.col("epochs") * F.col("size") + F.col("extra")
-    return outside.unionByName(inside).select("doc_id", "source", "size", "source_size", "target", "epochs", taken.cast("long").alias("taken"))
+    return outside.unionByName(inside).withColumn("taken", (F.col("epochs") * F.col("size") + F.col("extra")).cast("long"))
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """One row for each row of ``docs``: doc_id, source, size, source_size, target, epochs, taken.
+
+    A source whose target is r times its size gives every document floor(r) whole repetitions. The rest is taken from
+    its documents in the order of a seeded hash of the id until the target is met; the document in which that
+    happens gives only its first words, so a source misses its target by less than one word. Ties of the hash go by
+    id, then size; rows that agree in these too are interchangeable.
+
+    Null texts have size 0, and null sources are one source, ranked last. A source without words has target 0. Where
+    the sum of all caps is below the total, all sources stop at their caps. Repeated rows are rows of their own;
+    further columns are ignored; an empty table gives an empty result.
+    """
+    rows = written(_keyed(docs, seed, id_col, text_col, source_col).drop("row"))
+    return _deal(rows, _plan(rows, weights, max_epochs)).select("doc_id", "source", "size", "source_size", "target", "epochs", "taken")
 
 
-def mixed_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
+def mixed_documents(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = 0) -> DataFrame:
     """The rows of ``docs`` (documents: doc_id, text, source, n_chars and more) as the mix takes them.
 
     A row is repeated for each whole repetition; a part of one is a row with the document's first words, a
-    space between them, and their number of characters. Documents that the mix does not take are left out; those without words, of which nothing can
-    be taken, stay once. Rows that share an id are told apart by source and size, and where these agree too, they are
-    taken alike.
+    space between them, and their number of characters. Documents that the mix does not take are left out; those without
+    words, of which nothing can be taken, stay once. Texts are dealt where they are read: only the plan, a row for each
+    source, meets them.
     """
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
-    plan = mix(docs, seed=seed).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
-    plan = plan.dropDuplicates(["_id", "_source", "_size"])
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size"))
-    taken = docs.withColumn("_words", size).join(plan, same)
-    whole = F.when(F.col("_words") == 0, 1).otherwise(F.floor(F.col("_taken") / F.greatest("_words", F.lit(1))))
-    part = F.when(F.col("_words") == 0, 0).otherwise(F.col("_taken") % F.greatest("_words", F.lit(1)))
-    copies = F.concat(F.array_repeat(F.lit(-1).cast("long"), whole.cast("int")), F.filter(F.array(part.cast("long")), lambda x: x > 0))
-    rows = taken.withColumn("_cut", F.explode(copies))
-    words = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD_PATTERN), F.lit(0)), F.lit(1), F.col("_cut").cast("int")), " ")
-    first = F.when(F.col("_cut") < 0, F.col("text")).otherwise(words)
-    rows = rows.withColumn("text", first)
+    keyed = _keyed(docs, seed, "doc_id", "text", "source")
+    rows = _deal(keyed, _plan(written(keyed.drop("row")), weights, max_epochs)).select("row", "size", "taken")
+    words = F.greatest("size", F.lit(1))
+    whole = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / words)).cast("int")
+    part = F.when(F.col("size") == 0, 0).otherwise(F.col("taken") % words).cast("long")
+    copies = F.concat(F.array_repeat(F.lit(-1).cast("long"), whole), F.filter(F.array(part), lambda x: x > 0))
+    rows = rows.withColumn("cut", F.explode(copies))
+    text = F.col("row.text")
+    first = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD_PATTERN), F.lit(0)), F.lit(1), F.col("cut").cast("int")), " ")
+    cut = F.when(F.col("cut") < 0, text).otherwise(first)
+    changed = {"text": cut}
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_cut") < 0, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+        changed["n_chars"] = F.when(F.col("cut") < 0, F.col("row.n_chars")).otherwise(F.length(cut)).cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[changed.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
