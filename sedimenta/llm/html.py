@@ -22,6 +22,8 @@ from html import unescape
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sedimenta.llm.common import written
+
 #: Parts of a sequence before it becomes a group of optional parts; depth below which structure is not told apart.
 SEQUENCE, DEPTH = 48, 100
 #: Partial wrappers of a host that one task merges before the last merge: hosts are dealt to so many.
@@ -404,7 +406,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     schema = "host string, wrapper string"
     partial = rows.select("url", "html").mapInArrow(infer, schema)
     some = partial.withColumn("share", F.pmod(F.xxhash64("wrapper"), F.lit(SHARES))).groupBy("host", "share").applyInPandas(merge, schema)
-    wrappers = some.groupBy("host").applyInPandas(merge, schema)
+    wrappers = written(some.groupBy("host").applyInPandas(merge, schema))  # of known size: while small, pages stay where they are
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
     laid = rows.withColumn("host", host).join(wrappers, "host", "left").select("page_id", "url", "html", "wrapper")
     kind = rows.schema["page_id"].dataType.simpleString()
