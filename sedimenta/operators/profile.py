@@ -78,24 +78,27 @@ def distinct_exact(df: DataFrame, fields: list[str]) -> DataFrame:
 def distinct_sketch(df: DataFrame, fields: list[str], k: int = SKETCH_SIZE) -> DataFrame:
     """field, kept, kth_hash, estimate: distinct values from the k smallest of 128-bit hashes.
 
-    Each task keeps k hashes a field at most, so what is shuffled does not grow with the rows. Up to k distinct values
+    Each task keeps k + 1 hashes a field at most, so what is shuffled does not grow with the rows. Up to k distinct values
     the count is exact; beyond, the estimate is (k - 1) (2**128 + 1) / (kth + 1) rounded half up, k + 1 at least.
     """
     digest = F.substring(F.sha2(F.concat_ws(":", "kind", "value"), 256), 1, 32)
     hashes = unpivoted(df, fields).where("value is not null").select("field", digest.alias("hash"))
 
     def smallest(frames):
-        held: dict[str, set[str]] = {}
+        held: dict[str, list[str]] = {}
         for frame in frames:
             for field, group in frame.groupby("field"):
-                held[field] = set(sorted(held.get(field, set()).union(group["hash"]))[:k])
+                own, new = held.get(field, []), group["hash"]
+                if len(own) > k:
+                    new = new[new < own[-1]]
+                held[field] = sorted({*own, *new.unique()})[: k + 1]  # one more than k tells that there are more
         yield pd.DataFrame([(f, h) for f, hs in held.items() for h in hs], columns=["field", "hash"])
 
     def finish(key, group):
-        kept = sorted(set(group["hash"]))[:k]
-        full = len(kept) == k and group["hash"].nunique() > k
+        found = sorted(set(group["hash"]))
+        kept = found[:k]
         h = int(kept[-1], 16)
-        estimate = max(k + 1, (2 * (k - 1) * (2**128 + 1) + h + 1) // (2 * (h + 1))) if full else len(kept)
+        estimate = max(k + 1, (2 * (k - 1) * (2**128 + 1) + h + 1) // (2 * (h + 1))) if len(found) > k else len(kept)
         return pd.DataFrame({"field": [key[0]], "kept": [len(kept)], "kth_hash": [kept[-1]], "estimate": [estimate]})
 
     schema = "field string, hash string"

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sedimenta.sources.shared import written
+
 
 def plan_actions(incoming: DataFrame, stored: DataFrame, identity: list[str], mutable: list[str], issues: DataFrame | None = None) -> DataFrame:
     """Incoming rows with action: quarantine if the row has an issue, else update (or skip, where nothing is mutable)
@@ -26,11 +28,11 @@ def action_counts(plan: DataFrame) -> DataFrame:
     return plan.groupBy("action").agg(F.count(F.lit(1)).alias("rows"))
 
 
-def rejection_closure(edges: DataFrame, rejected: DataFrame, cut=lambda df: df) -> DataFrame:
+def rejection_closure(edges: DataFrame, rejected: DataFrame, cut=written) -> DataFrame:
     """node, direct: all nodes that rejection reaches over ``edges`` (a, b: either way), by breadth-first rounds.
 
-    Each round joins only the nodes that the one before has reached. ``cut`` may write a frame and read it again, to
-    keep the plan short where chains are long.
+    Each round joins only the nodes that the one before has reached, and is written by ``cut``, so that no round is
+    computed again by the next.
     """
     both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     seen = cut(rejected.select(F.col(rejected.columns[0]).alias("node")).distinct().withColumn("direct", F.lit(True)))

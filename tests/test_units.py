@@ -32,8 +32,9 @@ def test_readers(spark, tmp_path):
     assert found["length"] == 7 and found["sha256"] == hashlib.sha256(b"x\r\ny\n\nz").hexdigest()
 
 
-def test_sketch_estimates_within_its_error(spark):
-    df = spark.range(20_000).select((F.col("id") % 9000).alias("a"), (F.col("id") % 50).alias("b"))
+@pytest.mark.parametrize("parts", [1, 4])
+def test_sketch_estimates_within_its_error(spark, parts):
+    df = spark.range(0, 20_000, 1, parts).select((F.col("id") % 9000).alias("a"), (F.col("id") % 50).alias("b"))
     found = {r["field"]: r for r in profile.distinct_sketch(df, ["a", "b"], 512).collect()}
     assert found["b"]["estimate"] == 50 and found["b"]["kept"] == 50
     assert abs(found["a"]["estimate"] - 9000) < 9000 * 0.2
