@@ -3,6 +3,8 @@ it has none. Null passes through. All are built-in expressions."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -156,3 +158,24 @@ def primitive(c: Column) -> Column:
         .when(c.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}"), "timestamp")
         .when(c.isNotNull(), "string")
     )
+
+
+def chain(c: Column, steps: list[tuple[str, Callable[[Column], Column]]]) -> Column:
+    """struct(value, issue, trace) of text put through steps (name, function giving struct(value, issue)).
+
+    All or nothing: the first step that fails gives the issue, and the value is the text as it was. The trace has the
+    name and result of each step that changed something; it is empty where a step failed.
+    """
+    value, issue, trace = c, F.lit(None).cast("string"), []
+    for name, step in steps:
+        result = step(value)
+        after, issue = result["value"].cast("string"), F.coalesce(issue, result["issue"])
+        trace.append(F.when(~after.eqNullSafe(value), F.struct(F.lit(name).alias("step"), after.alias("result"))))
+        value = after
+    made = F.filter(F.array(*trace), lambda x: x.isNotNull() & issue.isNull())
+    return F.struct(F.when(issue.isNull(), value).otherwise(c).alias("value"), issue.alias("issue"), made.alias("trace"))
+
+
+def always(step: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    """A step of a chain from a function that cannot fail."""
+    return lambda c: _result(step(c), F.lit(None).cast("string"))

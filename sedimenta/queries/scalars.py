@@ -80,13 +80,21 @@ def norm_uuid(spark, d):
     return _of(spark, d, _case(h, dashed, h.substr(1, 31)), lambda c: N.uuid(c))
 
 
+def norm_chain(spark, d):
+    """Trim, then empty to null, then e-mail."""
+    text = _case(F.concat(F.lit("  u"), _text(), F.lit("@X.ORG ")), F.concat(F.lit(" no"), _text()), F.lit("   "), F.concat(F.lit("u"), _text(), F.lit("@x.org")))
+    steps = [("trim", N.always(N.trim)), ("empty_to_null", N.always(N.empty_to_null)), ("email", N.email)]
+    rows = table(spark, d, "orders").select("o_orderkey", text.alias("t")).select("o_orderkey", N.chain(F.col("t"), steps).alias("r"))
+    return rows.select("o_orderkey", "r.value", "r.issue", F.array_join(F.transform("r.trace", lambda x: x["step"]), ",").alias("steps"))
+
+
 def luhn_inn_checks(spark, d):
     digits = F.lpad((_k() * 7919 % 10000000000).cast("string"), 10, "7")
     card = F.concat(F.lit("4000"), F.lpad((_k() * 104729 % 1000000000000).cast("string"), 12, "0"))
     return table(spark, d, "orders").select("o_orderkey", N.inn(digits).alias("inn"), N.card_like(card).alias("card"))
 
 
-QUERIES = {q.__name__: q for q in (norm_decimal, norm_integer, norm_money, norm_boolean, norm_date, norm_datetime, norm_phone, norm_email, norm_uuid, luhn_inn_checks)}
+QUERIES = {q.__name__: q for q in (norm_decimal, norm_integer, norm_money, norm_boolean, norm_date, norm_datetime, norm_phone, norm_email, norm_uuid, norm_chain, luhn_inn_checks)}
 
 
 def _case_sql(*texts: str) -> str:
@@ -136,6 +144,9 @@ ORACLE_SQL = {
         SELECT o_orderkey, {_case_sql(f"'User.' || {_T} || '@mail.example.com'", "NULL", "NULL", f"{_T} || '@a-b.io'")} AS value,
                CASE WHEN o_orderkey % 4 IN (1, 2) THEN 'INVALID_EMAIL' END AS issue FROM orders""",
     "norm_uuid": f"SELECT o_orderkey, CASE WHEN o_orderkey % 3 < 2 THEN lower({_dashed(_H)}) END AS value, CASE WHEN o_orderkey % 3 = 2 THEN 'INVALID_UUID' END AS issue FROM orders",
+    "norm_chain": f"""
+        SELECT o_orderkey, {_case_sql(f"'u' || {_T} || '@x.org'", f"' no' || {_T}", "NULL", f"'u' || {_T} || '@x.org'")} AS value,
+               CASE WHEN o_orderkey % 4 = 1 THEN 'INVALID_EMAIL' END AS issue, {_case_sql("'trim,email'", "''", "'trim,empty_to_null'", "''")} AS steps FROM orders""",
     "luhn_inn_checks": f"""
         SELECT o_orderkey, {_digit_sum("d", (2, 4, 10, 3, 5, 9, 4, 6, 8))} = CAST(substr(d, 10, 1) AS INT) AS inn,
                list_sum(list_transform(range(1, 17), lambda i: CASE WHEN i % 2 = 0 THEN CAST(substr(c, i, 1) AS INT)
