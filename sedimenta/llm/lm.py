@@ -9,8 +9,8 @@ a bound whatever the corpus. All others are rare classes by their last letters,
 share of the counts, a token never seen in training that of half an occurrence. The output is factored: a softmax over classes of about equal mass, then one over the words of a class. Output biases start
 at the counts, which makes the untrained model the base model; training then moves away from it.
 
-Training is truncated back-propagation through time in numpy: each training document gives one span of two windows, the
-state carried from the first to the second, gradients not. Blocks train side by side from the same weights, which are
+Training is truncated back-propagation through time in numpy, over every training document from its first token to its
+last: the state is carried from window to window, gradients are not. Blocks train side by side from the same weights, which are
 then averaged by parts in a shuffle, round after round. Scoring runs over whole documents, many in step, the state
 carried across windows from the first token to the last.
 """
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -30,8 +31,10 @@ from sedimenta.llm.common import ascii_words, fold, written
 HELD_OUT = 1
 #: A token is frequent if it is at least one in so many, which is also the bound on the number of frequent ones.
 FREQUENT = 4096
-HIDDEN, CLASSES, WINDOW, LANES = 24, 24, 32, 64
-ROUNDS, RATE = 2, 0.2
+HIDDEN, CLASSES, WINDOW, LANES = 24, 64, 48, 16
+ROUNDS, RATE = 2, 0.08
+#: Texts of at least so many tokens are trained on first, so that none is left to run alone at a block's end.
+LONG = 2048
 #: Tokens of a block at most (a longer document is a block of its own); distinct tokens an owner is sent, on average.
 BLOCK_TOKENS, OWNER_TOKENS = 1 << 20, 3_000_000
 #: Numbers of a part of the weights, the unit in which they are averaged.
@@ -200,7 +203,7 @@ def start_weights(shape: Shape, hidden: int = HIDDEN, seed: int = 7) -> dict[str
 
 
 def _sigmoid(x):
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    return 0.5 + 0.5 * np.tanh(0.5 * x)
 
 
 def run_window(p: dict, inputs: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, list]:
@@ -260,52 +263,65 @@ def back_through(p: dict, inputs: np.ndarray, kept: list, dh_out: np.ndarray, sl
     """Gradients of a window; what flows into the state before it is cut off."""
     k = dh_out.shape[2]
     dh, d_in = np.zeros_like(dh_out[0]), np.empty((*inputs.shape, 3 * k), np.float32)
+    dus = np.empty_like(d_in)
     for t in range(len(inputs) - 1, -1, -1):
         h, z, r, new, un = kept[t]
         dh = dh + dh_out[t]
         d_new = dh * (1 - z) * (1 - new**2)
         dz = dh * (h - new) * z * (1 - z)
         dr = d_new * un * r * (1 - r)
-        d_in[t] = np.concatenate((dz, dr, d_new), axis=1)
-        du = np.concatenate((dz, dr, d_new * r), axis=1)
-        slopes["U"] += du.T @ h
+        d_in[t, :, :k], d_in[t, :, k : 2 * k], d_in[t, :, 2 * k :] = dz, dr, d_new
+        du = dus[t]
+        du[:, : 2 * k], du[:, 2 * k :] = d_in[t, :, : 2 * k], d_new * r
         dh = dh * z + du @ p["U"]
+    slopes["U"] += dus.reshape(-1, 3 * k).T @ np.concatenate([step[0] for step in kept])
     flat = d_in.reshape(-1, 3 * k)
     words = inputs.ravel()
     slopes["W"] += flat.T @ p["E"][words]
     slopes["b"] += flat.sum(axis=0)
-    np.add.at(slopes["E"], words, flat @ p["W"])
+    order = np.argsort(words, kind="stable")
+    first = np.flatnonzero(np.diff(words[order], prepend=-1))
+    slopes["E"][words[order[first]]] += np.add.reduceat((flat @ p["W"])[order], first)
 
 
-def train(p: dict, shape: Shape, spans: list[np.ndarray]) -> dict:
-    """Adagrad over spans (words after START) of two windows, LANES documents in step."""
+def train(p: dict, shape: Shape, texts: list[np.ndarray]) -> dict:
+    """Adagrad over whole texts (words after START) window by window, LANES texts in step; where one has ended, the next
+    takes its lane. Only rows of E that a window has as inputs have gradients, so only these are updated."""
     p = {k: v.copy() for k, v in p.items()}
     past = {k: np.full_like(v, 1e-3) for k, v in p.items()}
-    for i in range(0, len(spans), LANES):
-        lanes = spans[i : i + LANES]
-        steps = max(map(len, lanes))
-        words = np.zeros((steps, len(lanes)), np.int64)  # START where a lane has ended; these have no loss
-        for j, s in enumerate(lanes):
-            words[: len(s), j] = s
-        inputs = np.vstack((np.full((1, len(lanes)), START), words[:-1]))
-        h = np.zeros((len(lanes), p["U"].shape[1]), np.float32)
-        for a in range(0, steps, WINDOW):
-            x, y = inputs[a : a + WINDOW], words[a : a + WINDOW]
-            states, kept = run_window(p, x, h)
-            real = y != START
-            slopes = {k: np.zeros_like(v) for k, v in p.items()}
-            _, d = log_probabilities(p, shape, states[real], y[real], slopes, 1 / max(1, real.sum()))
-            dh = np.zeros_like(states)
-            dh[real] = d
-            back_through(p, x, kept, dh, slopes)
-            size = np.sqrt(sum(float((s * s).sum()) for s in slopes.values()))
-            for k, s in slopes.items():
-                if size > 1:
-                    s /= size
-                past[k] += s * s
-                p[k] -= RATE * s / np.sqrt(past[k])
-            h = states[-1]
-    return p
+    slopes = {k: np.zeros_like(v) for k, v in p.items()}
+    waiting, lanes, h = iter(texts), [], np.zeros((0, p["U"].shape[1]), np.float32)
+    while True:
+        going = [j for j, (s, a) in enumerate(lanes) if a < len(s)]
+        fresh = [(s, 0) for s in islice(waiting, LANES - len(going))]
+        lanes = [lanes[j] for j in going] + fresh
+        if not lanes:
+            return p
+        h = np.vstack((h[going], np.zeros((len(fresh), h.shape[1]), np.float32)))
+        steps = min(WINDOW, max(len(s) - a for s, a in lanes))
+        x, y = np.full((2, steps, len(lanes)), START, np.int64)  # START where a text has ended; these have no loss
+        for j, (s, a) in enumerate(lanes):
+            now = s[a : a + steps]
+            y[: len(now), j] = now
+            x[1 : len(now), j] = now[:-1]
+            if a:
+                x[0, j] = s[a - 1]
+        states, kept = run_window(p, x, h)
+        real = y != START
+        _, d = log_probabilities(p, shape, states[real], y[real], slopes, 1 / real.sum())
+        dh = np.zeros_like(states)
+        dh[real] = d
+        back_through(p, x, kept, dh, slopes)
+        rows = {k: np.unique(x) if k == "E" else slice(None) for k in p}
+        own = {k: slopes[k][rows[k]] for k in p}
+        scale = 1 / max(1.0, np.sqrt(sum(float(np.vdot(s, s)) for s in own.values())))
+        for k, s in own.items():
+            s = s * np.float32(scale)
+            past[k][rows[k]] += s * s
+            p[k][rows[k]] -= RATE * s / np.sqrt(past[k][rows[k]])
+            slopes[k][rows[k]] = 0
+        lanes = [(s, a + steps) for s, a in lanes]
+        h = states[-1]
 
 
 def _words(shape: Shape, distinct: np.ndarray) -> np.ndarray:
@@ -336,7 +352,7 @@ def _parted(flat: np.ndarray, like: dict) -> dict:
 
 
 def fit(blocks: DataFrame, shape: Shape) -> dict:
-    """Weights after ROUNDS rounds over one span of every training document."""
+    """Weights after ROUNDS rounds over all tokens of every training document."""
     p = start_weights(shape)
 
     for round_no in range(ROUNDS):
@@ -345,15 +361,12 @@ def fit(blocks: DataFrame, shape: Shape) -> dict:
             for f in frames:
                 for row in f.to_dict("records"):
                     words, tokens, lengths, starts, held = _texts(row, shape)
-                    rng = np.random.default_rng(round_no)
-                    spans = []
-                    for n, start in zip(lengths[~held], starts[~held], strict=True):
-                        a = int(rng.integers(0, max(1, n - 2 * WINDOW + 1)))
-                        spans.append(words[tokens[start + a : start + min(n, a + 2 * WINDOW)]])
-                    spans = [spans[i] for i in rng.permutation(len(spans))]
-                    if not spans:
+                    texts = [words[tokens[start : start + n]] for n, start in zip(lengths[~held], starts[~held], strict=True)]
+                    if not texts:
                         continue
-                    flat, weight = _joined(train(p, shape, spans)), float(len(spans))
+                    texts = [texts[i] for i in np.random.default_rng(round_no).permutation(len(texts))]
+                    texts.sort(key=lambda t: -(len(t) // LONG))
+                    flat, weight = _joined(train(p, shape, texts)), float(sum(map(len, texts)))
                     parts = [flat[i : i + PART] for i in range(0, len(flat), PART)]
                     yield pd.DataFrame({"part": range(len(parts)), "weight": weight, "numbers": [(x * weight).astype("<f8").tobytes() for x in parts]})
 

@@ -51,6 +51,19 @@ def test_state_is_carried_across_windows():
     assert whole[0] == pytest.approx(lm.log_probabilities(p, shape, states[:, 0], words).sum(), rel=1e-5)
 
 
+def test_training_reads_whole_documents(spark):
+    """Every word of a long document is learnt from, wherever it stands; short ones beside it are so too."""
+    said = [f"w{i}a" for i in range(700)]
+    rows = [(2, " ".join(said + said), "en", "a"), *((i, f"s{i}b s{i}b", "en", "a") for i in (4, 6, 9, 11))]
+    assert all(fold(i) != lm.HELD_OUT for i, *_ in rows)
+    blocks, _, tokens, distinct, common = lm.counted(documents(spark, rows).select("doc_id", "text"))
+    shape = lm.shape_of(common, tokens, distinct)
+    assert len(shape.words) == 705
+    moved = np.abs(lm.fit(blocks, shape)["E"] - lm.start_weights(shape)["E"]).max(axis=1)
+    end = shape.words[shape.hashes == lm._Tokens()[b""]]
+    assert [w for w in shape.words if moved[w] < 1e-6] == list(end)
+
+
 def _base(rows):
     tokens = [[*(t or "").encode().lower().split(), b""] for _, t in rows]
     held = [fold(i) == 1 for i, _ in rows]
