@@ -9,8 +9,9 @@ touch a base span, and base spans all stay.
 
 Only tokens with a digit or an @ can have a label other than O: for any other token the potentials of the four labels
 are minus infinity. Such tokens cut the chain and need no messages, so inference is exact with them left out.
-Mentions are linked in a ring, each to the next of its kind, not all to all: messages reach every mention all the same,
-and a number repeated a thousand times has a thousand links.
+Mentions are linked in a star, all of a kind to one of them, the first that a pattern found if there is one: any two are
+two links apart, and a number repeated a thousand times has a thousand links. Along links messages are maxima, not sums:
+a hub gets nothing from mentions that clearly lean to O, however many there are.
 """
 
 from __future__ import annotations
@@ -143,21 +144,22 @@ def _key(token: str) -> str:
     return "".join(c for c in token.lower() if c.isalnum())
 
 
-def _links(tokens: list[str]) -> list[tuple[int, int]]:
-    """Pairs of like mentions: each to the next that is equal, and number runs to the last that ends alike."""
-    last: dict[str, int] = {}
-    out = []
+def _links(tokens: list[str], labels: list[int]) -> list[tuple[int, int]]:
+    """Pairs of like mentions: all that are equal, and all number runs that end alike, each with one hub, which is the
+    first of them with a base label, else the first."""
+    like: dict[str, list[int]] = {}
     for i, t in enumerate(tokens):
         key = _key(t)
         digits = "".join(c for c in key if c.isdigit())
-        names = [key] if len(key) >= 5 else []
+        if len(key) >= 5:
+            like.setdefault(key, []).append(i)
         if len(digits) >= 7 and len(digits) >= len(key) - 1:
-            names.append("~" + digits[-7:])
-        seen = {last[n] for n in names if n in last}
-        out += [(j, i) for j in seen]
-        for n in names:
-            last[n] = i
-    return out
+            like.setdefault("~" + digits[-7:], []).append(i)
+    out = set()
+    for same in like.values():
+        hub = next((i for i in same if labels[i]), same[0])
+        out |= {(min(i, hub), max(i, hub)) for i in same if i != hub}
+    return sorted(out)
 
 
 class SkipChain:
@@ -179,7 +181,8 @@ class SkipChain:
         return out
 
     def marginals(self, words: list[str], joined: list[bool], links: list[tuple[int, int]]) -> np.ndarray:
-        """By loopy message passing over chain and skip links; exact where these make no loop."""
+        """By loopy message passing over chain and skip links, sums along the chain and maxima along links; exact where
+        there are no links."""
         own = self.potentials(words, joined)
         n = len(words)
         edges = [(i - 1, i, 0) for i in range(1, n) if joined[i]] + [(i, j, 1) for i, j in links if not (j == i + 1 and joined[j])]
@@ -190,13 +193,14 @@ class SkipChain:
         source, target = np.concatenate((a, b)), np.concatenate((b, a))
         tables = np.concatenate((tables, tables.transpose(0, 2, 1)))
         back = np.concatenate((np.arange(len(a)) + len(a), np.arange(len(a))))
+        skips = np.concatenate((kind, kind))[:, None] == 1
         messages = np.zeros((len(source), 5))
         for _ in range(ROUNDS):
             belief = own.copy()
             np.add.at(belief, target, messages)
             out = (belief[source] - messages[back])[:, :, None] + tables
             top = out.max(axis=1, keepdims=True)
-            new = (top + np.log(np.exp(out - top).sum(axis=1, keepdims=True)))[:, 0]
+            new = np.where(skips, top[:, 0], (top + np.log(np.exp(out - top).sum(axis=1, keepdims=True)))[:, 0])
             new -= new.max(axis=1, keepdims=True)
             if np.abs(new - messages).max() < 1e-4:
                 break
@@ -245,7 +249,8 @@ def read(text: str):
     at = _tokens(text)
     words = [text[a:b] for a, b in at]
     joined = [i > 0 and at[i][0] - at[i - 1][1] <= NEAR for i in range(len(at))]
-    return base, at, words, joined, _links(words), [cover.kind(a, b) or 0 for a, b in at]
+    labels = [cover.kind(a, b) or 0 for a, b in at]
+    return base, at, words, joined, _links(words, labels), labels
 
 
 def fit(samples: list, rounds: int = 8, rate: float = 0.3) -> SkipChain:

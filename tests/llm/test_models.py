@@ -137,6 +137,19 @@ def test_linked_mentions_are_found(spark):
     assert pii.find(empty, pii.fit_field(empty)).count() == 0
 
 
+def test_hundreds_of_mentions_are_linked():
+    """Mentions that by themselves lean to O get the full one's label however many there are; without it, none does."""
+    unary = {("bias",): np.array([5.5, 0, 0, 0, 0]), ("before", 3, 0): np.array([0, 0, 0, 0, 30.0])}  # after "(017)", a phone
+    field = pii.SkipChain(unary, np.zeros((5, 5)), np.diag([0.0, 6, 6, 6, 6]))
+    full, short = " call +1 (017) 555-7713 now", " and then some more words, later 555-7713" * 300
+    for text in (full + short, short + full):
+        base, found = pii.all_spans(text, field)
+        assert len(base) == 1 and [text[a:b] for k, a, b in found if k == 3].count("555-7713") == 300
+    numbers = " and then some more words, later 20417-23"
+    field.unary["bias",] = np.array([9.0, 0, 0, 0, 0])
+    assert pii.all_spans(numbers * 300, field) == ([], [])
+
+
 def test_forward_backward_equals_enumeration():
     from itertools import product
 
