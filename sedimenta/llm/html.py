@@ -47,6 +47,10 @@ BOILER = frozenset(
     "consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login share sharing social related "
     "recommended recommendations pagination pager toolbar widget widgets skip copyright complementary contentinfo hidden alert".split()
 )
+#: Words that beside one of these leave a name a name of that: a site-footer is a footer, but what has-sidebar is no sidebar.
+NEUTRAL = frozenset("site main top bottom left right primary secondary global page box block area section container wrapper bar list links slot unit".split())
+#: In the key of an element that would be dropped but holds the article.
+KEPT = "kept"
 ARTICLE = frozenset("article articlebody main maincontent content post story entry posts".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -71,12 +75,13 @@ def _element(tag: str, attributes: str, in_article: bool) -> Part:
         for _, a, b, c in _NAMES.findall(attributes):
             for name in (a or b or c).lower().split():
                 parts = _WORDS.findall(name)
-                words.update(w for w in parts if w in BOILER)
+                if all(w in BOILER or w in NEUTRAL for w in parts):
+                    words.update(w for w in parts if w in BOILER)
                 words.update(w for w in (*parts, "".join(parts)) if w in ARTICLE)
         if "hidden" in attributes or "style" in attributes.lower():
             if _GONE.search(attributes):
                 words.add("hidden")
-    boiler = boiler or (bool(words & BOILER) and tag not in ("body", "html", "main"))
+    boiler = boiler or (bool(words & BOILER) and ("hidden" in words or tag != "article") and tag not in ("body", "html", "main"))
     return Part(".".join((tag, *sorted(words))), tag, boiler, tag in BLOCKS)
 
 
@@ -161,9 +166,53 @@ def parse(page: str) -> Part:
         else:
             deeper[tag] = deeper.get(tag, 0) + 1
     text(len(page))
+    _keep_article(root)
     return root
 
 
+def _keep_article(root: Part) -> None:
+    """Where all article and main elements of a page are within forms or elements with a boilerplate name, these are kept;
+    on a page without any, so is a form with most of the unlinked text that is not in other dropped elements."""
+    rows: list[tuple[Part, int, bool]] = [(root, -1, False)]  # with the place of what holds it, and whether that is dropped for good
+    at = 0
+    while at < len(rows):
+        part, _, gone = rows[at]
+        gone = gone or (part.boiler and (part.tag in DROPPED - {"form"} or part.tag == "header" or ".hidden" in part.key))
+        rows[at] = (part, rows[at][1], gone)
+        rows += [(p, at, gone) for p in part.items if isinstance(p, Part)]
+        at += 1
+    if not any(p.boiler and not gone for p, _, gone in rows):
+        return
+    cut = []  # whether a part is dropped as things stand
+    for part, up, _ in rows:
+        cut.append(part.boiler or (up >= 0 and cut[up]))
+    named = [part.tag in ("article", "main") for part, *_ in rows]
+    lost = [i for i, (_, _, gone) in enumerate(rows) if named[i] and not gone]
+    articles = bool(lost)
+    if any(not cut[i] for i in lost):
+        lost = []
+    for i in lost:
+        while i >= 0:
+            _kept(rows[i][0])
+            i = rows[i][1]
+    if not articles:
+        plain = [0] * len(rows)
+        for i in range(len(rows) - 1, -1, -1):
+            part, up, _ = rows[i]
+            plain[i] += sum(len(t.strip()) for t, linked in (x for x in part.items if isinstance(x, tuple)) if not linked)
+            if up >= 0 and (not part.boiler or part.tag == "form"):
+                plain[up] += plain[i]
+        for i, (part, _, gone) in enumerate(rows):
+            if part.tag == "form" and not gone and 2 * plain[i] > plain[0]:
+                _kept(part)
+
+
+def _kept(part: Part) -> None:
+    if part.boiler:
+        part.boiler = False
+        part.key = f"{part.key}.{KEPT}"
+
+
 # ---- wrappers: [key, optional, repeated, [pages, text, link text, same text or None], parts]
 
 
@@ -247,7 +296,9 @@ def _names(key: str) -> tuple[str, set[str]]:
 
 def _is_boiler(key: str, in_article: bool) -> bool:
     tag, words = _names(key)
-    return tag in DROPPED or (tag == "header" and not in_article) or (bool(words & BOILER) and tag not in ("body", "html", "main"))
+    if KEPT in words:
+        return False
+    return tag in DROPPED or (tag == "header" and not in_article) or (bool(words & BOILER) and ("hidden" in words or tag != "article") and tag not in ("body", "html", "main"))
 
 
 def _weight(w: list, in_article: bool = False) -> int:

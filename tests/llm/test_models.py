@@ -221,6 +221,29 @@ def test_pages_edge_cases(spark):
     assert html.extract(frame.limit(0)).count() == 0
 
 
+def _texts_of(*pages):
+    wrapper = None
+    for p in pages:
+        own = html.wrapper_of(html.parse(p))
+        wrapper = own if wrapper is None else html._merged(wrapper, own)
+    html.mark_main(wrapper)
+    return [html.main_text(html.parse(p), wrapper) for p in pages]
+
+
+@pytest.mark.parametrize(
+    "around",
+    [
+        '<article class="post has-sidebar">%s</article>', '<article class="post category-social tag-share">%s</article>', '<div id="content" class="no-comments">%s</div>',
+        "<form method=post><div>%s</div></form>", "<form><article>%s</article></form>", '<div class="widget"><main>%s</main></div>',
+    ],
+)
+def test_names_do_not_drop_the_article(around):
+    said = [f"<p>Text number {i} says {'this and that ' * i}</p>" for i in range(3, 7)]
+    extra = '<div class="site-footer">Imprint</div><aside><article>Teaser</article></aside><form>Search here <input></form>'
+    found = _texts_of(*("<body>" + around % s + extra for s in said))
+    assert found == [" ".join(re.sub("<[^>]*>", "", s).split()) for s in said]
+
+
 def test_alignment_forms_optional_and_repeated_parts():
     one = html.wrapper_of(html.parse("<ul><li>a</ul><p>x</p>"))
     two = html.wrapper_of(html.parse("<h1>t</h1><ul><li>a<li>b</ul><p>x</p><p>y</p>"))
