@@ -15,6 +15,7 @@ the slots in those parts, in page order, is its main text.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from html import unescape
@@ -213,7 +214,7 @@ def _kept(part: Part) -> None:
         part.key = f"{part.key}.{KEPT}"
 
 
-# ---- wrappers: [key, optional, repeated, [pages, text, link text, same text or None], parts]
+# ---- wrappers: [key, optional, repeated, [pages, text, link text, hash of the same text or None], parts]
 
 
 def wrapper_of(part: Part, depth: int = 0) -> list:
@@ -231,7 +232,7 @@ def wrapper_of(part: Part, depth: int = 0) -> list:
                     parts[-1][2] = True
                 else:
                     parts.append(below)
-    return [part.key, False, False, [1, len(said), links, said[:80]], _bounded(parts)]
+    return [part.key, False, False, [1, len(said), links, hashlib.sha256(said.encode("utf-8", "surrogatepass")).hexdigest()], _bounded(parts)]
 
 
 def _bounded(parts: list) -> list:

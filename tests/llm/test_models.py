@@ -244,6 +244,13 @@ def test_names_do_not_drop_the_article(around):
     assert found == [" ".join(re.sub("<[^>]*>", "", s).split()) for s in said]
 
 
+def test_texts_that_begin_alike_are_told_apart():
+    lead = "The same long lead of every page of this host, a licence line and a dateline, said again. " * 2
+    pages = [f"<body><div>{lead}{'Own words of page %d. ' % i * 9}</div><ul><li>{'Short %d.' % i}</ul></body>" for i in range(4)]
+    found = _texts_of(*pages)
+    assert all(t.startswith(lead.strip()) and f"Own words of page {i}." in t and "Short" not in t for i, t in enumerate(found))
+
+
 def test_alignment_forms_optional_and_repeated_parts():
     one = html.wrapper_of(html.parse("<ul><li>a</ul><p>x</p>"))
     two = html.wrapper_of(html.parse("<h1>t</h1><ul><li>a<li>b</ul><p>x</p><p>y</p>"))
