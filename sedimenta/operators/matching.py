@@ -10,16 +10,20 @@ from sedimenta.functions.names import similarity, tokens
 AUTO, REVIEW, LEAD = 0.90, 0.70, 0.10
 
 
-def candidates(sources: DataFrame, targets: DataFrame) -> DataFrame:
-    """source, target, score of pairs that share a word or the start of their letters.
+def candidates(sources: DataFrame, targets: DataFrame, k: int = 3) -> DataFrame:
+    """source, target, score of all pairs whose score is not 0, and of enough others to rank k targets and the next.
 
-    Names are metadata, yet pairs come from an equi-join on words and four-letter starts, not from all with all; a pair
-    that shares neither scores below review in any case.
+    Pairs come from an equi-join on whole names, words, all letters, and two letters in a row. No other pair has a score:
+    names within e edits, e at most 3 and a quarter of the longer, the shorter of m >= 4 letters, share m - 1 - 2e >= 1
+    of the latter. As such pairs are ranked by target, the least 2k + 2 targets are paired with every source.
     """
-    block = lambda c: F.explode(F.array_distinct(F.concat(tokens(c), F.array(F.substring(F.array_join(tokens(c), ""), 1, 4)))))
+    letters = lambda c: F.array_join(tokens(c), "")
+    pieces = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(letters(c)) - 1, F.lit(1))), lambda i: F.substring(letters(c), i, 2))
+    block = lambda c: F.explode(F.array_distinct(F.concat(tokens(c), pieces(c), F.array(c, letters(c)))))
     left = sources.select("source", block(F.col("source")).alias("b"))
     right = targets.select("target", block(F.col("target")).alias("b"))
-    pairs = left.join(right, "b").select("source", "target").distinct()
+    least = targets.select("target").where("target is not null").distinct().orderBy("target").limit(2 * k + 2)
+    pairs = left.join(right, "b").select("source", "target").union(sources.select("source").where("source is not null").crossJoin(least)).distinct()
     return pairs.withColumn("score", similarity(F.col("source"), F.col("target")))
 
 

@@ -89,6 +89,16 @@ def test_names(spark):
     assert score["customerName", "customer_name"] == 0.98 and score["order_date", "order_date"] == 1.0 and 0.7 < score["quantity", "quantiy"] < 0.9
 
 
+def test_ranking_equals_brute_force(spark):
+    names = ["quantity", "cuantity", "order_date", "ab", "aB", "__", "--", "id", "customerName", "xame", "name", "zustomername", "total_price", "priceTotal", "fabcdefgh", "abcdefghi"]
+    left, right = (spark.createDataFrame([(n,) for n in names], f"{side} string") for side in ("source", "target"))
+    every = left.crossJoin(right).withColumn("score", matching.similarity(F.col("source"), F.col("target")))
+    rows = lambda df: sorted(map(tuple, df.select("source", "target", "score", "rank", "gap", "status").collect()))
+    found = rows(matching.best_matches(matching.candidates(left, right)))
+    assert found == rows(matching.best_matches(every)) and len(found) == 3 * len(names)
+    assert ("quantity", "cuantity", 0.7875, 2, "review") in {(a, b, s, r, t) for a, b, s, r, _, t in found}
+
+
 def test_trim_takes_unicode_space(spark):
     assert spark.createDataFrame([("  x ",)], "t string").select(N.trim(F.col("t"))).first()[0] == "x"
 
