@@ -6,8 +6,9 @@ cardinality and rounded up to the largest of their group; configurations of the
 column generation (the linear relaxation of bin packing over patterns); actual lengths, largest first, take the
 places of the rounded ones; small lengths then go, largest first, into the fullest sequence that holds them.
 
-Documents are dealt to the plan's places by their rank among the pieces of their length. Ranks come from counts by
-(block of rows, length), so nothing is sorted or gathered: a length that a third of all pieces has is no hot group.
+Documents are dealt to the plan's places by their rank among the pieces of their length. Pieces are kept in blocks, each
+with its histogram; where a block's ranks start is the sum of the histograms before it. So only histograms, one for some
+ten thousand pieces, ever meet: a length that a third of all pieces has is no hot group.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from collections import defaultdict
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sedimenta.llm.common import written
@@ -27,8 +28,8 @@ CAPACITY, END_ID = 1024, 2
 #: Lengths over this share of the capacity are large; groups of equal cardinality that they are cut into.
 LARGE_SHARE, GROUPS = 1 / 16, 128
 VOCABULARY = "byte_bpe_50k.json"
-#: Pieces that one block of rows holds at most; a block's ranks start at the sum of the blocks before it.
-BLOCK_PIECES = 1 << 16
+#: Pieces of a block, beyond which the next document starts another; parts that blocks are dealt to for sums before them.
+BLOCK_PIECES, PARTS = 1 << 15, 256
 
 _ENCODERS: dict = {}
 
@@ -63,7 +64,7 @@ def encoder(vocabulary: str):
             try:
                 return fast.encode_to_numpy(text, allowed_special="all")
             except BaseException as e:  # a panic of the regular expression is no Exception
-                if isinstance(e, (KeyboardInterrupt, SystemExit)):
+                if type(e).__name__ != "PanicException" and not isinstance(e, ValueError):
                     raise
                 return np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
 
@@ -96,24 +97,41 @@ def _pattern(sizes: np.ndarray, prices: np.ndarray, capacity: int) -> np.ndarray
     return out
 
 
+def _inverse(matrix: np.ndarray) -> np.ndarray:
+    """By elimination with row pivots. Plain array arithmetic: a driver that has started other processes must not enter
+    the threads of a linear-algebra library, which may wait for ever there."""
+    n = len(matrix)
+    both = np.hstack((matrix.astype(float), np.eye(n)))
+    for i in range(n):
+        pivot = i + int(np.abs(both[i:, i]).argmax())
+        both[[i, pivot]] = both[[pivot, i]]
+        both[i] /= both[i, i]
+        rest = both[:, i].copy()
+        rest[i] = 0
+        both -= rest[:, None] * both[i]
+    return both[:, n:]
+
+
 def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 1000) -> list[tuple[np.ndarray, float]]:
     """Patterns and how often to use each, from column generation; ``sizes`` ascend and are few."""
     n = len(sizes)
     basis = np.diag(capacity // sizes).astype(float)
     inverse = np.diag(1.0 / np.diag(basis))
-    for _ in range(rounds):
+    for round_no in range(rounds):
+        if round_no % 128 == 127:
+            inverse = _inverse(basis)  # updates add up errors
         prices = np.maximum(inverse.sum(axis=0), 0)  # each pattern costs 1
         new = _pattern(sizes, prices, capacity)
-        if prices @ new <= 1 + 5e-4:  # within 0.05 % of the relaxation's optimum
+        if (prices * new).sum() <= 1 + 5e-4:  # within 0.05 % of the relaxation's optimum
             break
-        amount, step = inverse @ demand, inverse @ new
+        amount, step = (inverse * demand).sum(axis=1), (inverse * new).sum(axis=1)
         ratio = np.where(step > 1e-9, np.maximum(amount, 0) / np.where(step > 1e-9, step, 1), np.inf)
         out = int(ratio.argmin())
         basis[:, out] = new
         row = inverse[out] / step[out]
-        inverse -= np.outer(step, row)
+        inverse -= step[:, None] * row
         inverse[out] = row
-    amount = np.maximum(np.linalg.inv(basis) @ demand, 0)
+    amount = np.maximum((_inverse(basis) * demand).sum(axis=1), 0)
     return [(basis[:, j].astype(np.int64), float(amount[j])) for j in range(n)]
 
 
@@ -247,48 +265,79 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, vocabu
 
     def tokenise(batches):
         encode = encoder(vocabulary)
+        rows: list[tuple] = []
         for batch in batches:
-            block, seen, out = uuid.uuid4().hex, np.zeros(capacity + 1, np.int64), []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = np.append(encode(text or ""), np.uint32(end_id)).astype("<u4")
                 first = len(ids) % capacity or min(capacity, len(ids))
                 cuts = [0, *range(first, len(ids) + 1, capacity)]
-                for piece, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                    out.append((doc_id, piece, a, b - a, zlib.crc32(ids[a:b].tobytes()), block, int(seen[b - a])))
-                    seen[b - a] += 1
-                if len(out) >= BLOCK_PIECES:
-                    yield _arrow(out)
-                    block, seen, out = uuid.uuid4().hex, np.zeros(capacity + 1, np.int64), []
-            yield _arrow(out)
-
-    def _arrow(rows):
-        import pyarrow as pa
-
-        kinds = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("block", pa.string()), ("own", pa.int64())]
-        columns = zip(*rows, strict=True) if rows else [[] for _ in kinds]
-        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, (_, t) in zip(columns, kinds, strict=True)], names=[n for n, _ in kinds])
+                rows += [(doc_id, piece, a, b - a, zlib.crc32(ids[a:b].tobytes())) for piece, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+                if len(rows) >= BLOCK_PIECES:
+                    yield _block(rows, capacity, PARTS)
+                    rows = []
+        if rows:
+            yield _block(rows, capacity, PARTS)
 
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    pieces = written(docs.mapInArrow(tokenise, "doc_id long, piece int, start long, length long, ids_crc32 long, block string, own long"))
-    counts = written(pieces.groupBy("length", "block").agg(F.count(F.lit(1)).alias("n")))
-    histogram = {int(l): int(n) for l, n in counts.groupBy("length").agg(F.sum("n")).collect()}  # capacity rows at most
-    slots = slots_of(plan_sequences(histogram, capacity))
-    before = F.sum("n").over(Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
-    starts = counts.select("length", "block", F.coalesce(before, F.lit(0)).alias("before"))
-    ranked = pieces.join(starts, ["length", "block"]).withColumn("rank", F.col("before") + F.col("own"))
-
-    plan = {int(l): g for l, g in slots.groupby("length")}  # its size depends on the capacity, not on the corpus
-
-    def place(frames):
-        for f in frames:
-            sequence, offset = np.zeros(len(f), np.int64), np.zeros(len(f), np.int64)
-            for l, at in f.groupby("length").indices.items():
-                g, rank = plan[int(l)], f["rank"].to_numpy()[at]
-                row = np.searchsorted(g["first"].to_numpy(), rank, "right") - 1
-                first, q, base, start = (g[c].to_numpy()[row] for c in ("first", "q", "base", "offset"))
-                sequence[at] = base + (rank - first) // q
-                offset[at] = start + (rank - first) % q * int(l)
-            yield f.drop(columns="rank").assign(sequence_id=sequence, offset=offset)
-
-    kinds = "doc_id long, piece int, start long, length long, ids_crc32 long"
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInPandas(place, f"{kinds}, sequence_id long, offset long")
+    blocks = written(docs.mapInArrow(tokenise, "block string, part int, histogram binary, pieces binary"))
+
+    def before(key, group):
+        """Of a part's blocks, each one's histogram of those before it; and the part's own, as a block without a name."""
+        group = group.sort_values("block")
+        own = np.stack([np.frombuffer(h, np.int64) for h in group["histogram"]])
+        upto = np.cumsum(own, axis=0)
+        told = pd.DataFrame({"block": group["block"], "part": int(key[0]), "before": [x.tobytes() for x in upto - own]})
+        return pd.concat((told, pd.DataFrame({"block": [None], "part": [int(key[0])], "before": [upto[-1].tobytes()]})), ignore_index=True)
+
+    starts = written(blocks.select("block", "part", "histogram").groupBy("part").applyInPandas(before, "block string, part int, before binary"))
+    parts = np.zeros((PARTS, capacity + 1), np.int64)
+    for r in starts.where("block is null").collect():  # PARTS histograms at most
+        parts[r["part"]] = np.frombuffer(r["before"], np.int64)
+    histogram = {int(l): int(n) for l, n in enumerate(parts.sum(axis=0)) if n}
+    plan = {int(l): g for l, g in slots_of(plan_sequences(histogram, capacity)).groupby("length")}  # its size depends on the capacity, not on the corpus
+    parts = np.cumsum(parts, axis=0) - parts
+
+    def place(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for part, first, pieces in zip(*(batch.column(c) for c in (0, 1, 2)), strict=True):
+                ids, piece, start, length, crc, null = _pieces(pieces.as_py())
+                rank = (parts[part.as_py()] + np.frombuffer(first.as_py(), np.int64))[length] + _own_ranks(length)
+                sequence, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
+                for l, at in pd.Series(length).groupby(length).indices.items():
+                    g = plan[int(l)]
+                    row = np.searchsorted(g["first"].to_numpy(), rank[at], "right") - 1
+                    begin, q, base, place_of = (g[c].to_numpy()[row] for c in ("first", "q", "base", "offset"))
+                    sequence[at] = base + (rank[at] - begin) // q
+                    offset[at] = place_of + (rank[at] - begin) % q * int(l)
+                columns = [pa.array(ids, mask=null), *(pa.array(c) for c in (piece.astype(np.int32), start, length, crc, sequence, offset))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+
+    told = blocks.select("block", "pieces").join(starts.where("block is not null"), "block").select("part", "before", "pieces")
+    return told.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+
+
+def _block(rows: list[tuple], capacity: int, parts: int):
+    """A block: its name, part, histogram of lengths, and its pieces' columns one after the other."""
+    import pyarrow as pa
+
+    ids = [r[0] for r in rows]
+    table = np.array([(0 if i is None else i, *r[1:], i is None) for i, r in zip(ids, rows, strict=True)], np.int64).T
+    name = uuid.uuid4()
+    values = [[name.hex], pa.array([name.int % parts], pa.int32()), [np.bincount(table[3], minlength=capacity + 1).astype(np.int64).tobytes()], [table.tobytes()]]
+    return pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v) for v in values], names=["block", "part", "histogram", "pieces"])
+
+
+def _pieces(table: bytes) -> tuple[np.ndarray, ...]:
+    ids, piece, start, length, crc, null = np.frombuffer(table, np.int64).reshape(6, -1)
+    return ids, piece, start, length, crc, null.astype(bool)
+
+
+def _own_ranks(length: np.ndarray) -> np.ndarray:
+    """How many earlier pieces of the block are as long, for each piece."""
+    order = np.argsort(length, kind="stable")
+    first = np.flatnonzero(np.diff(length[order], prepend=-1))
+    out = np.empty(len(length), np.int64)
+    out[order] = np.arange(len(length)) - np.repeat(first, np.diff(np.append(first, len(length))))
+    return out
