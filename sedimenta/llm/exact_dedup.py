@@ -1,14 +1,16 @@
 """Exact duplicates by an exchange of Golomb-coded fingerprints.
 
-1. A sender, a block of rows, hashes its normalised texts into a range of 64 values a row. It splits the range among
-   owners and sends each one a sorted, Golomb-coded list of the hashes it has.
+1. A sender, a task's rows, hashes its normalised texts into a range of 64 values a row. It splits the range among
+   owners and sends each one a sorted, Golomb-coded list of the hashes it has. So there are no more messages than a
+   shuffle of as many tasks has blocks.
 2. An owner decodes what all senders sent and answers each with a bitmap: which of its hashes occur again anywhere.
 3. Only rows whose bit is set, the suspects, are grouped by their whole normalised text, so that a clash of
    fingerprints never joins two texts. Spark combines copies before that shuffle: a text that fills a third of the
    table leaves each task as one row.
 
-Rows that are no suspects are groups of one. Bitmaps meet their senders by a plain join, so Spark broadcasts them
-(2 bits a row) only while their measured size is under its threshold. Owners grow in number with the rows.
+Rows that are no suspects are groups of one. A sender turns its answers into one bit a row, and these meet the texts by
+a broadcast of measured size: where they are too many for one, in several passes over ranges of senders, each of which
+reads only its own row groups. Texts that are no suspects are never shuffled.
 """
 
 from __future__ import annotations
@@ -23,10 +25,11 @@ from pyspark.sql import functions as F
 
 from sedimenta.llm.common import written
 
-#: Rows an owner answers for on average; values of the range for each row; the largest block of a sender.
-ROWS_PER_OWNER = 250_000
-RANGE_PER_ROW = 64
+#: Rows an owner answers for on average; values of the range for each row; rows of a sender; the largest block of texts.
+ROWS_PER_OWNER, RANGE_PER_ROW, SENDER_ROWS = 1_000_000, 64, 1 << 20
 BLOCK_ROWS, BLOCK_BYTES = 16_384, 8 << 20
+#: Bytes of row bits that one pass broadcasts at most.
+PASS_BYTES = 32 << 20
 
 
 def golomb_encode(values: np.ndarray) -> tuple[bytes, int]:
@@ -67,41 +70,48 @@ def normalised(text: str | None) -> bytes:
     return text.encode("utf-8", "surrogatepass").lower() if text else b""
 
 
-def _blocks(batches):
-    """Rows into blocks: ids (with a mask of nulls), digests, texts with their lengths."""
+STORED = "sender string, block int, ids binary, nulls binary, digests binary, sizes binary, bodies binary, prints binary"
+
+
+def _stored(batches, sender_rows: int, block_rows: int):
+    """Rows into blocks: ids (with a mask of nulls), digests, texts with their lengths. And for each sender a row without
+    a block: the first 64 bits of all its digests, with the number of rows of each block as sizes."""
+    import pyarrow as pa
+
+    names = [f.split()[0] for f in STORED.split(", ")]
+    kinds = [pa.string(), pa.int32(), *[pa.binary()] * 6]
     ids, bodies, total = [], [], 0
+    sender, prints = uuid.uuid4().hex, []
+
+    def row(*values):
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds, strict=True)], names=names)
 
     def block():
         digests = b"".join(hashlib.sha256(b).digest() for b in bodies)
-        return pd.DataFrame(
-            {
-                "sender": [uuid.uuid4().hex],
-                "ids": [np.array([0 if i is None else i for i in ids], np.int64).tobytes()],
-                "nulls": [np.packbits([i is None for i in ids]).tobytes()],
-                "digests": [digests],
-                "sizes": [np.array([len(b) for b in bodies], np.int64).tobytes()],
-                "bodies": [b"".join(bodies)],
-            }
-        )
+        prints.append(np.frombuffer(digests, "<u8")[::4])
+        whole = np.array([0 if i is None else i for i in ids], np.int64)
+        sizes = np.array([len(b) for b in bodies], np.int64)
+        return row(sender, len(prints) - 1, whole.tobytes(), np.packbits([i is None for i in ids]).tobytes(), digests, sizes.tobytes(), b"".join(bodies), None)
+
+    def end():
+        return row(sender, None, None, None, None, np.array([len(p) for p in prints], np.int64).tobytes(), None, np.concatenate(prints).tobytes())
 
     for batch in batches:
         for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             body = normalised(text)
-            if ids and (len(ids) >= BLOCK_ROWS or total + len(body) > BLOCK_BYTES):
+            if ids and (len(ids) >= block_rows or total + len(body) > BLOCK_BYTES):
                 yield block()
                 ids, bodies, total = [], [], 0
+                if sum(map(len, prints)) >= sender_rows:
+                    yield end()
+                    sender, prints = uuid.uuid4().hex, []
             ids.append(i)
             bodies.append(body)
             total += len(body)
     if ids:
         yield block()
-
-
-def _as_arrow(frames):
-    import pyarrow as pa
-
-    for f in frames:
-        yield pa.RecordBatch.from_pandas(f, preserve_index=False)
+    if prints:
+        yield end()
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -113,24 +123,23 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     columns are ignored, whatever their names; an empty table gives an empty result.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    blocks = written(docs.mapInArrow(lambda bs: _as_arrow(_blocks(bs)), "sender string, ids binary, nulls binary, digests binary, sizes binary, bodies binary"))
-    rows = blocks.agg(F.sum(F.length("ids"))).first()[0] or 0
-    rows //= 8
+    stored = written(docs.mapInArrow(lambda batches: _stored(batches, SENDER_ROWS, BLOCK_ROWS), STORED))
+    blocks, senders = stored.where("block is not null").drop("prints"), stored.where("block is null").select("sender", "sizes", "prints")
+    rows = (senders.agg(F.sum(F.length("prints"))).first()[0] or 0) // 8
     owners = max(1, -(-rows // ROWS_PER_OWNER))
-    width = 1 << max(16, (rows * RANGE_PER_ROW).bit_length())
-    share = -(-width // owners)
+    bits = max(16, (rows * RANGE_PER_ROW).bit_length())
+    share = -(-(1 << bits) // owners)
 
-    def hashes_of(digests: bytes) -> np.ndarray:
-        """A hash in the range for each row of a block."""
-        return (np.frombuffer(digests, "<u8").reshape(-1, 4)[:, 0] & np.uint64(width - 1)).astype(np.int64)
+    def in_range(prints: bytes) -> np.ndarray:
+        return (np.frombuffer(prints, np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
 
-    def send(batches):
-        for batch in batches:
-            for sender, digests in zip(batch["sender"], batch["digests"], strict=True):
-                values, counts = np.unique(hashes_of(digests), return_counts=True)
+    def send(frames):
+        for f in frames:
+            for sender, prints in zip(f["sender"], f["prints"], strict=True):
+                values, counts = np.unique(in_range(prints), return_counts=True)
                 cuts = np.searchsorted(values, np.arange(owners + 1, dtype=np.int64) * share)
                 out = []
-                for owner in range(owners):
+                for owner in np.flatnonzero(np.diff(cuts)).tolist():
                     part = slice(cuts[owner], cuts[owner + 1])
                     code, k = golomb_encode(values[part] - owner * share)
                     out.append((owner, sender, code, k, cuts[owner + 1] - cuts[owner], np.packbits(counts[part] > 1).tobytes()))
@@ -145,6 +154,16 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         ends = np.cumsum([len(x) for x in lists])
         return pd.DataFrame({"sender": group["sender"], "owner": key[0], "bitmap": [np.packbits(x).tobytes() for x in np.split(flags, ends[:-1])], "n": group["n"]})
 
+    def tell(frames):
+        """Of each sender's answers, one bit for each row, by block."""
+        for f in frames:
+            for sender, sizes, prints, answers in zip(f["sender"], f["sizes"], f["prints"], f["answers"], strict=True):
+                _, where = np.unique(in_range(prints), return_inverse=True)
+                parts = sorted(answers, key=lambda x: x["owner"])
+                flags = np.concatenate([np.unpackbits(np.frombuffer(p["bitmap"], np.uint8), count=p["n"]) for p in parts])[where]
+                cut = np.split(flags, np.cumsum(np.frombuffer(sizes, np.int64))[:-1])
+                yield pd.DataFrame({"sender": sender, "block": np.arange(len(cut), dtype=np.int32), "flags": [np.packbits(x).tobytes() for x in cut]})
+
     def unpack(suspects: bool):
         def run(batches):
             import pyarrow as pa
@@ -152,10 +171,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             for batch in batches:
                 for row in batch.to_pylist():
                     digests = row["digests"]
-                    values, where = np.unique(hashes_of(digests), return_inverse=True)
-                    parts = sorted(row["bitmaps"], key=lambda x: x["owner"])
-                    flags = np.concatenate([np.unpackbits(np.frombuffer(p["bitmap"], np.uint8), count=p["n"]) for p in parts]).astype(bool)[where]
-                    n = len(where)
+                    n = len(digests) // 32
+                    flags = np.unpackbits(np.frombuffer(row["flags"], np.uint8), count=n).astype(bool)
                     nulls = np.unpackbits(np.frombuffer(row["nulls"], np.uint8), count=n).astype(bool)
                     ids = pa.array(np.frombuffer(row["ids"], np.int64), mask=nulls)
                     at = np.flatnonzero(flags)
@@ -173,18 +190,33 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
         return run
 
-    sent = blocks.select("sender", "digests").mapInPandas(send, "owner int, sender string, code binary, k int, n int, again binary")
+    sent = senders.mapInPandas(send, "owner int, sender string, code binary, k int, n int, again binary")
     answers = sent.groupBy("owner").applyInPandas(answer, "sender string, owner int, bitmap binary, n int")
-    bitmaps = written(answers.groupBy("sender").agg(F.collect_list(F.struct("owner", "bitmap", "n")).alias("bitmaps")))
-    told = blocks.join(bitmaps, "sender")
+    answers = answers.groupBy("sender").agg(F.collect_list(F.struct("owner", "bitmap", "n")).alias("answers"))
+    flags = written(senders.join(answers, "sender").mapInPandas(tell, "sender string, block int, flags binary"))
+    size = flags.agg(F.sum(F.length("flags") + 64)).first()[0] or 0
+    passes = max(1, -(-size // PASS_BYTES))
+    bounds = [f"{(i << 32) // passes:08x}" for i in range(passes)]
+
+    def unpacked(suspects: bool, columns: list[str], schema: str) -> DataFrame:
+        """Blocks with their rows' bits, unpacked; range after range of senders, so that one broadcast is there at a time."""
+        out = None
+        for low, high in zip(bounds, [*bounds[1:], "g"], strict=True):
+            mine = (F.col("sender") >= low) & (F.col("sender") < high)
+            met = blocks.where(mine).join(F.broadcast(flags.where(mine)), ["sender", "block"])  # some PASS_BYTES
+            part = met.select(*columns, "flags").mapInArrow(unpack(suspects), schema)
+            if passes > 1:
+                part = written(part)
+            out = part if out is None else out.union(part)
+        return out
+
     groups = (
-        told.select("ids", "nulls", "digests", "sizes", "bodies", "bitmaps")
-        .mapInArrow(unpack(True), "doc_id long, body binary")
+        unpacked(True, ["ids", "nulls", "digests", "sizes", "bodies"], "doc_id long, body binary")
         .groupBy("body")
         .agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         .select(F.sha2("body", 256).alias("text_sha256"), "keep_id", "group_size")
     )
-    rows_told = told.select("ids", "nulls", "digests", "bitmaps").mapInArrow(unpack(False), "doc_id long, text_sha256 string, suspect boolean")
+    rows_told = unpacked(False, ["ids", "nulls", "digests"], "doc_id long, text_sha256 string, suspect boolean")
     found = rows_told.where("suspect").join(groups, "text_sha256", "left")
     alone = rows_told.where("not suspect").select("doc_id", "text_sha256", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
     out = found.select("doc_id", "text_sha256", "keep_id", "group_size").unionByName(alone)
@@ -192,6 +224,17 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def without_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that :func:`exact_duplicates` keeps, one for each text; columns as they are."""
-    dropped = exact_duplicates(docs).where("not kept").select("doc_id")
-    return docs.join(dropped.distinct(), "doc_id", "left_anti")
+    """One row of ``docs`` for each text that :func:`exact_duplicates` tells apart: the one with the largest id, of rows
+    that have it too (repeated rows, null ids) any one. Columns as they are; an empty table gives an empty result.
+
+    Rows are told by id and hash of the text, so that a row goes only for its own text's sake. What is to go is written
+    first: while its size is small, Spark broadcasts it and texts stay where they are.
+    """
+    same = exact_duplicates(docs).where("group_size > 1").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n"), F.bool_or("kept").alias("kept"))
+    special = written(same.where("not kept or n > 1")).select(F.col("doc_id").alias("i"), F.col("text_sha256").alias("h"), "kept")
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    digest = F.sha2(F.translate(F.coalesce("text", F.lit("")), letters, letters.lower()), 256)
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), digest.alias("digest"))
+    on = F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("digest") == F.col("h"))
+    one_of = keyed.join(special.where("kept"), on, "left_semi").dropDuplicates(["doc_id", "digest"])
+    return keyed.join(special, on, "left_anti").union(one_of).select("row.*")
