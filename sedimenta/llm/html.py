@@ -9,8 +9,10 @@ optional parts, which bounds a wrapper's size. Two wrappers align like two pages
 own for every host it meets, and only these are shuffled and merged, in two steps: a host that a third of all pages
 have costs one row for each batch.
 
-A wrapper then tells which of its parts are the article. Each page is laid over its host's wrapper, and the text of
-the slots in those parts, in page order, is its main text.
+A wrapper then tells which of its parts are the article, by its slots: text that is the same on all pages of a host is
+the template's, text that is linked leads elsewhere, and what varies from page to page without being linked is content.
+Names of elements and classes are priors, which the slots overrule where they say plainly otherwise. Each page is laid
+over its host's wrapper, and the text of the slots in the article's parts, in page order, is its main text.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import json
 import re
 from html import unescape
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sedimenta.llm.common import written
@@ -41,6 +43,8 @@ RAW = frozenset("script style noscript template iframe textarea title xmp noembe
 DROPPED = frozenset("head svg math select button object video audio canvas map datalist form nav aside footer dialog menu search".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}}
+#: Elements whose name tells nothing: two of them are the same part only if they hold like elements.
+GENERIC = frozenset("div section td center".split())
 # Words in a class, id or role that name what is no part of an article, and what is one.
 BOILER = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner banners nav navbar navigation menu menus "
@@ -50,9 +54,13 @@ BOILER = frozenset(
 )
 #: Words that beside one of these leave a name a name of that: a site-footer is a footer, but what has-sidebar is no sidebar.
 NEUTRAL = frozenset("site main top bottom left right primary secondary global page box block area section container wrapper bar list links slot unit".split())
-#: In the key of an element that would be dropped but holds the article.
-KEPT = "kept"
 ARTICLE = frozenset("article articlebody main maincontent content post story entry posts".split())
+#: What is never text of the page; in elements of other names, what text counts for where the article is looked for.
+NO_TEXT = frozenset("head svg math select button object video audio canvas map datalist".split())
+BOILER_SHARE, ARTICLE_SHARE = 1 / 16, 8
+#: From so many pages on, a slot that always says the same is the template's; share of a part's text that one below it
+#: must hold to be the article in its stead.
+ALIKE, MOST = 3, 0.8
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _NAMES = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -167,53 +175,9 @@ def parse(page: str) -> Part:
         else:
             deeper[tag] = deeper.get(tag, 0) + 1
     text(len(page))
-    _keep_article(root)
     return root
 
 
-def _keep_article(root: Part) -> None:
-    """Where all article and main elements of a page are within forms or elements with a boilerplate name, these are kept;
-    on a page without any, so is a form with most of the unlinked text that is not in other dropped elements."""
-    rows: list[tuple[Part, int, bool]] = [(root, -1, False)]  # with the place of what holds it, and whether that is dropped for good
-    at = 0
-    while at < len(rows):
-        part, _, gone = rows[at]
-        gone = gone or (part.boiler and (part.tag in DROPPED - {"form"} or part.tag == "header" or ".hidden" in part.key))
-        rows[at] = (part, rows[at][1], gone)
-        rows += [(p, at, gone) for p in part.items if isinstance(p, Part)]
-        at += 1
-    if not any(p.boiler and not gone for p, _, gone in rows):
-        return
-    cut = []  # whether a part is dropped as things stand
-    for part, up, _ in rows:
-        cut.append(part.boiler or (up >= 0 and cut[up]))
-    named = [part.tag in ("article", "main") for part, *_ in rows]
-    lost = [i for i, (_, _, gone) in enumerate(rows) if named[i] and not gone]
-    articles = bool(lost)
-    if any(not cut[i] for i in lost):
-        lost = []
-    for i in lost:
-        while i >= 0:
-            _kept(rows[i][0])
-            i = rows[i][1]
-    if not articles:
-        plain = [0] * len(rows)
-        for i in range(len(rows) - 1, -1, -1):
-            part, up, _ = rows[i]
-            plain[i] += sum(len(t.strip()) for t, linked in (x for x in part.items if isinstance(x, tuple)) if not linked)
-            if up >= 0 and (not part.boiler or part.tag == "form"):
-                plain[up] += plain[i]
-        for i, (part, _, gone) in enumerate(rows):
-            if part.tag == "form" and not gone and 2 * plain[i] > plain[0]:
-                _kept(part)
-
-
-def _kept(part: Part) -> None:
-    if part.boiler:
-        part.boiler = False
-        part.key = f"{part.key}.{KEPT}"
-
-
 # ---- wrappers: [key, optional, repeated, [pages, text, link text, hash of the same text or None], parts]
 
 
@@ -223,11 +187,11 @@ def wrapper_of(part: Part, depth: int = 0) -> list:
     said = " ".join("".join(t for t, _ in own).split())
     links = sum(len(t) for t, linked in own if linked)
     parts: list = []
-    if depth < DEPTH and not part.boiler:
+    if depth < DEPTH:
         for p in part.items:
             if isinstance(p, Part):
                 below = wrapper_of(p, depth + 1)
-                if parts and parts[-1][0] == below[0]:  # the run continues what stands beside it
+                if parts and _alike(parts[-1], below):  # the run continues what stands beside it
                     parts[-1] = _merged(parts[-1], below)
                     parts[-1][2] = True
                 else:
@@ -247,6 +211,21 @@ def _bounded(parts: list) -> list:
     return list(by_key.values())
 
 
+def _match(key: str, kids: set, other: set) -> bool:
+    """Whether two elements of one name are the same part of a page: one that tells nothing must hold like elements."""
+    if key not in GENERIC or kids == other:
+        return True
+    return 2 * len(kids & other) >= min(len(kids), len(other)) > 0
+
+
+def _kids(w: list) -> set:
+    return {p[0] for p in w[4]}
+
+
+def _alike(a: list, b: list) -> bool:
+    return a[0] == b[0] and _match(a[0], _kids(a), _kids(b))
+
+
 def _merged(a: list, b: list) -> list:
     """Two matching parts as one."""
     (n, t, l, s), (m, u, k, r) = a[3], b[3]
@@ -255,17 +234,18 @@ def _merged(a: list, b: list) -> list:
 
 def align(a: list, b: list) -> list:
     """The sequence that both sequences are instances of."""
-    if [p[0] for p in a] == [p[0] for p in b]:
+    if len(a) == len(b) and all(map(_alike, a, b)):
         return [_merged(x, y) for x, y in zip(a, b, strict=True)]
     n, m = len(a), len(b)
+    same = [[_alike(x, y) for y in b] for x in a]
     best = [[0] * (m + 1) for _ in range(n + 1)]  # longest common subsequences of the ends
     for i in range(n - 1, -1, -1):
         for j in range(m - 1, -1, -1):
-            best[i][j] = 1 + best[i + 1][j + 1] if a[i][0] == b[j][0] else max(best[i + 1][j], best[i][j + 1])
+            best[i][j] = 1 + best[i + 1][j + 1] if same[i][j] else max(best[i + 1][j], best[i][j + 1])
     out: list = []
 
     def lone(p):
-        if out and out[-1][0] == p[0]:  # more of what stands beside it: a repeated group
+        if out and _alike(out[-1], p):  # more of what stands beside it: a repeated group
             out[-1] = _merged(out[-1], p)
             out[-1][2] = True
         else:
@@ -273,9 +253,9 @@ def align(a: list, b: list) -> list:
 
     i = j = 0
     while i < n or j < m:
-        if i < n and j < m and a[i][0] == b[j][0]:
+        if i < n and j < m and same[i][j]:
             both = _merged(a[i], b[j])
-            if out and out[-1][0] == both[0]:
+            if out and _alike(out[-1], both):
                 out[-1] = _merged(out[-1], both)
                 out[-1][2] = True
             else:
@@ -295,62 +275,107 @@ def _names(key: str) -> tuple[str, set[str]]:
     return tag, set(words)
 
 
+def _is_gone(key: str) -> bool:
+    """Whether an element is never seen as text."""
+    tag, words = _names(key)
+    return tag in NO_TEXT or ("hidden" in words and tag not in ("body", "html", "main"))
+
+
 def _is_boiler(key: str, in_article: bool) -> bool:
+    """Whether an element is boilerplate by its name."""
     tag, words = _names(key)
-    if KEPT in words:
-        return False
-    return tag in DROPPED or (tag == "header" and not in_article) or (bool(words & BOILER) and ("hidden" in words or tag != "article") and tag not in ("body", "html", "main"))
+    return tag in DROPPED or (tag == "header" and not in_article) or (bool(words & BOILER) and tag not in ("body", "html", "main", "article"))
 
 
-def _weight(w: list, in_article: bool = False) -> int:
-    """Text that is no link and not the same on all of several pages, below a part."""
-    if _is_boiler(w[0], in_article):
-        return 0
-    pages, chars, links, same = w[3]
-    own = 0 if same is not None and pages > 2 and not in_article else max(0, chars - links)
-    return own + sum(_weight(p, in_article) for p in w[4])
+def _is_named(key: str, level: int) -> bool:
+    """Whether an element is an article by its name: as such (level 0), or as what holds one."""
+    tag, words = _names(key)
+    return tag == "article" or "articlebody" in words if level == 0 else tag == "main" or bool(words & ARTICLE)
+
+
+def _weights(wrapper: list) -> dict[int, float]:
+    """Of each part, the text at and below it that is no link and not the template's; less of it in boilerplate by name,
+    and none where the host has too few pages to say otherwise (but forms, which may hold a whole page)."""
+    out: dict[int, float] = {}
+    few = wrapper[3][0] < ALIKE
+
+    def weigh(w) -> float:
+        pages, chars, links, same = w[3]
+        own = 0 if same is not None and pages >= ALIKE else max(0, chars - links)
+        total = own + sum(weigh(p) for p in w[4])
+        if _is_gone(w[0]):
+            total = 0
+        elif _is_boiler(w[0], False):
+            total *= 0 if few and _names(w[0])[0] != "form" else BOILER_SHARE
+        out[id(w)] = total
+        return total
+
+    weigh(wrapper)
+    return out
 
 
 def mark_main(wrapper: list) -> None:
-    """Append to each part whether it is the article's: True (it and all below that is no boilerplate), False, or None
-    where parts below decide.
+    """Append to each part whether its text is the article's.
 
-    The article is what is marked so (the element, a role, a telling class); where nothing is, the part that holds
-    most text that varies from page to page, narrowed down as long as one part below has nearly all of it.
+    The slots' choice is the part with most text that varies and is no link, narrowed down as long as one part below has
+    MOST of it. Parts with an article's name take its place, those outside boilerplate first, unless on several pages the
+    slots' choice has ARTICLE_SHARE times their text. In the article, elements of a boilerplate name are left out, and, where no name
+    tells that it is one, so is the template's text. If a host's pages have no text that varies, they are all alike, and
+    what they say is taken.
     """
+    weights = _weights(wrapper)
+    if not weights[id(wrapper)]:
+        plain = json.loads(json.dumps(wrapper))
 
-    def named(w, level):
-        tag, words = _names(w[0])
-        told = tag == "article" or "articlebody" in words if level == 0 else tag == "main" or bool(words & ARTICLE)
-        return told and not _is_boiler(w[0], tag in ("article", "main"))
+        def forget(w):
+            w[3][3] = None
+            for p in w[4]:
+                forget(p)
+
+        forget(plain)
+        told = iter(_weights(plain).values())  # both are walked in the same order
+        weights = dict(zip(_weights(wrapper), told, strict=True))
+
+    few = wrapper[3][0] < ALIKE
+    found: dict[tuple[bool, int], list] = {}
 
-    def find(w, level, out):
-        if _is_boiler(w[0], False):
+    def find(w, level, boiler):
+        if _is_gone(w[0]):
             return
-        if named(w, level) and _weight(w, True):
-            out.append(id(w))
+        if _is_named(w[0], level) and (weights[id(w)] or (few and not level)):
+            found.setdefault((boiler, level), []).append(w)
         else:
+            boiler = boiler or _is_boiler(w[0], False)
             for p in w[4]:
-                find(p, level, out)
+                find(p, level, boiler)
 
-    chosen: list[int] = []
     for level in (0, 1):
-        if not chosen:
-            find(wrapper, level, chosen)
-    if not chosen:
-        at = wrapper
-        while True:
-            below = max(at[4], key=_weight, default=None)
-            if below is None or below[2] or _weight(below) < 0.8 * _weight(at):
-                break
-            at = below
-        chosen = [id(at)]
-
-    def mark(w, inside):
-        inside = (inside or id(w) in chosen) and not (_is_boiler(w[0], inside) and id(w) not in chosen)
+        find(wrapper, level, False)
+    at = wrapper
+    while True:
+        below = max(at[4], key=lambda p: weights[id(p)], default=None)
+        if below is None or below[2] or weights[id(below)] < MOST * weights[id(at)] or (weights[id(below)] == 0):
+            break
+        at = below
+    chosen, named = [at], False
+    for key in ((False, 0), (False, 1), (True, 0), (True, 1)):
+        if key in found:
+            if few or ARTICLE_SHARE * sum(weights[id(w)] for w in found[key]) >= weights[id(at)]:
+                chosen, named = found[key], True
+            break
+    chosen_ids = {id(w) for w in chosen}
+
+    def mark(w, inside, article=False):
+        article = article or _names(w[0])[0] in ("article", "main")
+        if id(w) in chosen_ids:
+            inside = True
+        elif inside:
+            pages, _, _, same = w[3]
+            template = not named and same is not None and pages >= ALIKE and not w[4]
+            inside = not _is_gone(w[0]) and not _is_boiler(w[0], article) and not template
         w.append(inside)
         for p in w[4]:
-            mark(p, inside)
+            mark(p, inside, article)
 
     mark(wrapper, False)
 
@@ -387,17 +412,14 @@ def _laid_over(page: Part, wrapper: list) -> tuple[str, bool]:
                 if inside:
                     now.append(item[0])
                 continue
-            if item.boiler and not (inside and item.tag == "header"):
-                if item.block:
-                    flush()
-                continue
-            # the next part of the sequence with this key; a repeated group starts anew
+            # the next part of the sequence that it matches, by its name if by no more; a repeated group starts anew
+            here = [k for k in (*range(at, len(parts)), *range(at)) if parts[k][0] == item.key]
             found = None
-            for k in (*range(at, len(parts)), *range(at)):
-                if parts[k][0] == item.key:
-                    found, at = parts[k], k
-                    break
-            walk(item, found, found[5] if found else inside)
+            if here:
+                kids = {p.key for p in item.items if isinstance(p, Part)} if item.key in GENERIC else set()
+                at = next((k for k in here if _match(item.key, kids, _kids(parts[k]))), here[0])
+                found = parts[at]
+            walk(item, found, found[5] if found else inside and not item.boiler)
         if part.block:
             flush()
 
@@ -405,10 +427,9 @@ def _laid_over(page: Part, wrapper: list) -> tuple[str, bool]:
     return "\n\n".join(blocks), met
 
 
-def host_of(url: str | None) -> str:
+def host_of(url: Column) -> Column:
     """The host in a URL, lower-cased, without port and user; empty if there is none."""
-    m = re.match(r"\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", url or "")
-    return m[1].lower() if m else ""
+    return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -419,15 +440,15 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     line. A null or empty html gives an empty text; pages without a host are a host of their own. Repeated rows count
     as pages; further columns are ignored; an empty table gives an empty result.
     """
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
 
     def infer(batches):
         import pyarrow as pa
 
         for batch in batches:
             known: dict[str, list] = {}
-            for url, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                host, own = host_of(url), wrapper_of(parse(html or ""))
+            for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = wrapper_of(parse(html or ""))
                 known[host] = _merged(known[host], own) if host in known else own
             yield pa.RecordBatch.from_arrays([pa.array(list(known)), pa.array([json.dumps(w) for w in known.values()])], names=["host", "wrapper"])
 
@@ -456,10 +477,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     schema = "host string, wrapper string"
-    partial = rows.select("url", "html").mapInArrow(infer, schema)
+    partial = rows.select("host", "html").mapInArrow(infer, schema)
     some = partial.withColumn("share", F.pmod(F.xxhash64("wrapper"), F.lit(SHARES))).groupBy("host", "share").applyInPandas(merge, schema)
     wrappers = written(some.groupBy("host").applyInPandas(merge, schema))  # of known size: while small, pages stay where they are
-    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    laid = rows.withColumn("host", host).join(wrappers, "host", "left").select("page_id", "url", "html", "wrapper")
+    laid = rows.join(wrappers, "host", "left").select("page_id", "url", "html", "wrapper")
     kind = rows.schema["page_id"].dataType.simpleString()
     return laid.mapInArrow(apply, f"page_id {kind}, url string, text string, n_chars long")
