@@ -111,24 +111,14 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: in
 
 
 def mixed_documents(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = 0) -> DataFrame:
-    """The rows of ``docs`` (documents: doc_id, text, source, n_chars and more) as the mix takes them.
+    """The rows of ``docs`` (documents: doc_id, text, source and more) as the mix takes them, whole.
 
-    A row is repeated for each whole repetition; a part of one is a row with the document's first words, a
-    space between them, and their number of characters. Documents that the mix does not take are left out; those without
-    words, of which nothing can be taken, stay once. Texts are dealt where they are read: only the plan, a row for each
-    source, meets them.
+    A row is repeated for each whole repetition. Where a source's mix ends within a document, that document is taken
+    whole once more or not, whichever is nearer to the target. Documents that the mix does not take are left out; those
+    without words, of which nothing can be taken, stay once. Texts are dealt where they are read: only the plan, a row
+    for each source, meets them. Null texts, ids and sources are as in :func:`mix`; an empty table gives an empty result.
     """
     keyed = _keyed(docs, seed, "doc_id", "text", "source")
     rows = _deal(keyed, _plan(written(keyed.drop("row")), weights, max_epochs)).select("row", "size", "taken")
-    words = F.greatest("size", F.lit(1))
-    whole = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / words)).cast("int")
-    part = F.when(F.col("size") == 0, 0).otherwise(F.col("taken") % words).cast("long")
-    copies = F.concat(F.array_repeat(F.lit(-1).cast("long"), whole), F.filter(F.array(part), lambda x: x > 0))
-    rows = rows.withColumn("cut", F.explode(copies))
-    text = F.col("row.text")
-    first = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD_PATTERN), F.lit(0)), F.lit(1), F.col("cut").cast("int")), " ")
-    cut = F.when(F.col("cut") < 0, text).otherwise(first)
-    changed = {"text": cut}
-    if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.col("cut") < 0, F.col("row.n_chars")).otherwise(F.length(cut)).cast(docs.schema["n_chars"].dataType)
-    return rows.select(*[changed.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
+    times = F.when(F.col("size") == 0, 1).otherwise(F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.greatest("size", F.lit(1))))).cast("int")
+    return rows.withColumn("copy", F.explode(F.array_repeat(F.lit(0), times))).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
