@@ -4,6 +4,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -93,3 +94,38 @@ def test_deep_tree_of_clustered_prints(spark):
     found = {r["node"]: r["component"] for r in simhash.components(simhash.links(frame, leaf=32)).collect()}
     own = prints.view(np.int64).tolist()
     assert [found.get(p, p) for p in own] == _components(prints, own)
+
+
+MIXED = [(1, "a", "en", "x"), (2, "a", "en", "x"), (1, "b", "en", "x"), (None, "c", "en", "x"), (3, "C", "en", "x"), (None, "d", "en", "x"), (None, "D", "en", "y"), (5, "e", "en", "x"), (5, "e", "en", "x"), (5, "e", "en", "z"), (6, "", "en", "x"), (7, None, "en", "x"), (None, None, None, None)]
+
+
+@pytest.mark.parametrize("rows", [ROWS, MIXED, []])
+def test_one_row_of_each_text_stays(spark, rows):
+    found = [(r["doc_id"], r["text"]) for r in exact_dedup.without_exact_duplicates(documents(spark, rows)).collect()]
+    body = lambda t: (t or "").encode().lower()
+    keep = {}
+    for i, t, *_ in rows:
+        keep[body(t)] = max((x for x in (keep.get(body(t)), i) if x is not None), default=None)
+    assert sorted(((i, body(t)) for i, t in found), key=repr) == sorted(((i, b) for b, i in keep.items()), key=repr)
+    assert all((i, t) in [r[:2] for r in rows] for i, t in found)
+
+
+@pytest.mark.parametrize("rows", [ROWS, MIXED, [(None, " ".join(f"w{i}" for i in range(60)), "en", "x")] * 3 + [(9, "one", "en", "x"), (9, "two three", "en", "x")], []])
+def test_one_row_of_each_component_stays(spark, rows):
+    found = [(r["doc_id"], r["text"]) for r in simhash.without_near_duplicates(documents(spark, rows)).collect()]
+    prints = [_plain_fingerprint(t) for _, t, *_ in rows]
+    label = _components(prints, list(range(len(rows)))) if rows else []
+    groups = {}
+    for (i, t, *_), p, c in zip(rows, prints, label, strict=True):
+        groups.setdefault(c, []).append((i is None, i or 0, p, i, t))
+    assert len(found) == len(groups)
+    for members in groups.values():
+        least = min(m[:2] for m in members)
+        assert len([x for x in found if x in [m[3:] for m in members if m[:2] == least]]) >= 1
+
+
+def test_bits_go_out_in_passes(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "PASS_BYTES", 200)
+    monkeypatch.setattr(exact_dedup, "SENDER_ROWS", 20)
+    monkeypatch.setattr(exact_dedup, "BLOCK_ROWS", 6)
+    assert spark_rows(QUERIES["op8_exact_dedup"](spark, SMALL)) == sql_rows(ORACLE_SQL["op8_exact_dedup"])

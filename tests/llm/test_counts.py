@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
@@ -58,6 +59,14 @@ def test_prefix_table_holds_every_prefix():
     assert table[-1] == count.count(text) and count.words_within(text, table[3]) == 4
 
 
+@pytest.mark.parametrize("rows", [ROWS, [(i, t, "en", "a") for i, t in enumerate(ODD)]])
+def test_token_counts_of_the_query_equal_the_library(spark, rows):
+    library = tokens.counter().library
+    found = tokens.token_counts(documents(spark, rows)).collect()
+    size = lambda t: len(library.encode(t or "", add_special_tokens=False).ids)
+    assert Counter((r["doc_id"], r["n_tokens"]) for r in found) == Counter((r[0], size(r[1])) for r in rows)
+
+
 def test_token_counts_edge_cases(spark):
     found = tokens.token_counts(documents(spark)).collect()
     assert len(found) == len(ROWS)
@@ -101,12 +110,26 @@ def test_mix_meets_its_targets(spark, small):
 def test_mixed_documents_hold_what_was_taken(spark):
     docs = documents(spark)
     rows = mixing.mixed_documents(docs)
-    words = lambda r: len((r["text"] or "").split())
     assert rows.columns == docs.columns
-    assert sum(map(words, rows.collect())) == sum(r["taken"] for r in mixing.mix(docs).collect())
+    want = Counter()
+    for d, m in zip(sorted(docs.collect(), key=_identity), sorted(_with_texts(docs), key=_identity), strict=True):
+        want[_identity(d)] += 1 if not m["size"] else (2 * m["taken"] + m["size"]) // (2 * m["size"])
+    assert Counter(map(_identity, rows.collect())) == +want
     assert mixing.mix(documents(spark, [])).count() == 0 and mixing.mixed_documents(documents(spark, [])).count() == 0
 
 
+def _identity(row):
+    return str(row["doc_id"]), str(row["source"]), str(row["text"])
+
+
+def _with_texts(docs):
+    """What the mix takes of each row, beside its text; rows that agree in id, source and size are interchangeable here."""
+    mixed = mixing.mix(docs).withColumnsRenamed({"doc_id": "i", "source": "s"})
+    size = F.coalesce(F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0))
+    on = F.col("i").eqNullSafe(F.col("doc_id")) & F.col("s").eqNullSafe(F.col("source")) & (mixed["size"] == size)
+    return docs.select("doc_id", "source", "text").distinct().join(mixed, on).collect()
+
+
 def _check_packing(spark, docs):
     library = Tokenizer.from_file(__import__("public_tokenizers").path("byte_bpe_50k.json"))
     found = packing.pack(docs).toPandas()
@@ -124,6 +147,18 @@ def _check_packing(spark, docs):
     return found
 
 
+def test_packing_in_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK_PIECES", 3)
+    monkeypatch.setattr(packing, "PARTS", 5)
+    _check_packing(spark, spark.read.parquet(f"{SMALL}/documents.parquet").repartition(7))
+
+
+def test_inverse_needs_pivots():
+    a = np.random.default_rng(0).integers(-3, 9, (30, 30)).astype(float)
+    a[0, 0] = 0
+    assert np.abs(packing._inverse(a) @ a - np.eye(30)).max() < 1e-9
+
+
 def test_packing_round_trip(spark):
     found = _check_packing(spark, spark.read.parquet(f"{SMALL}/documents.parquet"))
     assert found["sequence_id"].nunique() <= 1.03 * -(-found["length"].sum() // 1024)
@@ -131,6 +166,7 @@ def test_packing_round_trip(spark):
 
 def test_packing_edge_cases(spark):
     _check_packing(spark, documents(spark))
+    _check_packing(spark, documents(spark, [(i, t, "en", "a") for i, t in enumerate([*ODD, " " * 70_000 + "x", "<|endoftext|>" * 2000])]))
     assert packing.pack(documents(spark, [])).count() == 0
 
 

@@ -9,10 +9,12 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from sedimenta.llm import html, lm, pii, quality
+from sedimenta.llm import html, lm, mixing, pii, quality
 from sedimenta.llm.common import fold, written
 from sedimenta.llm.queries import QUERIES
-from tests.llm.frames import ROWS, SMALL, documents
+from tests.llm.frames import CLASHING, ROWS, SMALL, documents
+from tests.llm.test_copies import _components, _plain_fingerprint
+from tests.llm.test_counts import _check_packing
 
 
 def test_network_is_a_distribution_with_right_gradients():
@@ -213,11 +215,11 @@ PAGE = """<html><head><title>no</title></head><body><header><a href=x>Site</a></
 
 
 def test_pages_edge_cases(spark):
-    rows = [(1, "http://h/a", PAGE), (1, "http://h/a", PAGE), (2, None, PAGE), (3, "http://h/b", None), (None, "http://h/c", ""), (5, "no url", "just text &amp; more"), (6, "https://deep/x", "<div>" * 3000 + "end")]
+    rows = [(1, "http://h/a", PAGE), (1, "http://h/a", PAGE), (2, None, PAGE), (3, "http://h/b", None), (None, "http://h/c", ""), (5, "no url", "just text &amp; more"), (6, "https://deep/x", "<div>" * 3000 + "end"), (7, "\u00a0http://h/a", "<article>odd</article>"), (8, "http://[::1", "<p>six")]
     frame = spark.createDataFrame([(*r, "x", "y") for r in rows], "page_id long, url string, html string, host string, wrapper string")
     found = sorted(((r["page_id"] or 0, r["text"]) for r in html.extract(frame).collect()), key=repr)
     article = "Title é<\n\none two\n\nthree\n\na\n\nb"
-    assert found == sorted([(1, article), (1, article), (2, article), (3, ""), (0, ""), (5, "just text & more"), (6, "end")], key=repr)
+    assert found == sorted([(1, article), (1, article), (2, article), (3, ""), (0, ""), (5, "just text & more"), (6, "end"), (7, "odd"), (8, "six")], key=repr)
     assert html.extract(frame.limit(0)).count() == 0
 
 
@@ -244,6 +246,38 @@ def test_names_do_not_drop_the_article(around):
     assert found == [" ".join(re.sub("<[^>]*>", "", s).split()) for s in said]
 
 
+def _page(menu, notice, body, foot):
+    items = "".join(f"<div><a href=/{m}>{m}</a></div>" for m in menu)
+    return f"<body><div><div>{items}</div></div><div><div>{notice}</div></div><div><h2>{body[0]}</h2>{''.join(f'<p>{b}</p>' for b in body[1:])}</div><div>{foot}</div></body>"
+
+
+def test_slots_find_articles_that_no_name_tells(spark):
+    """Pages of plain divs: a notice longer than the article is the template's, as it is the same on all pages. Read by
+    itself, a page does not show that."""
+    rng = random.Random(3)
+    said = lambda n: " ".join(rng.choice(("sun", "moon", "tide", "stone", "river", "cloud")) + str(rng.randint(0, 99)) for _ in range(n))
+    rows, want = [], {}
+    for host in range(4):
+        menu, notice, foot = [said(1) for _ in range(6)], said(150), said(12)
+        for i in range(5):
+            body = [said(4), *(said(rng.randint(5, 25)) for _ in range(rng.randint(1, 4)))]
+            want[len(rows)] = "\n\n".join(body)
+            rows.append((len(rows), f"http://host{host}/{i}", _page(menu, notice, body, foot)))
+    found = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == want
+    alone = [_texts_of(page)[0] for _, _, page in rows]
+    assert sum(t == want[i] for i, t in enumerate(alone)) < len(rows) / 4
+
+
+def test_names_are_priors_that_slots_overrule():
+    told = lambda i: f"Page {i} tells a story of its own, number {i * 77}. " * 8
+    pages = [f"<body><div class=sidebar><div>{told(i)}</div></div><article>Ad</article><div class=widget>Same for all of these</div></body>" for i in range(4)]
+    assert _texts_of(*pages) == [told(i).strip() for i in range(4)]
+    assert _texts_of(pages[0]) == ["Ad"]  # a page alone has nothing to say against its names
+    empty = "<body><article></article><div class=ad>Buy this</div><footer>Imprint and more</footer></body>"
+    assert _texts_of(empty) == [""]
+
+
 def test_texts_that_begin_alike_are_told_apart():
     lead = "The same long lead of every page of this host, a licence line and a dateline, said again. " * 2
     pages = [f"<body><div>{lead}{'Own words of page %d. ' % i * 9}</div><ul><li>{'Short %d.' % i}</ul></body>" for i in range(4)]
@@ -258,14 +292,42 @@ def test_alignment_forms_optional_and_repeated_parts():
     assert list(parts) == ["h1", "ul", "p"] and parts["h1"][1] and parts["p"][2] and parts["ul"][4][0][2] and not parts["ul"][1]
 
 
-def test_pipeline_stages_do_their_work(spark):
+def test_pipeline_stages_equal_brute_force(spark):
+    """Each stage's rows against plain Python over the rows it was given, and run() against the stages."""
     docs = before = spark.read.parquet(f"{SMALL}/documents.parquet")
-    kept = {}
+    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
+    field = quality.fit(docs, spark.read.parquet(f"{SMALL}/labels.parquet"))
     for name, stage in corpus_pipeline.STAGES:
+        given = docs
         docs = written(stage(spark, docs, SMALL))
-        kept[name] = docs.count()
-        if name != "packing":
-            assert docs.columns == before.columns
-    texts = spark.read.parquet(f"{SMALL}/documents.parquet").count()
-    assert texts >= kept["quality"] >= kept["exact_dedup"] >= kept["near_dedup"] > 0 and kept["packing"] >= kept["mixing"]
+        if name == "packing":
+            break
+        assert docs.columns == before.columns
+        if name == "quality":
+            rows = {i: t for i, t in rows.items() if quality.text_scores([t], field)[0] >= quality.THRESHOLD}
+        elif name == "exact_dedup":
+            rows = {max(i for i, t in rows.items() if t.encode().lower() == k): 0 for k in {t.encode().lower() for t in rows.values()}}
+            rows = {r["doc_id"]: r["text"] for r in given.collect() if r["doc_id"] in rows}
+        elif name == "near_dedup":
+            ids = sorted(rows)
+            label = _components([_plain_fingerprint(rows[i]) for i in ids], ids)
+            rows = {i: rows[i] for i in set(label)}
+        if name != "mixing":
+            assert {r["doc_id"]: r["text"] for r in docs.collect()} == rows and docs.count() == len(rows)
+        else:
+            taken = {r["doc_id"]: (r["size"], r["taken"]) for r in mixing.mix(given).collect()}
+            want = Counter({(i, rows[i]): (2 * n + size) // (2 * size) if size else 1 for i, (size, n) in taken.items()})
+            assert Counter((r["doc_id"], r["text"]) for r in docs.collect()) == +want
+    found = _check_packing(spark, given)
+    pieces = lambda frame: sorted(map(tuple, frame[["doc_id", "piece", "start", "length", "ids_crc32"]].astype("int64").values.tolist()))
+    assert pieces(docs.toPandas()) == pieces(found) == pieces(corpus_pipeline.run(spark, SMALL).toPandas())
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "exact_dedup", "near_dedup", "mixing", "packing"]
+
+
+@pytest.mark.parametrize("rows", [ROWS, []])
+def test_pipeline_stages_take_odd_rows(spark, rows):
+    docs = documents(spark, rows)
+    for name, stage in corpus_pipeline.STAGES:
+        docs = written(stage(spark, docs, SMALL))
+        assert name == "packing" or len(docs.columns) == 5 + len(CLASHING)
+    assert docs.count() >= (1 if rows else 0)
