@@ -13,9 +13,11 @@ _SPACE = "[ \\u00a0\\u202f]"
 _NUMBER = {"ru": rf"^[+-]?([0-9]{{1,3}}({_SPACE}[0-9]{{3}})+|[0-9]+)(,[0-9]+)?$", "en": r"^[+-]?([0-9]{1,3}(,[0-9]{3})+|[0-9]+)(\.[0-9]+)?$"}
 TRUE, FALSE = ("true", "yes", "да"), ("false", "no", "нет")
 _ISO = r"^([0-9]{4})-([0-9]{2})-([0-9]{2})$"
-_DOTTED = r"^([0-9]{1,2})\.([0-9]{1,2})\.([0-9]{4})$"
-_SLASHED = r"^([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})$"
-_ZONED = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]{1,6})?)?(Z|[+-][0-9]{2}:[0-9]{2})$"
+_DOTTED = r"^([0-9]{2})\.([0-9]{2})\.([0-9]{4})$"
+_SLASHED = r"^([0-9]{2})/([0-9]{2})/([0-9]{4})$"
+_ZONED = r"^([0-9./-]{10})[T ]([0-9]{2}:[0-9]{2}(?::[0-9]{2}(?:\.[0-9]{1,6})?)?)(Z|[+-](?:[01][0-9]|2[0-3]):[0-5][0-9])?$"
+#: Digits before and after the point that an exact number may have here; what needs more is refused, never rounded.
+WHOLE, PLACES = 28, 10
 _EMAIL = r"^[A-Za-z0-9.!#$%&'*+/=?^_`{|}~-]{1,64}@([A-Za-z0-9]([A-Za-z0-9-]{0,61}[A-Za-z0-9])?)(\.[A-Za-z0-9]([A-Za-z0-9-]{0,61}[A-Za-z0-9])?)+$"
 _UUID = r"^[0-9a-fA-F]{8}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{12}$"
 CURRENCIES = {"$": "USD", "€": "EUR", "£": "GBP", "₽": "RUB", "USD": "USD", "EUR": "EUR", "GBP": "GBP", "RUB": "RUB"}
@@ -34,29 +36,54 @@ def empty_to_null(c: Column, tokens: tuple[str, ...] = ("",)) -> Column:
     return F.when(~c.isin(*tokens), c)
 
 
+def plain(number: Column) -> Column:
+    """A number in digits with a point, in its shortest form: no +, no zeros before or after, no -0."""
+    out = F.regexp_replace(number, r"^\+", "")
+    out = F.regexp_replace(out, r"^(-?)0+(?=[0-9])", "$1")
+    out = F.regexp_replace(F.regexp_replace(out, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+    return F.when(out == "-0", "0").otherwise(out)
+
+
+def exact(number: Column) -> Column:
+    """A plain number as a decimal; null where it does not fit without rounding."""
+    fits = number.rlike(rf"^-?[0-9]{{1,{WHOLE}}}(\.[0-9]{{1,{PLACES}}})?$")
+    return F.when(fits, number).try_cast(f"decimal({WHOLE + PLACES},{PLACES})")
+
+
 def _readings(c: Column) -> dict[str, Column]:
-    ru = F.when(c.rlike(_NUMBER["ru"]), F.regexp_replace(F.regexp_replace(c, _SPACE, ""), ",", ".").cast("decimal(38,10)"))
-    en = F.when(c.rlike(_NUMBER["en"]), F.regexp_replace(c, ",", "").cast("decimal(38,10)"))
-    return {"ru": ru, "en": en}
+    one_space = F.size(F.array_distinct(F.regexp_extract_all(c, F.lit(_SPACE), F.lit(0)))) <= 1
+    ru = F.when(c.rlike(_NUMBER["ru"]) & one_space, plain(F.translate(F.regexp_replace(c, _SPACE, ""), ",", ".")))
+    en = F.when(c.rlike(_NUMBER["en"]), plain(F.regexp_replace(c, ",", "")))
+    return {"ru": ru, "en": en, "us": en, "gb": en}
 
 
-def decimal(c: Column, locale: str | None = None) -> Column:
-    """An exact number by the grammar of ``locale`` (ru, en); without one, both are tried and must agree."""
+def _number(c: Column, locale: str | None) -> tuple[Column, Column]:
+    """A number's plain text by the grammar of ``locale``, and an issue; without a locale, both grammars must agree."""
     read = _readings(c)
     if locale:
-        value = read[locale]
-        return _result(value, F.when(c.isNotNull() & value.isNull(), "INVALID_NUMBER"))
-    ambiguous = read["ru"].isNotNull() & read["en"].isNotNull() & (read["ru"] != read["en"])
-    value = F.when(~F.coalesce(ambiguous, F.lit(False)), F.coalesce(read["ru"], read["en"]))
-    return _result(value, F.when(ambiguous, "AMBIGUOUS_NUMBER").when(c.isNotNull() & value.isNull(), "INVALID_NUMBER"))
+        return read[locale], F.when(c.isNotNull() & read[locale].isNull(), "INVALID_NUMBER")
+    ambiguous = F.coalesce(read["ru"] != read["en"], F.lit(False))
+    value = F.when(~ambiguous, F.coalesce(read["ru"], read["en"]))
+    return value, F.when(ambiguous, "AMBIGUOUS_NUMBER").when(c.isNotNull() & value.isNull(), "INVALID_NUMBER")
+
+
+def decimal(c: Column, locale: str | None = None) -> Column:
+    """An exact number by the grammar of ``locale`` (ru, en); without one, both are tried and must agree. A number with
+    more digits than WHOLE or PLACES is an issue."""
+    text, issue = _number(c, locale)
+    value = exact(text)
+    return _result(value, F.coalesce(issue, F.when(text.isNotNull() & value.isNull(), "NUMBER_OUT_OF_RANGE")))
 
 
 def integer(c: Column, locale: str | None = None) -> Column:
-    """A whole number without leading zeros."""
-    d = decimal(c, locale)
-    whole = ~c.rlike(r"^[+-]?0[0-9]") & (d["value"] == F.floor(d["value"]))
-    value = F.when(whole, d["value"].cast("decimal(38,0)"))
-    return _result(value, F.coalesce(d["issue"], F.when(c.isNotNull() & value.isNull(), "INVALID_INTEGER")))
+    """A whole number of 38 digits at most, written without a fraction and without leading zeros."""
+    text, issue = _number(c, locale)
+    sign = r"[.,][0-9]+$" if locale is None else ",[0-9]+$" if locale == "ru" else r"\.[0-9]+$"
+    grouped = F.lit(False) if locale == "ru" else c.rlike(r"^[+-]?[0-9]{1,3}(,[0-9]{3})+$")
+    fraction = c.rlike(sign) & ~grouped
+    value = F.when(~fraction & ~c.rlike(r"^[+-]?0[0-9]"), text).try_cast("decimal(38,0)")
+    issue = F.coalesce(issue, F.when(fraction | c.rlike(r"^[+-]?0[0-9]"), "INVALID_INTEGER"))
+    return _result(value, F.coalesce(issue, F.when(c.isNotNull() & value.isNull(), "NUMBER_OUT_OF_RANGE")))
 
 
 def money(c: Column, currency: str, locale: str | None = None) -> Column:
@@ -79,29 +106,38 @@ def boolean(c: Column, true: tuple[str, ...] = TRUE, false: tuple[str, ...] = FA
 
 
 def _day(c: Column, pattern: str, year: int, month: int, day: int) -> Column:
-    part = lambda i: F.lpad(F.regexp_extract(c, pattern, i), 2 if i != year else 4, "0")
+    part = lambda i: F.regexp_extract(c, pattern, i)
     return F.when(c.rlike(pattern), F.try_to_date(F.concat_ws("-", part(year), part(month), part(day))))
 
 
 def date(c: Column, locale: str | None = None) -> Column:
-    """ISO, or dd.mm.yyyy, or with slashes mm/dd (us) or dd/mm (gb); two different readings are ambiguous."""
-    us, gb = _day(c, _SLASHED, 3, 1, 2), _day(c, _SLASHED, 3, 2, 1)
-    slashed = {"us": us, "gb": gb}.get(locale or "", F.when(us.isNull() | gb.isNull() | (us == gb), F.coalesce(us, gb)))
-    value = F.coalesce(_day(c, _ISO, 1, 2, 3), _day(c, _DOTTED, 3, 2, 1), slashed)
-    ambiguous = F.lit(locale is None) & us.isNotNull() & gb.isNotNull() & (us != gb)
+    """ISO; dd.mm.yyyy in ru; with slashes mm/dd in us and dd/mm in gb; without a locale, any of these, and two different
+    readings are ambiguous."""
+    forms = {"iso": _day(c, _ISO, 1, 2, 3), "ru": _day(c, _DOTTED, 3, 2, 1), "us": _day(c, _SLASHED, 3, 1, 2), "gb": _day(c, _SLASHED, 3, 2, 1)}
+    value = F.coalesce(*[v for k, v in forms.items() if k in ("iso", locale) or locale is None])
+    ambiguous = F.coalesce(F.lit(locale is None) & (forms["us"] != forms["gb"]), F.lit(False))
+    value = F.when(~ambiguous, value)
     return _result(value, F.when(ambiguous, "AMBIGUOUS_DATE").when(c.isNotNull() & value.isNull(), "INVALID_DATE"))
 
 
-def datetime(c: Column) -> Column:
-    """ISO date and time with a zone, in UTC; -00:00, which says that the zone is unknown, is refused."""
-    value = F.when(c.rlike(_ZONED) & ~c.endswith("-00:00"), F.try_to_timestamp(c))
-    return _result(value, F.when(c.isNotNull() & value.isNull(), "INVALID_DATETIME"))
+def datetime(c: Column, locale: str | None = None) -> Column:
+    """A date as above and a time with a zone, in UTC; without a zone, or with -00:00, which says that it is unknown, it is
+    refused."""
+    part = lambda i: F.regexp_extract(c, _ZONED, i)
+    day, zone, formed = date(F.when(c.rlike(_ZONED), part(1)), locale), part(3), c.rlike(_ZONED)
+    clock = F.when(F.length(part(2)) == 5, F.concat(part(2), F.lit(":00"))).otherwise(part(2))
+    known = (zone != "") & (zone != "-00:00")
+    value = F.when(formed & known, F.try_to_timestamp(F.concat(day["value"].cast("string"), F.lit("T"), clock, zone)))
+    issue = F.coalesce(F.when(formed, day["issue"]), F.when(formed & ~known, "TIMEZONE_REQUIRED"))
+    return _result(value, F.coalesce(issue, F.when(c.isNotNull() & value.isNull(), "INVALID_DATETIME")))
 
 
 def phone(c: Column) -> Column:
-    """+ and 7 to 15 digits, the first not 0, in blanks, dashes, dots and balanced brackets."""
+    """+ and 7 to 15 digits, the first not 0, in blanks (no-break ones too), dashes and brackets around digits; 64
+    characters at most."""
     digits = F.regexp_replace(c, "[^0-9]", "")
-    fine = c.rlike(r"^\+[0-9 .()-]+$") & F.length(digits).between(7, 15) & ~digits.startswith("0") & ~F.regexp_replace(c, r"\([0-9 .-]*\)", "").rlike("[()]")
+    bracketed = F.regexp_replace(c, r"\([ \u00a0\u202f-]*[0-9][0-9 \u00a0\u202f-]*\)", "")
+    fine = (F.length(c) <= 64) & c.rlike(r"^\+[0-9 ()\u00a0\u202f-]+$") & F.length(digits).between(7, 15) & ~digits.startswith("0") & ~bracketed.rlike("[()]")
     value = F.when(fine, F.concat(F.lit("+"), digits))
     return _result(value, F.when(c.isNotNull() & value.isNull(), "INVALID_PHONE"))
 

@@ -40,11 +40,17 @@ def unique_conflict(incoming: DataFrame, stored: DataFrame, key: list[str], null
 
 
 def upsert_conflict(incoming: DataFrame, stored: DataFrame, identity: list[str], key: list[str]) -> DataFrame:
-    """Incoming rows whose unique key is stored under another identity. An equi-join on the key, with the inequality
-    beside it."""
-    columns = list(dict.fromkeys([*key, *identity]))
-    on = _all(F.col(f"i.{k}") == F.col(f"s.{k}") for k in key) & ~_all(F.col(f"i.{k}").eqNullSafe(F.col(f"s.{k}")) for k in identity)
-    return incoming.alias("i").join(stored.select(*columns).alias("s"), on, "left_semi")
+    """Incoming rows whose unique key is stored under another identity.
+
+    Of each stored key only its least and largest identity are needed: another one is there if either differs. So a key
+    that many rows share is one row of the join. Keys with a null conflict with none.
+    """
+    own = F.struct(*identity)
+    ends = stored.groupBy(*key).agg(F.min(own).alias("_least"), F.max(own).alias("_most"))
+    on = _all(F.col(f"i.{k}") == F.col(f"s.{k}") for k in key)
+    here = F.struct(*[F.col(f"i.{k}").alias(k) for k in identity])
+    other = ~here.eqNullSafe(F.col("s._least")) | ~here.eqNullSafe(F.col("s._most"))
+    return incoming.alias("i").join(ends.alias("s"), on & other, "left_semi")
 
 
 def not_null(c: Column) -> Column:
@@ -60,9 +66,17 @@ def not_in_enum(c: Column, labels: list[str]) -> Column:
 
 
 def out_of_range(c: Column, precision: int, scale: int) -> Column:
-    """numeric(precision, scale): whole digits over precision - scale, or places over scale (trailing zeros aside)."""
-    d = c.cast("decimal(38,8)")
-    return F.when(F.abs(d) >= F.lit(10 ** (precision - scale)).cast("decimal(38,0)"), "DB_NUMERIC_RANGE").when(d != F.round(d, scale), "DB_NUMERIC_SCALE")
+    """numeric(precision, scale): whole digits over precision - scale, or places over scale (trailing zeros aside).
+
+    Compared at one scale that leaves room for the bound, so nothing is rounded on the way; a value too large even for
+    that, or not finite, is out of range.
+    """
+    whole = precision - scale
+    places = max(scale, min(18, 37 - whole))
+    kind = f"decimal(38,{places})"
+    d = c.try_cast(kind)
+    large = d.isNull() | (F.abs(d) >= F.lit(10**whole).cast(kind))
+    return F.when(c.isNotNull() & large, "DB_NUMERIC_RANGE").when(d != F.round(d, scale).cast(kind), "DB_NUMERIC_SCALE")
 
 
 def integer_overflow(c: Column, bits: int) -> Column:

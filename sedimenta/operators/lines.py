@@ -15,11 +15,13 @@ def lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("line_no", "line"))
 
 
-def key_values(c: Column) -> Column:
-    """map of key=value tokens; a value may be quoted."""
-    found = F.regexp_extract_all(c, F.lit(r'([A-Za-z_][A-Za-z0-9_.-]*)=("[^"]*"|\S+)'), F.lit(0))
+def key_values(c: Column, most: int = 64) -> Column:
+    """map of key=value tokens, ``most`` of them; a value may be quoted, and a key that repeats has its first value."""
+    found = F.slice(F.regexp_extract_all(c, F.lit(r'([A-Za-z_][A-Za-z0-9_.-]*)=("[^"]*"|\S+)'), F.lit(0)), 1, most)
     pair = lambda x: F.struct(F.substring_index(x, "=", 1).alias("key"), F.regexp_replace(x, r'^[^=]*="?|"$', "").alias("value"))
-    return F.map_from_entries(F.transform(found, pair))
+    pairs = F.transform(found, pair)
+    keys = F.transform(pairs, lambda x: x["key"])
+    return F.map_from_entries(F.filter(pairs, lambda x, i: F.array_position(keys, x["key"]) == i + 1))
 
 
 def key_value(c: Column) -> Column:

@@ -11,8 +11,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-VIOLATION, NULL_OPERAND, MISSING_OPERAND = "RULE_VIOLATION", "RULE_NULL_OPERAND", "RULE_MISSING_OPERAND"
+VIOLATION, NULL_OPERAND, MISSING_OPERAND, OUT_OF_RANGE = "RULE_VIOLATION", "RULE_NULL_OPERAND", "RULE_MISSING_OPERAND", "RULE_NUMERIC_RANGE"
 _COMPARE = {
     "equals": lambda a, b: a == b, "not_equals": lambda a, b: a != b, "gt": lambda a, b: a > b, "gte": lambda a, b: a >= b,
     "lt": lambda a, b: a < b, "lte": lambda a, b: a <= b, "date_lt": lambda a, b: a < b, "date_lte": lambda a, b: a <= b,
@@ -74,17 +75,31 @@ def unique_by(df: DataFrame, key: list[str], scope: str | None = None, nulls: st
     return out.withColumn("dup_count", F.when(whole, F.col("dup_count")).otherwise(F.lit(1 if nulls == "distinct" else None).cast("long")))
 
 
-def sum_equals(parents: DataFrame, children: DataFrame, key: str, parent_key: str, total: Column, factors: list[str], tolerance: str = "0", places: int = 4) -> DataFrame:
-    """Parents with child_sum and outcome: the sum over children of the product of ``factors`` against ``total``.
+def exact_factor(df: DataFrame, name: str) -> Column:
+    """A column as an exact decimal: decimals and whole numbers as they are, binary numbers to 6 places."""
+    kind = df.schema[name].dataType
+    if isinstance(kind, T.DecimalType):
+        return F.col(name)
+    return F.col(name).try_cast("decimal(19,6)" if isinstance(kind, (T.FloatType, T.DoubleType)) else "decimal(20,0)")
 
-    Sums are exact decimals; no children sum to 0; a child with a null factor makes its parent indeterminate.
+
+def sum_equals(parents: DataFrame, children: DataFrame, key: str, parent_key: str, total: Column, factors: list[str], tolerance: str = "0", places: int = 6) -> DataFrame:
+    """Parents with child_sum and outcome: the sum over children of the product of ``factors`` (8 at most) against ``total``.
+
+    Sums are exact decimals of the factors' own types; no children sum to 0; a child with a null factor, or a product or
+    sum that no decimal holds, makes its parent indeterminate.
     """
-    product = reduce(lambda a, b: a * b, [F.col(f).cast("decimal(12,2)") for f in factors]).cast(f"decimal(24,{places})")
-    sums = children.groupBy(F.col(parent_key).alias("_parent")).agg(F.sum(product).alias("_sum"), F.bool_or(product.isNull()).alias("_poison"))
+    if not 1 <= len(factors) <= 8:
+        raise ValueError("a product has 1 to 8 factors")
+    product = reduce(F.try_multiply, [exact_factor(children, f) for f in factors]).try_cast(f"decimal(38,{places})")
+    sums = children.groupBy(F.col(parent_key).alias("_parent")).agg(F.try_sum(product).alias("_sum"), F.bool_or(product.isNull()).alias("_poison"), F.bool_or(reduce(lambda a, b: a | b, [F.col(f).isNull() for f in factors])).alias("_null"))
     out = parents.join(sums, F.col(key) == F.col("_parent"), "left")
-    child_sum = F.coalesce(F.col("_sum"), F.lit(0)).cast(f"decimal(34,{places})")
-    truth = F.when(~F.coalesce("_poison", F.lit(False)), F.abs(child_sum - total) <= F.lit(tolerance).cast("decimal(18,4)"))
-    return out.withColumn("child_sum", child_sum).withColumn("check", _outcome(truth, F.when(F.col("_poison"), NULL_OPERAND).otherwise(VIOLATION))).drop("_parent", "_sum", "_poison")
+    there = F.col("_parent").isNotNull()
+    poisoned = there & (F.col("_poison") | F.col("_sum").isNull())
+    child_sum = F.when(~there, F.lit(0)).otherwise(F.col("_sum")).cast(f"decimal(38,{places})")
+    truth = F.when(~F.coalesce(poisoned, F.lit(False)), F.abs(F.try_subtract(child_sum, total.cast(f"decimal(38,{places})"))) <= F.lit(tolerance).cast(f"decimal(38,{places})"))
+    code = F.when(F.col("_null"), NULL_OPERAND).when(poisoned, OUT_OF_RANGE).otherwise(VIOLATION)
+    return out.withColumn("child_sum", child_sum).withColumn("check", _outcome(truth, code)).drop("_parent", "_sum", "_poison", "_null")
 
 
 def item_count(parents: DataFrame, children: DataFrame, key: str, parent_key: str, least: int | None = None, most: int | None = None) -> DataFrame:

@@ -29,19 +29,43 @@ def action_counts(plan: DataFrame) -> DataFrame:
 
 
 def rejection_closure(edges: DataFrame, rejected: DataFrame, cut=written) -> DataFrame:
-    """node, direct: all nodes that rejection reaches over ``edges`` (a, b: either way), by breadth-first rounds.
+    """node, direct: all nodes that rejection reaches over ``edges`` (a, b: either way).
 
-    Each round joins only the nodes that the one before has reached, and is written by ``cut``, so that no round is
-    computed again by the next.
+    Nodes are rejected with their whole connected component, so components are found once, in a number of rounds that
+    grows with the logarithm of the longest chain, and rejection is one join with them.
     """
-    both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    seen = cut(rejected.select(F.col(rejected.columns[0]).alias("node")).distinct().withColumn("direct", F.lit(True)))
-    front = seen.select("node")
-    while not front.isEmpty():
-        reached = front.join(both, front.node == both.a).select(F.col("b").alias("node")).distinct()
-        front = cut(reached.join(seen, "node", "left_anti"))
-        seen = cut(seen.union(front.withColumn("direct", F.lit(False))))
-    return seen
+    direct = rejected.select(F.col(rejected.columns[0]).alias("node")).where("node is not null").distinct()
+    groups = connected(edges, cut)
+    hit = groups.join(direct, "node", "left_semi").select("component").distinct()
+    reached = groups.join(hit, "component", "left_semi").select("node")
+    marked = direct.withColumn("direct", F.lit(True)).unionByName(reached.withColumn("direct", F.lit(False)))
+    return marked.groupBy("node").agg(F.bool_or("direct").alias("direct"))
+
+
+def connected(edges: DataFrame, cut=written) -> DataFrame:
+    """node, component (its least node) of all nodes of ``edges`` (a, b: either way; nulls are no nodes).
+
+    Every round points each node's neighbours at the least node among them, larger ones first, then all, until stars
+    are left. Minima are combined before they are shuffled, and a node with many edges is a skewed join side that Spark
+    splits. Each round is written by ``cut``, edges only, and none rewrites what an earlier one has settled.
+    """
+    whole = edges.where("a is not null and b is not null")
+    alone = whole.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    now = cut(whole.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    last = None
+    while True:
+        both = now.union(now.select("b", "a"))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+        large = both.join(least, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        met = large.join(low, "a")
+        small = met.select("a", F.col("m").alias("b")).union(met.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
+        now = cut(small.distinct())
+        state = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        if state == last:
+            break
+        last = state
+    return alone.join(now.select(F.col("a").alias("node"), F.col("b").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def load_order(tables: list[str], edges: list[tuple[str, str]]) -> list[str] | None:
@@ -72,6 +96,14 @@ def row_fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def merged(stored: DataFrame, incoming: DataFrame, identity: list[str]) -> DataFrame:
     """The table after an upsert: incoming rows in the place of stored ones of the same identity, others as they are.
-    Applying the same rows again changes nothing."""
-    kept = stored.join(incoming.select(*identity).distinct(), identity, "left_anti")
-    return kept.select(*stored.columns).unionByName(incoming.select(*stored.columns))
+
+    Of incoming rows that share an identity, the one that is largest column by column stays. Applying the same rows again
+    changes nothing. Null identities are equal to each other.
+    """
+    rest = [c for c in stored.columns if c not in identity]
+    last = F.max(F.struct(*rest) if rest else F.lit(0)).alias("_last")
+    once = incoming.groupBy(*identity).agg(last)
+    once = once.select(*[F.col(c) if c in identity else F.col("_last").getField(c).alias(c) for c in stored.columns])
+    same = reduce(lambda a, b: a & b, [F.col(f"s.{k}").eqNullSafe(F.col(f"i.{k}")) for k in identity])
+    kept = stored.alias("s").join(once.alias("i"), same, "left_anti")
+    return kept.select(*stored.columns).unionByName(once)

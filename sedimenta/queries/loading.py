@@ -13,9 +13,10 @@ _TABLES = ["customer", "lineitem", "nation", "orders", "part", "region", "suppli
 
 
 def plan_actions(spark, d):
+    """All customers against those that have orders; a negative balance is an issue."""
     c = table(spark, d, "customer").select("c_custkey", "c_acctbal")
-    bad = c.where("c_acctbal < 0").select("c_custkey")
-    return load.plan_actions(c.where("c_custkey % 2 = 0"), c.where("c_custkey % 3 = 0"), ["c_custkey"], ["c_acctbal"], bad).select("c_custkey", "action")
+    stored = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return load.plan_actions(c, stored, ["c_custkey"], ["c_acctbal"], c.where("c_acctbal < 0").select("c_custkey")).select("c_custkey", "action")
 
 
 def plan_counts(spark, d):
@@ -36,7 +37,7 @@ def fk_load_order(spark, d):
 
 
 def fingerprint_rows(spark, d):
-    return load.row_fingerprint(table(spark, d, "nation"), ["n_nationkey", "n_name", "n_regionkey"]).select("n_nationkey", "fingerprint")
+    return load.row_fingerprint(table(spark, d, "customer"), ["c_custkey", "c_name", "c_mktsegment"]).select("c_custkey", "fingerprint")
 
 
 def tabular_cells_roundtrip(spark, d):
@@ -51,8 +52,8 @@ def json_path_explode(spark, d):
 
 QUERIES = {q.__name__: q for q in (plan_actions, plan_counts, plan_quarantine_closure, fk_load_order, fingerprint_rows, tabular_cells_roundtrip, json_path_explode)}
 
-_ACTIONS = """SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'quarantine' WHEN c_custkey % 3 = 0 THEN 'update' ELSE 'insert' END AS action
-              FROM customer WHERE c_custkey % 2 = 0"""
+_ACTIONS = """SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'quarantine' WHEN c_custkey IN (SELECT o_custkey FROM orders) THEN 'update' ELSE 'insert' END AS action
+              FROM customer"""
 _SEP = "chr(31)"
 ORACLE_SQL = {
     "plan_actions": _ACTIONS,
@@ -61,7 +62,7 @@ ORACLE_SQL = {
         SELECT c_custkey * 2 AS node, true AS direct FROM customer WHERE c_acctbal < -900 UNION ALL
         SELECT o_orderkey * 2 + 1, false FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_acctbal < -900""",
     "fk_load_order": "SELECT * FROM (VALUES (0, 'part'), (1, 'region'), (2, 'nation'), (3, 'customer'), (4, 'orders'), (5, 'supplier'), (6, 'lineitem')) t(place, table_name)",
-    "fingerprint_rows": f"SELECT n_nationkey, sha256('=' || n_nationkey || {_SEP} || '=' || n_name || {_SEP} || '=' || n_regionkey) AS fingerprint FROM nation",
+    "fingerprint_rows": f"SELECT c_custkey, sha256('=' || c_custkey || {_SEP} || '=' || c_name || {_SEP} || '=' || c_mktsegment) AS fingerprint FROM customer",
     "tabular_cells_roundtrip": "SELECT c_custkey AS row_key, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey, c_mktsegment FROM customer",
     "json_path_explode": "SELECT event_type, count(v) AS n, CAST(sum(v) AS BIGINT) AS total FROM (SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS v FROM events) GROUP BY 1",
 }

@@ -11,13 +11,14 @@ from sedimenta.sources.tables import table
 
 
 def _cells(spark, d):
-    """The nations as cells, the name missing where the key is divisible by 5."""
-    n = table(spark, d, "nation").withColumn("n_name", F.when(F.col("n_nationkey") % 5 > 0, F.col("n_name")))
-    return L.to_cells(n, "n_nationkey", ["n_nationkey", "n_name", "n_regionkey"]).withColumnRenamed("row_key", "row_index")
+    """The customers as cells, the name missing where the balance is negative."""
+    n = table(spark, d, "customer").withColumn("c_name", F.when(F.col("c_acctbal") >= 0, F.col("c_name")))
+    return L.to_cells(n, "c_custkey", ["c_custkey", "c_name", "c_nationkey"]).withColumnRenamed("row_key", "row_index")
 
 
 def parse_tabular(spark, d):
-    plan = parse.TabularPlan({"key": 0, "name": 1, "region": 2}, data_start=2, data_end=20, repeated_headers=(7, 9), required=("key",))
+    """All rows but the first two and two repeated headers."""
+    plan = parse.TabularPlan({"key": 0, "name": 1, "nation": 2}, data_start=2, repeated_headers=(7, 9), required=("key",))
     return parse.tabular(_cells(spark, d), plan)
 
 
@@ -41,9 +42,10 @@ def parse_key_values(spark, d):
 
 
 def provenance_replay(spark, d):
-    c = table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey")
-    replayed = c.where("c_custkey % 11 > 0").withColumn("c_name", F.when(F.col("c_custkey") % 13 == 0, "changed").otherwise(F.col("c_name")))
-    return parse.provenance_differences(c.where("c_custkey % 7 > 0"), replayed, ["c_custkey"], ["c_name", "c_nationkey"])
+    """Customers but those of one segment against a replay that lacks negative balances and changes the names of a nation."""
+    c = table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
+    replayed = c.where("c_acctbal >= 0").withColumn("c_name", F.when(F.col("c_nationkey") == 3, "changed").otherwise(F.col("c_name")))
+    return parse.provenance_differences(c.where("c_mktsegment <> 'BUILDING'"), replayed, ["c_custkey"], ["c_name", "c_nationkey"])
 
 
 def infer_widths(spark, d):
@@ -61,8 +63,8 @@ QUERIES = {q.__name__: q for q in (parse_tabular, parse_tree, parse_log_records,
 _LINES = "SELECT doc_id AS id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents"
 ORACLE_SQL = {
     "parse_tabular": """
-        SELECT n_nationkey AS row_index, CAST(n_nationkey AS VARCHAR) AS key, CASE WHEN n_nationkey % 5 > 0 THEN n_name END AS name, CAST(n_regionkey AS VARCHAR) AS region
-        FROM nation WHERE n_nationkey BETWEEN 2 AND 20 AND n_nationkey NOT IN (7, 9)""",
+        SELECT c_custkey AS row_index, CAST(c_custkey AS VARCHAR) AS key, CASE WHEN c_acctbal >= 0 THEN c_name END AS name, CAST(c_nationkey AS VARCHAR) AS nation
+        FROM customer WHERE c_custkey >= 2 AND c_custkey NOT IN (7, 9)""",
     "parse_tree": """
         SELECT o_orderkey AS id, 0 AS ordinal, CAST(i AS INTEGER) AS child_ordinal, CAST(i AS INTEGER) AS n, o_orderstatus AS s
         FROM (SELECT *, unnest(range(0, o_orderkey % 3 + 1)) AS i FROM orders)""",
@@ -71,9 +73,11 @@ ORACLE_SQL = {
         SELECT id, record_no, string_split_regex(trim(a), '\\s+')[1] AS first, string_split(b, ',')[1] AS second, CAST(length(a) + coalesce(length(b) + 1, 0) AS INTEGER) AS n FROM r""",
     "parse_key_values": "SELECT p_partkey AS id, p_brand AS brand, CAST(p_size AS VARCHAR) AS size FROM part",
     "provenance_replay": """
-        SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'missing' WHEN c_custkey % 11 = 0 THEN 'unexpected' ELSE 'changed' END AS fault FROM customer
-        WHERE (c_custkey % 7 = 0) <> (c_custkey % 11 = 0) OR (c_custkey % 7 > 0 AND c_custkey % 11 > 0 AND c_custkey % 13 = 0)""",
-    "infer_widths": "SELECT CAST(3 AS BIGINT) AS width, CAST(5 AS BIGINT) AS ragged_rows",
+        SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'missing' WHEN c_acctbal < 0 THEN 'unexpected' ELSE 'changed' END AS fault FROM customer
+        WHERE (c_mktsegment = 'BUILDING') <> (c_acctbal < 0) OR (c_mktsegment <> 'BUILDING' AND c_acctbal >= 0 AND c_nationkey = 3)""",
+    "infer_widths": """
+        WITH w AS (SELECT CASE WHEN c_acctbal >= 0 THEN 3 ELSE 2 END AS width, count(*) AS n FROM customer GROUP BY 1)
+        SELECT CAST(arg_max(width, n * 10 + width) AS BIGINT) AS width, CAST(sum(n) - max(n) AS BIGINT) AS ragged_rows FROM w""",
     "infer_types": """
         SELECT * FROM (SELECT 'key' AS field, 'integer' AS kind, count(*) AS votes, count(*) AS non_null, 'resolved' AS status FROM orders UNION ALL
         SELECT 'day', 'date', count(*), count(*), 'resolved' FROM orders UNION ALL SELECT 'o_orderstatus', 'string', count(*), count(*), 'resolved' FROM orders UNION ALL

@@ -27,9 +27,11 @@ def validation_loadable(spark, d):
 
 
 def upsert_state(spark, d):
+    """Customers that have orders, after balances below zero are set to zero for all customers, twice over."""
     c = table(spark, d, "customer").select("c_custkey", "c_acctbal")
-    incoming = c.where("c_custkey % 2 = 0").withColumn("c_acctbal", F.lit(0.0))
-    return load.merged(c.where("c_custkey % 3 = 0"), incoming, ["c_custkey"])
+    stored = c.join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_semi")
+    incoming = c.where("c_acctbal < 0")
+    return load.merged(stored, incoming.union(incoming.withColumn("c_acctbal", F.lit(0.0))), ["c_custkey"])
 
 
 def type_compatibility_pairs(spark, d):
@@ -58,7 +60,9 @@ _FOUND = f"""
 ORACLE_SQL = {
     "validation_summary": f"SELECT layer, code, count(*) AS findings, count(DISTINCT row_key) AS rows, false AS blocking FROM ({_FOUND}) GROUP BY 1, 2",
     "validation_loadable": f"SELECT o_orderkey, o_custkey FROM orders WHERE CAST(o_orderkey AS VARCHAR) NOT IN (SELECT row_key FROM ({_FOUND}))",
-    "upsert_state": "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 0.0::DOUBLE ELSE c_acctbal END AS c_acctbal FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0",
+    "upsert_state": """
+        SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 0.0::DOUBLE ELSE c_acctbal END AS c_acctbal FROM customer
+        WHERE c_acctbal < 0 OR c_custkey IN (SELECT o_custkey FROM orders)""",
     "markdown_kinds": """
         SELECT p_partkey AS id, CAST(b AS BIGINT) AS block_no, kind, first, last FROM part, (VALUES (0, 'heading', 0, 0), (1, 'blank', 1, 1), (2, 'list', 2, 3), (3, 'code', 4, 6), (4, 'paragraph', 7, 7)) t(b, kind, first, last)""",
 }

@@ -64,14 +64,15 @@ def db_fk_missing(spark, d):
 
 
 def db_unique_conflict(spark, d):
-    c = table(spark, d, "customer").select("c_custkey", "c_name")
-    return constraints.unique_conflict(c.where("c_custkey % 2 = 0"), c.where("c_custkey % 3 = 0"), ["c_name"])
+    """Customers whose nation a supplier has."""
+    c = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("nationkey"))
+    return constraints.unique_conflict(c, table(spark, d, "supplier").select(F.col("s_nationkey").alias("nationkey")), ["nationkey"])
 
 
 def db_upsert_conflict(spark, d):
-    """Incoming rows whose segment and nation another customer of the stored third has."""
-    c = table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-    return constraints.upsert_conflict(c.where("c_custkey % 50 = 0"), c.where("c_custkey % 21 = 0"), ["c_custkey"], ["c_nationkey", "c_mktsegment"])
+    """Customers whose segment, nation and sign of balance another customer has, all against all."""
+    c = table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment", (F.col("c_acctbal") < 0).alias("owes"))
+    return constraints.upsert_conflict(c, c, ["c_custkey"], ["c_nationkey", "c_mktsegment", "owes"])
 
 
 def db_field_bounds(spark, d):
@@ -106,13 +107,13 @@ def _compare_sql() -> str:
     return f"SELECT doc_id, {', '.join(out)} FROM {_LABELLED}"
 
 
-_SUM = "abs(child_sum - CAST(o_orderkey % 9 AS DECIMAL(18,4))) <= 2"
+_SUM = "abs(child_sum - CAST(o_orderkey % 9 AS DECIMAL(38,6))) <= 2"
 _PRICE = "CAST(p_retailprice AS DECIMAL(38,8))"
 ORACLE_SQL = {
     "rule_sum_equals_orders": f"""
         SELECT o_orderkey, child_sum, {_outcome(_SUM)} AS outcome, CASE WHEN {_SUM} THEN NULL ELSE 'RULE_VIOLATION' END AS code
-        FROM (SELECT o_orderkey, CAST(coalesce(s, 0) AS DECIMAL(34,4)) AS child_sum FROM orders LEFT JOIN
-              (SELECT l_orderkey, sum(CAST(CAST(l_quantity AS DECIMAL(12,2)) * CAST(l_discount AS DECIMAL(12,2)) AS DECIMAL(24,4))) AS s FROM lineitem GROUP BY 1)
+        FROM (SELECT o_orderkey, CAST(coalesce(s, 0) AS DECIMAL(38,6)) AS child_sum FROM orders LEFT JOIN
+              (SELECT l_orderkey, sum(CAST(CAST(l_quantity AS DECIMAL(19,6)) * CAST(l_discount AS DECIMAL(19,6)) AS DECIMAL(38,6))) AS s FROM lineitem GROUP BY 1)
               ON l_orderkey = o_orderkey)""",
     "rule_item_count": """
         SELECT o_orderkey, items, CASE WHEN items BETWEEN 1 AND 6 THEN 'pass' ELSE 'fail' END AS outcome, CASE WHEN items BETWEEN 1 AND 6 THEN NULL ELSE 'RULE_VIOLATION' END AS code
@@ -132,10 +133,10 @@ ORACLE_SQL = {
     "db_fk_missing": """
         SELECT l_orderkey, l_linenumber, l_partkey, 'DB_FOREIGN_KEY' AS code FROM lineitem
         WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderstatus = 'F')""",
-    "db_unique_conflict": "SELECT c_custkey, c_name FROM customer WHERE c_custkey % 2 = 0 AND c_name IN (SELECT c_name FROM customer WHERE c_custkey % 3 = 0)",
+    "db_unique_conflict": "SELECT c_custkey, c_nationkey AS nationkey FROM customer WHERE c_nationkey IN (SELECT s_nationkey FROM supplier)",
     "db_upsert_conflict": """
-        SELECT c_custkey, c_nationkey, c_mktsegment FROM customer i WHERE c_custkey % 50 = 0 AND EXISTS (SELECT 1 FROM customer s WHERE s.c_custkey % 21 = 0
-               AND s.c_nationkey = i.c_nationkey AND s.c_mktsegment = i.c_mktsegment AND s.c_custkey <> i.c_custkey)""",
+        SELECT c_custkey, c_nationkey, c_mktsegment, c_acctbal < 0 AS owes FROM customer i WHERE EXISTS (SELECT 1 FROM customer s
+               WHERE s.c_nationkey = i.c_nationkey AND s.c_mktsegment = i.c_mktsegment AND (s.c_acctbal < 0) = (i.c_acctbal < 0) AND s.c_custkey <> i.c_custkey)""",
     "db_field_bounds": f"""
         SELECT p_partkey AS row_key, field, code FROM (
             SELECT p_partkey, 'p_name' AS field, CASE WHEN length(p_name) > 8 THEN 'DB_LENGTH' END AS code FROM part UNION ALL

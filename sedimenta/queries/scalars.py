@@ -37,6 +37,22 @@ def norm_decimal(spark, d):
     return _of(spark, d, text, lambda c: N.decimal(c))
 
 
+_LIMITS = (("1234567890" * 4, None), ("9" * 28, "9" * 28), ("9" * 29, None), ("0.123456789012", None), ("0.1234567890", "0.123456789"), ("-0", "0"), ("+007.50", "7.5"), ("0" * 40 + "5", "5"))
+
+
+def norm_decimal_limits(spark, d):
+    """Numbers of very many digits or places: exact, or an issue."""
+    return _of(spark, d, _case(*[F.lit(t) for t, _ in _LIMITS]), lambda c: N.decimal(c, "en"))
+
+
+def norm_date_locales(spark, d):
+    """The same texts by each locale's grammar."""
+    day = F.col("o_orderdate")
+    text = _case(F.date_format(day, "yyyy-MM-dd"), F.date_format(day, "dd.MM.yyyy"), F.date_format(day, "MM/dd/yyyy"), F.date_format(day, "d.M.yyyy"))
+    rows = table(spark, d, "orders").select("o_orderkey", text.alias("t"))
+    return rows.select("o_orderkey", *[N.date(F.col("t"), k)["value"].alias(k) for k in ("ru", "us", "gb")])
+
+
 def norm_integer(spark, d):
     text = _case(_text(), F.concat(F.lit("0"), _text()), F.concat(_text(), F.lit(".5")), F.concat(_text(), F.lit(".0")), F.lit("x"))
     return _of(spark, d, text, lambda c: N.integer(c, "en"))
@@ -94,7 +110,7 @@ def luhn_inn_checks(spark, d):
     return table(spark, d, "orders").select("o_orderkey", N.inn(digits).alias("inn"), N.card_like(card).alias("card"))
 
 
-QUERIES = {q.__name__: q for q in (norm_decimal, norm_integer, norm_money, norm_boolean, norm_date, norm_datetime, norm_phone, norm_email, norm_uuid, norm_chain, luhn_inn_checks)}
+QUERIES = {q.__name__: q for q in (norm_decimal, norm_decimal_limits, norm_date_locales, norm_integer, norm_money, norm_boolean, norm_date, norm_datetime, norm_phone, norm_email, norm_uuid, norm_chain, luhn_inn_checks)}
 
 
 def _case_sql(*texts: str) -> str:
@@ -122,9 +138,16 @@ ORACLE_SQL = {
         SELECT o_orderkey, CAST(v AS DECIMAL(38,10)) AS value, i AS issue FROM (SELECT o_orderkey,
             {_case_sql(_T, f"{_T} || '.25'", f"{_T} || '.5'", "NULL", f"{_L1} || {_L3} || '.75'", "NULL", "NULL")} AS v,
             {_case_sql("NULL", "NULL", "NULL", "'AMBIGUOUS_NUMBER'", "NULL", "'INVALID_NUMBER'", "NULL")} AS i FROM orders)""",
+    "norm_decimal_limits": f"""
+        SELECT o_orderkey, CAST({_case_sql(*["NULL" if v is None else f"'{v}'" for _, v in _LIMITS])} AS DECIMAL(38,10)) AS value,
+               {_case_sql(*["'NUMBER_OUT_OF_RANGE'" if v is None else "NULL" for _, v in _LIMITS])} AS issue FROM orders""",
+    "norm_date_locales": """
+        WITH t AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, o_orderkey % 4 AS k, day(o_orderdate) AS d, month(o_orderdate) AS m FROM orders)
+        SELECT o_orderkey, CASE WHEN k < 2 OR (k = 3 AND d > 9 AND m > 9) THEN day END AS ru, CASE WHEN k IN (0, 2) THEN day END AS us,
+               CASE WHEN k = 0 THEN day WHEN k = 2 AND d <= 12 THEN make_date(year(day), d, m) END AS gb FROM t""",
     "norm_integer": f"""
-        SELECT o_orderkey, CAST({_case_sql("o_orderkey", "NULL", "NULL", "o_orderkey", "NULL")} AS DECIMAL(38,0)) AS value,
-               {_case_sql("NULL", "'INVALID_INTEGER'", "'INVALID_INTEGER'", "NULL", "'INVALID_NUMBER'")} AS issue FROM orders""",
+        SELECT o_orderkey, CAST({_case_sql("o_orderkey", "NULL", "NULL", "NULL", "NULL")} AS DECIMAL(38,0)) AS value,
+               {_case_sql("NULL", "'INVALID_INTEGER'", "'INVALID_INTEGER'", "'INVALID_INTEGER'", "'INVALID_NUMBER'")} AS issue FROM orders""",
     "norm_money": f"""
         SELECT o_orderkey, CAST({_case_sql("o_orderkey", "o_orderkey", "NULL", "NULL", "o_orderkey")} AS DECIMAL(38,10)) AS value,
                {_case_sql("NULL", "NULL", "'CURRENCY_MISMATCH'", "'AMBIGUOUS_CURRENCY'", "NULL")} AS issue FROM orders""",
@@ -136,7 +159,7 @@ ORACLE_SQL = {
     "norm_datetime": f"""
         SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) + INTERVAL 37230 SECOND
                WHEN 1 THEN CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) + INTERVAL 30030 SECOND END AS value,
-               CASE WHEN o_orderkey % 4 > 1 THEN 'INVALID_DATETIME' END AS issue FROM orders""",
+               CASE WHEN o_orderkey % 4 > 1 THEN 'TIMEZONE_REQUIRED' END AS issue FROM orders""",
     "norm_phone": f"""
         SELECT o_orderkey, {_case_sql(f"'+1555' || {_S7}", "NULL", "NULL", "NULL", f"'+4' || {_S7}")} AS value,
                CASE WHEN o_orderkey % 5 IN (1, 2, 3) THEN 'INVALID_PHONE' END AS issue FROM orders""",

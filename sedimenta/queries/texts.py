@@ -21,6 +21,12 @@ def log_parse_kv(spark, d):
     return rows.select("line_no", "level", F.element_at("kv", "type").alias("type"), F.element_at("kv", "user").alias("user"))
 
 
+def log_repeated_keys(spark, d):
+    """Lines in which a key comes twice: the first value counts."""
+    line = F.concat(F.col("line"), F.lit(" type=again user=0 note=\"two words\""))
+    return _log(spark, d).select("line_no", L.key_values(line).alias("kv")).select("line_no", F.element_at("kv", "type").alias("type"), F.element_at("kv", "note").alias("note"), F.size("kv").alias("n"))
+
+
 def log_template_mining(spark, d):
     return L.templates(_log(spark, d))
 
@@ -67,12 +73,13 @@ def injection_flags(spark, d):
     return talk.union(fixture).select("id", F.array_join(codes, ",").alias("codes"), X.severity(codes).alias("severity")).where("codes <> ''")
 
 
-QUERIES = {q.__name__: q for q in (log_parse_kv, log_template_mining, log_group_fixed, log_group_blank, gaps_islands, doc_key_value, pii_spans, pii_classify, redact_docs, injection_flags)}
+QUERIES = {q.__name__: q for q in (log_parse_kv, log_repeated_keys, log_template_mining, log_group_fixed, log_group_blank, gaps_islands, doc_key_value, pii_spans, pii_classify, redact_docs, injection_flags)}
 
 _LOG = "SELECT event_id AS line_no, strftime(ts, '%Y-%m-%d %H:%M:%S') || CASE WHEN event_type = 'error' THEN ' ERROR ' ELSE ' INFO ' END || 'type=' || event_type || ' user=' || user_id AS line FROM events"
 _LINES = "SELECT doc_id AS id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents"
 ORACLE_SQL = {
     "log_parse_kv": f"""SELECT line_no, regexp_extract(line, '(DEBUG|INFO|WARN|ERROR)', 1) AS level, regexp_extract(line, 'type=(\\S+)', 1) AS type, regexp_extract(line, 'user=(\\S+)', 1) AS "user" FROM ({_LOG})""",
+    "log_repeated_keys": "SELECT event_id AS line_no, event_type AS type, 'two words' AS note, CAST(3 AS INTEGER) AS n FROM events",
     "log_template_mining": f"""SELECT '<time>' || substr(regexp_replace(line, 'user=[0-9]+', 'user=<number>'), 20) AS template, count(*) AS n FROM ({_LOG}) GROUP BY 1 HAVING count(*) >= 2""",
     "log_group_fixed": f"SELECT id, CAST(floor(line_no / 3) AS BIGINT) AS group_no, count(*) AS n, CAST(min(line_no) AS INTEGER) AS first FROM ({_LINES}) GROUP BY 1, 2",
     "log_group_blank": f"""

@@ -9,17 +9,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset, a folder of our own for local runs, else the warehouse."""
+    """spark.checkpoint.dir; where it is unset, a temporary folder of our own, which only local runs have a use for."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        local = spark.sparkContext.master.startswith("local[")
-        root = tempfile.mkdtemp(prefix="spark-sedimenta-") if local else spark.conf.get("spark.sql.warehouse.dir")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="spark-sedimenta-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` written as a table in the shared folder and read again."""
-    path = f"{shared_dir(df.sparkSession)}/sedimenta/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def written(df: DataFrame, compression: str = "zstd") -> DataFrame:
+    """Cut the lineage: write ``df`` as a table in the shared folder and read it again.
+
+    A lost executor later costs a reread of some files and no recomputation, and several readers share one pass.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/sedimenta/{uuid.uuid4().hex}"
+    df.write.option("compression", compression).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
