@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sedimenta.sources.shared import shared_dir, written
+
+__all__ = ["WORD_PATTERN", "ascii_words", "fold", "fold_column", "shared_dir", "table", "written"]
+
 #: A word is a run of anything but space and the five ASCII controls from tab to carriage return.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
@@ -18,27 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else one of our own for local runs."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        local = spark.sparkContext.master.startswith("local")
-        root = tempfile.mkdtemp(prefix="spark-sedimenta-") if local else spark.conf.get("spark.sql.warehouse.dir")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def written(df: DataFrame, compression: str = "zstd") -> DataFrame:
-    """Cut the lineage: write ``df`` as a table in the shared folder and read it again.
-
-    A lost executor later costs a reread of some files and no recomputation, and several readers share one pass.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/sedimenta/{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def ascii_words(text: str | None) -> list[bytes]:
     """The words of a text, A-Z lower-cased, as UTF-8. ``bytes`` methods know ASCII only, as wanted here."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []

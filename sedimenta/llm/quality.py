@@ -6,7 +6,7 @@ same. Neighbour lines' labels are tied by transition weights. A document's quali
 forward-backward algorithm, weighted by length.
 
 The field is fitted, by gradient ascent on the conditional likelihood, on a bounded sample of labelled documents whose
-lines all carry the document's label.
+lines all carry the document's label. The sample is small enough for one task, which alone holds its features.
 """
 
 from __future__ import annotations
@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 
 from sedimenta.llm.common import fold, fold_column
 
-#: The sample for fitting: so many documents at most (by hash of the id), of so many lines each at most.
-FIT_DOCS, FIT_LINES = 4000, 400
+#: The sample for fitting, the first by hash of the id: so many documents at most, of so many lines and characters each
+#: at most, and so many lines in all. Longer documents are left out of it.
+FIT_DOCS, FIT_LINES, FIT_CHARS, FIT_ALL = 4000, 400, 1 << 16, 100_000
 STEPS, RATE, PENALTY = 150, 0.05, 1e-3
 THRESHOLD = 0.3
 #: Bytes of text whose features are made at once.
@@ -83,9 +84,9 @@ class Field:
         """What speaks for good in each line."""
         first = np.zeros(len(x), bool)
         first[np.concatenate(([0], np.cumsum(lines_of)[:-1]))] = True
-        out = x @ self.own
-        out[1:] += np.where(first[1:], 0, (x @ self.before)[:-1])
-        out[:-1] += np.where(first[1:], 0, (x @ self.after)[1:])
+        out, before, after = (x @ np.stack((self.own, self.before, self.after), axis=1).astype(np.float32)).astype(np.float64).T
+        out[1:] += np.where(first[1:], 0, before[:-1])
+        out[:-1] += np.where(first[1:], 0, after[1:])
         return out
 
 
@@ -131,7 +132,6 @@ def fit_field(x: np.ndarray, lines_of: np.ndarray, labels: np.ndarray) -> Field:
     field = Field(*(np.zeros(N_FEATURES) for _ in range(3)), np.zeros((2, 2)))
     if not len(labels):
         return field
-    x = x.astype(np.float64)
     of_line = np.repeat(labels, lines_of).astype(float)
     share = np.repeat(1 / lines_of, lines_of)
     told = np.zeros((2, 2))
@@ -143,7 +143,7 @@ def fit_field(x: np.ndarray, lines_of: np.ndarray, labels: np.ndarray) -> Field:
         good, expected = forward_backward(field.pull(x, lines_of), lines_of, field.moves)
         miss = (of_line - good) * share
         to_before, to_after = _shifted(miss, lines_of)
-        slope = np.concatenate((x.T @ miss, x.T @ to_before, x.T @ to_after)) / len(labels)
+        slope = (x.T @ np.stack((miss, to_before, to_after), axis=1).astype(np.float32)).T.ravel().astype(np.float64) / len(labels)
         slope = np.concatenate((slope, ((told - expected) / max(1, told.sum())).ravel())) - PENALTY * vector
         m, v = 0.9 * m + 0.1 * slope, 0.999 * v + 0.001 * slope**2
         vector = vector + RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -168,8 +168,8 @@ def _chunks(texts: list[str | None]):
 def fit(docs: DataFrame, labels: DataFrame, limit: int = FIT_DOCS, id_col: str = "doc_id", text_col: str = "text") -> Field:
     """A field from at most ``limit`` documents that have a label (the least by hash of the id) and are not held out.
 
-    Labels that are null, and ids that have several different labels, are left out, as are documents of more than
-    FIT_LINES lines. Without any label, the field gives every line 1/2.
+    Labels that are null, and ids that have several different labels, are left out, as are documents over FIT_LINES
+    or FIT_CHARS; beyond FIT_ALL lines no more documents are taken. Without any label, the field gives every line 1/2.
     """
     told = (
         labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (fold_column("doc_id") != 0))
@@ -180,29 +180,32 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = FIT_DOCS, id_col: str =
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(limit)
     )
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-
-    def features(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            marks, out = b.column(1).to_pylist(), []
-            for chunk in _chunks(b.column(0).to_pylist()):
-                x, _, lines_of = line_features(chunk)
-                ends = np.cumsum(lines_of)
-                out += [(x[e - n : e].astype("<f4").tobytes(), int(n)) for e, n in zip(ends, lines_of, strict=True)]
-            rows = [(f, n, q) for (f, n), q in zip(out, marks, strict=True) if n <= FIT_LINES]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int32())], names=["x", "n", "quality"]
-            )
-
-    sample = texts.join(F.broadcast(told), "doc_id").select("text", F.col("quality").cast("int").alias("quality"))  # limit rows at most
-    rows = sample.mapInArrow(features, "x binary, n int, quality int").collect()
-    if not rows:
-        return fit_field(np.empty((0, N_FEATURES)), np.empty(0, np.int64), np.empty(0))
-    rows.sort(key=lambda r: (r["n"], r["quality"], bytes(r["x"])))  # the sum's order must not depend on tasks
-    x = np.concatenate([np.frombuffer(r["x"], "<f4").reshape(-1, N_FEATURES) for r in rows])
-    return fit_field(x, np.array([r["n"] for r in rows]), np.array([r["quality"] for r in rows]))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = texts.where((F.length("text") <= FIT_CHARS) & (F.size(F.split("text", "\n", -1)) <= FIT_LINES))
+    sample = texts.join(F.broadcast(told), "doc_id")  # limit rows at most
+    sample = sample.select(F.xxhash64("doc_id").alias("draw"), "doc_id", "text", F.col("quality").cast("int").alias("quality"))
+
+    def learn(frames):
+        import pandas as pd
+
+        rows = sorted(r for f in frames for r in zip(f["draw"], f["doc_id"], f["quality"], f["text"], strict=True))  # the sum's order must not depend on tasks
+        parts, sizes, marks = [], [], []
+        for *_, quality, text in rows:
+            if sum(sizes) > FIT_ALL:
+                break
+            x, _, lines_of = line_features([text.encode("utf-8", "surrogatepass")])
+            parts.append(x)
+            sizes.append(int(lines_of[0]))
+            marks.append(quality)
+        if parts:
+            field = fit_field(np.concatenate(parts), np.array(sizes), np.array(marks))
+            yield pd.DataFrame({"weights": [np.concatenate((field.own, field.before, field.after, field.moves.ravel())).tobytes()]})
+
+    found = sample.repartition(1).mapInPandas(learn, "weights binary").collect()
+    if not found:
+        return fit_field(np.empty((0, N_FEATURES), np.float32), np.empty(0, np.int64), np.empty(0))
+    own, before, after, moves = np.split(np.frombuffer(found[0]["weights"]), [N_FEATURES, 2 * N_FEATURES, 3 * N_FEATURES])
+    return Field(own, before, after, moves.reshape(2, 2))
 
 
 def text_scores(texts: list[str | None], field: Field) -> np.ndarray:
