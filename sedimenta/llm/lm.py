@@ -1,25 +1,25 @@
 """Language-model scores of whole documents by a gated recurrent network.
 
-Vocabulary and counts come from all training tokens. Blocks of rows send the distinct tokens they hold, with their
-counts, to owners by hash; an owner adds up and answers every block for the tokens it sent. So each token travels once
-for each block, however often it occurs, and neither the counts nor the vocabulary are ever in one place.
+Rows are kept in blocks of tokens. Vocabulary and counts come from all training tokens: each block gives its distinct
+tokens with their counts, which Spark adds up by token and joins back, so neither the counts nor the vocabulary are ever
+in one place, and a token travels once for each block however often it occurs.
 
 The network predicts the frequent tokens: those whose count is at least a fixed share of all, so that their number has
-a bound whatever the corpus. All others are rare classes by their last letters, within which a token has its smoothed
-share of the counts, a token never seen in training that of half an occurrence. The output is factored: a softmax over classes of about equal mass, then one over the words of a class. Output biases start
-at the counts, which makes the untrained model the base model; training then moves away from it.
-
-Training is truncated back-propagation through time in numpy, over every training document from its first token to its
-last: the state is carried from window to window, gradients are not. Blocks train side by side from the same weights, which are
-then averaged by parts in a shuffle, round after round. Scoring runs over whole documents, many in step, the state
-carried across windows from the first token to the last.
+a bound whatever the corpus. All others are rare words by their last letters, within which a token has its smoothed
+share of the counts, a token never seen in training that of half an occurrence. The output is factored: a softmax over
+classes of about equal mass, then one over the words of a class. Output biases start at the counts, which makes the
+untrained model the base model; training then moves away from it.
+
+Training is truncated back-propagation through time in numpy, over every training document once, from its first token to
+its last: the state is carried from window to window, gradients are not. Documents are dealt to lanes that go in step, one
+document after the other in each. Blocks train side by side from the same weights, which are then averaged by parts in
+a shuffle; each round takes its share of the documents. Scoring runs over whole documents in the same lanes.
 """
 
 from __future__ import annotations
 
-import uuid
+import heapq
 from dataclasses import dataclass
-from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -31,20 +31,20 @@ from sedimenta.llm.common import ascii_words, fold, written
 HELD_OUT = 1
 #: A token is frequent if it is at least one in so many, which is also the bound on the number of frequent ones.
 FREQUENT = 4096
-HIDDEN, CLASSES, WINDOW, LANES = 24, 64, 48, 16
+HIDDEN, CLASSES, WINDOW = 24, 64, 48
+#: Lanes that training and scoring go in; a wider step costs less a token, a narrower one learns more from each.
+LANES, SCORE_LANES = 128, 256
+#: Rounds between which weights are averaged. A document is in one of them.
 ROUNDS, RATE = 2, 0.08
-#: Texts of at least so many tokens are trained on first, so that none is left to run alone at a block's end.
-LONG = 2048
-#: Tokens of a block at most (a longer document is a block of its own); distinct tokens an owner is sent, on average.
-BLOCK_TOKENS, OWNER_TOKENS = 1 << 20, 3_000_000
-#: Numbers of a part of the weights, the unit in which they are averaged.
-PART = 1 << 14
+#: Tokens of a block at most (a longer document is a block of its own).
+BLOCK_TOKENS = 1 << 22
+#: Numbers of a part of the weights, the unit in which they are averaged; shares in which a part is added up first.
+PART, SHARES = 1 << 14, 16
 START = 0
-#: Rare tokens by kind: the last letter; the last byte of another script; a digit; anything else. Word 1 + kind.
+#: Rare tokens by kind: the last letter; the last byte of another script; a digit; anything else.
 KINDS = 44
 _KIND_BITS = 63
 
-
 # ---- blocks of tokens
 
 
@@ -70,9 +70,10 @@ class _Tokens(dict):
 def _blocks(batches):
     """Rows into blocks: ids, fold marks, lengths in tokens (with the end), and tokens as places among the distinct."""
     import pyarrow as pa
+    from pyspark import TaskContext
 
-    number = _Tokens()
-    names = ["block", "ids", "nulls", "held", "lengths", "tokens", "distinct", "train_counts"]
+    number, task, made = _Tokens(), TaskContext.get().partitionId(), 0
+    names = [f.split()[0] for f in BLOCK_SCHEMA.split(", ")]
 
     def block(ids, hashes):
         lengths = np.array([len(h) for h in hashes], np.int64)
@@ -80,7 +81,8 @@ def _blocks(batches):
         every = np.concatenate(hashes)
         distinct, places = np.unique(every, return_inverse=True)
         counts = np.bincount(places[np.repeat(~held, lengths)], minlength=len(distinct))
-        values = [uuid.uuid4().hex, np.array([0 if i is None else i for i in ids], np.int64).tobytes(), np.packbits([i is None for i in ids]).tobytes(), held.tobytes(), lengths.tobytes(), places.astype("<u4").tobytes(), distinct.tobytes(), counts.astype("<i8").tobytes()]
+        whole = np.array([0 if i is None else i for i in ids], np.int64)
+        values = [f"{task}-{made}", whole.tobytes(), np.packbits([i is None for i in ids]).tobytes(), held.tobytes(), lengths.tobytes(), places.astype("<u4").tobytes(), distinct.tobytes(), counts.astype("<i8").tobytes()]
         return pa.RecordBatch.from_arrays([pa.array([v]) for v in values], names=names)
 
     ids, hashes, size = [], [], 0
@@ -89,7 +91,7 @@ def _blocks(batches):
             found = np.array([number[w] for w in (*ascii_words(text), b"")], np.uint64)
             if ids and size + len(found) > BLOCK_TOKENS:
                 yield block(ids, hashes)
-                ids, hashes, size = [], [], 0
+                ids, hashes, size, made = [], [], 0, made + 1
                 number.clear()
             ids.append(i)
             hashes.append(found)
@@ -102,54 +104,28 @@ BLOCK_SCHEMA = "block string, ids binary, nulls binary, held binary, lengths bin
 
 
 def counted(docs: DataFrame) -> tuple[DataFrame, DataFrame, np.ndarray, np.ndarray, list[tuple[int, int]]]:
-    """Blocks; by block, the answers with the counts of its distinct tokens; tokens and distinct tokens of training rows by kind; and the
+    """Blocks; by block, the counts of its distinct tokens; tokens and distinct tokens of training rows by kind; and the
     frequent tokens (number, count)."""
     blocks = written(docs.mapInArrow(_blocks, BLOCK_SCHEMA))
-    sent = blocks.agg(F.sum(F.length("distinct") / 8)).first()[0] or 0
-    owners = max(1, int(-(-sent // OWNER_TOKENS)))
-
-    def send(frames):
-        for f in frames:
-            for block, distinct, counts in zip(f["block"], f["distinct"], f["train_counts"], strict=True):
-                values, n = np.frombuffer(distinct, np.uint64), np.frombuffer(counts, "<i8")
-                cuts = [*(int(np.searchsorted(values, np.uint64((o << 64) // owners))) for o in range(owners)), len(values)]
-                yield pd.DataFrame({"owner": range(owners), "block": block, "hashes": [values[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], "counts": [n[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]})
-
-    def add_up(key, group):
-        lists = [np.frombuffer(h, np.uint64) for h in group["hashes"]]
-        distinct, places = np.unique(np.concatenate(lists), return_inverse=True)
-        totals = np.zeros(len(distinct), np.int64)
-        np.add.at(totals, places, np.concatenate([np.frombuffer(c, "<i8") for c in group["counts"]]))
-        known, kinds = totals > 0, (distinct & np.uint64(_KIND_BITS)).astype(np.int64)
-        by_kind = lambda x: np.bincount(kinds, weights=x, minlength=KINDS).astype(np.int64)
-        common = np.flatnonzero(totals * FREQUENT >= max(1, totals.sum()))  # a superset of the owner's frequent ones
-        out = pd.DataFrame({"block": group["block"], "owner": int(key[0]), "answer": [p.astype("<i8").tobytes() for p in np.split(totals[places], np.cumsum([len(x) for x in lists])[:-1])]})
-        told = pd.DataFrame({"block": [None], "owner": [int(key[0])], "answer": [np.concatenate((by_kind(totals), by_kind(known), distinct[common].view(np.int64), totals[common])).tobytes()]})
-        return pd.concat((out, told), ignore_index=True)
-
-    answers = written(blocks.select("block", "distinct", "train_counts").mapInPandas(send, "owner int, block string, hashes binary, counts binary").groupBy("owner").applyInPandas(add_up, "block string, owner int, answer binary"))
-    # of each owner two numbers a kind and its most frequent tokens, FREQUENT at most; only those frequent in all are kept
-    told = answers.where("block is null").select("answer")
-    def sums(fs):
-        for f in fs:
-            for a in f["answer"]:
-                n, v = np.split(np.frombuffer(a, np.int64)[: 2 * KINDS], 2)
-                yield pd.DataFrame({"kind": range(KINDS), "n": n, "v": v})
 
-    tokens, distinct = np.zeros(KINDS, np.int64), np.zeros(KINDS, np.int64)
-    for r in told.mapInPandas(sums, "kind int, n long, v long").groupBy("kind").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():
-        tokens[r["kind"]], distinct[r["kind"]] = r["n"], r["v"]
-    total = int(tokens.sum())
+    def apart(batches):
+        import pyarrow as pa
 
-    def frequent(fs):
-        for f in fs:
-            for a in f["answer"]:
-                hashes, counts = np.split(np.frombuffer(a, np.int64)[2 * KINDS :], 2)
-                keep = (counts * FREQUENT >= total) & (counts > 1)
-                yield pd.DataFrame({"hash": hashes[keep], "n": counts[keep]})
+        for batch in batches:
+            for block, distinct, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                values = np.frombuffer(distinct, np.int64)
+                columns = [pa.array([block] * len(values)), pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values), pa.array(np.frombuffer(counts, np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names=["block", "place", "hash", "n"])
 
-    common = [(int(r["hash"]), int(r["n"])) for r in told.mapInPandas(frequent, "hash long, n long").collect()]
-    gathered = answers.where("block is not null").groupBy("block").agg(F.collect_list(F.struct("owner", "answer")).alias("answers"))
+    each = blocks.select("block", "distinct", "train_counts").mapInArrow(apart, "block string, place int, hash long, n long")
+    totals = written(each.groupBy("hash").agg(F.sum("n").alias("total")))
+    tokens, distinct = np.zeros(KINDS, np.int64), np.zeros(KINDS, np.int64)
+    for r in totals.groupBy(F.col("hash").bitwiseAND(_KIND_BITS).alias("kind")).agg(F.sum("total").alias("n"), F.count_if(F.col("total") > 0).alias("v")).collect():
+        tokens[r["kind"]], distinct[r["kind"]] = r["n"], r["v"]
+    often = totals.where((F.col("total") * FREQUENT >= int(tokens.sum())) & (F.col("total") > 1))
+    common = [(r["hash"], r["total"]) for r in often.collect()]  # FREQUENT rows at most
+    ordered = F.array_sort(F.collect_list(F.struct("place", "total")))
+    gathered = each.drop("n").join(totals, "hash").groupBy("block").agg(F.transform(ordered, lambda x: x["total"]).alias("totals"))
     return blocks, gathered, tokens, distinct, sorted(common, key=lambda x: (-x[1], x[0]))
 
 
@@ -158,41 +134,41 @@ def counted(docs: DataFrame) -> tuple[DataFrame, DataFrame, np.ndarray, np.ndarr
 
 @dataclass
 class Shape:
-    """Words and classes: word w (START, the rare kinds, then frequent by falling count) is the ``at``-th of its class."""
+    """Words and classes. Words are numbered from 1 by falling mass; a class is a run of them. START is word 0."""
 
     hashes: np.ndarray  # of the frequent words, sorted
     words: np.ndarray  # their numbers
+    kind_words: np.ndarray  # of the rare kinds
     class_of: np.ndarray
-    at: np.ndarray
-    first: np.ndarray  # of each class's words in the order of numbers
+    first: np.ndarray  # of each class
     size: np.ndarray
     logs: np.ndarray  # log mass of each word by counts
     rare: np.ndarray  # smoothed count of each rare kind
 
 
 def shape_of(common: list[tuple[int, int]], tokens: np.ndarray, distinct: np.ndarray) -> Shape:
-    """Classes of about equal mass of the frequent words by count; before them, each rare kind is a class of its own."""
+    """Classes of about equal mass of the frequent words and the rare kinds."""
     hashes = np.array([h for h, _ in common], np.int64).view(np.uint64)
     counts = np.array([c for _, c in common], float)
     kinds = (hashes & np.uint64(_KIND_BITS)).astype(np.int64)
     rare = tokens - np.bincount(kinds, counts, KINDS) + 0.5 * (distinct - np.bincount(kinds, minlength=KINDS) + 1)
     mass = np.concatenate((rare, counts + 0.5))
     mass /= mass.sum()
-    own = mass[KINDS:]
-    cut = np.minimum((np.cumsum(own) - own) / max(own.sum(), 1e-12) * CLASSES, CLASSES - 1).astype(np.int64)
+    order = np.argsort(-mass, kind="stable")
+    word = np.empty(len(mass), np.int64)
+    word[order] = np.arange(1, len(mass) + 1)
+    mass = mass[order]
+    cut = np.minimum((np.cumsum(mass) - mass) * CLASSES, CLASSES - 1).astype(np.int64)
     _, cut = np.unique(cut, return_inverse=True)
-    class_of = np.concatenate(([-1], np.arange(KINDS), KINDS + cut)).astype(np.int64)
-    size = np.bincount(class_of[1:])
+    size = np.bincount(cut)
     first = np.concatenate(([1], 1 + np.cumsum(size)[:-1]))
-    at = np.arange(len(class_of)) - first[np.maximum(class_of, 0)]
-    order = np.argsort(hashes)
-    return Shape(hashes[order], order + 1 + KINDS, class_of, at, first, size, np.log(np.concatenate(([1], mass))), rare)
+    sort = np.argsort(hashes)
+    return Shape(hashes[sort], word[KINDS:][sort], word[:KINDS], np.concatenate(([-1], cut)), first, size, np.log(np.concatenate(([1], mass))), rare)
 
 
 def start_weights(shape: Shape, hidden: int = HIDDEN, seed: int = 7) -> dict[str, np.ndarray]:
     rng, n = np.random.default_rng(seed), len(shape.class_of)
-    mass = np.exp(shape.logs[1:])
-    of_class = np.bincount(shape.class_of[1:], weights=mass)
+    of_class = np.bincount(shape.class_of[1:], weights=np.exp(shape.logs[1:]))
     g = lambda *s: (rng.standard_normal(s) / np.sqrt(s[-1])).astype(np.float32)
     return {
         "E": g(n, hidden),  # inputs
@@ -202,131 +178,220 @@ def start_weights(shape: Shape, hidden: int = HIDDEN, seed: int = 7) -> dict[str
     }
 
 
-def _sigmoid(x):
-    return 0.5 + 0.5 * np.tanh(0.5 * x)
-
-
-def run_window(p: dict, inputs: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, list]:
-    """States after each step of inputs (steps x lanes), and what going back needs."""
-    k = h.shape[1]
-    states, kept = np.empty((*inputs.shape, k), np.float32), []
-    from_input = p["E"][inputs] @ p["W"].T + p["b"]
-    for t in range(len(inputs)):
-        a, u = from_input[t], h @ p["U"].T
-        zr = _sigmoid(a[:, : 2 * k] + u[:, : 2 * k])
-        z, r = zr[:, :k], zr[:, k:]
-        new = np.tanh(a[:, 2 * k :] + r * u[:, 2 * k :])
-        kept.append((h, z, r, new, u[:, 2 * k :]))
-        h = new + z * (h - new)
-        states[t] = h
-    return states, kept
-
-
-def _log_softmax(x):
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+@dataclass
+class Steps:
+    """What going back through a window needs: for each step the states before it, gates, new states and what the states
+    gave to these, as (step, unit, lane)."""
+
+    before: np.ndarray
+    gates: np.ndarray
+    new: np.ndarray
+    from_state: np.ndarray
+
+
+def run_window(p: dict, inputs: np.ndarray, h: np.ndarray, goes_on: np.ndarray | None = None) -> tuple[np.ndarray, Steps]:
+    """States (step, lane, unit) after each step of inputs (step, lane), from states h (lane, unit). ``goes_on`` is 0 where
+    a text begins, which is where the state before it does not count."""
+    (steps, lanes), k, kind = inputs.shape, h.shape[1], p["U"].dtype
+    half = np.repeat(np.array([0.5, 0.5, 1], kind), k)  # a sigmoid is a tanh of half its argument
+    recur = p["U"] * half[:, None]
+    table = (p["E"] @ p["W"].T + p["b"]) * half
+    from_input = np.ascontiguousarray(table[inputs].transpose(0, 2, 1))
+    out = Steps(*(np.empty((steps, n * k, lanes), kind) for n in (1, 2, 1, 1)))
+    states = np.empty((steps, k, lanes), kind)
+    h = np.ascontiguousarray(h.T)
+    for t in range(steps):
+        before, zr, new, un, a = out.before[t], out.gates[t], out.new[t], out.from_state[t], from_input[t]
+        if goes_on is None:
+            before[:] = h
+        else:
+            np.multiply(h, goes_on[t], out=before)
+        u = recur @ before
+        np.add(a[: 2 * k], u[: 2 * k], out=zr)
+        np.tanh(zr, out=zr)
+        zr *= 0.5
+        zr += 0.5
+        un[:] = u[2 * k :]
+        np.multiply(zr[k:], un, out=new)
+        new += a[2 * k :]
+        np.tanh(new, out=new)
+        h = states[t]
+        np.subtract(before, new, out=h)
+        h *= zr[:k]
+        h += new
+    return np.ascontiguousarray(states.transpose(0, 2, 1)), out
+
+
+def _softmax(x: np.ndarray, at: np.ndarray, whole: bool) -> np.ndarray:
+    """The logs of the probabilities ``at``, of rows of logits; if ``whole``, x becomes all the probabilities."""
+    np.clip(x, -60, 60, out=x)
+    told = x[np.arange(len(x)), at]
+    np.exp(x, out=x)
+    total = x @ np.ones(x.shape[1], x.dtype)
+    if whole:
+        x *= (1 / total)[:, None]
+    return told - np.log(total)
 
 
 def log_probabilities(p: dict, shape: Shape, h: np.ndarray, words: np.ndarray, slopes: dict | None = None, scale: float = 1.0):
     """Natural logs of the words' probabilities after states h; with ``slopes``, adds the losses' gradients to them and
     returns the one by h too."""
-    of = shape.class_of[words]
-    by_class = _log_softmax(h @ p["C"].T + p["c"])
-    out = by_class[np.arange(len(words)), of].astype(np.float64)
-    if slopes is not None:
-        d = np.exp(by_class)
-        d[np.arange(len(words)), of] -= 1
-        d *= scale
-        slopes["C"] += d.T @ h
-        slopes["c"] += d.sum(axis=0)
-        dh = d @ p["C"]
-    order = np.argsort(of, kind="stable")
-    for part in np.split(order, np.flatnonzero(np.diff(of[order])) + 1) if len(order) else []:
-        c = of[part[0]]
-        if shape.size[c] == 1:
-            continue
-        rows = slice(shape.first[c], shape.first[c] + shape.size[c])
-        within = _log_softmax(h[part] @ p["O"][rows].T + p["o"][rows])
-        at = shape.at[words[part]]
-        out[part] += within[np.arange(len(part)), at]
-        if slopes is not None:
-            d = np.exp(within)
-            d[np.arange(len(part)), at] -= 1
-            d *= scale
-            slopes["O"][rows] += d.T @ h[part]
-            slopes["o"][rows] += d.sum(axis=0)
-            dh[part] += d @ p["O"][rows]
-    return out if slopes is None else (out, dh)
-
-
-def back_through(p: dict, inputs: np.ndarray, kept: list, dh_out: np.ndarray, slopes: dict) -> None:
-    """Gradients of a window; what flows into the state before it is cut off."""
-    k = dh_out.shape[2]
-    dh, d_in = np.zeros_like(dh_out[0]), np.empty((*inputs.shape, 3 * k), np.float32)
-    dus = np.empty_like(d_in)
+    of, train = shape.class_of[words], slopes is not None
+    order = np.argsort(of.astype(np.uint16), kind="stable")
+    h, words, of, ones = h[order], words[order], of[order], np.ones(len(words), h.dtype)
+    x = h @ p["C"].T
+    x += p["c"]
+    logs = _softmax(x, of, train).astype(np.float64)
+    if train:
+        x[np.arange(len(words)), of] -= 1
+        x *= scale
+        slopes["C"] += x.T @ h
+        slopes["c"] += ones @ x
+        dh = x @ p["C"]
+    ends = np.cumsum(np.bincount(of, minlength=len(shape.size)))
+    within = words - shape.first[of]
+    begin = 0
+    for c, end in enumerate(ends.tolist()):
+        if end > begin and shape.size[c] > 1:
+            part, rows = slice(begin, end), slice(shape.first[c], shape.first[c] + shape.size[c])
+            x = h[part] @ p["O"][rows].T
+            x += p["o"][rows]
+            logs[part] += _softmax(x, within[part], train)
+            if train:
+                x[np.arange(len(x)), within[part]] -= 1
+                x *= scale
+                slopes["O"][rows] += x.T @ h[part]
+                slopes["o"][rows] += ones[part] @ x
+                dh[part] += x @ p["O"][rows]
+        begin = end
+    out = np.empty_like(logs)
+    out[order] = logs
+    if not train:
+        return out
+    back = np.empty_like(dh)
+    back[order] = dh
+    return out, back
+
+
+def back_through(p: dict, inputs: np.ndarray, kept: Steps, dh_out: np.ndarray, slopes: dict, goes_on: np.ndarray | None = None) -> np.ndarray:
+    """Adds the gradients of a window, from those by its states (step, lane, unit), and gives the words that have been
+    inputs; what flows into the state before the window is cut off."""
+    k, u = dh_out.shape[2], np.ascontiguousarray(p["U"].T)
+    z, r, new = kept.gates[:, :k], kept.gates[:, k:], kept.new
+    to_new, to_z, to_r = (1 - z) * (1 - new * new), z * (1 - z) * (kept.before - new), kept.from_state * r * (1 - r)
+    dh_out = np.ascontiguousarray(dh_out.transpose(0, 2, 1))
+    d_in, d_un = np.empty((len(inputs), 3 * k, inputs.shape[1]), u.dtype), np.empty_like(new)
+    du, dh = np.empty((3 * k, inputs.shape[1]), u.dtype), np.zeros_like(dh_out[0])
     for t in range(len(inputs) - 1, -1, -1):
-        h, z, r, new, un = kept[t]
-        dh = dh + dh_out[t]
-        d_new = dh * (1 - z) * (1 - new**2)
-        dz = dh * (h - new) * z * (1 - z)
-        dr = d_new * un * r * (1 - r)
-        d_in[t, :, :k], d_in[t, :, k : 2 * k], d_in[t, :, 2 * k :] = dz, dr, d_new
-        du = dus[t]
-        du[:, : 2 * k], du[:, 2 * k :] = d_in[t, :, : 2 * k], d_new * r
-        dh = dh * z + du @ p["U"]
-    slopes["U"] += dus.reshape(-1, 3 * k).T @ np.concatenate([step[0] for step in kept])
-    flat = d_in.reshape(-1, 3 * k)
-    words = inputs.ravel()
-    slopes["W"] += flat.T @ p["E"][words]
-    slopes["b"] += flat.sum(axis=0)
-    order = np.argsort(words, kind="stable")
-    first = np.flatnonzero(np.diff(words[order], prepend=-1))
-    slopes["E"][words[order[first]]] += np.add.reduceat((flat @ p["W"])[order], first)
+        dh += dh_out[t]
+        d = d_in[t]
+        np.multiply(dh, to_z[t], out=d[:k])
+        np.multiply(dh, to_new[t], out=d[2 * k :])
+        np.multiply(d[2 * k :], to_r[t], out=d[k : 2 * k])
+        np.multiply(d[2 * k :], r[t], out=d_un[t])
+        du[: 2 * k], du[2 * k :] = d[: 2 * k], d_un[t]
+        dh *= z[t]
+        dh += u @ du
+        if goes_on is not None:
+            dh *= goes_on[t]
+    by_row = lambda x: x.transpose(1, 0, 2).reshape(x.shape[1], -1)
+    flat, before = by_row(d_in), by_row(kept.before)
+    slopes["U"][: 2 * k] += flat[: 2 * k] @ before.T
+    slopes["U"][2 * k :] += by_row(d_un) @ before.T
+    order = np.argsort(inputs.ravel().astype(np.uint16), kind="stable")  # words are FREQUENT and KINDS at most
+    ordered = inputs.ravel()[order]
+    begins = np.flatnonzero(np.diff(ordered, prepend=-1))
+    words = ordered[begins]
+    by_word = np.add.reduceat(np.ascontiguousarray(flat.T)[order], begins)
+    slopes["W"] += by_word.T @ p["E"][words]
+    slopes["b"] += by_word.sum(axis=0)
+    slopes["E"][words] += by_word @ p["W"]
+    return words
+
+
+# ---- lanes
+
+
+class Lanes:
+    """Texts (none is empty) dealt to lanes: the longest first to the lane that has least, then each lane in their order."""
+
+    def __init__(self, texts: list[np.ndarray], lanes: int):
+        lengths = np.array([len(t) for t in texts], np.int64)
+        lanes = min(lanes, len(texts))
+        heap, of = [(0, j) for j in range(lanes)], [[] for _ in range(lanes)]
+        for i in np.argsort(-lengths, kind="stable").tolist():
+            load, j = heapq.heappop(heap)
+            of[j].append(i)
+            heapq.heappush(heap, (load + int(lengths[i]), j))
+        of = sorted((sorted(o) for o in of), key=lambda o: -int(lengths[o].sum()))
+        order = np.array([i for o in of for i in o])
+        self.loads = np.array([int(lengths[o].sum()) for o in of])
+        self.starts = np.cumsum(self.loads) - self.loads
+        self.words = np.concatenate([texts[i] for i in order.tolist()]).astype(np.int32)
+        begins = np.cumsum(lengths[order]) - lengths[order]
+        self.goes_on = np.ones(len(self.words), np.float32)
+        self.goes_on[begins] = 0
+        self.before = np.concatenate(([START], self.words[:-1]))
+        self.before[begins] = START
+        self.text = np.repeat(order, lengths[order])
+
+    def windows(self):
+        """Of each window, by (step, lane): inputs, words (0 where a lane has ended), goes_on (0 where a text begins) and
+        whose words they are. Lanes that have ended are left out; the others come first."""
+        for a in range(0, int(self.loads.max()), WINDOW):
+            live = int(np.searchsorted(-self.loads, -a, "left"))
+            at = np.arange(a, min(a + WINDOW, int(self.loads[0])))[:, None]
+            real = at < self.loads[:live]
+            where = np.where(real, self.starts[:live] + at, 0)
+            yield np.where(real, self.before[where], START), np.where(real, self.words[where], START), self.goes_on[where], self.text[where]
 
 
 def train(p: dict, shape: Shape, texts: list[np.ndarray]) -> dict:
-    """Adagrad over whole texts (words after START) window by window, LANES texts in step; where one has ended, the next
-    takes its lane. Only rows of E that a window has as inputs have gradients, so only these are updated."""
+    """Adagrad over whole texts window by window, a step for each. Only rows of E that a window has as inputs have
+    gradients, so only these are updated."""
     p = {k: v.copy() for k, v in p.items()}
     past = {k: np.full_like(v, 1e-3) for k, v in p.items()}
     slopes = {k: np.zeros_like(v) for k, v in p.items()}
-    waiting, lanes, h = iter(texts), [], np.zeros((0, p["U"].shape[1]), np.float32)
-    while True:
-        going = [j for j, (s, a) in enumerate(lanes) if a < len(s)]
-        fresh = [(s, 0) for s in islice(waiting, LANES - len(going))]
-        lanes = [lanes[j] for j in going] + fresh
-        if not lanes:
-            return p
-        h = np.vstack((h[going], np.zeros((len(fresh), h.shape[1]), np.float32)))
-        steps = min(WINDOW, max(len(s) - a for s, a in lanes))
-        x, y = np.full((2, steps, len(lanes)), START, np.int64)  # START where a text has ended; these have no loss
-        for j, (s, a) in enumerate(lanes):
-            now = s[a : a + steps]
-            y[: len(now), j] = now
-            x[1 : len(now), j] = now[:-1]
-            if a:
-                x[0, j] = s[a - 1]
-        states, kept = run_window(p, x, h)
+    h = np.zeros((LANES, p["U"].shape[1]), np.float32)
+    for x, y, goes_on, _ in Lanes(texts, LANES).windows():
+        states, kept = run_window(p, x, h[: x.shape[1]], goes_on)
         real = y != START
-        _, d = log_probabilities(p, shape, states[real], y[real], slopes, 1 / real.sum())
-        dh = np.zeros_like(states)
-        dh[real] = d
-        back_through(p, x, kept, dh, slopes)
-        rows = {k: np.unique(x) if k == "E" else slice(None) for k in p}
+        if real.all():
+            dh = log_probabilities(p, shape, states.reshape(-1, h.shape[1]), y.ravel(), slopes, 1 / y.size)[1].reshape(states.shape)
+        else:
+            dh = np.zeros_like(states)
+            dh[real] = log_probabilities(p, shape, states[real], y[real], slopes, 1 / int(real.sum()))[1]
+        met = back_through(p, x, kept, dh, slopes, goes_on)
+        rows = {k: met if k == "E" else slice(None) for k in p}
         own = {k: slopes[k][rows[k]] for k in p}
-        scale = 1 / max(1.0, np.sqrt(sum(float(np.vdot(s, s)) for s in own.values())))
+        scale = np.float32(1 / max(1.0, np.sqrt(sum(float(np.vdot(s, s)) for s in own.values()))))
         for k, s in own.items():
-            s = s * np.float32(scale)
-            past[k][rows[k]] += s * s
-            p[k][rows[k]] -= RATE * s / np.sqrt(past[k][rows[k]])
+            s = s * scale
+            more = past[k][rows[k]] + s * s
+            past[k][rows[k]] = more
+            s *= RATE
+            s /= np.sqrt(more, out=more)
+            p[k][rows[k]] -= s
             slopes[k][rows[k]] = 0
-        lanes = [(s, a + steps) for s, a in lanes]
         h = states[-1]
+    return p
+
+
+def score_texts(p: dict, shape: Shape, texts: list[np.ndarray], lanes: int = SCORE_LANES) -> np.ndarray:
+    """Natural log probabilities of whole texts, the state carried across windows from the first token to the last."""
+    out = np.zeros(len(texts))
+    h = np.zeros((lanes, p["U"].shape[1]), np.float32)
+    for x, y, goes_on, text in Lanes(texts, lanes).windows():
+        states, _ = run_window(p, x, h[: x.shape[1]], goes_on)
+        real = y != START
+        out += np.bincount(text[real], log_probabilities(p, shape, states[real], y[real]), len(texts))
+        h = states[-1]
+    return out
 
 
 def _words(shape: Shape, distinct: np.ndarray) -> np.ndarray:
     """Words of these token numbers: rare kinds for those that are not frequent."""
-    rare = 1 + (distinct & np.uint64(_KIND_BITS)).astype(np.int64)
+    rare = shape.kind_words[(distinct & np.uint64(_KIND_BITS)).astype(np.int64)]
     if not len(shape.hashes):
         return rare
     at = np.minimum(np.searchsorted(shape.hashes, distinct), len(shape.hashes) - 1)
@@ -334,11 +399,20 @@ def _words(shape: Shape, distinct: np.ndarray) -> np.ndarray:
 
 
 def _texts(row, shape: Shape):
+    """Words of the distinct tokens; tokens as places among these; lengths and starts of texts; whether each is held out."""
     words = _words(shape, np.frombuffer(row["distinct"], np.uint64))
     tokens, lengths = np.frombuffer(row["tokens"], "<u4"), np.frombuffer(row["lengths"], np.int64)
     return words, tokens, lengths, np.cumsum(lengths) - lengths, np.frombuffer(row["held"], bool)
 
 
+def _draws(row) -> np.ndarray:
+    """A number for each text by its id, which does not depend on where it is."""
+    x = np.frombuffer(row["ids"], np.uint64) + np.uint64(0x9E3779B97F4A7C15)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):  # fixed values of a mixing function
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x
+
+
 def _joined(p: dict) -> np.ndarray:
     return np.concatenate([p[k].ravel() for k in sorted(p)])
 
@@ -352,63 +426,41 @@ def _parted(flat: np.ndarray, like: dict) -> dict:
 
 
 def fit(blocks: DataFrame, shape: Shape) -> dict:
-    """Weights after ROUNDS rounds over all tokens of every training document."""
+    """Weights after ROUNDS rounds, each over all tokens of its share of the training documents, in the order of a hash of
+    their ids."""
     p = start_weights(shape)
-
+    rows = blocks.select("block", "ids", "held", "lengths", "tokens", "distinct")
     for round_no in range(ROUNDS):
 
         def learn(frames, p=p, round_no=round_no):
             for f in frames:
                 for row in f.to_dict("records"):
                     words, tokens, lengths, starts, held = _texts(row, shape)
-                    texts = [words[tokens[start : start + n]] for n, start in zip(lengths[~held], starts[~held], strict=True)]
-                    if not texts:
+                    draws = _draws(row)
+                    mine = np.flatnonzero(~held & (draws % np.uint64(ROUNDS) == round_no))
+                    if not len(mine):
                         continue
-                    texts = [texts[i] for i in np.random.default_rng(round_no).permutation(len(texts))]
-                    texts.sort(key=lambda t: -(len(t) // LONG))
-                    flat, weight = _joined(train(p, shape, texts)), float(sum(map(len, texts)))
+                    mine = mine[np.argsort(draws[mine], kind="stable")]
+                    flat = _joined(train(p, shape, [words[tokens[starts[i] : starts[i] + lengths[i]]] for i in mine.tolist()]))
+                    weight = float(lengths[mine].sum())
                     parts = [flat[i : i + PART] for i in range(0, len(flat), PART)]
-                    yield pd.DataFrame({"part": range(len(parts)), "weight": weight, "numbers": [(x * weight).astype("<f8").tobytes() for x in parts]})
+                    yield pd.DataFrame({"part": range(len(parts)), "block": row["block"], "weight": weight, "numbers": [(x * weight).astype("<f8").tobytes() for x in parts]})
 
         def add(key, group):
+            group = group.sort_values("block")
             whole = sum(np.frombuffer(x, "<f8") for x in group["numbers"])
-            return pd.DataFrame({"part": [int(key[0])], "numbers": [(whole / group["weight"].sum()).astype("<f4").tobytes()]})
-
-        own = blocks.select("held", "lengths", "tokens", "distinct").mapInPandas(learn, "part int, weight double, numbers binary")
-        # first within a part and a sixteenth of the blocks, then within a part: no task gets all blocks
-        some = own.withColumn("share", (F.rand(seed=1) * 16).cast("int")).groupBy("part", "share").applyInPandas(
-            lambda key, g: pd.DataFrame({"part": [int(key[0])], "weight": [g["weight"].sum()], "numbers": [sum(np.frombuffer(x, "<f8") for x in g["numbers"]).tobytes()]}), "part int, weight double, numbers binary"
-        )
-        parts = some.groupBy("part").applyInPandas(add, "part int, numbers binary").collect()  # the weights: their size is fixed
-        if not parts:
-            break
-        p = _parted(np.concatenate([np.frombuffer(r["numbers"], "<f4") for r in sorted(parts, key=lambda r: r["part"])]), p)
+            return pd.DataFrame({"part": [int(key[0])], "block": [group["block"].iloc[0]], "weight": [group["weight"].sum()], "numbers": [whole.tobytes()]})
+
+        # first within a part and a share of the blocks, then within a part: no task gets all blocks
+        schema = "part int, block string, weight double, numbers binary"
+        some = rows.mapInPandas(learn, schema).withColumn("share", F.pmod(F.xxhash64("block"), F.lit(SHARES)))
+        parts = some.groupBy("part", "share").applyInPandas(add, schema).groupBy("part").applyInPandas(add, schema).collect()  # the weights: their size is fixed
+        if parts:
+            parts.sort(key=lambda r: r["part"])
+            p = _parted(np.concatenate([np.frombuffer(r["numbers"], "<f8") / r["weight"] for r in parts]), p)
     return p
 
 
-def score_texts(p: dict, shape: Shape, words: np.ndarray, starts: np.ndarray, lengths: np.ndarray, lanes: int = 256) -> np.ndarray:
-    """Natural log probabilities of whole texts (runs of ``words``), long ones first, state carried across windows."""
-    out = np.zeros(len(lengths))
-    order = np.argsort(-lengths, kind="stable")
-    for i in range(0, len(order), lanes):
-        some = order[i : i + lanes]
-        n, start = lengths[some], starts[some]
-        h = np.zeros((len(some), p["U"].shape[1]), np.float32)
-        for a in range(0, int(n.max()), WINDOW):
-            live = int(np.searchsorted(-n, -a, "left"))  # texts of more than a tokens come first
-            steps = min(WINDOW, int(n[0]) - a)
-            at = a + np.arange(steps)[:, None]
-            real = at < n[:live]
-            where = np.minimum(start[:live] + at, len(words) - 1)
-            y = np.where(real, words[where], START)
-            x = np.where(at > 0, words[np.maximum(where - 1, 0)], START)
-            states, _ = run_window(p, x, h[:live])
-            logs = log_probabilities(p, shape, states[real], y[real])
-            np.add.at(out, some[np.nonzero(real)[1]], logs)
-            h = states[-1]
-    return out
-
-
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -424,16 +476,24 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     weights = fit(blocks, shape)
     whole = total + 0.5 * (int(distinct_of.sum()) + 1)
 
+    def within_kinds(counts: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Log share of a rare token in its kind; 0 for frequent ones, which are words of their own."""
+        rare = np.full(len(shape.class_of), np.nan)
+        rare[shape.kind_words] = shape.rare
+        own = rare[words]
+        return np.where(np.isnan(own), 0.0, np.log((counts + 0.5) / np.where(np.isnan(own), 1.0, own)))
+
     def run(frames):
         import pyarrow as pa
 
         for batch in frames:
             for row in batch.to_pylist():
                 words, tokens, lengths, starts, held = _texts(row, shape)
-                counts = np.concatenate([np.frombuffer(a["answer"], "<i8") for a in sorted(row["answers"], key=lambda a: a["owner"])])
+                counts = np.array(row["totals"], np.int64)
                 base = np.log10((counts + 0.5) / whole)
-                within = np.where(words <= KINDS, np.log((counts + 0.5) / shape.rare[np.minimum(words, KINDS) - 1]), 0.0)
-                logs = score_texts(weights, shape, words[tokens], starts, lengths) + np.add.reduceat(within[tokens], starts)
+                within = within_kinds(counts, words)
+                texts = np.split(words[tokens], starts[1:])
+                logs = score_texts(weights, shape, texts) + np.add.reduceat(within[tokens], starts)
                 ids = pa.array(np.frombuffer(row["ids"], np.int64), mask=np.unpackbits(np.frombuffer(row["nulls"], np.uint8), count=len(lengths)).astype(bool))
                 yield pa.RecordBatch.from_arrays(
                     [ids, pa.array(held), pa.array(lengths), pa.array(np.add.reduceat((counts > 0)[tokens].astype(np.int64), starts)), pa.array(np.full(len(lengths), total, np.int64)), pa.array(np.add.reduceat(base[tokens], starts)), pa.array(logs / np.log(10))],
@@ -442,4 +502,4 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     told = blocks.drop("train_counts").join(gathered, "block")
-    return told.select("ids", "nulls", "held", "lengths", "tokens", "distinct", "answers").mapInArrow(run, schema)
+    return told.select("ids", "nulls", "held", "lengths", "tokens", "distinct", "totals").mapInArrow(run, schema)

@@ -48,11 +48,34 @@ def test_state_is_carried_across_windows():
     shape = lm.shape_of([(i * 64 + i, 100) for i in range(20)], np.full(lm.KINDS, 200), np.full(lm.KINDS, 20))
     p = {k: v + np.float32(0.2) for k, v in lm.start_weights(shape).items()}
     words = np.random.default_rng(0).integers(1, 60, 5 * lm.WINDOW + 7)
-    whole = lm.score_texts(p, shape, words, np.array([0]), np.array([len(words)]))
+    whole = lm.score_texts(p, shape, [words])
     states, _ = lm.run_window(p, np.concatenate(([0], words[:-1]))[:, None], np.zeros((1, p["U"].shape[1]), np.float32))
     assert whole[0] == pytest.approx(lm.log_probabilities(p, shape, states[:, 0], words).sum(), rel=1e-5)
 
 
+def test_texts_in_one_lane_do_not_touch():
+    """However texts are dealt to lanes, each is scored as if alone; the network's own arithmetic, step by step, agrees."""
+    shape = lm.shape_of([(i * 64 + i, 100 + i) for i in range(20)], np.full(lm.KINDS, 200), np.full(lm.KINDS, 20))
+    rng = np.random.default_rng(0)
+    p = {k: v + 0.3 * rng.standard_normal(v.shape).astype(np.float32) for k, v in lm.start_weights(shape).items()}
+    texts = [rng.integers(1, 60, n) for n in (1, 130, 7, 300, 49, 48, 1, 90)]
+    want = []
+    for words in texts:
+        h, total = np.zeros(lm.HIDDEN), 0.0
+        for before, word in zip([lm.START, *words[:-1]], words, strict=True):
+            a, u = p["W"] @ p["E"][before] + p["b"], p["U"] @ h
+            z, r = (1 / (1 + np.exp(-(a + u)[i * lm.HIDDEN : (i + 1) * lm.HIDDEN])) for i in (0, 1))
+            new = np.tanh(a[2 * lm.HIDDEN :] + r * u[2 * lm.HIDDEN :])
+            h = (1 - z) * new + z * h
+            c = shape.class_of[word]
+            rows = slice(shape.first[c], shape.first[c] + shape.size[c])
+            for x, at in ((p["C"] @ h + p["c"], c), (p["O"][rows] @ h + p["o"][rows], word - shape.first[c])):
+                total += x[at] - np.log(np.exp(x).sum())
+        want.append(total)
+    for lanes in (1, 3, 256):
+        assert lm.score_texts(p, shape, texts, lanes) == pytest.approx(want, rel=1e-4)
+
+
 def test_training_reads_whole_documents(spark):
     """Every word of a long document is learnt from, wherever it stands; short ones beside it are so too."""
     said = [f"w{i}a" for i in range(700)]
