@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedimenta.llm.common import written
+from sedimenta.llm.common import numbered, without, written
 
 #: Rows an owner answers for on average; values of the range for each row; rows of a sender; the largest block of texts.
 ROWS_PER_OWNER, RANGE_PER_ROW, SENDER_ROWS = 1_000_000, 64, 1 << 20
@@ -227,14 +227,11 @@ def without_exact_duplicates(docs: DataFrame) -> DataFrame:
     """One row of ``docs`` for each text that :func:`exact_duplicates` tells apart: the one with the largest id, of rows
     that have it too (repeated rows, null ids) any one. Columns as they are; an empty table gives an empty result.
 
-    Rows are told by id and hash of the text, so that a row goes only for its own text's sake. What is to go is written
-    first: while its size is small, Spark broadcasts it and texts stay where they are.
+    Rows are numbered, so that each goes for its own text's sake, whatever its id; texts are not shuffled, but for the
+    suspects' in the search itself.
     """
-    same = exact_duplicates(docs).where("group_size > 1").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n"), F.bool_or("kept").alias("kept"))
-    special = written(same.where("not kept or n > 1")).select(F.col("doc_id").alias("i"), F.col("text_sha256").alias("h"), "kept")
-    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    digest = F.sha2(F.translate(F.coalesce("text", F.lit("")), letters, letters.lower()), 256)
-    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), digest.alias("digest"))
-    on = F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("digest") == F.col("h"))
-    one_of = keyed.join(special.where("kept"), on, "left_semi").dropDuplicates(["doc_id", "digest"])
-    return keyed.join(special, on, "left_anti").union(one_of).select("row.*")
+    rows = numbered(docs)
+    marks = written(exact_duplicates(rows.select(F.col("number").alias("doc_id"), F.col("row.text").alias("text"))).where("group_size > 1").select(F.col("doc_id").alias("number"), "keep_id"))
+    ids = rows.select("number", F.col("row.doc_id").cast("long").alias("id"))
+    best = marks.join(ids, "number").groupBy("keep_id").agg(F.max(F.struct("id", "number")).alias("best"))
+    return without(rows, marks.select("number").join(best.select("best.number"), "number", "left_anti"))

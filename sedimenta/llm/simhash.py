@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sedimenta.llm.common import ascii_words, written
+from sedimenta.llm.common import ascii_words, without, written
 
 SHINGLE_WORDS, SEED, DISTANCE = 3, 42, 3
 #: Fingerprints in a leaf at most, bits by which a level is deeper than the one above, neighbours in a block of a leaf.
@@ -234,8 +234,8 @@ def without_near_duplicates(docs: DataFrame) -> DataFrame:
     too (repeated rows, ids with several texts, no id at all) one with the smallest fingerprint. Columns as they are; an
     empty table gives an empty result.
 
-    Rows without an id are linked like any others. Rows are told by id and fingerprint, which is kept beside them, so
-    texts are read and hashed once. What is to go is written first: while its size is small, Spark broadcasts it.
+    Rows without an id are linked like any others. Rows are numbered, and kept with their fingerprints, so texts are
+    read and hashed once and never shuffled.
     """
     at = docs.columns.index("text")
     schema = T.StructType([T.StructField("row", docs.schema), T.StructField("print", T.LongType())])
@@ -247,16 +247,10 @@ def without_near_duplicates(docs: DataFrame) -> DataFrame:
             values = np.array([fingerprint(t) for t in b.column(at).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(b.columns, fields=list(b.schema)), pa.array(values)], names=["row", "print"])
 
-    keyed = written(docs.mapInArrow(run, schema))
-    keys = written(keyed.groupBy(F.col("row.doc_id").cast("long").alias("id"), "print").agg(F.count(F.lit(1)).alias("n")))
-    prints = written(keys.groupBy("print").agg(F.min("id").alias("id")))
-    # components are found over the prints themselves, whose order says nothing; the first of each has the least id
+    keyed = written(docs.mapInArrow(run, schema).withColumn("number", F.monotonically_increasing_id()))
+    id_of = F.col("row.doc_id").cast("long")
+    # components are found over the prints themselves, whose order says nothing; of each, the row with the least id stays
+    prints = written(keyed.groupBy("print").agg(F.min(F.struct(id_of.isNull().alias("none"), id_of.alias("id"), "print", "number")).alias("least")))
     found = components(links(prints.select("print"), DISTANCE)).select(F.col("node").alias("print"), "component")
-    classes = prints.join(found, "print", "left").withColumn("component", F.coalesce("component", "print"))
-    least = classes.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "print")).alias("least"))
-    stays = F.col("id").eqNullSafe(F.col("least.id")) & (F.col("print") == F.col("least.print"))
-    told = keys.join(classes.join(least, "component").select("print", "least"), "print").select(F.col("id").alias("i"), F.col("print").alias("p"), "n", stays.alias("kept"))
-    special = written(told.where("not kept or n > 1").drop("n"))
-    on = (F.col("print") == F.col("p")) & F.col("row.doc_id").cast("long").eqNullSafe(F.col("i"))
-    one_of = keyed.join(special.where("kept"), on, "left_semi").withColumn("id", F.col("row.doc_id")).dropDuplicates(["id", "print"]).drop("id")
-    return keyed.join(special, on, "left_anti").union(one_of).select("row.*")
+    stays = prints.join(found, "print", "left").groupBy(F.coalesce("component", "print").alias("component")).agg(F.min("least").alias("least"))
+    return without(keyed, keyed.select("number").join(stays.select("least.number"), "number", "left_anti"))
