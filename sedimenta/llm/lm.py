@@ -32,8 +32,9 @@ HELD_OUT = 1
 #: A token is frequent if it is at least one in so many, which is also the bound on the number of frequent ones.
 FREQUENT = 4096
 HIDDEN, CLASSES, WINDOW = 24, 64, 48
-#: Lanes that training and scoring go in; a wider step costs less a token, a narrower one learns more from each.
-LANES, SCORE_LANES = 128, 256
+#: Lanes that training and scoring go in at most; a wider step costs less a token, a narrower one learns more from each.
+#: Training takes as many as give a block so many steps.
+LANES, SCORE_LANES, STEPS = 128, 256, 256
 #: Rounds between which weights are averaged. A document is in one of them.
 ROUNDS, RATE = 2, 0.08
 #: Tokens of a block at most (a longer document is a block of its own).
@@ -352,8 +353,9 @@ def train(p: dict, shape: Shape, texts: list[np.ndarray]) -> dict:
     p = {k: v.copy() for k, v in p.items()}
     past = {k: np.full_like(v, 1e-3) for k, v in p.items()}
     slopes = {k: np.zeros_like(v) for k, v in p.items()}
-    h = np.zeros((LANES, p["U"].shape[1]), np.float32)
-    for x, y, goes_on, _ in Lanes(texts, LANES).windows():
+    lanes = min(LANES, max(1, sum(map(len, texts)) // (WINDOW * STEPS)))
+    h = np.zeros((lanes, p["U"].shape[1]), np.float32)
+    for x, y, goes_on, _ in Lanes(texts, lanes).windows():
         states, kept = run_window(p, x, h[: x.shape[1]], goes_on)
         real = y != START
         if real.all():
