@@ -1,75 +1,229 @@
-"""Sensitive spans, classes, masking, and phrases that try to instruct a reader model."""
+"""Sensitive spans with offsets, field-name classes, masking and restoring, phrases that try to instruct a reader model.
+
+Spans are arrays of struct(category, start, end) in code points, end exclusive, made from built-in expressions: a text
+split at a pattern's matches tells where these are.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sedimenta.functions.normalize import luhn
+from sedimenta.functions.normalize import card_like, inn
 
-# Patterns of sensitive spans by category, and what class each raises a text to.
-SPANS = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
-    "phone": r"\+[0-9][0-9 ().-]{6,18}[0-9]",
-    "card": r"[0-9](?:[ -]?[0-9]){12,18}",
-    "secret": r"(?:token|secret|password|api_key)\s*=\s*\"[^\"]{8,}\"",
+# Patterns of personal data by category.
+PERSONAL = {
+    "email": r"(?<![A-Za-z0-9.!#$%&'*+/=?^_`{|}~-])[A-Za-z0-9.!#$%&'*+/=?^_`{|}~-]{1,64}@[A-Za-z0-9][A-Za-z0-9.-]{0,252}\.[A-Za-z]{2,63}(?![A-Za-z0-9.-])",
+    "phone": r"(?<![A-Za-z0-9])\+?[0-9](?:[ ()-]{0,3}[0-9]){6,14}(?![0-9])",
+    "inn": r"(?<![0-9])[0-9]{10}(?:[0-9]{2})?(?![0-9])",
+    "snils": r"(?<![0-9])[0-9]{3}[- ]?[0-9]{3}[- ]?[0-9]{3}[ -]?[0-9]{2}(?![0-9])",
+    "passport": r"(?<![0-9])[0-9]{2}[ ]?[0-9]{2}[ ]{1,3}[0-9]{6}(?![0-9])",
+    "card": r"(?<![0-9])(?:[0-9][ -]?){12,18}[0-9](?![0-9])",
 }
+# What stands before a secret, or is one.
+_ASSIGNED = r"(?i:(?<![\p{L}\p{N}_])(?:password(?:hash)?|passwd|pwd|api[_-]?key|secret|(?:access[_-]?|refresh[_-]?|auth[_-]?)token|authorization|пароль)[\"']?[ \t]{0,8}[:=][ \t]{0,8})"
+_BEARER = r"(?i:(?<![\p{L}\p{N}_])bearer[ \t]{1,8})"
+_QUOTED = r"(?:\"(?:[^\"\\]|\\.)*+|'(?:[^'\\]|\\.)*+|[^ \t\r\n,;\"'][^ \t\r\n,;]*+)"
+SECRETS = {
+    "private_key": r"(?s)-----BEGIN ((?:RSA |EC |DSA |OPENSSH |ENCRYPTED )?PRIVATE KEY|PGP PRIVATE KEY BLOCK)-----(?:.*?-----END \1-----|.*)",
+    "assignment": _ASSIGNED + _QUOTED,
+    "bearer": _BEARER + _QUOTED,
+    "credential_uri": r"[A-Za-z][A-Za-z0-9+.-]{0,31}://[^ \t\r\n\"'<>;/?#@]*@[^ \t\r\n\"'<>;]*",
+    "known_token": r"(?<![A-Za-z0-9_./+=$-])(?=[A-Za-z0-9_./+=$-]{20})(?:sk-|ghp_|gho_|ghu_|ghs_|ghr_|github_pat_|AKIA|ASIA|xoxb-|xoxp-|xoxa-|AIza)[A-Za-z0-9_./+=$-]*",
+    "jwt": r"(?<![A-Za-z0-9_./+=$-])eyJ[A-Za-z0-9_/+=$-]+\.[A-Za-z0-9_/+=$-]{4,}\.[A-Za-z0-9_/+=$-]{4,}(?![A-Za-z0-9_./+=$-])",
+}
+#: What of a match is no part of the secret itself.
+_BEFORE = {"assignment": _ASSIGNED + "[\"']?", "bearer": _BEARER + "[\"']?"}
 CLASSES = ("PUBLIC", "INTERNAL", "CONFIDENTIAL", "RESTRICTED")
-RANK = {"email": 2, "phone": 2, "card": 3, "secret": 3}
+RANK = {k: 2 for k in PERSONAL} | {"card": 3} | {k: 3 for k in SECRETS}
+# Phrases by code, over folded text; and how severe each is, of none, low, medium, high and critical.
 SIGNALS = {
-    "ignore_instructions": r"ignore (all |any )?(the )?(previous|prior|above) (instructions|rules)",
-    "role_override": r"you are now|act as (a|an) |pretend to be",
-    "reveal_prompt": r"(reveal|show|print) (me )?(your|the) (system )?(prompt|instructions)",
-    "exfiltration": r"send .{0,40}(password|token|secret|api key)",
+    "instruction_override": r"\b(?:ignore|disregard|forget|override)\s{1,8}(?:(?:all|the|your)\s{1,8})?(?:previous|prior|system|above)\s{1,8}(?:instructions|rules|prompts)\b"
+    r"|игнорируй\s{1,8}(?:все\s{1,8})?(?:предыдущие|системные|прежние)\s{1,8}инструкции|(?:забудь|отмени)\s{1,8}(?:все\s{1,8})?(?:правила|инструкции)"
+    r"|ignora\s{1,8}(?:las\s{1,8})?instrucciones\s{1,8}anteriores|ignorez\s{1,8}(?:les\s{1,8})?instructions\s{1,8}précédentes"
+    r"|ignoriere\s{1,8}(?:alle\s{1,8})?vorherigen\s{1,8}anweisungen|忽略(?:之前|以前|先前|所有)(?:的)?(?:指令|说明|指示)|تجاهل\s{1,8}التعليمات\s{1,8}السابقة",
+    "role_spoofing": r"(?:\[|<)\|?(?:im_start|start_header_id|system|developer)\|?(?:\]|>)|\[/?inst\]|</?(?:system|developer)>"
+    r"|\byou are now\s{1,8}(?:the\s{1,8})?(?:administrator|system|developer)\b|теперь ты\s{1,8}(?:системный|администратор|разработчик)",
+    "secret_exfiltration": r"\b(?:send|reveal|print|exfiltrate|return|upload)\b.{0,64}\b(?:password|secret|api[ _-]?key|access[ _-]?token|credentials|system prompt)\b"
+    r"|(?:отправь|раскрой|верни|покажи|выведи).{0,64}(?:парол|секрет|токен|ключ api|системн.{0,12}промпт)|(?:envía|revela).{0,64}(?:contraseña|clave|secreto)|(?:泄露|发送|输出).{0,32}(?:密码|密钥|令牌)",
+    "tool_authority": r"\b(?:call|invoke|use|enable)\b.{0,48}\b(?:tool|shell|terminal|database connection)\b|(?:вызови|используй|запусти).{0,48}(?:инструмент|терминал|оболочку)"
+    r"|подключись\s{1,8}к\s{1,8}базе\s{1,8}данных|(?:调用|执行).{0,32}(?:工具|终端)",
+    "concealment": r"\b(?:do not|don't|never)\s{1,8}(?:mention|reveal|tell)\b.{0,48}\b(?:instructions|user|request)\b|(?:не сообщай|не говори|скрой).{0,48}(?:пользовател|инструкц)",
+    "encoded_instruction": r"\bdecode\b.{0,48}\b(?:base64|hex|rot13)\b.{0,48}\b(?:execute|obey|follow|run)\b|(?:декодируй|расшифруй).{0,64}(?:выполни|исполняй|запусти)",
+    "active_content": r"```|<script\b|\$\(|\b(?:eval|exec|compile|__import__|os\.system|subprocess\.\w+)\s*\("
+    r"|\b(?:select\b.{0,256}?\bfrom|insert\s+into|delete\s+from|(?:drop|alter|create|truncate)\s+(?:table|database)|update\s+\w+\s+set)\b"
+    r"|\b(?:import\s+(?:os|sys|subprocess)|from\s+\w+\s+import|def\s+\w+\s*\(|(?:curl|wget|bash|powershell|cmd\.exe)\s+|rm\s+-|python[0-9.]*\s+-c)"
+    r"|ignore\s+(?:all\s+)?(?:previous|system)\s+instructions|игнорируй\s+(?:все\s+)?(?:предыдущие|системные)\s+инструкции",
 }
-SEVERITY = {"ignore_instructions": 3, "role_override": 2, "reveal_prompt": 3, "exfiltration": 4}
+LEVELS = ("none", "low", "medium", "high", "critical")
+SEVERITY = {k: 3 for k in SIGNALS} | {"secret_exfiltration": 4, "concealment": 2}
+# Sensitive field names, by what their letters and digits hold or are.
+_HOLDS = (("password", ("password", "passwd", "пароль", "secret")), ("private_key", ("privatekey",)), ("api_key", ("apikey", "connectionstring", "dsn")), ("token", ("token",)))
+_IS = {
+    "password": ("pwd",), "token": ("authorization", "cookie", "setcookie"), "person_name": ("fullname", "firstname", "lastname", "фио", "фамилия", "имя"),
+    "passport": ("passport", "паспорт", "passportnumber"), "email": ("email", "emailaddress", "электроннаяпочта"), "phone": ("phone", "phonenumber", "telephone", "телефон"),
+    "inn": ("inn", "инн"), "snils": ("snils", "снилс"), "card": ("cardnumber", "creditcard", "pan", "номеркарты"),
+}
+_SPANS = "array<struct<category:string,start:int,end:int,value:string>>"
+
+
+def matches(c: Column, pattern: str, category: str) -> Column:
+    """Spans of a pattern's matches, leftmost first, without overlap."""
+    found, between = F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), F.split(c, pattern, -1)
+
+    def step(acc, pair):
+        start = acc["at"] + F.length(pair["before"])
+        end = start + F.length(pair["value"])
+        span = F.struct(F.lit(category).alias("category"), start.alias("start"), end.alias("end"), pair["value"].alias("value"))
+        return F.struct(end.alias("at"), F.array_append(acc["spans"], span).alias("spans"))
+
+    pairs = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda a, b: F.struct(a.alias("before"), b.alias("value")))
+    none = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("spans"))
+    return F.aggregate(pairs, none, step, lambda acc: acc["spans"])
+
+
+def accepted(span: Column, inn_checked: bool = True, international: bool = False) -> Column:
+    """Whether a personal span stands its category's check: cards are cards, INN have check digits unless told otherwise,
+    phones have ten digits or a plus (only a plus if ``international``)."""
+    value, category = span["value"], span["category"]
+    plus = value.startswith("+")
+    phone = plus if international else plus | (F.length(F.regexp_replace(value, "[^0-9]", "")) >= 10)
+    return F.when(category == "card", card_like(value)).when(category == "inn", inn(value) if inn_checked else F.lit(True)).when(category == "phone", phone).otherwise(True)
+
+
+def personal_spans(c: Column, extra: dict[str, str] | None = None, **checks) -> Column:
+    """Spans of personal data in ``c``, by category, then start; ``extra`` patterns by name are categories of their own."""
+    quick = F.coalesce(c.rlike("[0-9@]"), F.lit(False))
+    found = F.concat(*[matches(c, p, k) for k, p in PERSONAL.items()])
+    own = F.when(quick, F.filter(found, lambda x: accepted(x, **checks))).otherwise(F.array().cast(_SPANS))
+    return F.concat(own, *[matches(c, p, k) for k, p in (extra or {}).items()])
+
+
+def _without(before: str):
+    """A function of a span: the span without what stands before the value."""
+
+    def cut(x: Column) -> Column:
+        value = F.regexp_replace(x["value"], before, "")
+        return F.struct(x["category"].alias("category"), (x["end"] - F.length(value)).alias("start"), x["end"].alias("end"), value.alias("value"))
+
+    return cut
+
+
+def secret_spans(c: Column) -> Column:
+    """Spans of secrets in ``c``: keys, assigned and bearer values without what stands before them and their quotes,
+    addresses with credentials, tokens of known form."""
+    parts = []
+    for k, p in SECRETS.items():
+        found = matches(c, p, k)
+        if k in _BEFORE:
+            found = F.filter(F.transform(found, _without("^" + _BEFORE[k])), lambda x: x["end"] > x["start"])
+        parts.append(found)
+    quick = F.coalesce(c.rlike(r"[:=]|-----BEGIN|(?i:bearer)|eyJ|sk-|gh[pours]_|github_pat_|A[KS]IA|xox|AIza"), F.lit(False))
+    return F.when(quick, F.concat(*parts)).otherwise(F.array().cast(_SPANS))
+
+
+def all_spans(c: Column, **checks) -> Column:
+    """Personal and secret spans by start, then end, then category."""
+    order = lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["category"].alias("category"), x["value"].alias("value"))
+    return F.array_sort(F.transform(F.concat(personal_spans(c, **checks), secret_spans(c)), order))
+
+
+def class_rank(spans: Column) -> Column:
+    """0 to 3: the highest class that any span raises a text to."""
+    ranks = F.create_map(*[F.lit(x) for pair in RANK.items() for x in pair])
+    return F.aggregate(spans, F.lit(0), lambda a, x: F.greatest(a, F.coalesce(F.try_element_at(ranks, x["category"]), F.lit(2))))
+
+
+def field_category(name: Column) -> Column:
+    """The category that a field's name tells, null if none."""
+    low = F.regexp_replace(F.lower(name), r"[^\p{L}\p{N}]", "")
+    out = F.when(F.lit(False), F.lit(None).cast("string"))
+    for category, parts in _HOLDS:
+        out = out.when(reduce(lambda a, b: a | b, [low.contains(p) for p in parts]) | low.isin(*_IS.get(category, ())), category)
+    for category, names in _IS.items():
+        if category not in dict(_HOLDS):
+            out = out.when(low.isin(*names), category)
+    return out
 
 
-def spans(c: Column, category: str) -> Column:
-    """The accepted matches of a category: cards pass Luhn, phones hold 10 digits at least."""
-    found = F.regexp_extract_all(c, F.lit(SPANS[category]), F.lit(0))
-    if category == "card":
-        return F.filter(found, lambda x: luhn(F.regexp_replace(x, "[ -]", "")))
-    if category == "phone":
-        return F.filter(found, lambda x: F.length(F.regexp_replace(x, "[^0-9]", "")) >= 10)
-    return found
+def merged_spans(spans: Column) -> Column:
+    """Sorted spans, those that overlap as one with the category of the first; spans that only touch stay apart."""
+    kind = "array<struct<start:int,end:int,category:string>>"
 
+    def step(acc, x):
+        last = F.try_element_at(acc, F.lit(-1))
+        own = F.struct(x["start"].alias("start"), x["end"].alias("end"), x["category"].alias("category"))
+        joined = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"), last["category"].alias("category"))
+        return F.when(F.coalesce(x["start"] < last["end"], F.lit(False)), F.array_append(F.slice(acc, F.lit(1), F.size(acc) - 1), joined)).otherwise(F.array_append(acc, own))
 
-def class_rank(c: Column) -> Column:
-    """0 to 3: the highest class that any span raises the text to."""
-    return F.greatest(F.lit(0), *[F.when(F.size(spans(c, k)) > 0, F.lit(r)).otherwise(0) for k, r in RANK.items()])
+    return F.aggregate(spans, F.array().cast(kind), step)
 
 
-def _replacer(category: str, salt: str):
-    def replace(text: Column, x: Column) -> Column:
-        return F.replace(text, x, F.concat(F.lit(f"[{category}:"), F.substring(F.sha2(F.concat(F.lit(salt), x), 256), 1, 8), F.lit("]")))
+def _token(text: Column, span: Column, salt: str) -> Column:
+    value = text.substr(span["start"] + 1, span["end"] - span["start"])
+    return F.concat(F.lit("["), span["category"], F.lit(":"), F.substring(F.sha2(F.concat(F.lit(salt), value), 256), 1, 16), F.lit("]"))
 
-    return replace
 
+def redacted(c: Column, salt: str = "", spans: Column | None = None) -> Column:
+    """The text with each merged span replaced by a token of its category and a salted hash, equal values by equal tokens."""
+    merged = merged_spans(all_spans(c) if spans is None else spans)
 
-def redacted(c: Column, salt: str = "") -> Column:
-    """The text with each span replaced by a token of its category and a salted hash, equal values by equal tokens.
+    def step(acc, x):
+        between = c.substr(acc["at"] + 1, x["start"] - acc["at"])
+        return F.struct(x["end"].alias("at"), F.concat(acc["text"], between, _token(c, x, salt)).alias("text"))
 
-    Spans are taken category by category; the longest of a text go first, so that none is cut by a shorter one.
-    """
-    out = c
-    for k in SPANS:
-        found = F.array_sort(F.array_distinct(spans(c, k)), lambda a, b: F.length(b) - F.length(a))
-        out = F.aggregate(found, out, _replacer(k, salt))
-    return out
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
+    done = F.aggregate(merged, start, step, lambda acc: F.concat(acc["text"], c.substr(acc["at"] + 1, F.length(c))))
+    return F.when(F.size(merged) == 0, c).otherwise(done)
+
+
+def placeholders(df: DataFrame, key: str, text: str, salt: str = "") -> DataFrame:
+    """key, token, value of every masked span: what a restricted table keeps, so that masked texts can be restored."""
+    spans = df.select(key, F.col(text).alias("t"), F.explode(merged_spans(all_spans(F.col(text)))).alias("s"))
+    return spans.select(key, _token(F.col("t"), F.col("s"), salt).alias("token"), F.col("t").substr(F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("value")).distinct()
+
+
+def restored(masked: DataFrame, kept: DataFrame, key: str, text: str) -> DataFrame:
+    """Masked rows with the values that ``kept`` has for their tokens; a token that is not there stays."""
+    pairs = kept.groupBy(key).agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("token", "value")))).alias("_map"))
+    found, between = F.regexp_extract_all(F.col(text), F.lit(r"\[[a-z_]+:[0-9a-f]{16}\]"), F.lit(0)), F.split(F.col(text), r"\[[a-z_]+:[0-9a-f]{16}\]", -1)
+    back = F.zip_with(between, F.transform(found, lambda x: F.coalesce(F.try_element_at("_map", x), x)), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    out = masked.join(pairs, key, "left")
+    return out.withColumn(text, F.array_join(back, "")).drop("_map")
 
 
 def folded(c: Column) -> Column:
-    """Lower-cased, without zero-width characters."""
-    return F.lower(F.regexp_replace(c, "[​‌‍⁠﻿]", ""))
+    """Lower-cased, full-width letters and digits as plain ones, without zero-width characters."""
+    wide = "".join(chr(0xFF01 + i) for i in range(94))
+    plain = "".join(chr(0x21 + i) for i in range(94))
+    return F.lower(F.translate(F.regexp_replace(c, "[​‌‍⁠﻿]", ""), wide + "　", plain + " "))
 
 
 def signals(c: Column) -> Column:
     """Codes of the phrases that the text holds."""
     low = folded(c)
-    return F.filter(F.array(*[F.when(low.rlike(p), F.lit(k)) for k, p in SIGNALS.items()]), lambda x: x.isNotNull())
+    return F.filter(F.array(*[F.when(low.rlike("(?s)" + p), F.lit(k)) for k, p in SIGNALS.items()]), lambda x: x.isNotNull())
+
+
+def signal_spans(c: Column) -> Column:
+    """Spans of the phrases in the text as it is, whatever zero-width characters stand within them."""
+    # what stays of a text is as long as its plain form; the place of its n-th character is where n characters are not of zero width
+    low, visible = folded(c), F.filter(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda i: ~c.substr(i, F.lit(1)).isin("​", "‌", "‍", "⁠", "﻿"))
+    found = F.concat(*[matches(low, "(?s)" + p, k) for k, p in SIGNALS.items()])
+    at = lambda n: F.try_element_at(visible, n) - 1
+    real = F.transform(found, lambda x: F.struct(x["category"].alias("code"), at(x["start"] + 1).alias("start"), (at(x["end"]) + 1).alias("end")))
+    return F.when(F.size(signals(c)) > 0, real).otherwise(F.array().cast("array<struct<code:string,start:int,end:int>>"))
 
 
 def severity(codes: Column) -> Column:
+    """The highest level of any code, as its name."""
     ranks = F.create_map(*[F.lit(x) for pair in SEVERITY.items() for x in pair])
-    return F.aggregate(codes, F.lit(0), lambda a, x: F.greatest(a, F.element_at(ranks, x)))
+    level = F.aggregate(codes, F.lit(0), lambda a, x: F.greatest(a, F.element_at(ranks, x)))
+    return F.element_at(F.array(*map(F.lit, LEVELS)), level + 1)
+
+
+def action(level: Column) -> Column:
+    """What is to be done about a level: high and critical are never only observed."""
+    return F.when(level.isin("high", "critical"), "block").when(level.isin("low", "medium"), "observe").otherwise("pass")
