@@ -1,9 +1,8 @@
-"""Readers: the driver's tables, and files of delimited, JSON-lines, plain and log text."""
+"""Readers of tables and of files whose rows are alike: delimited text and JSON lines. Others are in ``files``."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,14 +19,3 @@ def json_lines(spark: SparkSession, path: str, schema=None) -> DataFrame:
     """One record a line; a malformed one fails."""
     reader = spark.read.option("mode", "FAILFAST")
     return (reader.schema(schema) if schema else reader).json(path)
-
-
-def text_lines(spark: SparkSession, path: str) -> DataFrame:
-    """path, line_no, line of text files, each file whole in one task so that its lines can be numbered."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    return files.select("path", F.posexplode(F.split(F.regexp_replace("value", "\r\n?", "\n"), "\n")).alias("line_no", "line"))
-
-
-def artifacts(spark: SparkSession, path: str) -> DataFrame:
-    """path, length, sha256 of raw files."""
-    return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))

@@ -1,15 +1,18 @@
 """Parts that no query shows: dialects, readers, edge cases of plans and streams."""
 
+import functools
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from sedimenta.functions import forms
 from sedimenta.functions import normalize as N
 from sedimenta.functions import text as X
-from sedimenta.operators import matching, profile, rules
-from sedimenta.plans import load, parse
-from sedimenta.sources import tables
+from sedimenta.operators import matching, profile, rules, schema, structure
+from sedimenta.plans import load, parse, records
+from sedimenta.sources import files, tables
 from sedimenta.sources.dialect import detect
 from sedimenta.streaming import streams
 from tests.oracle import SMALL
@@ -28,11 +31,40 @@ def test_readers(spark, tmp_path):
     (tmp_path / "t.jsonl").write_text('{"a": 1}\n{"a": 2}\n')
     assert [r["a"] for r in tables.json_lines(spark, str(tmp_path / "t.jsonl")).orderBy("a").collect()] == [1, 2]
     (tmp_path / "t.txt").write_bytes(b"x\r\ny\n\nz")
-    assert [(r["line_no"], r["line"]) for r in tables.text_lines(spark, str(tmp_path / "t.txt")).orderBy("line_no").collect()] == [(0, "x"), (1, "y"), (2, ""), (3, "z")]
-    found = tables.artifacts(spark, str(tmp_path / "t.txt")).first()
+    found = files.artifacts(spark, str(tmp_path / "t.txt"), 7).first()
+    with pytest.raises(Exception, match="too large"):
+        files.artifacts(spark, str(tmp_path / "t.txt"), 6).collect()
     assert found["length"] == 7 and found["sha256"] == hashlib.sha256(b"x\r\ny\n\nz").hexdigest()
 
 
+@pytest.mark.parametrize("split", [7, 1 << 20])
+def test_physical_lines_keep_their_ends(spark, tmp_path, split):
+    """Whatever the splits, lines and ends make up each file again, in order."""
+    texts = {"a": "x\r\ny\n\nz", "b": "\r\r\n\n", "c": "one\rtwo\r", "d": "last\n", "e": "long line of text\nand more of it\r\nend\r"}
+    for name, t in texts.items():
+        (tmp_path / f"{name}.txt").write_bytes(t.encode())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        rows = files.physical_lines(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    for name, t in texts.items():
+        mine = sorted((r["line_no"], r["line"], r["terminator"]) for r in rows if r["path"].endswith(f"/{name}.txt"))
+        assert [n for n, *_ in mine] == list(range(len(mine))) and "".join(a + b for _, a, b in mine) == t
+
+
+def test_trees(spark):
+    docs = spark.createDataFrame([(1, '{"a": [1, 2.50], "a": null, "b/c": {"x": true}}'), (2, "{bad"), (3, None)], "id int, t string")
+    found = [(r["key"], r["path"], r["kind"], r["value"], r["occurrence"]) for r in files.nodes(docs, "id", "t", "json").orderBy("key", "ordinal").collect()]
+    assert found == [(1, "", "object", None, 0), (1, "/a", "array", None, 0), (1, "/a/0", "integer", "1", 0), (1, "/a/1", "decimal", "2.50", 0), (1, "/a#1", "null", None, 1), (1, "/b~1c", "object", None, 0), (1, "/b~1c/x", "boolean", "true", 0), (2, "", "malformed", "JSONDecodeError", 0)]
+    docs = spark.createDataFrame([(1, '<a xmlns="u"><b i="1">x</b><b/>tail</a>'), (2, '<!DOCTYPE a [<!ENTITY e "x">]><a>&e;</a>'), (3, "<a>")], "id int, t string")
+    found = [(r["key"], r["path"], r["kind"], r["value"]) for r in files.nodes(docs, "id", "t", "xml").orderBy("key", "ordinal").collect()]
+    assert found == [(1, "/a[1]", "element", None), (1, "/a[1]/b[1]", "element", None), (1, "/a[1]/b[1]/@i", "attribute", "1"), (1, "/a[1]/b[1]/text()[1]", "text", "x"), (1, "/a[1]/b[2]", "element", None), (1, "/a[1]/text()[1]", "text", "tail"), (2, "", "malformed", "ValueError"), (3, "", "malformed", "ExpatError")]
+    docs = spark.createDataFrame([(1, "<p>a<b>c</p><script>x</script>")], "id int, t string")
+    found = [(r["path"], r["kind"]) for r in files.nodes(docs, "id", "t", "html").orderBy("ordinal").collect()]
+    assert found == [("/p:nth-child(1)", "element"), ("/p:nth-child(1)/text()[1]", "text"), ("/p:nth-child(1)/b:nth-child(1)", "element"), ("/p:nth-child(1)/b:nth-child(1)/text()[1]", "text"), ("/script:nth-child(2)", "active"), ("/script:nth-child(2)/text()[1]", "active")]
+
+
 @pytest.mark.parametrize("parts", [1, 4])
 def test_sketch_estimates_within_its_error(spark, parts):
     df = spark.range(0, 20_000, 1, parts).select((F.col("id") % 9000).alias("a"), (F.col("id") % 50).alias("b"))
@@ -163,3 +195,88 @@ def test_first_seen_rows(spark, tmp_path):
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
     found = streams.run_to_table(streams.first_seen(streams.events_stream(spark, str(tmp_path / "in")), "t", ["k"]), "append")
     assert sorted(r["k"] for r in found.collect()) == [1, 2]
+
+
+def _packed(sizes, budget, overlap):
+    """What chunks must be, by the rule: fill, then begin with the last ones as far as they leave room."""
+    out, held, fresh = [], [], False
+    for at, n in enumerate(sizes):
+        if held and sum(sizes[i] for i in held) + n > budget:
+            if fresh:
+                out.append(held)
+            held, fresh = held[len(held) - overlap :] if overlap else [], False
+            while held and sum(sizes[i] for i in held) + n > budget:
+                held = held[1:]
+        held, fresh = [*held, at], True
+    return [(c[0], c[-1], sum(sizes[i] for i in c)) for c in ([*out, held] if fresh else out)]
+
+
+@pytest.mark.parametrize("overlap", [0, 1, 3])
+def test_chunks_equal_the_rule(spark, overlap):
+    rng = random.Random(1)
+    docs = {i: [rng.randint(0, 60) for _ in range(rng.randint(1, 40))] for i in range(12)}
+    rows = spark.createDataFrame([(i, j, "x" * n) for i, sizes in docs.items() for j, n in enumerate(sizes)], "id int, line_no int, line string")
+    found = structure.chunks(rows, 100, overlap).orderBy("id", "chunk").collect()
+    for i, sizes in docs.items():
+        assert [(r["first"], r["last"], r["bytes"]) for r in found if r["id"] == i] == _packed(sizes, 100, overlap)
+
+
+def test_name_distances_equal_their_definition():
+    @functools.cache
+    def steps(a, b):
+        if not a or not b:
+            return len(a) + len(b)
+        best = min(steps(a[:-1], b) + 1, steps(a, b[:-1]) + 1, steps(a[:-1], b[:-1]) + (a[-1] != b[-1]))
+        if len(a) > 1 and len(b) > 1 and a[-1] == b[-2] and a[-2] == b[-1]:
+            best = min(best, steps(a[:-2], b[:-2]) + 1)
+        return best
+
+    rng = random.Random(2)
+    for _ in range(2000):
+        a, b = ("".join(rng.choice("abc") for _ in range(rng.randint(0, 7))) for _ in range(2))
+        assert forms.distance(a, b, 3) == min(4, steps(a, b)), (a, b)
+
+
+def test_loads_that_conflict(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1), ("b", 1), ("c", 2)], "uid string, g int")
+    bad = spark.createDataFrame([("a", "X")], "uid string, code string")
+    with pytest.raises(records.LoadConflict, match="rejected"):
+        records.load_once(spark, rows, str(tmp_path / "t"), str(tmp_path / "l"), "k", "b1", bad, atomic=True)
+    first = records.load_once(spark, rows, str(tmp_path / "t"), str(tmp_path / "l"), "k", "b1", bad)
+    assert first == {"key": "k", "rows": 2, "quarantined": 1, "replayed": False}
+    with pytest.raises(records.LoadConflict, match="another load"):
+        records.load_once(spark, rows, str(tmp_path / "t"), str(tmp_path / "l"), "k", "b2")
+    assert records.load_once(spark, rows, str(tmp_path / "t"), str(tmp_path / "l"), "k2", "b1", bad, "g")["rows"] == 1
+
+
+def test_matching_context(spark):
+    scored = spark.createDataFrame([("a", "x", 0.98), ("a", "y", 0.5), ("b", "x", 0.96), ("b", "y", 0.9), ("c", "z", 0.94)], "source string, target string, score double")
+    assert [tuple(r) for r in matching.anchors(scored).collect()] == [("a", "x", 0.98)]
+    tables = spark.createDataFrame([("e", "a", "t", 0.9), ("e", "b", "t", 0.5), ("e", "a", "u", 1.0)], "entity string, source string, table string, score double")
+    assert [tuple(r) for r in matching.table_scores(tables).orderBy("rank").collect()] == [("e", "t", 0.7, 1), ("e", "u", 0.5, 2)]
+    patterns = spark.createDataFrame([("f", "email", 9, 10), ("f", "url", 1, 10)], "field string, pattern string, n long, non_null long")
+    assert [tuple(r) for r in matching.pattern_share(patterns, spark.createDataFrame([("mail", "email")], "kind string, pattern string")).collect()] == [("f", "mail", 0.9)]
+    pairs = spark.createDataFrame([("s", "x", "parent"), ("s", "y", "child"), ("s", "z", "other")], "source string, target string, table string")
+    edges, found = spark.createDataFrame([("parent", "child")], "parent string, child string"), spark.createDataFrame([("parent",)], "table string")
+    assert {(r["target"], r["support"]) for r in matching.graph_support(pairs, edges, found).collect()} == {("x", 0.0), ("y", 0.5), ("z", 0.0)}
+
+
+def test_explicit_groups_lack_nothing(spark):
+    rows = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (1, 3, "d")], "id int, line_no int, line string")
+    group = lambda a, b: spark.createDataFrame([(1, 7, a, b)], "id int, record_no int, first int, last int")
+    assert [tuple(r) for r in structure.explicit_groups(rows, group(0, 1)).collect()] == [(1, 7, "a\nb")]
+    with pytest.raises(Exception, match="lacks a line"):
+        structure.explicit_groups(rows, group(1, 3)).collect()
+
+
+def test_safe_patterns():
+    assert schema.safe_pattern("^[a-z]{1,5}$") and schema.safe_pattern("[0-9]+x")
+    assert not any(map(schema.safe_pattern, ("(a+)+", "(?=x)a", r"(a)\1", "a*b*", "x" * 300, "(", "(?<n>a)")))
+
+
+def test_copies_convert_nothing(spark):
+    df = spark.createDataFrame([(1, b"x", 1.0)], "a int, b binary, c double")
+    assert schema.typed_copies(df, {"a": "integer"}).columns == ["a"]
+    for f, kind in (("b", "bytes"), ("c", "money")):
+        with pytest.raises(ValueError, match="cannot be copied"):
+            schema.typed_copies(df, {f: kind})
