@@ -5,15 +5,21 @@ values below a node share their upper bits and are neighbours in that order. A n
 pattern they share: a mask and the bits under it. Two nodes whose shared patterns differ in more than ``distance``
 bits hold no link, and neither do any nodes below them, so whole groups are left out at once.
 
-The index is made of tables. Distinct fingerprints are counted by upper bits; a group that is too large for one task
-is cut by four more bits, again and again, so a dense cluster just makes a deeper tree. Pairs of groups descend the
-tree the same way, each level an equi-join with the children of those that were cut. What is left are pairs of leaves
-of bounded size; a task compares two leaves by the same pruning over blocks of 64 neighbours, and gives back a
-spanning star of each set of linked fingerprints rather than all links.
+Two fingerprints within ``distance`` bits agree on at least one of ``distance + 1`` parts of their bits (on two of
+``distance + 2``, and so on). So there is a table of the fingerprints for each part, or set of parts, that may agree, and
+a tree of its own below each value there: no other fingerprints need be compared, and the work of one does not grow
+with the others, as long as parts are taken that groups stay small.
+
+The index is made of tables. A group that is too large for one task is cut by four more bits, again and again, so a
+dense cluster just makes a deeper tree. Pairs of groups descend the tree the same way, each level an equi-join with the
+children of those that were cut. What is left are pairs of leaves of bounded size; a task compares two leaves by the
+same pruning over blocks of 64 neighbours, and gives back a spanning star of each set of linked fingerprints rather than
+all links.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -129,16 +135,67 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots.select("a", "a"))
 
 
-def _upper(column: Column, depth: int) -> Column:
-    """The upper ``depth`` bits, the others 0."""
-    return F.lit(0).cast("long") if not depth else column.bitwiseAND(F.lit(-1 << (64 - depth)))
+def stars_of_groups(values: np.ndarray, sizes: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Stars (member, centre) over the links within each of many groups of BLOCK values at most, one after the other."""
+    starts = np.cumsum(sizes) - sizes
+    labels = np.arange(len(values))
+    width = 2
+    while width <= BLOCK:
+        mine = starts[(sizes <= width) & (sizes > width // 2)]
+        some = sizes[(sizes <= width) & (sizes > width // 2)]
+        for part in np.array_split(np.arange(len(mine)), max(1, len(mine) * width * width >> 20)):
+            at = np.minimum(mine[part][:, None] + np.arange(width), len(values) - 1)
+            real = np.arange(width) < some[part][:, None]
+            grid = values[at]
+            near = (np.bitwise_count(grid[:, :, None] ^ grid[:, None, :]) <= distance) & real[:, :, None] & real[:, None, :] & ~np.tri(width, dtype=bool)
+            g, i, j = np.nonzero(near)
+            i, j = at[g, i], at[g, j]
+            while True:  # labels fall to the smallest that is linked
+                low = np.minimum(labels[i], labels[j])
+                before = labels.copy()
+                np.minimum.at(labels, labels[i], low)
+                np.minimum.at(labels, labels[j], low)
+                labels = labels[labels]
+                if (labels == before).all():
+                    break
+        width *= 2
+    member = np.flatnonzero(labels != np.arange(len(values)))
+    return values[member], values[labels[member]]
+
+
+def parts_of(rows: int, distance: int, leaf: int) -> list[tuple[int, list[tuple[int, int]]]]:
+    """For each table, how many bits must agree, and all parts of a fingerprint (shift, width) with those that must first.
+
+    As few parts must agree as leave a leaf's worth of evenly spread fingerprints in a group."""
+    agree = 1
+    while agree < 4 and rows >> (64 * agree // (distance + agree)) > leaf // 8:
+        agree += 1
+    n = distance + agree
+    ends = [64 * i // n for i in range(n + 1)]
+    parts = [(64 - b, b - a) for a, b in zip(ends, ends[1:], strict=False)]
+    chosen = list(combinations(range(n), agree))
+    return [(sum(parts[i][1] for i in c), [parts[i] for i in c] + [parts[i] for i in range(n) if i not in c]) for c in chosen]
+
+
+def _moved(column: Column, parts: list[tuple[int, int]]) -> Column:
+    """The bits of a long with its parts in another order, the first on top."""
+    out, room = F.lit(0).cast("long"), 64
+    for shift, width in parts:
+        room -= width
+        part = F.shiftrightunsigned(column, shift).bitwiseAND(F.lit((1 << width) - 1))
+        out = out.bitwiseOR(F.shiftleft(part, room))
+    return out
+
 
+def _upper(column: Column, depth: Column) -> Column:
+    """The upper ``depth`` bits (1 or more), the others 0."""
+    return column.bitwiseAND(F.call_function("shiftleft", F.lit(-1).cast("long"), F.lit(64) - depth))
 
-def _cells(prints: DataFrame, depth: int) -> DataFrame:
-    """Groups of equal upper bits: their size and the pattern they share."""
-    return prints.groupBy(_upper(F.col("print"), depth).alias("cell")).agg(
-        F.count(F.lit(1)).alias("n"), F.bit_and("print").alias("bits"), F.bitwise_not(F.bit_or("print").bitwiseXOR(F.bit_and("print"))).alias("mask")
-    ).withColumn("depth", F.lit(depth))
+
+def _cells(rows: DataFrame) -> DataFrame:
+    """Groups of equal upper bits in a table: their size and the pattern they share."""
+    shared = F.bitwise_not(F.bit_or("print").bitwiseXOR(F.bit_and("print")))
+    return rows.groupBy("table", "depth", "cell").agg(F.count(F.lit(1)).alias("n"), F.bit_and("print").alias("bits"), shared.alias("mask"))
 
 
 def _near(distance: int) -> Column:
@@ -147,54 +204,64 @@ def _near(distance: int) -> Column:
 
 def links(prints: DataFrame, distance: int = DISTANCE, leaf: int = LEAF) -> DataFrame:
     """Edges (a, b) that connect the same fingerprints as all links do; ``prints``: distinct values in ``print``."""
-    rows = prints.count()
-    depth = max(0, min(16, (2 * rows // leaf).bit_length()))
-    cells = written(_cells(prints, depth))
-    flips = [sum(1 << (63 - i) for i in some) for k in range(distance + 1) for some in combinations(range(depth), k)]
-    flips = [f - (1 << 64) if f >> 63 else f for f in flips]  # a row for each of these is bounded by the depth
-    second = [c for c in ("cell", "n", "bits", "mask", "depth")]
-    other = cells.select(*[F.col(c).alias(f"{c}2") for c in second])
-    spread = cells.withColumn("flip", F.explode(F.array(*[F.lit(f).cast("long") for f in flips])))
-    pairs = spread.withColumn("cell2", F.col("cell").bitwiseXOR(F.col("flip"))).where("cell <= cell2").drop("flip").join(other, "cell2")
-    pairs = written(pairs.where(_near(distance)).select(*second, *[f"{c}2" for c in second]))
-
-    done, leaves, rest = [pairs.where(f"n <= {leaf} and n2 <= {leaf}")], [], prints
-    while True:
-        large = written(cells.where(F.col("n") > leaf).select("cell"))
-        at = depth
-        in_large = rest.withColumn("cell", _upper(F.col("print"), at)).join(large, "cell", "left_semi")
-        out = rest.withColumn("cell", _upper(F.col("print"), at)).join(large, "cell", "left_anti")
-        leaves.append(out.select("print", "cell", F.lit(at).alias("depth")))
-        if large.isEmpty():
-            break
-        rest = written(in_large.select("print"))
-        depth = min(64, depth + STEP)
-        cells = written(_cells(rest, depth))
-        child = cells.select(F.lit(at).alias("depth"), _upper(F.col("cell"), at).alias("cell"), *[F.col(c).alias(f"c_{c}") for c in second])
-        # a side that was cut is replaced by its children, one that is a leaf stays
-        open_pairs = pairs.where(f"n > {leaf} or n2 > {leaf}")
+    tables = parts_of(prints.count(), distance, leaf)
+    entries = F.array(*[F.struct(F.lit(i).alias("table"), F.lit(depth).alias("depth"), _moved(F.col("print"), parts).alias("moved")) for i, (depth, parts) in enumerate(tables)])
+    rows = prints.select("print", F.inline(entries)).withColumn("cell", _upper(F.col("moved"), F.col("depth")))
+    cells = written(_cells(rows).where("n > 1"))
+    key = ["table", "depth", "cell"]
+
+    # groups that are one leaf, by far the most: each is compared within itself
+    def within(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            lists = batch.column(0)
+            values, sizes = np.asarray(lists.flatten()).astype(np.int64).view(np.uint64), np.asarray(lists.value_lengths()).astype(np.int64)
+            few, ends = sizes <= BLOCK, np.cumsum(sizes)
+            found = [stars_of_groups(values[np.repeat(few, sizes)], sizes[few], distance)]
+            found += [linked_stars(values[ends[i] - sizes[i] : ends[i]], None, distance) for i in np.flatnonzero(~few)]
+            for member, centre in found:
+                if len(member):
+                    yield pa.RecordBatch.from_arrays([pa.array(member.view(np.int64)), pa.array(centre.view(np.int64))], names=["a", "b"])
+
+    leaves = rows.join(cells.where(f"n <= {leaf}").select(*key), key, "left_semi").groupBy(*key).agg(F.collect_list("print").alias("prints"))
+    edges = leaves.select("prints").mapInArrow(within, "a long, b long")
+
+    # the others are cut, and pairs of their parts descend
+    large = written(cells.where(F.col("n") > leaf).select(*key))
+    if large.isEmpty():
+        return edges
+    rest = written(rows.join(large, key, "left_semi").select("table", "depth", "cell", "moved", "print"))
+    facts = ["table", *key[1:], "n", "bits", "mask"]
+    second = facts[1:]
+    pairs = cells.where(F.col("n") > leaf).select(*facts, *[F.col(c).alias(f"{c}2") for c in second])
+    done, blocks = [], []
+    while not large.isEmpty():
+        rest = rest.withColumns({"over": F.col("depth"), "up": F.col("cell"), "depth": F.least(F.col("depth") + STEP, F.lit(64))}).withColumn("cell", _upper(F.col("moved"), F.col("depth")))
+        rest = written(rest)
+        cells = written(_cells(rest))
+        child = rest.select(*key, "over", "up").distinct().join(cells, key)
 
         def descend(frame, mark, child=child):
-            kids = child.select(*[F.col(c).alias(f"{c}{mark}") for c in ("depth", "cell")], *[F.col(f"c_{c}") for c in second])
-            return frame.join(kids, [f"depth{mark}", f"cell{mark}"], "left").select(
-                *[F.coalesce(F.col(f"c_{c}"), F.col(f"{c}{mark}")).alias(f"{c}{mark}") for c in second],
-                *[f"{c}{'' if mark else '2'}" for c in second],
-                *[c for c in ("same",) if c in frame.columns],
+            """A side that was cut is replaced by its children, one that is a leaf stays."""
+            kids = child.select("table", F.col("over").alias(f"depth{mark}"), F.col("up").alias(f"cell{mark}"), *[F.col(c).alias(f"c_{c}") for c in second])
+            other = "" if mark else "2"
+            return frame.join(kids, ["table", f"depth{mark}", f"cell{mark}"], "left").select(
+                "table", *[F.coalesce(F.col(f"c_{c}"), F.col(f"{c}{mark}")).alias(f"{c}{mark}") for c in second], *[f"{c}{other}" for c in second], "same"
             )
 
-        both = descend(descend(open_pairs.withColumn("same", F.expr("cell = cell2 and depth = depth2")), ""), "2")
-        pairs = written(both.where(_near(distance) & (~F.col("same") | (F.col("cell") <= F.col("cell2")))).select(*second, *[f"{c}2" for c in second]))
+        both = descend(descend(pairs.withColumn("same", F.expr("cell = cell2 and depth = depth2")), ""), "2")
+        once = ~F.col("same") | (F.col("cell") <= F.col("cell2"))
+        pairs = written(both.where(_near(distance) & once).select(*facts, *[f"{c}2" for c in second]))
         done.append(pairs.where(f"n <= {leaf} and n2 <= {leaf}"))
-
-    blocks = leaves[0]
-    for more in leaves[1:]:
-        blocks = blocks.union(more)
-    blocks = written(blocks.groupBy("depth", "cell").agg(F.collect_list("print").alias("prints")))
-    every = done[0]
-    for more in done[1:]:
-        every = every.union(more)
-    met = every.select("depth", "cell", "depth2", "cell2").join(blocks, ["depth", "cell"])
-    met = met.join(blocks.select(F.col("depth").alias("depth2"), F.col("cell").alias("cell2"), F.col("prints").alias("prints2")), ["depth2", "cell2"])
+        pairs = pairs.where(f"n > {leaf} or n2 > {leaf}")
+        large = written(cells.where(F.col("n") > leaf).select(*key))
+        blocks.append(rest.join(large, key, "left_anti").select(*key, "print"))
+        rest = rest.join(large, key, "left_semi").drop("over", "up")
+
+    gathered = written(reduce(DataFrame.union, blocks).groupBy(*key).agg(F.collect_list("print").alias("prints")))
+    met = reduce(DataFrame.union, done).select("table", "depth", "cell", "depth2", "cell2").join(gathered, key)
+    met = met.join(gathered.select("table", F.col("depth").alias("depth2"), F.col("cell").alias("cell2"), F.col("prints").alias("prints2")), ["table", "depth2", "cell2"])
     same = (F.col("cell") == F.col("cell2")) & (F.col("depth") == F.col("depth2"))
 
     def compare(batches):
@@ -207,7 +274,7 @@ def links(prints: DataFrame, distance: int = DISTANCE, leaf: int = LEAF) -> Data
                 if len(member):
                     yield pa.RecordBatch.from_arrays([pa.array(member.view(np.int64)), pa.array(centre.view(np.int64))], names=["a", "b"])
 
-    return met.select("prints", "prints2", same.alias("same")).mapInArrow(compare, "a long, b long")
+    return edges.union(met.select("prints", "prints2", same.alias("same")).mapInArrow(compare, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -129,3 +129,19 @@ def test_bits_go_out_in_passes(spark, monkeypatch):
     monkeypatch.setattr(exact_dedup, "SENDER_ROWS", 20)
     monkeypatch.setattr(exact_dedup, "BLOCK_ROWS", 6)
     assert spark_rows(QUERIES["op8_exact_dedup"](spark, SMALL)) == sql_rows(ORACLE_SQL["op8_exact_dedup"])
+
+
+@pytest.mark.parametrize("rows", [1000, 1 << 30, 1 << 45])
+def test_linked_prints_agree_in_a_table(spark, rows, monkeypatch):
+    """However many parts must agree, no link is lost; fingerprints with up to three flipped bits, and some with four."""
+    tables = simhash.parts_of(rows, 3, simhash.LEAF)
+    assert all(sum(w for _, w in parts) == 64 and len({s for s, _ in parts}) == len(parts) for _, parts in tables)
+    monkeypatch.setattr(simhash, "parts_of", lambda *_: tables)
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, 60, dtype=np.uint64)
+    flips = [sum(np.uint64(1) << np.uint64(b) for b in rng.choice(64, n, replace=False)) for n in (1, 2, 3, 3, 4)]
+    prints = np.unique(np.concatenate([base, *(base ^ np.uint64(f) for f in flips)]))
+    frame = spark.createDataFrame(pd.DataFrame({"print": prints.view(np.int64)}))
+    found = {r["node"]: r["component"] for r in simhash.components(simhash.links(frame)).collect()}
+    own = prints.view(np.int64).tolist()
+    assert [found.get(p, p) for p in own] == _components(prints, own)
