@@ -59,13 +59,19 @@ def kind_of(word: bytes) -> int:
 
 
 class _Tokens(dict):
-    """word -> its 64-bit number: the upper 58 bits of its XXH64 and its kind. The end is the empty word."""
+    """word -> its place among the distinct words of a block. The end is the empty word. ``numbers`` has the 64-bit number of
+    each place: the upper 58 bits of the word's XXH64 and its kind."""
+
+    def __init__(self):
+        super().__init__()
+        self.numbers: list[int] = []
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        self[word] = number = xxhash.xxh64_intdigest(word) & ~_KIND_BITS | kind_of(word)
-        return number
+        self[word] = place = len(self.numbers)
+        self.numbers.append(xxhash.xxh64_intdigest(word) & ~_KIND_BITS | kind_of(word))
+        return place
 
 
 def _blocks(batches):
@@ -73,35 +79,34 @@ def _blocks(batches):
     import pyarrow as pa
     from pyspark import TaskContext
 
-    number, task, made = _Tokens(), TaskContext.get().partitionId(), 0
+    name = TaskContext.get().partitionId() << 32
     names = [f.split()[0] for f in BLOCK_SCHEMA.split(", ")]
 
-    def block(ids, hashes):
-        lengths = np.array([len(h) for h in hashes], np.int64)
+    def block(ids, texts, places):
+        lengths = np.array([len(t) for t in texts], np.int64)
         held = np.array([fold(i) == HELD_OUT for i in ids], bool)
-        every = np.concatenate(hashes)
-        distinct, places = np.unique(every, return_inverse=True)
-        counts = np.bincount(places[np.repeat(~held, lengths)], minlength=len(distinct))
+        every = np.concatenate(texts)
+        counts = np.bincount(every[np.repeat(~held, lengths)], minlength=len(places.numbers))
         whole = np.array([0 if i is None else i for i in ids], np.int64)
-        values = [f"{task}-{made}", whole.tobytes(), np.packbits([i is None for i in ids]).tobytes(), held.tobytes(), lengths.tobytes(), places.astype("<u4").tobytes(), distinct.tobytes(), counts.astype("<i8").tobytes()]
+        values = [name, whole.tobytes(), np.packbits([i is None for i in ids]).tobytes(), held.tobytes(), lengths.tobytes(), every.tobytes(), np.array(places.numbers, np.uint64).tobytes(), counts.astype("<i8").tobytes()]
         return pa.RecordBatch.from_arrays([pa.array([v]) for v in values], names=names)
 
-    ids, hashes, size = [], [], 0
+    ids, texts, size, places = [], [], 0, _Tokens()
     for batch in batches:
         for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            found = np.array([number[w] for w in (*ascii_words(text), b"")], np.uint64)
-            if ids and size + len(found) > BLOCK_TOKENS:
-                yield block(ids, hashes)
-                ids, hashes, size, made = [], [], 0, made + 1
-                number.clear()
+            words = ascii_words(text)
+            words.append(b"")
+            if ids and size + len(words) > BLOCK_TOKENS:
+                yield block(ids, texts, places)
+                ids, texts, size, places, name = [], [], 0, _Tokens(), name + 1
             ids.append(i)
-            hashes.append(found)
-            size += len(found)
+            texts.append(np.fromiter(map(places.__getitem__, words), "<u4", len(words)))
+            size += len(words)
     if ids:
-        yield block(ids, hashes)
+        yield block(ids, texts, places)
 
 
-BLOCK_SCHEMA = "block string, ids binary, nulls binary, held binary, lengths binary, tokens binary, distinct binary, train_counts binary"
+BLOCK_SCHEMA = "block long, ids binary, nulls binary, held binary, lengths binary, tokens binary, distinct binary, train_counts binary"
 
 
 def counted(docs: DataFrame) -> tuple[DataFrame, DataFrame, np.ndarray, np.ndarray, list[tuple[int, int]]]:
@@ -115,10 +120,10 @@ def counted(docs: DataFrame) -> tuple[DataFrame, DataFrame, np.ndarray, np.ndarr
         for batch in batches:
             for block, distinct, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 values = np.frombuffer(distinct, np.int64)
-                columns = [pa.array([block] * len(values)), pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values), pa.array(np.frombuffer(counts, np.int64))]
+                columns = [pa.array(np.full(len(values), block, np.int64)), pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values), pa.array(np.frombuffer(counts, np.int64))]
                 yield pa.RecordBatch.from_arrays(columns, names=["block", "place", "hash", "n"])
 
-    each = blocks.select("block", "distinct", "train_counts").mapInArrow(apart, "block string, place int, hash long, n long")
+    each = blocks.select("block", "distinct", "train_counts").mapInArrow(apart, "block long, place int, hash long, n long")
     totals = written(each.groupBy("hash").agg(F.sum("n").alias("total")))
     tokens, distinct = np.zeros(KINDS, np.int64), np.zeros(KINDS, np.int64)
     for r in totals.groupBy(F.col("hash").bitwiseAND(_KIND_BITS).alias("kind")).agg(F.sum("total").alias("n"), F.count_if(F.col("total") > 0).alias("v")).collect():
@@ -339,12 +344,17 @@ class Lanes:
     def windows(self):
         """Of each window, by (step, lane): inputs, words (0 where a lane has ended), goes_on (0 where a text begins) and
         whose words they are. Lanes that have ended are left out; the others come first."""
-        for a in range(0, int(self.loads.max()), WINDOW):
+        least = int(self.loads.min())
+        for a in range(0, int(self.loads[0]), WINDOW):
             live = int(np.searchsorted(-self.loads, -a, "left"))
             at = np.arange(a, min(a + WINDOW, int(self.loads[0])))[:, None]
-            real = at < self.loads[:live]
-            where = np.where(real, self.starts[:live] + at, 0)
-            yield np.where(real, self.before[where], START), np.where(real, self.words[where], START), self.goes_on[where], self.text[where]
+            where = self.starts[:live] + at
+            if at[-1, 0] < least:
+                yield self.before[where], self.words[where], self.goes_on[where], self.text[where]
+            else:
+                real = at < self.loads[:live]
+                where[~real] = 0
+                yield np.where(real, self.before[where], START), np.where(real, self.words[where], START), self.goes_on[where], self.text[where]
 
 
 def train(p: dict, shape: Shape, texts: list[np.ndarray]) -> dict:
@@ -385,9 +395,11 @@ def score_texts(p: dict, shape: Shape, texts: list[np.ndarray], lanes: int = SCO
     h = np.zeros((lanes, p["U"].shape[1]), np.float32)
     for x, y, goes_on, text in Lanes(texts, lanes).windows():
         states, _ = run_window(p, x, h[: x.shape[1]], goes_on)
-        real = y != START
-        out += np.bincount(text[real], log_probabilities(p, shape, states[real], y[real]), len(texts))
-        h = states[-1]
+        h, real = states[-1], y.ravel() != START
+        states, y, text = states.reshape(-1, h.shape[1]), y.ravel(), text.ravel()
+        if not real.all():
+            states, y, text = states[real], y[real], text[real]
+        out += np.bincount(text, log_probabilities(p, shape, states, y), len(texts))
     return out
 
 
@@ -454,7 +466,7 @@ def fit(blocks: DataFrame, shape: Shape) -> dict:
             return pd.DataFrame({"part": [int(key[0])], "block": [group["block"].iloc[0]], "weight": [group["weight"].sum()], "numbers": [whole.tobytes()]})
 
         # first within a part and a share of the blocks, then within a part: no task gets all blocks
-        schema = "part int, block string, weight double, numbers binary"
+        schema = "part int, block long, weight double, numbers binary"
         some = rows.mapInPandas(learn, schema).withColumn("share", F.pmod(F.xxhash64("block"), F.lit(SHARES)))
         parts = some.groupBy("part", "share").applyInPandas(add, schema).groupBy("part").applyInPandas(add, schema).collect()  # the weights: their size is fixed
         if parts:

@@ -86,8 +86,8 @@ def test_training_reads_whole_documents(spark):
     assert len(shape.words) == 705
     before, after = lm.start_weights(shape), lm.fit(blocks, shape)
     assert (np.abs(after["O"] - before["O"]).max(axis=1)[shape.words] > 1e-6).all()  # all are learnt as what follows
-    number = lm._Tokens()
-    as_input = [int(shape.words[shape.hashes == number[w.encode()]][0]) for w in said]
+    places = lm._Tokens()
+    as_input = [int(shape.words[shape.hashes == np.uint64(places.numbers[places[w.encode()]])][0]) for w in said]
     assert (np.abs(after["E"] - before["E"]).max(axis=1)[as_input] > 1e-6).all()  # and the long one's as what stands before
 
 
