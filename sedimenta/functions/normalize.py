@@ -27,6 +27,11 @@ def _result(value: Column, issue: Column) -> Column:
     return F.struct(value.alias("value"), issue.alias("issue"))
 
 
+def once(c: Column, of: Callable[[Column], Column]) -> Column:
+    """``of(c)`` with ``c`` computed once, however often it is used."""
+    return F.get(F.transform(F.array(c), of), F.lit(0))
+
+
 def trim(c: Column) -> Column:
     """Without white space at either end, Unicode's included."""
     return F.regexp_replace(c, r"^[\s \u0085 -    　]+|[\s \u0085 -    　]+$", "")
@@ -41,7 +46,7 @@ def plain(number: Column) -> Column:
     out = F.regexp_replace(number, r"^\+", "")
     out = F.regexp_replace(out, r"^(-?)0+(?=[0-9])", "$1")
     out = F.regexp_replace(F.regexp_replace(out, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
-    return F.when(out == "-0", "0").otherwise(out)
+    return F.regexp_replace(out, "^-0$", "0")
 
 
 def exact(number: Column) -> Column:
@@ -57,33 +62,41 @@ def _readings(c: Column) -> dict[str, Column]:
     return {"ru": ru, "en": en, "us": en, "gb": en}
 
 
-def _number(c: Column, locale: str | None) -> tuple[Column, Column]:
-    """A number's plain text by the grammar of ``locale``, and an issue; without a locale, both grammars must agree."""
+def _number(c: Column, locale: str | None) -> Column:
+    """struct(value, issue): a number's plain text by the grammar of ``locale``; without one, both grammars must agree."""
     read = _readings(c)
     if locale:
-        return read[locale], F.when(c.isNotNull() & read[locale].isNull(), "INVALID_NUMBER")
-    ambiguous = F.coalesce(read["ru"] != read["en"], F.lit(False))
-    value = F.when(~ambiguous, F.coalesce(read["ru"], read["en"]))
-    return value, F.when(ambiguous, "AMBIGUOUS_NUMBER").when(c.isNotNull() & value.isNull(), "INVALID_NUMBER")
+        return once(read[locale], lambda x: _result(x, F.when(c.isNotNull() & x.isNull(), "INVALID_NUMBER")))
+
+    def judged(x: Column) -> Column:
+        ambiguous = F.coalesce(x["ru"] != x["en"], F.lit(False))
+        none = c.isNotNull() & x["ru"].isNull() & x["en"].isNull()
+        return _result(F.when(~ambiguous, F.coalesce(x["ru"], x["en"])), F.when(ambiguous, "AMBIGUOUS_NUMBER").when(none, "INVALID_NUMBER"))
+
+    return once(F.struct(read["ru"].alias("ru"), read["en"].alias("en")), judged)
 
 
 def decimal(c: Column, locale: str | None = None) -> Column:
     """An exact number by the grammar of ``locale`` (ru, en); without one, both are tried and must agree. A number with
     more digits than WHOLE or PLACES is an issue."""
-    text, issue = _number(c, locale)
-    value = exact(text)
-    return _result(value, F.coalesce(issue, F.when(text.isNotNull() & value.isNull(), "NUMBER_OUT_OF_RANGE")))
+    def whole(x: Column) -> Column:
+        return _result(exact(x["value"]), F.coalesce(x["issue"], F.when(x["value"].isNotNull() & exact(x["value"]).isNull(), "NUMBER_OUT_OF_RANGE")))
+
+    return once(_number(c, locale), whole)
 
 
 def integer(c: Column, locale: str | None = None) -> Column:
     """A whole number of 38 digits at most, written without a fraction and without leading zeros."""
-    text, issue = _number(c, locale)
     sign = r"[.,][0-9]+$" if locale is None else ",[0-9]+$" if locale == "ru" else r"\.[0-9]+$"
     grouped = F.lit(False) if locale == "ru" else c.rlike(r"^[+-]?[0-9]{1,3}(,[0-9]{3})+$")
     fraction = c.rlike(sign) & ~grouped
-    value = F.when(~fraction & ~c.rlike(r"^[+-]?0[0-9]"), text).try_cast("decimal(38,0)")
-    issue = F.coalesce(issue, F.when(fraction | c.rlike(r"^[+-]?0[0-9]"), "INVALID_INTEGER"))
-    return _result(value, F.coalesce(issue, F.when(c.isNotNull() & value.isNull(), "NUMBER_OUT_OF_RANGE")))
+
+    def whole(x: Column) -> Column:
+        value = F.when(~fraction & ~c.rlike(r"^[+-]?0[0-9]"), x["value"]).try_cast("decimal(38,0)")
+        issue = F.coalesce(x["issue"], F.when(fraction | c.rlike(r"^[+-]?0[0-9]"), "INVALID_INTEGER"))
+        return _result(value, F.coalesce(issue, F.when(c.isNotNull() & value.isNull(), "NUMBER_OUT_OF_RANGE")))
+
+    return once(_number(c, locale), whole)
 
 
 def money(c: Column, currency: str, locale: str | None = None) -> Column:
@@ -114,22 +127,30 @@ def date(c: Column, locale: str | None = None) -> Column:
     """ISO; dd.mm.yyyy in ru; with slashes mm/dd in us and dd/mm in gb; without a locale, any of these, and two different
     readings are ambiguous."""
     forms = {"iso": _day(c, _ISO, 1, 2, 3), "ru": _day(c, _DOTTED, 3, 2, 1), "us": _day(c, _SLASHED, 3, 1, 2), "gb": _day(c, _SLASHED, 3, 2, 1)}
-    value = F.coalesce(*[v for k, v in forms.items() if k in ("iso", locale) or locale is None])
-    ambiguous = F.coalesce(F.lit(locale is None) & (forms["us"] != forms["gb"]), F.lit(False))
-    value = F.when(~ambiguous, value)
-    return _result(value, F.when(ambiguous, "AMBIGUOUS_DATE").when(c.isNotNull() & value.isNull(), "INVALID_DATE"))
+    read = {k: v for k, v in forms.items() if k in ("iso", locale) or locale is None}
+
+    def judged(x: Column) -> Column:
+        value = F.coalesce(*[x[k] for k in read])
+        ambiguous = F.coalesce(x["us"] != x["gb"], F.lit(False)) if locale is None else F.lit(False)
+        return _result(F.when(~ambiguous, value), F.when(ambiguous, "AMBIGUOUS_DATE").when(c.isNotNull() & value.isNull(), "INVALID_DATE"))
+
+    return once(F.struct(*[v.alias(k) for k, v in read.items()]), judged)
 
 
 def datetime(c: Column, locale: str | None = None) -> Column:
     """A date as above and a time with a zone, in UTC; without a zone, or with -00:00, which says that it is unknown, it is
     refused."""
     part = lambda i: F.regexp_extract(c, _ZONED, i)
-    day, zone, formed = date(F.when(c.rlike(_ZONED), part(1)), locale), part(3), c.rlike(_ZONED)
+    zone, formed = part(3), c.rlike(_ZONED)
     clock = F.when(F.length(part(2)) == 5, F.concat(part(2), F.lit(":00"))).otherwise(part(2))
     known = (zone != "") & (zone != "-00:00")
-    value = F.when(formed & known, F.try_to_timestamp(F.concat(day["value"].cast("string"), F.lit("T"), clock, zone)))
-    issue = F.coalesce(F.when(formed, day["issue"]), F.when(formed & ~known, "TIMEZONE_REQUIRED"))
-    return _result(value, F.coalesce(issue, F.when(c.isNotNull() & value.isNull(), "INVALID_DATETIME")))
+
+    def judged(day: Column) -> Column:
+        value = F.when(formed & known, F.try_to_timestamp(F.concat(day["value"].cast("string"), F.lit("T"), clock, zone)))
+        issue = F.coalesce(F.when(formed, day["issue"]), F.when(formed & ~known, "TIMEZONE_REQUIRED"))
+        return _result(value, F.coalesce(issue, F.when(c.isNotNull() & value.isNull(), "INVALID_DATETIME")))
+
+    return once(date(F.when(formed, part(1)), locale), judged)
 
 
 def phone(c: Column) -> Column:

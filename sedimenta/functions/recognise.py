@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sedimenta.functions import normalize as N
+from sedimenta.functions.normalize import once
 
 # Forms of texts.
 _EMAIL = r"[A-Za-z0-9.!#$%&'*+/=?^_`{|}~-]+@[A-Za-z0-9](?:[A-Za-z0-9.-]*[A-Za-z0-9])?\.[A-Za-z]{2,63}"
@@ -35,11 +36,6 @@ def skipped(c: Column) -> Column:
     return (F.octet_length(c) > MOST_BYTES) | (F.length(F.regexp_replace(c, "[^0-9]", "")) > MOST_DIGITS)
 
 
-def once(c: Column, of: Callable[[Column], Column]) -> Column:
-    """``of(c)`` with ``c`` computed once, however often it is used."""
-    return F.get(F.transform(F.array(c), of), F.lit(0))
-
-
 def scan(c: Column, locale: str | None = None, money_hint: Column | bool = False) -> Column:
     """struct(patterns, kinds, reasons, categories, number, day, moment): the first four are structs of flags by name, the
     others what the text says as a number, date or time, if it has one reading."""
@@ -56,51 +52,58 @@ def _parts(c: Column) -> Column:
 
 
 def _readings(p: Column, locale: str | None) -> Column:
-    number, issue = N._number(p["bare"], locale)
-    return F.struct(number.alias("number"), issue.alias("issue"), N.date(p["text"], locale).alias("day"))
+    has_digit = p["text"].rlike("[0-9]")
+    number, day = N._number(F.when(has_digit, p["bare"]), locale), N.date(F.when(has_digit & (F.length(p["text"]) == 10), p["text"]), locale)
+    return F.struct(number["value"].alias("number"), number["issue"].alias("issue"), day.alias("day"))
 
 
-def _scanned(c: Column, p: Column, r: Column, hint: Column) -> Column:
+def _signs(c: Column, p: Column, r: Column) -> Column:
+    """All that is looked for in a text, each once; cheap signs go before patterns."""
     has = lambda pattern: _flag(c.rlike(pattern))
+    at, http, short = _flag(c.contains("@")), _flag(c.startswith("http")), _flag(F.length(c) <= 64)
     bare = F.regexp_replace(c, r"^[<>(),;]+|[<>(),;]+$", "")
-    mail_like = has("@") & _flag(F.exists(F.split(bare, r"[<>(),;]*\s+[<>(),;]*"), lambda x: x.rlike(f"^(?:{_EMAIL})$")))
-    email = has(rf"^(?:{_EMAIL})$") & _flag(F.substring_index(c, "@", -1).rlike(f"^(?:{_HOST})$"))
-    ten, twelve = (_flag((F.length(c) == n) & N.inn(c)) for n in (10, 12))
     core = F.regexp_replace(c, _EXT + "$", "")
     digits = F.length(F.regexp_replace(core, "[^0-9]", ""))
-    phone = _flag((F.length(c) <= 64) & has(rf"^\+?[0-9 ()-]+{_EXT}?$") & (digits.between(10, 15) | (core.startswith("+") & digits.between(7, 15))) & ~ten & ~twelve)
-    uuid = has(r"^(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12})$")
-    url = has(_URL)
-    marked, number, day = F.size(p["marks"]) > 0, r["number"], r["day"]
-    two, two_days = _flag(r["issue"] == "AMBIGUOUS_NUMBER"), _flag(day["issue"] == "AMBIGUOUS_DATE")
-    is_number = number.isNotNull() | two
-    integer = is_number & ~marked & _flag(p["bare"].rlike("^[+-]?[0-9]+$"))
-    identifier = is_number & (_flag(p["bare"].rlike("^[+-]?0[0-9]+$")) | ten | twelve)
-    money = is_number & (marked | hint)
+    is_number = _flag(r["number"].isNotNull() | (r["issue"] == "AMBIGUOUS_NUMBER"))
     moment = F.when(has(_DATETIME), F.try_to_timestamp(F.regexp_replace(c, "(T[0-9]{2}:[0-9]{2})(Z|[+-]|$)", "$1:00$2")))
-    zoned = has(r"(?:Z|[+-][0-9]{2}:[0-9]{2})$")
+    found = {
+        "mail_like": at & _flag(F.exists(F.split(bare, r"[<>(),;]*\s+[<>(),;]*"), lambda x: x.rlike(f"^(?:{_EMAIL})$"))),
+        "email": at & has(rf"^(?:{_EMAIL})$") & _flag(F.substring_index(c, "@", -1).rlike(f"^(?:{_HOST})$")),
+        "ten": _flag((F.length(c) == 10) & N.inn(c)), "twelve": _flag((F.length(c) == 12) & N.inn(c)),
+        "phone": short & has(rf"^\+?[0-9 ()-]+{_EXT}?$") & _flag(digits.between(10, 15) | (core.startswith("+") & digits.between(7, 15))),
+        "uuid": _flag(F.length(c).isin(32, 36)) & has(r"^(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12})$"),
+        "url": http & has(_URL), "login": http & has("^https?://[^/?#]*@"), "credential": has(_CREDENTIAL), "is_number": is_number, "two": _flag(r["issue"] == "AMBIGUOUS_NUMBER"),
+        "marked": F.size(p["marks"]) > 0, "marks": (F.size(F.array_distinct(p["marks"])) > 1) | _flag(F.array_contains(p["marks"], "$")), "whole": is_number & _flag(p["bare"].rlike("^[+-]?[0-9]+$")),
+        "zero": is_number & _flag(p["bare"].rlike("^[+-]?0[0-9]+$")), "boolean": _flag(F.lower(p["text"]).isin(*BOOLEANS)), "two_days": _flag(r["day"]["issue"] == "AMBIGUOUS_DATE"),
+        "zoned": has(r"(?:Z|[+-][0-9]{2}:[0-9]{2})$"), "long": _flag(F.length(c) >= 32), "moment": moment,
+    }
+    return F.struct(*[v.alias(k) for k, v in found.items()])
+
+
+def _scanned(c: Column, p: Column, r: Column, hint: Column) -> Column:
+    return once(_signs(c, p, r), lambda f: _told(f, r, hint))
+
+
+def _told(f: Column, r: Column, hint: Column) -> Column:
+    phone, tax = f["phone"] & ~f["ten"] & ~f["twelve"], f["ten"] | f["twelve"]
+    date, datetime, money = r["day"]["value"].isNotNull() | f["two_days"], f["moment"].isNotNull(), f["is_number"] & (f["marked"] | hint)
+    integer, identifier = f["whole"] & ~f["marked"], f["is_number"] & (f["zero"] | tax)
     patterns = {
-        "boolean": _flag(F.lower(p["text"]).isin(*BOOLEANS)), "currency": is_number & marked, "date": day["value"].isNotNull() | two_days, "datetime": moment.isNotNull(),
-        "decimal": is_number, "email": email, "integer": integer, "money": money, "phone": phone, "russian_inn_10": ten, "russian_inn_12": twelve, "url": url, "uuid": uuid,
+        "boolean": f["boolean"], "currency": f["is_number"] & f["marked"], "date": date, "datetime": datetime, "decimal": f["is_number"], "email": f["email"], "integer": integer, "money": money, "phone": phone,
+        "russian_inn_10": f["ten"], "russian_inn_12": f["twelve"], "url": f["url"], "uuid": f["uuid"],
     }
+    some = reduce(lambda a, b: a | b, patterns.values())
+    patterns["free_text"] = ~some & f["long"]
     kinds = {
-        "boolean": patterns["boolean"], "date": patterns["date"], "datetime": patterns["datetime"], "decimal": is_number & ~integer & ~identifier & ~money,
-        "identifier": identifier | email | phone | ten | twelve | uuid | url, "integer": integer & ~identifier & ~money, "money": money,
+        "boolean": f["boolean"], "date": date, "datetime": datetime, "decimal": f["is_number"] & ~integer & ~identifier & ~money, "identifier": identifier | f["email"] | phone | tax | f["uuid"] | f["url"],
+        "integer": integer & ~identifier & ~money, "money": money,
     }
-    reasons = {
-        "currency_ambiguity": is_number & (_flag(F.array_contains(p["marks"], "$")) | (F.size(F.array_distinct(p["marks"])) > 1)), "locale_ambiguity": two | two_days,
-        "naive_datetime": patterns["datetime"] & ~zoned,
-    }
-    categories = {"credential": has(_CREDENTIAL) | (url & has("^https?://[^/?#]*@")), "email": mail_like, "financial": money, "personal_tax_id": twelve, "phone": phone}
-    flags = lambda of, found: F.struct(*[found[n].alias(n) for n in of if n in found])
-
-    def whole(f: Column) -> Column:
-        none = ~F.greatest(*[f[n].cast("int") for n in patterns]).cast("boolean")
-        return F.struct(*[f[n].alias(n) if n in patterns else (none & _flag(F.length(c) >= 32)).alias(n) for n in PATTERNS])
-
+    reasons = {"currency_ambiguity": f["is_number"] & f["marks"], "locale_ambiguity": f["two"] | f["two_days"], "naive_datetime": datetime & ~f["zoned"]}
+    categories = {"credential": f["credential"] | (f["url"] & f["login"]), "email": f["mail_like"], "financial": money, "personal_tax_id": f["twelve"], "phone": phone}
+    flags = lambda of, found: F.struct(*[found[n].alias(n) for n in of])
     return F.struct(
-        once(flags(PATTERNS, patterns), whole).alias("patterns"), flags(KINDS, kinds).alias("kinds"), flags(REASONS, reasons).alias("reasons"), flags(CATEGORIES, categories).alias("categories"),
-        F.when(is_number & ~two, N.exact(number)).alias("number"), F.when(~two_days, day["value"]).alias("day"), F.when(zoned, moment).alias("moment"),
+        flags(PATTERNS, patterns).alias("patterns"), flags(KINDS, kinds).alias("kinds"), flags(REASONS, reasons).alias("reasons"), flags(CATEGORIES, categories).alias("categories"),
+        F.when(f["is_number"] & ~f["two"], N.exact(r["number"])).alias("number"), F.when(~f["two_days"], r["day"]["value"]).alias("day"), F.when(f["zoned"], f["moment"]).alias("moment"),
     )
 
 

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from sedimenta.sources.shared import written
 
+#: Rounds of neighbours that rejection spreads by before whole components are found.
+ROUNDS = 4
+
 
 def plan_actions(incoming: DataFrame, stored: DataFrame, identity: list[str], mutable: list[str], issues: DataFrame | None = None) -> DataFrame:
     """Incoming rows with action: quarantine if the row has an issue, else update (or skip, where nothing is mutable)
@@ -31,15 +34,23 @@ def action_counts(plan: DataFrame) -> DataFrame:
 def rejection_closure(edges: DataFrame, rejected: DataFrame, cut=written) -> DataFrame:
     """node, direct: all nodes that rejection reaches over ``edges`` (a, b: either way).
 
-    Nodes are rejected with their whole connected component, so components are found once, in a number of rounds that
-    grows with the logarithm of the longest chain, and rejection is one join with them.
+    A few rounds join only the nodes that the one before has reached, each written by itself. Whatever is far along a chain
+    after them is reached by components, in a number of rounds that grows with the logarithm of its length.
     """
-    direct = rejected.select(F.col(rejected.columns[0]).alias("node")).where("node is not null").distinct()
-    groups = connected(edges, cut)
-    hit = groups.join(direct, "node", "left_semi").select("component").distinct()
-    reached = groups.join(hit, "component", "left_semi").select("node")
-    marked = direct.withColumn("direct", F.lit(True)).unionByName(reached.withColumn("direct", F.lit(False)))
-    return marked.groupBy("node").agg(F.bool_or("direct").alias("direct"))
+    direct = cut(rejected.select(F.col(rejected.columns[0]).alias("node")).where("node is not null").distinct())
+    both = cut(edges.select("a", "b").union(edges.select("b", "a")).where("a is not null and b is not null").distinct())
+    seen = front = direct
+    for _ in range(ROUNDS):
+        reached = front.join(both, front.node == both.a).select(F.col("b").alias("node")).distinct()
+        front = cut(reached.join(seen, "node", "left_anti"))
+        if front.isEmpty():
+            break
+        seen = seen.union(front)
+    else:
+        groups = connected(edges, cut)
+        hit = groups.join(front, "node", "left_semi").select("component").distinct()
+        seen = seen.union(groups.join(hit, "component", "left_semi").select("node")).distinct()
+    return seen.join(direct.withColumn("direct", F.lit(True)), "node", "left").select("node", F.coalesce("direct", F.lit(False)).alias("direct"))
 
 
 def connected(edges: DataFrame, cut=written) -> DataFrame:

@@ -93,9 +93,10 @@ def test_poisoned_sums_are_indeterminate(spark):
 
 
 def test_rejection_spreads_along_chains(spark):
-    edges = spark.createDataFrame([(i, i + 1) for i in range(6)] + [(10, 11)], "a int, b int")
-    found = load.rejection_closure(edges, spark.createDataFrame([(3,)], "n int")).collect()
-    assert {r["node"] for r in found} == set(range(7)) and {r["node"] for r in found if r["direct"]} == {3}
+    for length in (6, 40):
+        edges = spark.createDataFrame([(i, i + 1) for i in range(length)] + [(100, 101)], "a int, b int")
+        found = load.rejection_closure(edges, spark.createDataFrame([(3,), (200,)], "n int")).collect()
+        assert sorted(r["node"] for r in found) == [*range(length + 1), 200] and {r["node"] for r in found if r["direct"]} == {3, 200}
 
 
 def test_load_order_and_cycles():
