@@ -180,12 +180,35 @@ def _sample_sql(source: str, key: str, fields: list[str]) -> str:
     )
 
 
+_SOURCES = "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority c_custkey c_name c_nationkey c_acctbal c_mktsegment".split()
+_TARGETS = (
+    "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate s_suppkey s_name s_nationkey s_acctbal "
+    "p_partkey p_name p_brand p_type p_size p_retailprice"
+).split()
+
+
+def _ranking_sql() -> str:
+    """All pairs of names, scored by their words and by edits of their letters, and the three best of each source."""
+    values = lambda names: ", ".join(f"('{n}')" for n in names)
+    weight = lambda words: f"list_sum(list_transform({words}, lambda w: CASE WHEN w IN ('id', 'name', 'code', 'type', 'value', 'date', 'number', 'key', 'status') THEN 1 ELSE 4 END))"
+    return f"""
+        WITH p AS (SELECT source, target, string_split(source, '_') AS a, string_split(target, '_') AS b, replace(source, '_', '') AS x, replace(target, '_', '') AS y
+                   FROM (VALUES {values(_SOURCES)}) s(source), (VALUES {values(_TARGETS)}) t(target)),
+             d AS (SELECT *, 2.0 * coalesce({weight("list_intersect(a, b)")}, 0) / ({weight("list_distinct(a)")} + {weight("list_distinct(b)")}) AS dice, greatest(length(x), length(y)) AS l, levenshtein(x, y) AS e FROM p),
+             s AS (SELECT source, target, CASE WHEN source = target THEN 1.0 WHEN a = b THEN 0.98 WHEN x = y THEN 0.95 ELSE round_even(CAST(greatest(0.9 * dice,
+                          CASE WHEN least(length(x), length(y)) >= 4 AND e <= least(3, l // 4) THEN 0.9 * (l - e) / l ELSE 0 END) AS DOUBLE), 6) END AS score FROM d),
+             r AS (SELECT *, row_number() OVER w AS rank, round(score - coalesce(lead(score) OVER w, 0), 6) AS gap FROM s WINDOW w AS (PARTITION BY source ORDER BY score DESC, target))
+        SELECT source, target, CAST(score AS DOUBLE) AS score, CAST(rank AS INTEGER) AS rank, CAST(gap AS DOUBLE) AS gap,
+               CASE WHEN score >= 0.9 AND gap >= 0.1 THEN 'auto' WHEN score >= 0.7 THEN 'review' ELSE 'rejected' END AS status FROM r WHERE rank <= 3"""
+
+
 _CO = sorted(["lang", "source", "quality", "toxic"])
 ORACLE_SQL = {
     "profile_orders_fields": _profile_sql("orders", {"o_orderkey": "integer", "o_custkey": "integer", "o_orderstatus": "string", "o_orderpriority": "string"}),
     "profile_documents_fields": _profile_sql(_LABELLED, {"lang": "string", "source": "string", "quality": "integer", "toxic": "integer"}),
     "profile_distinct_exact": _distinct_sql("customer", _CUSTOMER),
     "profile_distinct_kmv": _kmv_sql("lineitem", {"l_orderkey": "integer", "l_partkey": "integer", "l_suppkey": "integer", "l_returnflag": "string"}, 256),
+    "name_match_topk": _ranking_sql(),
     "profile_full": _full_sql(),
     "profile_classified": "SELECT * FROM (VALUES ('o_orderkey', '', 'INTERNAL', 'not_detected'), ('price', 'financial', 'CONFIDENTIAL', 'detected'), ('contact', 'email', 'CONFIDENTIAL', 'detected'), ('first_name', 'person_name', 'CONFIDENTIAL', 'detected'), ('token_of', 'credential', 'RESTRICTED', 'detected')) t(field, categories, class, state)",
     "recognised_texts": f"SELECT o_orderkey, {_of_texts(1)} AS patterns, {_of_texts(2)} AS kinds, {_of_texts(3)} AS reasons, {_of_texts(4)} AS categories FROM orders",

@@ -63,6 +63,8 @@ ORACLE_SQL = {
     "upsert_state": """
         SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 0.0::DOUBLE ELSE c_acctbal END AS c_acctbal FROM customer
         WHERE c_acctbal < 0 OR c_custkey IN (SELECT o_custkey FROM orders)""",
+    "type_compatibility_pairs": """SELECT source_kind, target_kind, CAST(fit AS DOUBLE) AS fit FROM (VALUES ('integer', 'integer', 1), ('number', 'number', 1), ('string', 'string', 1), ('datetime', 'datetime', 1), ('integer', 'string', 0.75),
+        ('integer', 'number', 0.75), ('string', 'integer', 0.5)) t(source_kind, target_kind, fit)""",
     "markdown_kinds": """
         SELECT p_partkey AS id, CAST(b AS BIGINT) AS block_no, kind, first, last FROM part, (VALUES (0, 'heading', 0, 0), (1, 'blank', 1, 1), (2, 'list', 2, 3), (3, 'code', 4, 6), (4, 'paragraph', 7, 7)) t(b, kind, first, last)""",
 }

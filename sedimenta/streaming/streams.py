@@ -54,3 +54,29 @@ def batch_faults(batches: DataFrame, stream: str = "stream_id", index: str = "ba
     by = batches.groupBy(stream).agg(F.count(F.lit(1)).alias("n"), F.countDistinct(index).alias("d"), F.max(index).alias("last"))
     faults = F.filter(F.array(F.when(F.col("n") > F.col("d"), "duplicate"), F.when(F.col("last") + 1 > F.col("d"), "gap")), lambda x: x.isNotNull())
     return by.select(stream, F.explode(faults).alias("fault"))
+
+
+def numbered_events(spark: SparkSession, path: str) -> DataFrame:
+    """id, line_no, event_no of log lines (id, line_no, line) that come file by file, in the order of their numbers.
+
+    The number of events that a source has had is its state, so an event goes on in the next batch. A batch's lines of one
+    source are numbered in one task.
+    """
+    from sedimenta.operators.physical import recognised_line
+
+    schema = spark.read.parquet(path).schema
+    lines = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    marked = lines.select("id", "line_no", recognised_line(F.col("line"))["grammar"].isNotNull().alias("opens"))
+    kinds = {c: schema[c].dataType.simpleString() for c in ("id", "line_no")}
+
+    def number(key, frames, state):
+        import pandas as pd
+
+        rows = pd.concat(list(frames)).sort_values("line_no")
+        before = state.get[0] if state.exists else 0
+        rows["event_no"] = before + rows["opens"].astype("int64").cumsum()
+        state.update((int(rows["event_no"].iloc[-1]),))
+        yield rows[["id", "line_no", "event_no"]]
+
+    out = f"id {kinds['id']}, line_no {kinds['line_no']}, event_no long"
+    return run_to_table(marked.groupBy("id").applyInPandasWithState(number, out, "event_no long", "append", "NoTimeout"), "append")

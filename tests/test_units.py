@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sedimenta.functions import forms
 from sedimenta.functions import normalize as N
 from sedimenta.functions import text as X
-from sedimenta.operators import matching, profile, rules, schema, structure
+from sedimenta.operators import matching, physical, profile, rules, schema, structure
 from sedimenta.plans import load, parse, records
 from sedimenta.sources import files, tables
 from sedimenta.sources.dialect import detect
@@ -281,3 +281,31 @@ def test_copies_convert_nothing(spark):
     for f, kind in (("b", "bytes"), ("c", "money")):
         with pytest.raises(ValueError, match="cannot be copied"):
             schema.typed_copies(df, {f: kind})
+
+
+def test_physical_parts(spark):
+    cells = spark.createDataFrame([("a", 0, 0, " id "), ("b", 0, 0, "key"), ("a", 0, 1, "name"), ("a", 1, 0, "7")], "key string, row_index int, column_index int, value string")
+    assert {r["column_index"]: r["labels"] for r in physical.labels(cells, 0).collect()} == {0: ["id", "key"], 1: ["name"]}
+    refs = lambda *xs: spark.createDataFrame([(x,) for x in xs], "ref string")
+    assert [r["ref"] for r in physical.missing_refs(refs("a", "b", "b"), refs("a", "c")).collect()] == ["b"]
+    rows = spark.createDataFrame([(i, f"u{i}@x.org", None if i == 3 else i) for i in range(30)], "id int, email string, other int")
+    found = profile.profile_table(rows)
+    assert {r["field"]: (r["identity"], r["strength"]) for r in found.collect()} == {"id": ("identifier", "candidate"), "email": ("natural_key", "candidate"), "other": ("identifier", "none")}
+    assert {r["entity"]: r["supported"] for r in physical.identity_supported(found, {"a": ["id", "email"], "b": ["other"], "c": ["none"]}).collect()} == {"a": True, "b": False, "c": False}
+    assert profile.profile_table(rows.limit(0)).count() == 0
+
+
+def test_plans_that_cannot_run():
+    assert physical.plan_faults(parse.TabularPlan({"a": 0}, 0)) == [] and len(physical.plan_faults(parse.TabularPlan({"a": 0, "b": 0}, 5, 2, required=("c",)))) == 3
+    assert physical.plan_faults(parse.TreePlan({"a": ("$.a", "int")})) == [] and physical.plan_faults(parse.TreePlan({"a": ("$.a[0]", "int")}, "$.x", {"k": ("$.x", {})}))
+    assert physical.plan_faults(parse.LogPlan({"a": (0, 0, "tab")})) == [] and physical.plan_faults(parse.LogPlan({"a": (1, 0, "tab")})) and physical.plan_faults(parse.LogPlan({}, "other"))
+
+
+def test_trees_of_plans(spark):
+    """A hand-made table of header, numbers and a wider row: widths, headers, sections."""
+    cells = spark.createDataFrame([(0, 0, "name"), (0, 1, "n"), (1, 0, "a"), (1, 1, "1"), (2, 0, "b"), (2, 1, "2")], "row_index int, column_index int, value string")
+    assert [tuple(r) for r in structure.header_candidates(cells).collect()] == [(0, 0.85)]
+    candidates = spark.createDataFrame([("d", "log", "x", 0.5), ("d", "table", "y", 0.9), ("d", "log", "a", 0.5)], "doc string, kind string, id string, confidence double")
+    assert [(r["id"], r["rank"]) for r in structure.ranked_candidates(candidates, "doc", 2).orderBy("rank").collect()] == [("y", 1), ("a", 2)]
+    assert spark.range(1).select(structure.confidence(F.lit(0.9), F.lit(0.7), F.lit(1.0))).first()[0] == 0.7
+    assert [r["record_no"] for r in structure.grouped_blocks(spark.createDataFrame([(0,), (3,), (4,)], "block_no int"), 2).collect()] == [0, 1, 2]
