@@ -130,7 +130,7 @@ def counted(docs: DataFrame) -> tuple[DataFrame, DataFrame, np.ndarray, np.ndarr
         tokens[r["kind"]], distinct[r["kind"]] = r["n"], r["v"]
     often = totals.where((F.col("total") * FREQUENT >= int(tokens.sum())) & (F.col("total") > 1))
     common = [(r["hash"], r["total"]) for r in often.collect()]  # FREQUENT rows at most
-    ordered = F.array_sort(F.collect_list(F.struct("place", "total")))
+    ordered = F.sort_array(F.collect_list(F.struct("place", "total")))
     gathered = each.drop("n").join(totals, "hash").groupBy("block").agg(F.transform(ordered, lambda x: x["total"]).alias("totals"))
     return blocks, gathered, tokens, distinct, sorted(common, key=lambda x: (-x[1], x[0]))
 
