@@ -90,7 +90,10 @@ def distinct_sketch(df: DataFrame, fields: list[str], k: int = SKETCH_SIZE) -> D
     fewer do, which the number of those kept shows, the field is taken without a bound.
     """
     rows = unpivoted(df, fields).where("value is not null")
-    about = {r["field"]: r["d"] for r in rows.groupBy("field").agg(F.approx_count_distinct("value").alias("d")).collect()}  # a row for each field
+    # one pass over the columns side by side; a row of two numbers for each field
+    sums = df.agg(*[f(F.col(c).cast("string")).alias(f"{k}{i}") for i, c in enumerate(fields) for k, f in (("d", F.approx_count_distinct), ("n", F.count))]).first()
+    about = {c: sums[f"d{i}"] for i, c in enumerate(fields) if sums[f"n{i}"]}
+    values = {c: sums[f"n{i}"] for i, c in enumerate(fields)}
     digest = F.substring(F.sha2(F.concat_ws(":", "kind", "value"), 256), 1, 32)
     hashes = rows.select("field", digest.alias("hash"))
 
@@ -114,8 +117,8 @@ def distinct_sketch(df: DataFrame, fields: list[str], k: int = SKETCH_SIZE) -> D
     def estimated(kept: pd.Series, kth: pd.Series, more: pd.Series) -> pd.Series:
         return pd.Series([max(k + 1, (2 * (k - 1) * (2**128 + 1) + int(h, 16) + 1) // (2 * (int(h, 16) + 1))) if m else n for n, h, m in zip(kept, kth, more, strict=True)])
 
-    values = rows.groupBy("field").agg(F.count(F.lit(1)).alias("n"))
-    return found.join(values, "field").select("field", "kept", "kth_hash", "more", F.least("n", estimated("kept", "kth_hash", "more")).alias("estimate"))
+    n = F.element_at(F.create_map(*[F.lit(x) for c in about for x in (c, values[c])]), F.col("field")).cast("long")
+    return found.select("field", "kept", "kth_hash", "more", F.least(n, estimated("kept", "kth_hash", "more")).alias("estimate"))
 
 
 def bottom_k_sample(df: DataFrame, key: str, fields: list[str], seed: str = "0", k: int = 5) -> DataFrame:
