@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedimenta.llm import exact_dedup, html, lm, mixing, packing, pii, quality, runs, simhash, tokens, topk
+from sedimenta.llm import exact_dedup, html, lexical, lm, mixing, packing, pii, quality, runs, simhash, tokens, topk
 from sedimenta.llm.common import table
 
 
@@ -55,7 +55,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.digests(runs.periodic_runs(runs.with_loops(table(spark, sf_dir, "documents"))))
 
 
-QUERIES = {"op1_topk": op1_topk, "op2_token_counts": op2_token_counts, "op3_simhash": op3_simhash, "op5_lm_scores": op5_lm_scores, "op6_pii": op6_pii, "op7_quality": op7_quality, "op4_mixing": op4_mixing, "op8_exact_dedup": op8_exact_dedup, "op9_packing": op9_packing, "op10_html_text": op10_html_text, "op11_periodic_runs": op11_periodic_runs}
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {"op1_topk": op1_topk, "op2_token_counts": op2_token_counts, "op3_simhash": op3_simhash, "op5_lm_scores": op5_lm_scores, "op6_pii": op6_pii, "op7_quality": op7_quality, "op4_mixing": op4_mixing, "op8_exact_dedup": op8_exact_dedup, "op9_packing": op9_packing, "op10_html_text": op10_html_text, "op11_periodic_runs": op11_periodic_runs, "op13_lexical": op13_lexical}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -111,4 +115,26 @@ ORACLE_SQL = {
         SELECT l.doc_id, coalesce(n_runs, 0) AS n_runs, b.start, b.length, b.period, 1000 * b.length // b.period AS exponent_milli,
                sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(words, '')) AS collapsed_sha256
         FROM l LEFT JOIN u ON u.doc_id = l.doc_id LEFT JOIN c ON c.doc_id = l.doc_id LEFT JOIN b ON b.doc_id = l.doc_id AND place = 1""",
+    "op13_lexical": f"""
+        WITH t AS (
+            SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '{lexical.TERM_PATTERN}')) AS term FROM documents
+        ), c AS (
+            SELECT doc_id, term, count(*) AS tf FROM t GROUP BY doc_id, term
+        ), d AS (
+            SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id
+        ), s AS (
+            SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM d
+        ), f AS (
+            SELECT term, count(*) AS df FROM c GROUP BY term
+        ), i AS (
+            SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWER}, '{lexical.TERM_PATTERN}')) AS term FROM benchmark
+        ), w AS (
+            SELECT item_id, term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) AS w FROM i JOIN f USING (term), s
+        ), p AS (
+            SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // terms)))) AS BIGINT) AS score
+            FROM w JOIN c USING (term) JOIN d USING (doc_id), s GROUP BY item_id, doc_id
+        ), r AS (
+            SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM p WHERE score > 0
+        )
+        SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10""",
 }
