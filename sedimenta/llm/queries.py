@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedimenta.llm import exact_dedup, html, lexical, lm, mixing, packing, pii, quality, runs, simhash, tokens, topk
+from sedimenta.llm import exact_dedup, html, lexical, lm, mixing, packing, pii, quality, runs, simhash, substrings, tokens, topk
 from sedimenta.llm.common import table
 
 
@@ -55,11 +55,16 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.digests(runs.periodic_runs(runs.with_loops(table(spark, sf_dir, "documents"))))
 
 
+def op12_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.repeated_substrings(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op1_topk": op1_topk, "op2_token_counts": op2_token_counts, "op3_simhash": op3_simhash, "op5_lm_scores": op5_lm_scores, "op6_pii": op6_pii, "op7_quality": op7_quality, "op4_mixing": op4_mixing, "op8_exact_dedup": op8_exact_dedup, "op9_packing": op9_packing, "op10_html_text": op10_html_text, "op11_periodic_runs": op11_periodic_runs, "op13_lexical": op13_lexical}
+QUERIES = {"op1_topk": op1_topk, "op2_token_counts": op2_token_counts, "op3_simhash": op3_simhash, "op5_lm_scores": op5_lm_scores, "op6_pii": op6_pii, "op7_quality": op7_quality, "op4_mixing": op4_mixing, "op8_exact_dedup": op8_exact_dedup, "op9_packing": op9_packing, "op10_html_text": op10_html_text, "op11_periodic_runs": op11_periodic_runs, "op12_substrings": op12_substrings, "op13_lexical": op13_lexical}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
