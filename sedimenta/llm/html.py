@@ -5,9 +5,9 @@ is a repeated group. The wrapper of a host starts as its first page and is align
 matches is merged, a mismatch becomes a repeated group where the run continues what stands beside it and an optional
 part otherwise, and text becomes a slot that remembers how much text, how many links and whether the same text each
 time it held. No alternatives are ever formed: a sequence whose order varies without end becomes one repeated group of
-optional parts, which bounds a wrapper's size. Two wrappers align like two pages. So each batch of rows infers its
-own for every host it meets, and only these are shuffled and merged, in two steps: a host that a third of all pages
-have costs one row for each batch.
+optional parts, which bounds a wrapper's size. Two wrappers align like two pages. So each task infers its
+own for every host it meets, and only these are shuffled and merged, in a tree: a host that a third of all pages have
+costs one row for each task.
 
 A wrapper then tells which of its parts are the article, by its slots: text that is the same on all pages of a host is
 the template's, text that is linked leads elsewhere, and what varies from page to page without being linked is content.
@@ -29,8 +29,8 @@ from sedimenta.llm.common import written
 
 #: Parts of a sequence before it becomes a group of optional parts; depth below which structure is not told apart.
 SEQUENCE, DEPTH = 48, 100
-#: Partial wrappers of a host that one task merges before the last merge: hosts are dealt to so many.
-SHARES = 16
+#: Tasks whose wrappers of a host are merged at once; hosts whose wrappers a task holds.
+FAN_IN, HOSTS = 64, 2000
 
 # Fixed values of HTML: elements that are blocks, that hold no content, whose content is no text of the page.
 BLOCKS = frozenset(
@@ -62,9 +62,20 @@ BOILER_SHARE, ARTICLE_SHARE = 1 / 16, 8
 #: must hold to be the article in its stead.
 ALIKE, MOST = 3, 0.8
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_NAMES = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_GONE = re.compile(r"""display\s*:\s*none|visibility\s*:\s*hidden|(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true""", re.I)
+# A page is cut as a browser cuts it. Quantifiers never give back, and what is not closed reaches to the end of the page,
+# so a page is read once: a quote within a value without quotes is a letter, <!--> is an empty comment.
+_SPACE = "[\t\n\f\r ]"
+_ATTRIBUTE = rf"""[^\t\n\f\r />][^\t\n\f\r />=]*+(?:{_SPACE}*+={_SPACE}*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\t\n\f\r "'>][^\t\n\f\r >]*+|(?=>)))?+"""
+_TOKEN = re.compile(
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))"
+    r"|<!\[CDATA\[((?:(?!<!\[CDATA\[|\]\]>).)*+)\]\]>"
+    r"|<(?:[!?]|/(?=[^a-zA-Z]))[^>]*+(?:>|\Z)"
+    rf"|<(/?)([a-zA-Z][^\t\n\f\r />]*+)((?:[\t\n\f\r /]++|{_ATTRIBUTE})*+)(>|\Z)",
+    re.S,
+)
+_ATTRIBUTES = re.compile(rf"""([^\t\n\f\r />][^\t\n\f\r />=]*+)(?:{_SPACE}*+={_SPACE}*+(?:"([^"]*+)"?|'([^']*+)'?|([^\t\n\f\r >]*+)))?+""")
+_GONE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+NAMING = ("class", "id", "role", "itemprop")
 _WORDS = re.compile(r"[a-z]+")
 
 
@@ -80,16 +91,17 @@ class Part:
 def _element(tag: str, attributes: str, in_article: bool) -> Part:
     words: set[str] = set()
     boiler = tag in DROPPED or (tag == "header" and not in_article)
-    if attributes and "=" in attributes or "hidden" in attributes:
-        for _, a, b, c in _NAMES.findall(attributes):
-            for name in (a or b or c).lower().split():
-                parts = _WORDS.findall(name)
-                if all(w in BOILER or w in NEUTRAL for w in parts):
-                    words.update(w for w in parts if w in BOILER)
-                words.update(w for w in (*parts, "".join(parts)) if w in ARTICLE)
-        if "hidden" in attributes or "style" in attributes.lower():
-            if _GONE.search(attributes):
-                words.add("hidden")
+    if attributes and not attributes.isspace():
+        said: dict[str, str] = {}
+        for name, a, b, c in _ATTRIBUTES.findall(attributes):
+            said.setdefault(name.lower(), a or b or c)  # of attributes of one name the first counts
+        for name in " ".join(said.get(k, "") for k in NAMING).lower().split():
+            parts = _WORDS.findall(name)
+            if all(w in BOILER or w in NEUTRAL for w in parts):
+                words.update(w for w in parts if w in BOILER)
+            words.update(w for w in (*parts, "".join(parts)) if w in ARTICLE)
+        if "hidden" in said or said.get("aria-hidden", "").strip().lower() == "true" or _GONE.search(said.get("style", "")):
+            words.add("hidden")
     boiler = boiler or (bool(words & BOILER) and ("hidden" in words or tag != "article") and tag not in ("body", "html", "main"))
     return Part(".".join((tag, *sorted(words))), tag, boiler, tag in BLOCKS)
 
@@ -99,6 +111,7 @@ def parse(page: str) -> Part:
     root = Part("", "", False, True)
     stack, at, links, articles = [root], 0, 0, 0
     deeper: dict[str, int] = {}  # open elements below the depth; there, a block only ends a block
+    open_: dict[str, int] = {}  # open elements by name
     tokens = _TOKEN.finditer(page)
 
     def text(upto: int):
@@ -109,6 +122,8 @@ def parse(page: str) -> Part:
     def close(i: int):
         nonlocal articles
         articles -= sum(p.tag in ("article", "main") for p in stack[i:])
+        for p in stack[i:]:
+            open_[p.tag] -= 1
         del stack[i:]
 
     skip_to = 0
@@ -121,6 +136,8 @@ def parse(page: str) -> Part:
             if m[1] is not None:
                 stack[-1].items.append((m[1], links > 0))
             continue
+        if not m[5]:
+            break  # a tag that is not closed is the rest of the page
         tag = m[3].lower()
         if m[2]:
             if deeper.get(tag):
@@ -129,9 +146,9 @@ def parse(page: str) -> Part:
                 continue
             if tag == "a":
                 links = max(0, links - 1)
-            elif tag == "br" or tag == "p" and not any(p.tag == "p" for p in stack):
+            elif tag == "br" or tag == "p" and not open_.get("p"):
                 stack[-1].items.append((" ", False)) if tag == "br" else stack[-1].items.append(Part("p", "p", False, True))
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if open_.get(tag) else ():
                 if stack[i].tag == tag:
                     close(i)
                     break
@@ -139,7 +156,7 @@ def parse(page: str) -> Part:
                     break
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*[^>]*>", re.I).search(page, at)
+            end = re.compile(rf"</{re.escape(tag)}(?=[\t\n\f\r />])[^>]*+(?:>|\Z)", re.I).search(page, at)
             at = skip_to = end.end() if end else len(page)
             continue
         if tag in ("br", "wbr", "img", "hr") or tag in VOID:
@@ -172,9 +189,11 @@ def parse(page: str) -> Part:
         stack[-1].items.append(part)
         if len(stack) <= DEPTH or part.boiler:
             stack.append(part)
+            open_[tag] = open_.get(tag, 0) + 1
         else:
             deeper[tag] = deeper.get(tag, 0) + 1
-    text(len(page))
+    else:
+        text(len(page))
     return root
 
 
@@ -445,12 +464,17 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     def infer(batches):
         import pyarrow as pa
 
+        known: dict[str, list] = {}
+        told = lambda: pa.RecordBatch.from_arrays([pa.array(list(known), pa.string()), pa.array([json.dumps(w) for w in known.values()], pa.string())], names=["host", "wrapper"])
         for batch in batches:
-            known: dict[str, list] = {}
             for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if len(known) >= HOSTS and host not in known:
+                    yield told()
+                    known.clear()
                 own = wrapper_of(parse(html or ""))
                 known[host] = _merged(known[host], own) if host in known else own
-            yield pa.RecordBatch.from_arrays([pa.array(list(known)), pa.array([json.dumps(w) for w in known.values()])], names=["host", "wrapper"])
+        if known:
+            yield told()
 
     def merge(key, group):
         import pandas as pd
@@ -458,7 +482,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         wrapper = None
         for w in sorted(group["wrapper"]):
             wrapper = json.loads(w) if wrapper is None else _merged(wrapper, json.loads(w))
-        return pd.DataFrame({"host": [key[0]], "wrapper": [json.dumps(wrapper)]})
+        return pd.DataFrame({"host": [key[0]], "wrapper": [json.dumps(wrapper)], "part": [key[1]]})
 
     def apply(batches):
         import pyarrow as pa
@@ -476,10 +500,15 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 texts.append(main_text(parse(html or ""), w))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    schema = "host string, wrapper string"
-    partial = rows.select("host", "html").mapInArrow(infer, schema)
-    some = partial.withColumn("share", F.pmod(F.xxhash64("wrapper"), F.lit(SHARES))).groupBy("host", "share").applyInPandas(merge, schema)
-    wrappers = written(some.groupBy("host").applyInPandas(merge, schema))  # of known size: while small, pages stay where they are
+    partial = rows.select("host", "html").mapInArrow(infer, "host string, wrapper string")
+    wrappers = written(partial.withColumn("part", F.spark_partition_id()))
+    parts = (wrappers.agg(F.max("part")).first()[0] or 0) + 1
+    while True:  # a host's wrappers meet in a tree
+        wrappers = wrappers.groupBy("host", F.floor(F.col("part") / FAN_IN).cast("int").alias("part")).applyInPandas(merge, "host string, wrapper string, part int")
+        parts = -(-parts // FAN_IN)
+        if parts == 1:
+            break
+    wrappers = written(wrappers.drop("part"))  # of known size: while small, pages stay where they are
     laid = rows.join(wrappers, "host", "left").select("page_id", "url", "html", "wrapper")
     kind = rows.schema["page_id"].dataType.simpleString()
     return laid.mapInArrow(apply, f"page_id {kind}, url string, text string, n_chars long")
