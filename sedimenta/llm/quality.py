@@ -11,6 +11,8 @@ lines all carry the document's label. The sample is small enough for one task, w
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import eq
 
@@ -25,8 +27,10 @@ from sedimenta.llm.common import fold, fold_column
 FIT_DOCS, FIT_LINES, FIT_CHARS, FIT_ALL = 4000, 400, 1 << 16, 100_000
 STEPS, RATE, PENALTY = 150, 0.05, 1e-3
 THRESHOLD = 0.3
-#: Bytes of text whose features are made at once.
-CHUNK = 4 << 20
+#: Bytes and lines of texts that are judged at once (a longer one is by itself), lines whose features are held at once,
+#: bytes that are counted at once, lines from which on a chain goes line by line.
+CHUNK, CHUNK_LINES, SLICE, PIECE, LONG = 4 << 20, 100_000, 4096, 1 << 20, 20_000
+_BLANK = re.compile(rb"\s")
 
 # Kinds of bytes: lower, upper, digit, blank, end of sentence, comma and the like, bracket or quote, bar, mark-up
 # signs, other punctuation, control, first byte of a longer character, its other bytes.
@@ -41,33 +45,59 @@ N_KINDS = 13
 N_FEATURES = N_KINDS * N_KINDS + 6
 
 
+def _word_shares(line: bytes) -> tuple[float, float]:
+    """Of a line's words, the share that repeat the one before, and the share that are not the first of their kind."""
+    total, same, kinds, last, at = 0, 0, set(), None, 0
+    while at < len(line):
+        end = at + PIECE
+        if end < len(line):
+            blank = _BLANK.search(line, end)
+            end = blank.start() if blank else len(line)
+        words = line[at:end].split()
+        if words:
+            same += sum(map(eq, words, words[1:])) + (words[0] == last)
+            last = words[-1]
+            total += len(words)
+            kinds.update(words)
+        at = end
+    return (same / total, 1 - len(kinds) / total) if total > 1 else (0.0, 0.0)
+
+
+def _feature_slices(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Features of all lines (one row each) and their lengths in bytes, SLICE lines of a text at a time at most."""
+    for text in texts:
+        buffer = np.frombuffer(text, np.uint8)
+        ends = np.concatenate([np.flatnonzero(buffer[a : a + PIECE] == 10) + a for a in range(0, len(buffer), PIECE)] + [[len(buffer)]]).astype(np.int64)
+        starts = np.concatenate(([0], ends[:-1] + 1))
+        seen: set[bytes] = set()
+        for low in range(0, len(ends), SLICE):
+            begins, stops = starts[low : low + SLICE], ends[low : low + SLICE]
+            n = len(begins)
+            lengths = stops - begins + 1  # with the line's end
+            counts = np.zeros(n * N_KINDS * N_KINDS)
+            for a in range(begins[0], stops[-1] + 1, PIECE):  # a text stands between two ends of line
+                b = min(a + PIECE, stops[-1] + 1)
+                kinds = np.full(b - a + 1, _KINDS[10])
+                part = buffer[max(a - 1, 0) : b]
+                kinds[a == 0 : (a == 0) + len(part)] = _KINDS[part]
+                line = np.searchsorted(stops, np.arange(a, b))
+                counts += np.bincount(line * (N_KINDS * N_KINDS) + kinds[:-1] * N_KINDS + kinds[1:], minlength=len(counts))
+            same, twice, again = np.zeros(n), np.zeros(n), np.zeros(n)
+            for k, (a, b) in enumerate(zip(begins.tolist(), stops.tolist(), strict=True)):
+                content = text[a:b]
+                if content in seen:
+                    same[k] = 1
+                seen.add(content)
+                twice[k], again[k] = _word_shares(content)
+            shares = np.sqrt(counts.reshape(n, -1) / lengths[:, None])
+            extra = np.stack((np.ones(n), np.log1p(lengths) / 5, lengths < 20, same, np.sqrt(twice), again), axis=1)
+            yield np.hstack((shares, extra)).astype(np.float32), lengths
+
+
 def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features of all lines (one row each), their lengths in bytes, and how many lines each text has."""
-    buffer = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-    ends = np.flatnonzero(buffer == 10)
-    lengths = np.diff(ends, prepend=-1)  # with the line's end
-    line = np.repeat(np.arange(len(ends)), lengths)
-    kinds = _KINDS[buffer]
-    counts = np.bincount(line[1:] * (N_KINDS * N_KINDS) + kinds[:-1] * N_KINDS + kinds[1:], minlength=len(ends) * N_KINDS * N_KINDS)
-    lines_of = np.array([t.count(b"\n") + 1 for t in texts])
-    same, twice, again, i = np.zeros(len(ends)), np.zeros(len(ends)), np.zeros(len(ends)), 0
-    whole = buffer.tobytes()
-    starts = ends - lengths + 1
-    for n in lines_of:
-        seen = set()
-        for k in range(i, i + n):
-            content = whole[starts[k] : ends[k]]
-            if content in seen:
-                same[k] = 1
-            seen.add(content)
-            words = content.split()
-            if len(words) > 1:
-                twice[k] = sum(map(eq, words, words[1:])) / len(words)
-                again[k] = 1 - len(set(words)) / len(words)
-        i += n
-    shares = np.sqrt(counts.reshape(len(ends), -1) / lengths[:, None])
-    extra = np.stack((np.ones(len(ends)), np.log1p(lengths) / 5, lengths < 20, same, np.sqrt(twice), again), axis=1)
-    return np.hstack((shares, extra)).astype(np.float32), lengths, lines_of
+    """Features of all lines at once, their lengths in bytes, and how many lines each text has."""
+    parts, lengths = zip(*_feature_slices(texts), strict=True)
+    return np.concatenate(parts), np.concatenate(lengths), np.array([t.count(b"\n") + 1 for t in texts])
 
 
 @dataclass
@@ -80,11 +110,19 @@ class Field:
     after: np.ndarray
     moves: np.ndarray
 
+    def votes(self, x: np.ndarray) -> np.ndarray:
+        """What each line says of itself, of the next line and of the one before."""
+        return x @ np.stack((self.own, self.before, self.after), axis=1).astype(np.float32)
+
     def pull(self, x: np.ndarray, lines_of: np.ndarray) -> np.ndarray:
-        """What speaks for good in each line."""
-        first = np.zeros(len(x), bool)
+        """What speaks for good in each line, from the features of all lines."""
+        return self.joined(self.votes(x), lines_of)
+
+    def joined(self, votes: np.ndarray, lines_of: np.ndarray) -> np.ndarray:
+        """What speaks for good in each line, from all lines' votes."""
+        first = np.zeros(len(votes), bool)
         first[np.concatenate(([0], np.cumsum(lines_of)[:-1]))] = True
-        out, before, after = (x @ np.stack((self.own, self.before, self.after), axis=1).astype(np.float32)).astype(np.float64).T
+        out, before, after = votes.astype(np.float64).T
         out[1:] += np.where(first[1:], 0, before[:-1])
         out[:-1] += np.where(first[1:], 0, after[1:])
         return out
@@ -117,6 +155,24 @@ def forward_backward(pull: np.ndarray, lines_of: np.ndarray, moves: np.ndarray)
     return joint[:, 1] / joint.sum(axis=1), expected
 
 
+def chain_marginals(pull: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """Marginals of good for the lines of one long chain, as :func:`forward_backward` gives them: both passes carry the
+    odds of good against bad."""
+    odds = np.exp(np.clip(pull, -60, 60)).tolist()
+    (bad_bad, bad_good), (good_bad, good_good) = np.exp(moves - moves.max()).tolist()
+    forward, x = [], None
+    for own in odds:
+        x = own if x is None else own * (bad_good + x * good_good) / (bad_bad + x * good_bad)
+        forward.append(x)
+    out, x = np.empty(len(odds)), 1.0
+    for i in range(len(odds) - 1, -1, -1):
+        both = forward[i] * x
+        out[i] = both / (1 + both)
+        ahead = odds[i] * x
+        x = (good_bad + ahead * good_good) / (bad_bad + ahead * bad_good)
+    return out
+
+
 def _shifted(weights: np.ndarray, lines_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A value for each line, moved to its previous and to its next line."""
     first = np.zeros(len(weights), bool)
@@ -152,15 +208,18 @@ def fit_field(x: np.ndarray, lines_of: np.ndarray, labels: np.ndarray) -> Field:
     return field
 
 
-def _chunks(texts: list[str | None]):
-    """Texts as UTF-8, null as empty, some at a time."""
-    some, size = [], 0
+def _chunks(texts: list[str | None]) -> Iterator[list[bytes]]:
+    """Texts as UTF-8, null as empty, some at a time; one of many lines is by itself."""
+    some, size, lines = [], 0, 0
     for t in texts:
-        some.append((t or "").encode("utf-8", "surrogatepass"))
-        size += len(some[-1])
-        if size >= CHUNK:
+        body = (t or "").encode("utf-8", "surrogatepass")
+        n = body.count(b"\n") + 1
+        if some and (size + len(body) > CHUNK or lines + n > CHUNK_LINES):
             yield some
-            some, size = [], 0
+            some, size, lines = [], 0, 0
+        some.append(body)
+        size += len(body)
+        lines += n
     if some:
         yield some
 
@@ -212,8 +271,16 @@ def text_scores(texts: list[str | None], field: Field) -> np.ndarray:
     """The quality of whole texts: the mean of their lines' marginals by length."""
     scores = []
     for chunk in _chunks(texts):
-        x, lengths, lines_of = line_features(chunk)
-        good, _ = forward_backward(field.pull(x, lines_of), lines_of, field.moves)
+        lines_of = np.array([t.count(b"\n") + 1 for t in chunk])
+        votes, lengths, at = np.empty((lines_of.sum(), 3), np.float32), np.empty(lines_of.sum()), 0
+        for x, n in _feature_slices(chunk):
+            votes[at : at + len(n)], lengths[at : at + len(n)] = field.votes(x), n
+            at += len(n)
+        pull = field.joined(votes, lines_of)
+        if len(chunk) == 1 and len(pull) > LONG:
+            good = chain_marginals(pull, field.moves)
+        else:
+            good, _ = forward_backward(pull, lines_of, field.moves)
         starts = np.cumsum(lines_of) - lines_of
         scores += (np.add.reduceat(good * lengths, starts) / np.add.reduceat(lengths, starts)).tolist()
     return np.clip(np.array(scores, float), 0, 1)
