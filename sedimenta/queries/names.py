@@ -8,37 +8,41 @@ from sedimenta.functions import forms
 from sedimenta.operators import matching
 from sedimenta.sources.tables import table
 
-#: Pairs of names, and how alike they are: exact, normalized, compact, token, transliterated, edit, alias.
-_PAIRS = (
-    ("customerName", "customer_name", 0, 0.98, 0.95, 0.9, 0, 0, 0), ("order_id", "order_id", 1, 0.98, 0.95, 0.9, 0, 0, 0), ("OrderDate", "orderdate", 0, 0, 0.95, 0, 0, 0, 0), ("quantity", "quanttiy", 0, 0, 0, 0, 0, 0.7875, 0),
-    ("адрес", "adres", 0, 0, 0, 0, 0.8, 0, 0), ("сумма", "amount", 0, 0, 0, 0, 0, 0, 0.85), ("Дата заказа", "ordered_at", 0, 0, 0, 0, 0, 0, 0.85), ("address1", "address2", 0, 0, 0, 0.45, 0, 0, 0), ("id", "code", 0, 0, 0, 0, 0, 0, 0),
-    ("ｔｏｔａｌ", "total", 0, 0.98, 0.95, 0.9, 0, 0, 0), ("shipment status", "status", 0, 0, 0, 0.6, 0, 0, 0), ("клиент", "customer", 0, 0, 0, 0, 0, 0, 0.85),
-)
-
-
 def name_evidence(spark, d):
-    rows = spark.createDataFrame([p[:2] for p in _PAIRS], "source string, target string")
-    e = forms.evidence("source", "target")
-    return rows.withColumn("e", e).select("source", "target", *[F.round(f"e.{n}", 6).alias(n) for n in forms.EVIDENCE], F.round(forms.score(F.col("e")), 6).alias("score"))
-
-
-_LABELS = (("Customer Name", "customer_name"), ("  Total (USD) ", "total_usd"), ("2nd line", "field_2nd_line"), ("Имя", "none"), ("", "none"), ("a" * 70, "a" * 64))
+    """How alike are words that follow each other in a document, by every way of looking."""
+    found = F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9À-ÿ]+"), F.lit(0))
+    ws = table(spark, d, "documents").select(found.alias("w"))
+    pairs = ws.select(F.inline(F.arrays_zip(F.slice("w", F.lit(1), F.size("w") - 1).alias("source"), F.slice("w", F.lit(2), F.size("w")).alias("target")))).toDF("source", "target").distinct()
+    found = forms.with_evidence(pairs, "source", "target")
+    return found.select("source", "target", *[F.round(f"evidence.{n}", 6).alias(n) for n in forms.EVIDENCE], F.round(forms.score(F.col("evidence")), 6).alias("score"))
 
 
 def field_slugs(spark, d):
-    rows = spark.createDataFrame([(t,) for t, _ in _LABELS], "label string")
-    return rows.select("label", forms.slug(F.col("label"), F.lit("none")).alias("slug"))
+    """First lines of documents as labels of fields."""
+    label = F.split(F.coalesce("text", F.lit("")), "\n", 2)[0]
+    return table(spark, d, "documents").select("doc_id", forms.slug(label, F.concat(F.lit("field_of_"), F.col("doc_id").cast("string"))).alias("slug"))
 
 
-_TYPES = (
-    ("varchar(30)", "text", 30, None, None, None, "text"), ("NUMERIC(10, 2)", "decimal", None, 10, 2, None, "decimal"), ("timestamp  with time zone", "datetime", None, None, None, True, "decimal"), ("double precision", "float", None, None, None, None, "float"), ("bigint", "integer", None, None, None, None, "integer"),
-    ("time without time zone", "time", None, None, None, False, "decimal"), ("blob", "binary", None, None, None, None, "binary"), ("jsonb", "json", None, None, None, None, "decimal"), ("point", "unknown", None, None, None, None, "integer"), ("uuid", "uuid", None, None, None, None, "decimal"),
-)
+#: Tables whose columns are declared by what they hold.
+_DECLARED = ("orders", "part", "customer", "supplier", "nation")
 
 
 def native_types(spark, d):
-    rows = spark.createDataFrame([(t[0],) for t in _TYPES], "declared string")
-    return rows.select("declared", forms.native_type(F.col("declared")).alias("t")).select("declared", "t.*")
+    """Types as a target would declare them for what columns hold, read back: texts by their greatest length, prices by
+    digits before the point and two after it."""
+    out = None
+    for name in _DECLARED:
+        t = table(spark, d, name)
+        texts = [f.name for f in t.schema if f.dataType.simpleString() == "string"]
+        prices = [f.name for f in t.schema if f.dataType.simpleString() in ("double", "decimal(15,2)", "decimal(12,2)")]
+        size = [F.max(F.length(c)).alias(c) for c in texts] + [F.length(F.max(F.abs(F.col(c))).cast("long").cast("string")).alias(c) for c in prices]
+        whole = t.agg(*size)
+        rows = [F.struct(F.lit(c).alias("field"), F.concat(F.lit("varchar("), F.col(c).cast("string"), F.lit(")")).alias("declared")) for c in texts]
+        rows += [F.struct(F.lit(c).alias("field"), F.concat(F.lit("Numeric ( "), (F.col(c) + 2).cast("string"), F.lit(", 2 )")).alias("declared")) for c in prices]
+        if rows:
+            part = whole.select(F.inline(F.array(*rows)))
+            out = part if out is None else out.union(part)
+    return out.select("field", forms.native_type(F.col("declared")).alias("t")).select("field", "t.family", "t.length", "t.precision", "t.scale", "t.affinity")
 
 
 def ranking_quality(spark, d):
@@ -50,25 +54,48 @@ def ranking_quality(spark, d):
     return matching.ranking_metrics(ranked, expected)
 
 
-def mapping_scores(spark, d):
-    """Signals with some missing, weighed without scaling up; the pattern share of what a kind of target expects."""
-    rows = spark.createDataFrame([(1, 1.0, None, 1.0, 0.5, None, 1.0), (2, 0.6, 0.85, 0.75, None, 0.2, None), (3, None, None, None, None, None, None)], "id int, name double, alias double, type double, pattern double, structure double, graph double")
-    return matching.weighted(rows, list(matching.WEIGHTS)).select("id", "score")
-
-
-QUERIES = {q.__name__: q for q in (name_evidence, field_slugs, native_types, ranking_quality, mapping_scores)}
-
+QUERIES = {q.__name__: q for q in (name_evidence, field_slugs, native_types, ranking_quality)}
 
-def _sql(v) -> str:
-    return "NULL" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, (int, float)) else "'" + v.replace("'", "''") + "'"
 
+_GENERIC = "['id', 'name', 'date', 'code', 'value', 'row', 'entity']"
+_WEIGHT = f"(4 * len({{0}}) - 3 * len(list_intersect({{0}}, {_GENERIC})))"
+_STRINGS = """SELECT '{0}' AS field, 'text' AS family, CAST(max(length({0})) AS INTEGER) AS length, CAST(NULL AS INTEGER) AS "precision", CAST(NULL AS INTEGER) AS scale, 'text' AS affinity FROM {1}"""
+_PRICES = """SELECT '{0}', 'decimal', NULL, CAST(length(CAST(CAST(floor(max(abs({0}))) AS BIGINT) AS VARCHAR)) + 2 AS INTEGER), 2, 'decimal' FROM {1}"""
+_TEXTS = {"orders": ("o_orderstatus", "o_orderpriority"), "part": ("p_name", "p_brand", "p_type"), "customer": ("c_name", "c_mktsegment"), "supplier": ("s_name",), "nation": ("n_name",)}
+_MONEY = {"orders": ("o_totalprice",), "part": ("p_retailprice",), "customer": ("c_acctbal",), "supplier": ("s_acctbal",)}
 
 ORACLE_SQL = {
-    "name_evidence": "SELECT source, target, " + ", ".join(f"CAST({n} AS DOUBLE) AS {n}" for n in forms.EVIDENCE) + ", CAST(greatest(exact, normalized, compact, token, transliterated, edit) AS DOUBLE) AS score FROM (VALUES "
-    + ", ".join(f"({', '.join(map(_sql, p))})" for p in _PAIRS) + f") t(source, target, {', '.join(forms.EVIDENCE)})",
-    "field_slugs": "SELECT * FROM (VALUES " + ", ".join(f"({_sql(a)}, {_sql(b)})" for a, b in _LABELS) + ") t(label, slug)",
-    "native_types": "SELECT declared, family, CAST(length AS INTEGER) AS length, CAST(\"precision\" AS INTEGER) AS \"precision\", CAST(scale AS INTEGER) AS scale, CAST(zoned AS BOOLEAN) AS zoned, affinity FROM (VALUES "
-    + ", ".join(f"({', '.join(map(_sql, t))})" for t in _TYPES) + ") t(declared, family, length, \"precision\", scale, zoned, affinity)",
+    "name_evidence": rf"""
+        WITH p AS (
+            SELECT regexp_extract_all(text, '[A-Za-z0-9À-ÿ]+') AS w FROM documents WHERE text IS NOT NULL
+        ), q AS (
+            SELECT DISTINCT unnest(w[1:len(w) - 1]) AS source, unnest(w[2:len(w)]) AS target FROM p WHERE len(w) > 1
+        ), t AS (
+            SELECT source, target, list_transform([source, target], lambda x: regexp_extract_all(
+                replace(lower(regexp_replace(regexp_replace(x, '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g'), '([a-z])([A-Z])', '\1 \2', 'g')), 'ß', 'ss'), '[0-9]+|[^0-9\s]+')) AS ab FROM q
+        ), u AS (
+            SELECT source, target, ab[1] AS a, ab[2] AS b, array_to_string(ab[1], '') AS wa, array_to_string(ab[2], '') AS wb FROM t
+        ), m AS (
+            SELECT *, list_transform([a, b], lambda x: regexp_split_to_array(trim(replace(replace(replace(replace(' ' || array_to_string(x, '  ') || ' ', ' tax  id ', ' inn '), ' customers ', ' customer '), ' orders ', ' order '), ' products ', ' product ')), ' +')) AS c,
+                greatest(length(wa), length(wb)) AS n, damerau_levenshtein(translate(wa, 'àâäçèéêëíîïñóôöùúûüáœ', 'ABCDEFGHIJKLMNOPQRSTU'), translate(wb, 'àâäçèéêëíîïñóôöùúûüáœ', 'ABCDEFGHIJKLMNOPQRSTU')) AS d,
+                list_transform([a, b], lambda x: len(list_filter(x, lambda y: NOT list_contains({_GENERIC}, y))) > 0) AS says,
+                list_transform([a, b], lambda x: list_filter(x, lambda y: regexp_matches(y, '^[0-9]'))) AS numbers
+            FROM u
+        ), s AS (
+            SELECT source, target, CASE WHEN source = target THEN 1.0 ELSE 0.0 END AS exact, CASE WHEN a = b THEN 0.98 ELSE 0.0 END AS normalized, CASE WHEN wa = wb THEN 0.95 ELSE 0.0 END AS compact,
+                round(round(2.0 * {_WEIGHT.format("list_intersect(a, b)")} / ({_WEIGHT.format("list_distinct(a)")} + {_WEIGHT.format("list_distinct(b)")}), 6) * 0.9, 6) AS token, 0.0 AS transliterated,
+                CASE WHEN wa <> wb AND least(length(wa), length(wb)) >= 4 AND says[1] AND says[2] AND numbers[1] = numbers[2] AND d <= least(3, n // 4) THEN round(round((n - d) / n, 6) * 0.9, 6) ELSE 0.0 END AS edit,
+                CASE WHEN c[1] <> a OR c[2] <> b THEN round(round(2.0 * {_WEIGHT.format("list_intersect(c[1], c[2])")} / ({_WEIGHT.format("list_distinct(c[1])")} + {_WEIGHT.format("list_distinct(c[2])")}), 6) * 0.85, 6) ELSE 0.0 END AS alias
+            FROM m
+        )
+        SELECT source, target, {", ".join(f"CAST({n} AS DOUBLE) AS {n}" for n in forms.EVIDENCE)}, CAST(greatest(exact, normalized, compact, token, edit) AS DOUBLE) AS score FROM s""",
+    "field_slugs": r"""
+        WITH l AS (
+            SELECT doc_id, regexp_replace(regexp_replace(lower(split_part(coalesce(text, ''), chr(10), 1)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS low FROM documents
+        ), c AS (
+            SELECT doc_id, regexp_replace(substr(CASE WHEN regexp_matches(low, '^[0-9]') THEN 'field_' || low ELSE low END, 1, 64), '_+$', '') AS cut FROM l
+        )
+        SELECT doc_id, CASE WHEN cut <> '' THEN cut ELSE 'field_of_' || doc_id END AS slug FROM c""",
+    "native_types": " UNION ALL ".join([_STRINGS.format(c, t) for t, cs in _TEXTS.items() for c in cs] + [_PRICES.format(c, t) for t, cs in _MONEY.items() for c in cs]),
     "ranking_quality": "SELECT CAST(6 AS BIGINT) AS cases, CAST(1 AS DOUBLE) AS recall_1, CAST(1 AS DOUBLE) AS recall_3, CAST(1 AS DOUBLE) AS mrr, CAST(0 AS BIGINT) AS false_auto, CAST(0 AS DOUBLE) AS auto_coverage",
-    "mapping_scores": "SELECT * FROM (VALUES (CAST(1 AS INTEGER), CAST(0.65 AS DOUBLE)), (2, 0.55), (3, 0.0)) t(id, score)",
-}
+}

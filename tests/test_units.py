@@ -233,9 +233,25 @@ def test_name_distances_equal_their_definition():
         return best
 
     rng = random.Random(2)
-    for _ in range(2000):
-        a, b = ("".join(rng.choice("abc") for _ in range(rng.randint(0, 7))) for _ in range(2))
-        assert forms.distance(a, b, 3) == min(4, steps(a, b)), (a, b)
+    pairs = [["".join(rng.choice("abc") for _ in range(rng.randint(0, 7))) for _ in range(2)] for _ in range(2000)] + [["", ""], ["ab", "ba"], ["żółw", "żóław"]]
+    for most in (1, 3):
+        assert forms.band_distances(*map(list, zip(*pairs, strict=True)), most).tolist() == [min(most + 1, steps(a, b)) for a, b in pairs]
+    assert forms.band_distances([], []).tolist() == []
+
+
+#: Pairs of names, and how alike they are: exact, normalized, compact, token, transliterated, edit, alias.
+NAMES = [
+    ("customerName", "customer_name", 0, 0.98, 0.95, 0.9, 0, 0, 0), ("order_id", "order_id", 1, 0.98, 0.95, 0.9, 0, 0, 0), ("OrderDate", "orderdate", 0, 0, 0.95, 0, 0, 0, 0), ("quantity", "quanttiy", 0, 0, 0, 0, 0, 0.7875, 0),
+    ("адрес", "adres", 0, 0, 0, 0, 0.8, 0, 0), ("сумма", "amount", 0, 0, 0, 0, 0, 0, 0.85), ("Дата заказа", "ordered_at", 0, 0, 0, 0, 0, 0, 0.85), ("address1", "address2", 0, 0, 0, 0.45, 0, 0, 0), ("id", "code", 0, 0, 0, 0, 0, 0, 0),
+    ("ｔｏｔａｌ", "total", 0, 0.98, 0.95, 0.9, 0, 0, 0), ("shipment status", "status", 0, 0, 0, 0.6, 0, 0, 0), ("клиент", "customer", 0, 0, 0, 0, 0, 0, 0.85), ("сумма сумма", "amount", 0, 0, 0, 0, 0, 0, 0.85),
+    ("XMLParser", "xml parser", 0, 0.98, 0.95, 0.9, 0, 0, 0), ("ёлка", "елка", 0, 0, 0, 0, 0.8, 0.675, 0), ("", "x", 0, 0, 0, 0, 0, 0, 0), (None, "x", 0, 0, 0, 0, 0, 0, 0), ("shсhema", "schema", 0, 0, 0, 0, 0.0, 0, 0),
+]
+
+
+def test_name_evidence(spark):
+    rows = spark.createDataFrame([(i, *p[:2]) for i, p in enumerate(NAMES)], "i int, _x string, target string")
+    found = forms.with_evidence(rows, "_x", "target").orderBy("i").collect()
+    assert [tuple(round(r["evidence"][n], 6) for n in forms.EVIDENCE) for r in found] == [p[2:] for p in NAMES]
 
 
 def test_loads_that_conflict(spark, tmp_path):
