@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import functions as F
 
 from sedimenta.operators import schema as C
@@ -115,19 +117,27 @@ def declared_rules(spark, d):
 
 
 _SCHEMA = {
-    "type": "object", "required": ["k", "name"], "additionalProperties": False,
-    "properties": {"k": {"type": "integer", "minimum": 10, "multipleOf": 5}, "name": {"$ref": "#/$defs/name"}, "tags": {"type": "array", "maxItems": 2, "items": {"enum": ["a", "b"]}}},
-    "$defs": {"name": {"type": "string", "maxLength": 5, "pattern": "^[a-z]+"}},
+    "type": "object", "required": ["k", "status", "big"], "additionalProperties": False,
+    "properties": {
+        "k": {"type": "integer", "minimum": 10, "multipleOf": 5}, "status": {"$ref": "#/$defs/word"}, "big": {"type": "number", "maximum": Decimal("1.5e40"), "exclusiveMinimum": -7}, "wide": {"type": "integer", "multipleOf": 25},
+        "tags": {"type": "array", "maxItems": 2, "items": {"enum": ["1-URGENT", "2-HIGH", 3, Decimal("1234567890123456789012.5")]}}, "small": {"exclusiveMinimum": Decimal("2e-30")},
+    },
+    "$defs": {"word": {"type": "string", "maxLength": 1, "pattern": "^[A-O]"}},
 }
-_TEXTS = (
-    ('{"k": 15, "name": "abc", "tags": ["a"]}', ()), ('{"k": 7, "name": "abcdef"}', (("/k", "minimum"), ("/k", "multipleOf"), ("/name", "maxLength"))), ('{"k": 10.0, "name": "A"}', (("/name", "pattern"),)), ('{"k": "x", "more": 1}', (("", "required:name"), ("", "additionalProperties"), ("/k", "type"))),
-    ('{"k": 20, "name": "a", "tags": ["a", "b", "c"]}', (("/tags", "maxItems"), ("/tags/*", "enum"))), ('[1]', (("", "type"),)), ('{"k": 1, "k": 2}', (("", "json"),)), ("{", (("", "json"),)),
-)
 
 
 def json_schema(spark, d):
-    """Each order's text, one of those above by its key."""
-    text = F.element_at(F.array(*[F.lit(t) for t, _ in _TEXTS]), (F.col("o_orderkey") % len(_TEXTS) + 1).cast("int"))
+    """Orders as JSON: keys, prices with exponents, numbers of up to 60 digits, priorities, some with more or fewer fields, some
+    that are no JSON."""
+    key, line = F.col("o_orderkey").cast("string"), F.col("o_orderkey") % 7
+    long = F.concat(F.repeat(key, (F.col("o_orderkey") % 9 + 1).cast("int")), F.lit("0"))
+    tags = F.array_join(F.array_compact(F.array(F.concat(F.lit('"'), "o_orderpriority", F.lit('"')), F.when(line == 1, F.lit("3.0")), F.when(line < 3, F.lit("12345678901234567890125e-1")))), ",")
+    parts = F.array(
+        F.concat(F.lit('"k": '), key, F.when(line == 2, ".00").otherwise("")), F.when(line != 3, F.concat(F.lit('"status": "'), "o_orderstatus", F.lit('"'))),
+        F.concat(F.lit('"big": '), F.when(line == 4, "-").otherwise(""), long), F.concat(F.lit('"wide": '), long, F.when(line == 5, "e3").when(line == 6, ".5").otherwise("5")),
+        F.concat(F.lit('"tags": ['), tags, F.lit("]")), F.concat(F.lit('"small": '), (F.col("o_orderkey") % 4).cast("string"), F.lit("e-30")), F.when(F.col("o_orderkey") % 11 == 0, F.concat(F.lit('"more '), key, F.lit('": null'))),
+    )
+    text = F.concat(F.lit("{"), F.array_join(F.array_compact(parts), ", "), F.when(F.col("o_orderkey") % 13 == 0, "").otherwise("}"))
     return C.json_schema_issues(table(spark, d, "orders").select("o_orderkey", text.alias("t")), "o_orderkey", "t", _SCHEMA)
 
 
@@ -165,7 +175,20 @@ ORACLE_SQL = {
         SELECT * FROM (SELECT 'price' AS rule, 'fail' AS outcome, 'RULE_VIOLATION' AS code, count(*) AS n, count(*) AS rows FROM orders WHERE o_totalprice <= 1000 UNION ALL
         SELECT 'status', 'fail', 'RULE_VIOLATION', count(*), count(*) FROM orders WHERE o_orderstatus = 'P' UNION ALL SELECT 'due', 'fail', 'RULE_VIOLATION', count(*), count(*) FROM orders UNION ALL
         SELECT 'unknown', 'indeterminate', 'RULE_FIELD_UNKNOWN', 1, 0 UNION ALL SELECT 'mixed', 'indeterminate', 'RULE_TYPE_MISMATCH', 1, 0) WHERE n > 0""",
-    "json_schema": "SELECT o_orderkey AS row_key, path, keyword FROM orders JOIN (VALUES " + ", ".join(f"({i}, '{p}', '{k}')" for i, (_, found) in enumerate(_TEXTS) for p, k in found) + f") t(i, path, keyword) ON o_orderkey % {len(_TEXTS)} = i",
+    "json_schema": """
+        WITH o AS (
+            SELECT o_orderkey AS row_key, o_orderstatus AS status, o_orderpriority AS priority, o_orderkey % 7 AS line, repeat(CAST(o_orderkey AS VARCHAR), CAST(o_orderkey % 9 + 1 AS INTEGER)) || '0' AS long FROM orders
+        )
+        SELECT row_key, '' AS path, 'json' AS keyword FROM o WHERE row_key % 13 = 0
+        UNION ALL SELECT o.row_key, x.path, x.keyword FROM o, LATERAL (
+            SELECT '/k' AS path, 'minimum' AS keyword WHERE row_key < 10 UNION ALL SELECT '/k', 'multipleOf' WHERE row_key % 5 <> 0
+            UNION ALL SELECT '', 'required:status' WHERE line = 3 UNION ALL SELECT '', 'additionalProperties' WHERE row_key % 11 = 0
+            UNION ALL SELECT '/status', 'pattern' WHERE line <> 3 AND status > 'O'
+            UNION ALL SELECT '/big', 'maximum' WHERE line <> 4 AND (length(long) > 41 OR length(long) = 41 AND long > '15' || repeat('0', 39)) UNION ALL SELECT '/big', 'exclusiveMinimum' WHERE line = 4
+            UNION ALL SELECT '/wide', 'type' WHERE line = 6 UNION ALL SELECT '/wide', 'multipleOf' WHERE line <> 5
+            UNION ALL SELECT '/tags', 'maxItems' WHERE line = 1 UNION ALL SELECT '/tags/*', 'enum' WHERE priority NOT IN ('1-URGENT', '2-HIGH')
+            UNION ALL SELECT '/small', 'exclusiveMinimum' WHERE row_key % 4 <= 2
+        ) x WHERE row_key % 13 <> 0""",
     "check_bindings": """SELECT c_custkey AS row_key, 'positive' AS "check", 'DB_CHECK' AS code FROM customer WHERE c_acctbal < 0 UNION ALL SELECT c_custkey, 'segment', 'DB_CHECK' FROM customer WHERE c_mktsegment = 'BUILDING' AND c_nationkey <= 3
         UNION ALL SELECT c_custkey, 'opaque', 'DB_CONSTRAINT_UNVERIFIED' FROM customer""",
     "column_admission": "SELECT * FROM (VALUES ('customer', 'c_acctbal', 'DB_COLUMN_DENIED'), ('customer', 'c_none', 'DB_COLUMN_UNKNOWN'), ('region', 'r_name', 'DB_TABLE_NOT_WRITABLE'), ('customer', 'c_nationkey', 'DB_COLUMN_DENIED')) t(\"table\", \"column\", code)",

@@ -3,6 +3,8 @@
 import functools
 import hashlib
 import random
+from decimal import Decimal, localcontext
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -325,3 +327,36 @@ def test_trees_of_plans(spark):
     assert [(r["id"], r["rank"]) for r in structure.ranked_candidates(candidates, "doc", 2).orderBy("rank").collect()] == [("y", 1), ("a", 2)]
     assert spark.range(1).select(structure.confidence(F.lit(0.9), F.lit(0.7), F.lit(1.0))).first()[0] == 0.7
     assert [r["record_no"] for r in structure.grouped_blocks(spark.createDataFrame([(0,), (3,), (4,)], "block_no int"), 2).collect()] == [0, 1, 2]
+
+
+@pytest.mark.parametrize(
+    ("text", "keywords"),
+    [
+        ("1e40", "maximum"), ("12345678901234567890123", "maximum multipleOf"), ("123456789012345678901", "maximum multipleOf"), ("6", "maximum multipleOf"), ("5.0", ""), ("5.000000000000000000000000000000000000000000001", "maximum type multipleOf"), ("-3", "multipleOf minimum"), ("4e-1", "type multipleOf"), ("2.5e0", "type"),
+        ("25e-1", "type"), ("-0", ""), ("0e999999", ""), ("1e999999999999999999", "maximum"), ("1e9999999999999999999999", "number type"), ("-1e-40", "minimum type multipleOf"), ("01", "json"), ("1.", "json"), ("{1: 2}", "json"), ("[1 2]", "json"), ('"5"', "type"), ('"\\u00015"', "type"), ("1 5", "json"),
+    ],
+)
+def test_json_numbers_are_exact(spark, text, keywords):
+    df = spark.createDataFrame([(1, text)], "k int, t string")
+    found = schema.json_schema_issues(df, "k", "t", {"type": "integer", "minimum": 0, "maximum": 5, "multipleOf": 2.5}).collect()
+    assert {r["keyword"] for r in found} == set(keywords.split())
+
+
+def test_multiples_of_many_digits(spark):
+    rng = random.Random(3)
+    for divisor in ("7", "0.01", "12e3", "999999999999999989", "2.5e-7"):
+        rows = []
+        for _ in range(60):
+            n = Decimal(rng.randrange(10 ** rng.randrange(1, 50))) * Decimal(divisor) if rng.random() < 0.5 else Decimal(rng.randrange(10 ** rng.randrange(1, 50))).scaleb(rng.randrange(-9, 9))
+            rows.append((f"{n}", Fraction(n) % Fraction(Decimal(divisor)) == 0))
+        with localcontext() as c:
+            c.prec = 200
+            found = schema.json_schema_issues(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "k int, t string"), "k", "t", {"multipleOf": Decimal(divisor)}).collect()
+        assert {r["row_key"] for r in found} == {i for i, (_, whole) in enumerate(rows) if not whole}
+
+
+def test_json_schema_of_nested_items(spark):
+    told = {"type": "array", "items": {"type": "object", "required": ["a"], "properties": {"a": {"type": "array", "items": {"maximum": 3}}, "b": {"type": "boolean"}}}}
+    texts = ['[{"a": [1, 2]}]', '[{"a": [1, 4]}, {"b": 1}]', '[{"b": true}]', "[]", '[{"a": 1}]', '[{"a": [], "b": 0}]', "{}"]
+    found = schema.json_schema_issues(spark.createDataFrame(list(enumerate(texts)), "k int, t string"), "k", "t", told).collect()
+    assert sorted(map(tuple, found)) == [(1, "/*/a/*", "maximum"), (2, "/*", "required:a"), (4, "/*/a", "type"), (5, "/*/b", "type"), (6, "", "type")]
