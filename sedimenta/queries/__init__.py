@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sedimenta.queries import files, loading, names, parsing, physical, profiles, records, reports, rules, scalars, streams, structures, texts
+from sedimenta.queries import files, loading, names, parsing, physical, profiles, records, relate, reports, rules, scalars, streams, structures, texts
 
 FLAGSHIP = "profile_orders_fields"
-_AREAS = (profiles, rules, loading, records, parsing, reports, scalars, names, texts, files, structures, physical, streams)
+_AREAS = (profiles, relate, rules, loading, records, parsing, reports, scalars, names, texts, files, structures, physical, streams)
 QUERIES = {name: q for area in _AREAS for name, q in area.QUERIES.items()}
 ORACLE_SQL = {name: sql for area in _AREAS for name, sql in area.ORACLE_SQL.items()}
