@@ -20,10 +20,10 @@ _COMPARE = {
 }
 
 
-def _outcome(truth: Column, code: Column) -> Column:
+def outcome(truth: Column, code: Column) -> Column:
     """struct(outcome, code) from a three-valued truth and a code for what is not true."""
-    outcome = F.when(truth, "pass").when(~truth, "fail").otherwise("indeterminate")
-    return F.struct(outcome.alias("outcome"), F.when(truth, F.lit(None)).otherwise(code).alias("code"))
+    told = F.when(truth, "pass").when(~truth, "fail").otherwise("indeterminate")
+    return F.struct(told.alias("outcome"), F.when(truth, F.lit(None)).otherwise(code).alias("code"))
 
 
 def compare(op: str, left: Column, right: Column, nulls: str = "reject", present: Column | None = None) -> Column:
@@ -40,22 +40,22 @@ def compare(op: str, left: Column, right: Column, nulls: str = "reject", present
     if present is not None:
         truth = F.when(present, truth)
         code = F.when(~present, MISSING_OPERAND).otherwise(code)
-    return _outcome(truth, code)
+    return outcome(truth, code)
 
 
 def required_if(condition: Column, field: Column) -> Column:
     """Where the condition is definitely true, the field must hold a value; unknown counts as not required."""
-    return _outcome(~F.coalesce(condition, F.lit(False)) | field.isNotNull(), F.lit(VIOLATION))
+    return outcome(~F.coalesce(condition, F.lit(False)) | field.isNotNull(), F.lit(VIOLATION))
 
 
 def mutually_exclusive(*fields: Column) -> Column:
     """One of the fields at most holds a value."""
-    return _outcome(reduce(lambda a, b: a + b, [f.isNotNull().cast("int") for f in fields]) <= 1, F.lit(VIOLATION))
+    return outcome(reduce(lambda a, b: a + b, [f.isNotNull().cast("int") for f in fields]) <= 1, F.lit(VIOLATION))
 
 
 def at_least_one(*fields: Column) -> Column:
     """One of the fields at least holds a value; an empty string is one."""
-    return _outcome(reduce(lambda a, b: a | b, [f.isNotNull() for f in fields]), F.lit(VIOLATION))
+    return outcome(reduce(lambda a, b: a | b, [f.isNotNull() for f in fields]), F.lit(VIOLATION))
 
 
 def unique_by(df: DataFrame, key: list[str], scope: str | None = None, nulls: str = "distinct") -> DataFrame:
@@ -99,7 +99,7 @@ def sum_equals(parents: DataFrame, children: DataFrame, key: str, parent_key: st
     child_sum = F.when(~there, F.lit(0)).otherwise(F.col("_sum")).cast(f"decimal(38,{places})")
     truth = F.when(~F.coalesce(poisoned, F.lit(False)), F.abs(F.try_subtract(child_sum, total.cast(f"decimal(38,{places})"))) <= F.lit(tolerance).cast(f"decimal(38,{places})"))
     code = F.when(F.col("_null"), NULL_OPERAND).when(poisoned, OUT_OF_RANGE).otherwise(VIOLATION)
-    return out.withColumn("child_sum", child_sum).withColumn("check", _outcome(truth, code)).drop("_parent", "_sum", "_poison", "_null")
+    return out.withColumn("child_sum", child_sum).withColumn("check", outcome(truth, code)).drop("_parent", "_sum", "_poison", "_null")
 
 
 def item_count(parents: DataFrame, children: DataFrame, key: str, parent_key: str, least: int | None = None, most: int | None = None) -> DataFrame:
@@ -108,7 +108,7 @@ def item_count(parents: DataFrame, children: DataFrame, key: str, parent_key: st
     out = parents.join(counts, F.col(key) == F.col("_parent"), "left").withColumn("items", F.coalesce("_n", F.lit(0)))
     n = F.col("items")
     truth = (n >= least if least is not None else F.lit(True)) & (n <= most if most is not None else F.lit(True))
-    return out.withColumn("check", _outcome(truth, F.lit(VIOLATION))).drop("_parent", "_n")
+    return out.withColumn("check", outcome(truth, F.lit(VIOLATION))).drop("_parent", "_n")
 
 
 def matches_reference(df: DataFrame, columns: list[str], reference: DataFrame, reference_columns: list[str], nulls: str = "reject") -> DataFrame:

@@ -47,9 +47,8 @@ def operand_issue(schema: T.StructType, rule: Rule) -> str | None:
     return None
 
 
-def rule_issues(df: DataFrame, key: str, declared: list[Rule]) -> DataFrame:
-    """row_key, rule, outcome, code of every row that does not pass a rule; a rule that cannot be run is one row without a
-    key. All rules are checked in one pass, and all findings are given."""
+def rule_checks(df: DataFrame, declared: list[Rule]) -> tuple[list[Column], list[tuple[str, str]]]:
+    """struct(rule, outcome, code) for each rule that can be run over ``df``, and name and code of those that cannot."""
     checks, unfit = [], []
     for r in declared:
         issue = operand_issue(df.schema, r)
@@ -64,6 +63,13 @@ def rule_issues(df: DataFrame, key: str, declared: list[Rule]) -> DataFrame:
         else:
             check = {"mutually_exclusive": rules.mutually_exclusive, "at_least_one": rules.at_least_one}[r.op](*c)
         checks.append(F.struct(F.lit(r.name).alias("rule"), check["outcome"].alias("outcome"), check["code"].alias("code")))
+    return checks, unfit
+
+
+def rule_issues(df: DataFrame, key: str, declared: list[Rule]) -> DataFrame:
+    """row_key, rule, outcome, code of every row that does not pass a rule; a rule that cannot be run is one row without a
+    key. All rules are checked in one pass, and all findings are given."""
+    checks, unfit = rule_checks(df, declared)
     empty = df.sparkSession.createDataFrame([(None, n, "indeterminate", c) for n, c in unfit], "row_key string, rule string, outcome string, code string")
     if not checks:
         return empty
