@@ -3,12 +3,14 @@ happen once."""
 
 from __future__ import annotations
 
+import time
 import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from sedimenta.plans.claims import Claim, Folder, LoadBusy, claimed
 from sedimenta.plans.load import connected
 from sedimenta.sources.shared import shared_dir, written
 
@@ -127,26 +129,45 @@ def binding(parts: dict[str, str]) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
 
-def load_once(spark: SparkSession, rows: DataFrame, target: str, ledger: str, key: str, bound: str, rejected: DataFrame | None = None, groups: str | None = None, atomic: bool = False) -> dict:
+def load_once(spark: SparkSession, rows: DataFrame, target: str, ledger: str, key: str, bound: str, rejected: DataFrame | None = None, groups: str | None = None, atomic: bool = False, lease: float = 60.0, wait: float = 0.0) -> dict:
     """Append rows to a Parquet table once for each key, and give what was done: key, rows, quarantined, replayed.
 
     ``rejected`` (uid, code) are rows with findings. Atomic loads are refused if there is any; others put the whole group
-    (column ``groups`` of rows, else the row) aside, with codes, in the folder ``target`` + "_quarantine". Rows are
-    written to a folder named after the key before the ledger has its line, so a load that died leaves no line and is
-    written anew; a key that is in the ledger with the same binding is replayed, with another it is a conflict. The rows
-    written must be as many as were planned.
+    (column ``groups`` of rows, else the row) aside, with codes, in the folder ``target`` + "_quarantine".
+
+    A load claims its key (folder ``ledger`` + "_claims"): of loads of one key at once one writes, the others raise
+    ``LoadBusy`` or, given ``wait`` seconds, replay it. A claim that its holder has not renewed for ``lease`` seconds is
+    taken over. Rows are written aside and moved to a folder named after the key while the claim still holds, then the
+    ledger has its line: readers see a load whole or not at all, and one that died is done anew. A key that is in the ledger
+    with the same binding is replayed, with another it is a conflict. The rows stored must be as many as were planned.
     """
-    folder = f"{target}/load={binding({'key': key})}"
-    try:
-        known = spark.read.schema("key string, binding string, rows long, quarantined long").parquet(ledger).where(F.col("key") == key).collect()
-    except Exception as e:  # a ledger that is not there yet has no lines
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        known = []
-    if known:
-        if known[0]["binding"] != bound:
-            raise LoadConflict("the key is that of another load")
-        return {"key": key, "rows": known[0]["rows"], "quarantined": known[0]["quarantined"], "replayed": True}
+    name = binding({"key": key})
+    until = time.time() + wait
+    while True:
+        if done := _done(spark, ledger, key, bound):
+            return done
+        try:
+            with claimed(spark, f"{ledger}_claims", name, lease) as claim:
+                return _done(spark, ledger, key, bound) or _load(spark, rows, target, ledger, key, bound, rejected, groups, atomic, claim)
+        except LoadBusy:
+            if time.time() >= until:
+                raise
+            time.sleep(0.2)
+
+
+def _done(spark: SparkSession, ledger: str, key: str, bound: str) -> dict | None:
+    if not Folder(spark, ledger).exists():
+        return None
+    known = spark.read.schema("key string, binding string, rows long, quarantined long").parquet(ledger).where(F.col("key") == key).collect()
+    if not known:
+        return None
+    if known[0]["binding"] != bound:
+        raise LoadConflict("the key is that of another load")
+    return {"key": key, "rows": known[0]["rows"], "quarantined": known[0]["quarantined"], "replayed": True}
+
+
+def _load(spark: SparkSession, rows: DataFrame, target: str, ledger: str, key: str, bound: str, rejected: DataFrame | None, groups: str | None, atomic: bool, claim: Claim) -> dict:
+    own = f"load={claim.key}"
     aside = None
     if rejected is not None:
         bad = rejected.select("uid", "code").distinct()
@@ -158,15 +179,21 @@ def load_once(spark: SparkSession, rows: DataFrame, target: str, ledger: str, ke
         aside = rows.join(hit, on, "left_semi").join(bad.groupBy("uid").agg(F.array_sort(F.collect_set("code")).alias("codes")), "uid", "left")
         aside = aside.withColumn("codes", F.coalesce("codes", F.array(F.lit("DRY_RUN_DEPENDENCY_QUARANTINED"))))
         rows = rows.join(hit, on, "left_anti")
-    planned = written(rows)
-    planned.write.mode("overwrite").parquet(folder)
-    n, there = planned.count(), spark.read.schema(planned.schema).parquet(folder).count()
-    if n != there:
-        raise LoadConflict(f"{n} rows planned, {there} written")
-    put_aside = 0
-    if aside is not None:
-        aside.select(F.sha2(F.col("uid"), 256).alias("unit_hash"), "codes").write.mode("overwrite").parquet(f"{target}_quarantine/load={binding({'key': key})}")
-        put_aside = spark.read.parquet(f"{target}_quarantine/load={binding({'key': key})}").count()
+
+    def stored(df: DataFrame, place: str) -> int:
+        """Write aside, once, counting what is planned on the way; move it in while the claim holds; count what is there."""
+        planned, folder, staged = Observation(), Folder(spark, place), f"_staged/{claim.name}"
+        df.observe(planned, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{place}/{staged}")
+        n, there = planned.get["n"], spark.read.schema(df.schema).parquet(f"{place}/{staged}").count()
+        if n != there:
+            raise LoadConflict(f"{n} rows planned, {there} written")
+        claim.check()
+        folder.move(staged, own)
+        return n
+
+    n = stored(rows, target)
+    put_aside = stored(aside.select(F.sha2(F.col("uid"), 256).alias("unit_hash"), "codes"), f"{target}_quarantine") if aside is not None else 0
+    claim.check()
     spark.createDataFrame([(key, bound, n, put_aside)], "key string, binding string, rows long, quarantined long").write.mode("append").parquet(ledger)
     return {"key": key, "rows": n, "quarantined": put_aside, "replayed": False}
 
