@@ -1,16 +1,20 @@
 """Sensitive spans with offsets, field-name classes, masking and restoring, phrases that try to instruct a reader model.
 
 Spans are arrays of struct(category, start, end) in code points, end exclusive, made from built-in expressions: a text
-split at a pattern's matches tells where these are.
+split at a pattern's matches tells where these are. Phrases are sought in folded texts, whole Arrow batches at a time.
 """
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from sedimenta.functions import folding
 from sedimenta.functions.normalize import card_like, inn
 
 # Patterns of personal data by category.
@@ -194,27 +198,28 @@ def restored(masked: DataFrame, kept: DataFrame, key: str, text: str) -> DataFra
     return out.withColumn(text, F.array_join(back, "")).drop("_map")
 
 
-def folded(c: Column) -> Column:
-    """Lower-cased, full-width letters and digits as plain ones, without zero-width characters."""
-    wide = "".join(chr(0xFF01 + i) for i in range(94))
-    plain = "".join(chr(0x21 + i) for i in range(94))
-    return F.lower(F.translate(F.regexp_replace(c, "[​‌‍⁠﻿]", ""), wide + "　", plain + " "))
+_SPAN = T.ArrayType(T.StructType([T.StructField("code", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+_COMPILED = {k: re.compile(p, re.S) for k, p in SIGNALS.items()}
 
 
-def signals(c: Column) -> Column:
-    """Codes of the phrases that the text holds."""
-    low = folded(c)
-    return F.filter(F.array(*[F.when(low.rlike("(?s)" + p), F.lit(k)) for k, p in SIGNALS.items()]), lambda x: x.isNotNull())
+@F.pandas_udf(_SPAN)
+def signal_spans(texts: pd.Series) -> pd.Series:
+    """Spans of the phrases in the text as it is, however its letters are styled, spaced or parted by what has no width: phrases
+    are sought in the folded text and their places carried back. A null text has none."""
+    out = []
+    for text in texts:
+        spans = []
+        if text:
+            low, begins, ends = folding.folded(text)
+            for code, pattern in _COMPILED.items():
+                spans += [{"code": code, "start": int(begins[m.start()]), "end": int(ends[m.end() - 1])} for m in pattern.finditer(low)]
+        out.append(spans)
+    return pd.Series(out)
 
 
-def signal_spans(c: Column) -> Column:
-    """Spans of the phrases in the text as it is, whatever zero-width characters stand within them."""
-    # what stays of a text is as long as its plain form; the place of its n-th character is where n characters are not of zero width
-    low, visible = folded(c), F.filter(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda i: ~c.substr(i, F.lit(1)).isin("​", "‌", "‍", "⁠", "﻿"))
-    found = F.concat(*[matches(low, "(?s)" + p, k) for k, p in SIGNALS.items()])
-    at = lambda n: F.try_element_at(visible, n) - 1
-    real = F.transform(found, lambda x: F.struct(x["category"].alias("code"), at(x["start"] + 1).alias("start"), (at(x["end"]) + 1).alias("end")))
-    return F.when(F.size(signals(c)) > 0, real).otherwise(F.array().cast("array<struct<code:string,start:int,end:int>>"))
+def signals(spans: Column) -> Column:
+    """Codes of the phrases that :func:`signal_spans` found, each once."""
+    return F.array_distinct(F.transform(spans, lambda x: x["code"]))
 
 
 def severity(codes: Column) -> Column:

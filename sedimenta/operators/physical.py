@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sedimenta.functions import text as X
 from sedimenta.plans.parse import LogPlan, TabularPlan, TreePlan
@@ -62,11 +65,41 @@ def classified_sources(values: DataFrame) -> DataFrame:
     return out.select("source", F.element_at(F.array(*map(F.lit, X.CLASSES)), F.col("_rank") + 1).alias("class"), "findings")
 
 
-def json_bounds(nodes: DataFrame, deep: int = 32, many: int = 10_000) -> DataFrame:
-    """key, depth, items, fault of JSON documents by their nodes: too deep, with too many items, or malformed."""
-    depth = F.size(F.split("path", "/", -1)) - 1
-    by = nodes.groupBy("key").agg(F.max(depth).alias("depth"), F.count(F.lit(1)).alias("items"), F.bool_or(F.col("kind") == "malformed").alias("_bad"))
-    return by.select("key", "depth", "items", F.when(F.col("_bad"), "malformed").when(F.col("depth") > deep, "too_deep").when(F.col("items") > many, "too_many").alias("fault"))
+def scanned(text: str | None) -> tuple[int, int]:
+    """Depth and items of a JSON text as a scan of its bytes tells them, without a parse: items are brackets that open, strings,
+    names among them, and other values. All bytes at once: which are within strings follows from the parity of the quotes
+    before them, quotes after an odd number of backslashes aside."""
+    b = np.frombuffer(text.encode("utf-8", "surrogatepass") if text else b"", np.uint8)
+    if not len(b):
+        return 0, 0
+    place = np.arange(len(b))
+    other = np.maximum.accumulate(np.where(b != 92, place, -1))  # the last byte up to here that is no backslash
+    quote = b == 34
+    quote[1:] &= (place[:-1] - other[:-1]) % 2 == 0
+    inside = np.cumsum(quote) % 2 == 1  # from the opening quote up to the closing one
+    opens, closes = quote & inside, quote & ~inside
+    plain = ~inside & ~closes
+    up, down = plain & ((b == 91) | (b == 123)), plain & ((b == 93) | (b == 125))
+    value = plain & ~up & ~down & (b > 32) & (b != 44) & (b != 58)
+    begins = value.copy()
+    begins[1:] &= ~value[:-1]
+    depth = np.cumsum(up.astype(np.int64) - down)
+    return max(0, int(depth.max())), int(up.sum() + opens.sum() + begins.sum())
+
+
+@F.pandas_udf(T.StructType([T.StructField("depth", T.LongType()), T.StructField("items", T.LongType())]))
+def json_scan(texts: pd.Series) -> pd.DataFrame:
+    """:func:`scanned` of a batch; a null text has neither depth nor items."""
+    return pd.DataFrame([scanned(t) for t in texts], columns=["depth", "items"])
+
+
+def json_bounds(df: DataFrame, key: str, text: str, deep: int = 32, many: int = 10_000) -> DataFrame:
+    """key, depth, items, fault of JSON texts: too_deep, too_many, or malformed. Texts beyond a bound are never parsed, so one
+    deeper than any parser takes is told as what it is. A null text is not judged."""
+    rows = df.select(F.col(key).alias("key"), F.col(text).alias("_t")).where("_t is not null").withColumn("_s", json_scan("_t"))
+    beyond = F.when(F.col("_s.depth") > deep, "too_deep").when(F.col("_s.items") > many, "too_many")
+    rows = rows.withColumn("_f", beyond).withColumn("_bad", F.when(F.col("_f").isNull(), F.try_parse_json("_t").isNull()).otherwise(F.lit(False)))
+    return rows.select("key", "_s.depth", "_s.items", F.coalesce("_f", F.when(F.col("_bad"), "malformed")).alias("fault"))
 
 
 def json_strings(nodes: DataFrame) -> DataFrame:

@@ -104,21 +104,22 @@ def chunks(df: DataFrame, budget: int, overlap: int = 1, within: str = "id", ord
     def pack(key, group):
         group = group.sort_values(order)
         places, lengths = group[order].tolist(), group["bytes"].tolist()
-        out, held = [], []
-        fresh = False
-        for at, n in zip(places, lengths, strict=True):
-            if held and sum(x for _, x in held) + n > budget:
-                if fresh:
-                    out.append(held)
-                held = held[-overlap:] if overlap else []
-                fresh = False
-                while held and sum(x for _, x in held) + n > budget:
-                    held = held[1:]
-            held = [*held, (at, n)]
-            fresh = True
-        if fresh:
-            out.append(held)
-        rows = [(key[0], i, c[0][0], c[-1][0], sum(x for _, x in c)) for i, c in enumerate(out)]
+        out = []
+        first = kept = size = 0  # the chunk begins at ``first``; its fragments from ``kept`` on are new in it
+        for i, n in enumerate(lengths):
+            if size + n > budget and i > first:
+                if i > kept:
+                    out.append((first, i, size))
+                back = max(first, i - overlap)
+                size -= sum(lengths[first:back])
+                first, kept = back, i
+                while first < i and size + n > budget:
+                    size -= lengths[first]
+                    first += 1
+            size += n
+        if len(lengths) > kept:
+            out.append((first, len(lengths), size))
+        rows = [(key[0], k, places[a], places[b - 1], total) for k, (a, b, total) in enumerate(out)]
         return pd.DataFrame(rows, columns=[within, "chunk", "first", "last", "bytes"])
 
     kind, place = (df.schema[c].dataType.simpleString() for c in (within, order))

@@ -52,8 +52,11 @@ def source_classes(spark, d):
 
 
 def json_limits(spark, d):
-    nodes = files.nodes(_order_json(spark, d), "o_orderkey", "t", "json")
-    return P.json_bounds(nodes, 3, 9).groupBy("fault").agg(F.count(F.lit(1)).alias("n"), F.max("depth").alias("depth"), F.max("items").alias("items"))
+    """Orders as trees; every ninth within more brackets than a parser takes, every tenth without its end."""
+    key, deep = F.col("o_orderkey"), (40 + F.col("o_orderkey") % 3000).cast("int")
+    rows = _order_json(spark, d)
+    text = F.when(key % 9 == 0, F.concat(F.repeat(F.lit("["), deep), "t", F.repeat(F.lit("]"), deep))).when(key % 10 == 0, F.expr("left(t, length(t) - 1)")).otherwise(F.col("t"))
+    return P.json_bounds(rows.withColumn("t", text), "o_orderkey", "t", 3, 15)
 
 
 def json_strings(spark, d):
@@ -85,7 +88,9 @@ ORACLE_SQL = {
     "texts_once": f"SELECT 'block' AS kind, count(*) AS n FROM documents UNION ALL SELECT 'line', count(*) FROM {_LINES} WHERE line_no >= 3",
     "source_classes": """SELECT CASE WHEN c_acctbal < 0 THEN 'RESTRICTED' WHEN c_acctbal > 5000 THEN 'CONFIDENTIAL' ELSE 'PUBLIC' END AS class, count(*) AS n,
         CAST(sum(CASE WHEN c_acctbal < 0 THEN 2 WHEN c_acctbal > 5000 THEN 1 ELSE 0 END) AS BIGINT) AS findings FROM customer GROUP BY 1""",
-    "json_limits": """SELECT CASE WHEN o_orderkey % 3 = 2 THEN 'too_many' END AS fault, count(*) AS n, CAST(3 AS INTEGER) AS depth, CAST(max(3 + 3 * (o_orderkey % 3 + 1)) AS BIGINT) AS items FROM orders GROUP BY 1""",
+    "json_limits": """WITH o AS (SELECT o_orderkey AS key, 5 + 5 * (o_orderkey % 3 + 1) AS n, o_orderkey % 9 = 0 AS deep, o_orderkey % 10 = 0 AS cut FROM orders)
+        SELECT key, CASE WHEN deep THEN 3 + 40 + key % 3000 ELSE 3 END AS depth, CASE WHEN deep THEN n + 40 + key % 3000 ELSE n END AS items,
+            CASE WHEN deep THEN 'too_deep' WHEN n > 15 THEN 'too_many' WHEN cut THEN 'malformed' END AS fault FROM o""",
     "json_strings": """WITH o AS (SELECT o_orderstatus AS s, o_orderkey % 3 + 1 AS n FROM orders)
         SELECT s AS text, CAST(sum(n) AS BIGINT) AS n FROM o GROUP BY 1 UNION ALL SELECT 'key', count(*) FROM o UNION ALL SELECT 'items', count(*) FROM o UNION ALL SELECT 'n', CAST(sum(n) AS BIGINT) FROM o UNION ALL SELECT 's', CAST(sum(n) AS BIGINT) FROM o""",
     "stream_log_events": f"SELECT user_id AS id, event_id AS line_no, CAST({_EVENT} AS BIGINT) AS event_no FROM events",

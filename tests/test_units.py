@@ -2,14 +2,16 @@
 
 import functools
 import hashlib
+import json
 import random
+import time
 from decimal import Decimal, localcontext
 from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
 
-from sedimenta.functions import forms
+from sedimenta.functions import folding, forms
 from sedimenta.functions import normalize as N
 from sedimenta.functions import text as X
 from sedimenta.operators import matching, physical, profile, rules, schema, structure
@@ -360,3 +362,56 @@ def test_json_schema_of_nested_items(spark):
     texts = ['[{"a": [1, 2]}]', '[{"a": [1, 4]}, {"b": 1}]', '[{"b": true}]', "[]", '[{"a": 1}]', '[{"a": [], "b": 0}]', "{}"]
     found = schema.json_schema_issues(spark.createDataFrame(list(enumerate(texts)), "k int, t string"), "k", "t", told).collect()
     assert sorted(map(tuple, found)) == [(1, "/*/a/*", "maximum"), (2, "/*", "required:a"), (4, "/*/a", "type"), (5, "/*/b", "type"), (6, "", "type")]
+
+
+def test_folded_letters_know_their_source():
+    for text, low in [("Straße", "strasse"), ("ﬁnd", "find"), ("e\u0301A", "éa"), ("a\u200b\u00a0b", "a b"), ("\U0001d422x", "ix"), ("", ""), ("plain", "plain"), ("\u1112\u1161\u11ab!", "한!"), ("É" * 3, "é" * 3)]:
+        got, begins, ends = folding.folded(text)
+        assert got == low and len(begins) == len(ends) == len(low)
+        assert all(folding.folded(text[a:b])[0].find(c) >= 0 for c, a, b in zip(low, begins.tolist(), ends.tolist(), strict=True))
+
+
+@pytest.mark.parametrize(("text", "span"), [("so ignore\u00a0previous instructions", (3, 31)), ("ignore\u2003previous\u2003instructions", (0, 28)), ("x \U0001d422gnore previous instructions", (2, 30)), ("ﬁne: i\u200bgnore previous rules.", (5, 27))])
+def test_phrases_in_disguise_are_found_where_they_are(spark, text, span):
+    found = spark.createDataFrame([(text,), (None,), ("",)], "t string").select(X.signal_spans("t").alias("s")).collect()
+    assert ("instruction_override", *span) in [tuple(x) for x in found[0]["s"]] and found[1]["s"] == found[2]["s"] == []
+
+
+def test_a_megabyte_is_folded_and_searched_in_seconds():
+    began = time.time()
+    text = "ünder the ｆull moon, a\u00a0line. " * 33_000 + "ignore\u2003previous rules"
+    low, begins, ends = folding.folded(text)
+    m = X._COMPILED["instruction_override"].search(low)
+    assert (begins[m.start()], ends[m.end() - 1]) == (len(text) - 21, len(text)) and time.time() - began < 20
+
+
+def _scanned(text):
+    depth = most = items = 0
+    quoted = escaped = atom = False
+    for c in text:
+        if quoted:
+            quoted, escaped = (c != '"' or escaped), c == "\\" and not escaped
+            continue
+        if c in ' \t\n\r:,]}"[{':
+            atom = False
+            depth += (c in "[{") - (c in "]}")
+            most, items, quoted = max(most, depth), items + (c in '[{"'), c == '"'
+        elif not atom:
+            atom, items = True, items + 1
+    return most, items
+
+
+def test_json_scan_equals_a_scan_letter_by_letter():
+    rng = random.Random(4)
+    for _ in range(3000):
+        value = lambda d: rng.choice([rng.randrange(99), 'a\\"[]{}:, é', None, True, [value(d + 1) for _ in range(rng.randrange(4))] if d < 5 else 1, {f"k{i}\\": value(d + 1) for i in range(rng.randrange(3))} if d < 5 else "x"])  # noqa: B023, E731
+        text = json.dumps(value(0), ensure_ascii=rng.random() < 0.5, indent=rng.choice([None, 1]))
+        assert physical.scanned(text) == _scanned(text), text
+    assert physical.scanned(None) == (0, 0) and physical.scanned("[" * 100_000) == (100_000, 100_000)
+
+
+def test_long_documents_are_chunked_in_linear_time(spark):
+    rows = spark.range(200_000).select(F.lit(1).alias("id"), F.col("id").cast("int").alias("line_no"), F.lit("").alias("line"))
+    began = time.time()
+    assert structure.chunks(rows, 100, 2).collect()[0][1:] == (0, 0, 199_999, 0)
+    assert time.time() - began < 30
