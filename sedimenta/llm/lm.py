@@ -39,8 +39,8 @@ LANES, SCORE_LANES, STEPS = 128, 256, 256
 ROUNDS, RATE = 2, 0.08
 #: Tokens of a block at most (a longer document is a block of its own).
 BLOCK_TOKENS = 1 << 22
-#: Numbers of a part of the weights, the unit in which they are averaged; shares in which a part is added up first.
-PART, SHARES = 1 << 14, 16
+#: Numbers of a part of the weights, the unit in which they are averaged; sums of a part that one task adds up at most.
+PART, FAN_IN = 1 << 14, 64
 START = 0
 #: Rare tokens by kind: the last letter; the last byte of another script; a digit; anything else.
 KINDS = 44
@@ -447,6 +447,7 @@ def fit(blocks: DataFrame, shape: Shape) -> dict:
     for round_no in range(ROUNDS):
 
         def learn(frames, p=p, round_no=round_no):
+            whole, weight, first = None, 0.0, 0
             for f in frames:
                 for row in f.to_dict("records"):
                     words, tokens, lengths, starts, held = _texts(row, shape)
@@ -456,19 +457,28 @@ def fit(blocks: DataFrame, shape: Shape) -> dict:
                         continue
                     mine = mine[np.argsort(draws[mine], kind="stable")]
                     flat = _joined(train(p, shape, [words[tokens[starts[i] : starts[i] + lengths[i]]] for i in mine.tolist()]))
-                    weight = float(lengths[mine].sum())
-                    parts = [flat[i : i + PART] for i in range(0, len(flat), PART)]
-                    yield pd.DataFrame({"part": range(len(parts)), "block": row["block"], "weight": weight, "numbers": [(x * weight).astype("<f8").tobytes() for x in parts]})
+                    own = float(lengths[mine].sum())
+                    first = row["block"] if whole is None else first
+                    whole = flat.astype("<f8") * own if whole is None else whole + flat.astype("<f8") * own
+                    weight += own
+            if whole is not None:
+                parts = [whole[i : i + PART].tobytes() for i in range(0, len(whole), PART)]
+                yield pd.DataFrame({"part": range(len(parts)), "block": first, "weight": weight, "numbers": parts})
 
         def add(key, group):
             group = group.sort_values("block")
             whole = sum(np.frombuffer(x, "<f8") for x in group["numbers"])
-            return pd.DataFrame({"part": [int(key[0])], "block": [group["block"].iloc[0]], "weight": [group["weight"].sum()], "numbers": [whole.tobytes()]})
-
-        # first within a part and a share of the blocks, then within a part: no task gets all blocks
-        schema = "part int, block long, weight double, numbers binary"
-        some = rows.mapInPandas(learn, schema).withColumn("share", F.pmod(F.xxhash64("block"), F.lit(SHARES)))
-        parts = some.groupBy("part", "share").applyInPandas(add, schema).groupBy("part").applyInPandas(add, schema).collect()  # the weights: their size is fixed
+            return pd.DataFrame({"part": [int(key[0])], "block": [group["block"].iloc[0]], "weight": [group["weight"].sum()], "numbers": [whole.tobytes()], "task": [int(key[1])]})
+
+        # blocks add up in their task, tasks in a tree: no task gets more than FAN_IN sums of a part at once
+        sums = written(rows.mapInPandas(learn, "part int, block long, weight double, numbers binary").withColumn("task", F.spark_partition_id()))
+        tasks = (sums.agg(F.max("task")).first()[0] or 0) + 1
+        while True:
+            sums = sums.groupBy("part", F.floor(F.col("task") / FAN_IN).cast("int").alias("task")).applyInPandas(add, "part int, block long, weight double, numbers binary, task int")
+            tasks = -(-tasks // FAN_IN)
+            if tasks == 1:
+                break
+        parts = sums.collect()  # the weights: their size is fixed
         if parts:
             parts.sort(key=lambda r: r["part"])
             p = _parted(np.concatenate([np.frombuffer(r["numbers"], "<f8") / r["weight"] for r in parts]), p)
