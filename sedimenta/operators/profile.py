@@ -5,8 +5,10 @@ Everything but distinct counts is one pass whose partial aggregates are a few nu
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,7 +16,6 @@ from pyspark.sql import types as T
 
 from sedimenta.functions import recognise as R
 from sedimenta.functions.text import field_category
-from sedimenta.sources.shared import written
 
 SKETCH_SIZE = 1024
 CATEGORICAL_ROWS, CATEGORICAL_VALUES = 20, 20
@@ -85,40 +86,40 @@ def distinct_sketch(df: DataFrame, fields: list[str], k: int = SKETCH_SIZE) -> D
     """field, kept, kth_hash, more, estimate: distinct values from the k smallest of 128-bit hashes.
 
     Up to k distinct values the count is exact and ``more`` 0; beyond, the estimate is (k - 1) (2**128 + 1) / (kth + 1)
-    rounded half up, k + 1 at least and never over the number of values. A first pass estimates how many distinct values
-    a field has; from that, hashes above a bound are left out before they are shuffled, by far enough that k remain. Where
-    fewer do, which the number of those kept shows, the field is taken without a bound.
+    rounded half up, k + 1 at least and never over the number of values. One pass over the columns side by side: a task
+    hashes each batch's distinct values and holds the k + 1 smallest hashes of each field, which is all that is shuffled.
     """
-    rows = unpivoted(df, fields).where("value is not null")
-    # one pass over the columns side by side; a row of two numbers for each field
-    sums = df.agg(*[f(F.col(c).cast("string")).alias(f"{k}{i}") for i, c in enumerate(fields) for k, f in (("d", F.approx_count_distinct), ("n", F.count))]).first()
-    about = {c: sums[f"d{i}"] for i, c in enumerate(fields) if sums[f"n{i}"]}
-    values = {c: sums[f"n{i}"] for i, c in enumerate(fields)}
-    digest = F.substring(F.sha2(F.concat_ws(":", "kind", "value"), 256), 1, 32)
-    hashes = rows.select("field", digest.alias("hash"))
-
-    def smallest(bounds: dict[str, str]) -> DataFrame:
-        bound = F.try_element_at(F.create_map(*[F.lit(x) for pair in bounds.items() for x in pair]), F.col("field"))
-        low = hashes.where(F.col("hash") < bound).distinct()
-        rank = F.row_number().over(Window.partitionBy("field").orderBy("hash"))
-        return low.withColumn("rank", rank).where(F.col("rank") <= k + 1)
-
-    bounds = {f: f"{(1 << 32) * 8 * (k + 1) // d:08x}" if d > 16 * (k + 1) else "g" for f, d in about.items()}
-    if not bounds:
-        return df.sparkSession.createDataFrame([], "field string, kept long, kth_hash string, more int, estimate long")
-    kept = written(smallest(bounds))
-    short = [r["field"] for r in kept.groupBy("field").count().where(F.col("count") <= k).collect() if bounds[r["field"]] != "g"]
-    if short:
-        kept = kept.where(~F.col("field").isin(*short)).union(smallest({f: "g" for f in short}))
+    kinds = [kind_of(df.schema[f].dataType) for f in fields]
+
+    def sketch(batches):
+        import pyarrow as pa
+
+        best, counts = [np.empty(0, "S16") for _ in fields], [0] * len(fields)
+        for batch in batches:
+            for i, kind in enumerate(kinds):
+                values = batch.column(i).drop_null()
+                counts[i] += len(values)
+                said = f"{kind}:".encode()
+                found = np.array([hashlib.sha256(said + v.encode("utf-8", "surrogatepass")).digest()[:16] for v in values.unique().to_pylist()], "S16")
+                if len(best[i]) > k:
+                    found = found[found < best[i][-1]]
+                best[i] = np.unique(np.concatenate((best[i], found)))[: k + 1]
+        rows = [(f, n, [h.ljust(16, b"\0").hex() for h in b.tolist()]) for f, n, b in zip(fields, counts, best, strict=True) if n]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.string()))], names=["field", "n", "hashes"])
+
+    parts = df.select(*[F.col(f).cast("string").alias(f"v{i}") for i, f in enumerate(fields)]).mapInArrow(sketch, "field string, n long, hashes array<string>")
+    # a task's number of values goes with its first hash
+    hashes = parts.select("field", "n", F.posexplode("hashes").alias("at", "hash")).groupBy("field", "hash").agg(F.sum(F.when(F.col("at") == 0, F.col("n"))).alias("n"))
+    rank = F.row_number().over(Window.partitionBy("field").orderBy("hash"))
+    ranked = hashes.withColumn("rank", rank)
     first = F.when(F.col("rank") <= k, F.col("hash"))
-    found = kept.groupBy("field").agg(F.count(first).alias("kept"), F.max(first).alias("kth_hash"), F.count_if(F.col("rank") > k).cast("int").alias("more"))
+    found = ranked.groupBy("field").agg(F.sum("n").alias("n"), F.count(first).alias("kept"), F.max(first).alias("kth_hash"), (F.count_if(F.col("rank") > k) > 0).cast("int").alias("more"))
 
     @F.pandas_udf("long")
     def estimated(kept: pd.Series, kth: pd.Series, more: pd.Series) -> pd.Series:
         return pd.Series([max(k + 1, (2 * (k - 1) * (2**128 + 1) + int(h, 16) + 1) // (2 * (int(h, 16) + 1))) if m else n for n, h, m in zip(kept, kth, more, strict=True)])
 
-    n = F.element_at(F.create_map(*[F.lit(x) for c in about for x in (c, values[c])]), F.col("field")).cast("long")
-    return found.select("field", "kept", "kth_hash", "more", F.least(n, estimated("kept", "kth_hash", "more")).alias("estimate"))
+    return found.select("field", "kept", "kth_hash", "more", F.least("n", estimated("kept", "kth_hash", "more")).alias("estimate"))
 
 
 def bottom_k_sample(df: DataFrame, key: str, fields: list[str], seed: str = "0", k: int = 5) -> DataFrame:
