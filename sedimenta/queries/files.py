@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from sedimenta.operators import structure as S
 from sedimenta.plans.records import scratch
-from sedimenta.sources import dialect, files, tables
+from sedimenta.sources import charsets, dialect, files, tables
 from sedimenta.sources.tables import table
 
 
@@ -50,6 +51,31 @@ def source_encodings(spark, d):
     return table(spark, d, "region").select("r_regionkey", F.inline(each)).select("r_regionkey", "written", files.encoding_of(F.col("content")).alias("found"))
 
 
+#: Sets that documents are written in to be told apart; one of each pair of alike sets.
+CHARSETS = ("cp1252", "cp850", "mac-roman", "cp037")
+
+
+def charsets_found(spark, d):
+    """Every document in five sets, and what is found: how many of each as which, those undecided as null."""
+    docs = table(spark, d, "documents").where("text is not null").select("doc_id", "text")
+    fitted = charsets.fit_charsets(docs, "text", list(CHARSETS))
+
+    def write(frames):
+        for f in frames:
+            rows = []
+            for i, t in zip(f["doc_id"], f["text"], strict=True):
+                for c in (*CHARSETS, "utf-8"):
+                    try:
+                        rows.append((i, c, t.isascii(), t.encode(c)))
+                    except UnicodeEncodeError:
+                        continue
+            yield pd.DataFrame(rows, columns=["doc_id", "written", "ascii", "content"])
+
+    coded = docs.mapInPandas(write, "doc_id long, written string, ascii boolean, content binary")
+    found = coded.withColumn("c", charsets.charset_of(F.col("content"), fitted))
+    return found.groupBy("written", "ascii", F.col("c.encoding").alias("found")).agg(F.count(F.lit(1)).alias("n"), F.bround(F.min("c.confidence"), 4).alias("least"))
+
+
 def delimited_cells(spark, d):
     """A small table of ragged rows for each customer."""
     text = F.concat(F.lit("id,name\n"), "c_custkey", F.lit(',"'), "c_name", F.lit(', ""x""\nmore"\n\n'), "c_nationkey", F.lit("\n"))
@@ -87,7 +113,7 @@ def html_nodes(spark, d):
     return out.groupBy(F.col("key").alias("page_id")).agg(is_el("p").alias("paragraphs"), is_el("li").alias("items"), F.count_if((F.col("kind") == "attribute") & (F.col("name") == "href")).alias("links"), F.count_if((F.col("kind") == "active") & F.col("name").isin("script", "style")).alias("active"))
 
 
-QUERIES = {q.__name__: q for q in (source_delimited, source_json_lines, source_physical_lines, source_encodings, delimited_cells, json_nodes, json_paths, json_record_roots, xml_nodes, html_nodes)}
+QUERIES = {q.__name__: q for q in (source_delimited, source_json_lines, source_physical_lines, source_encodings, charsets_found, delimited_cells, json_nodes, json_paths, json_record_roots, xml_nodes, html_nodes)}
 
 _COUNT = lambda tag: f"len(regexp_extract_all(html, '<{tag}[ >]'))"
 ORACLE_SQL = {

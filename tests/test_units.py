@@ -16,7 +16,7 @@ from sedimenta.functions import normalize as N
 from sedimenta.functions import text as X
 from sedimenta.operators import matching, physical, profile, rules, schema, structure
 from sedimenta.plans import load, parse, records
-from sedimenta.sources import files, tables
+from sedimenta.sources import charsets, files, tables
 from sedimenta.sources.dialect import detect
 from sedimenta.streaming import streams
 from tests.oracle import SMALL
@@ -415,3 +415,15 @@ def test_long_documents_are_chunked_in_linear_time(spark):
     began = time.time()
     assert structure.chunks(rows, 100, 2).collect()[0][1:] == (0, 0, 199_999, 0)
     assert time.time() - began < 30
+
+
+def test_charsets_of_texts_that_were_not_learnt_from(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text is not null")
+    fitted = charsets.fit_charsets(docs.where("doc_id % 2 = 0"), "text", ["cp1252", "cp850", "mac-roman"])
+    rows = [(c, bytearray(r["text"].encode(c))) for r in docs.where("doc_id % 2 = 1").collect() if not r["text"].isascii() for c in fitted]
+    found = spark.createDataFrame([*rows, ("none", bytearray(b"\xe9")), ("empty", bytearray()), ("null", None)], "written string, content binary").withColumn("c", charsets.charset_of(F.col("content"), fitted)).collect()
+    judged = [r for r in found if r["written"] in fitted]
+    right, wrong = (sum(r["c"]["encoding"] is not None and (r["written"] == r["c"]["encoding"]) is same for r in judged) for same in (True, False))
+    assert right >= 0.98 * len(judged) and wrong <= 0.01 * len(judged)
+    odd = {r["written"]: r["c"] for r in found}
+    assert odd["none"]["encoding"] is None and odd["empty"]["encoding"] == "utf-8" and odd["null"]["encoding"] is None
