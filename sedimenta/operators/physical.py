@@ -115,7 +115,7 @@ def labels(cells: DataFrame, header_row: int, most: int = 8) -> DataFrame:
 
 def missing_refs(required: DataFrame, seen: DataFrame) -> DataFrame:
     """Required refs that were not seen, each once."""
-    return required.select("ref").exceptAll(seen.select("ref").distinct()).distinct()
+    return required.select("ref").subtract(seen.select("ref"))
 
 
 def identity_supported(profile: DataFrame, keys: dict[str, list[str]]) -> DataFrame:
