@@ -8,6 +8,7 @@ import time
 from decimal import Decimal, localcontext
 from fractions import Fraction
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -427,3 +428,17 @@ def test_charsets_of_texts_that_were_not_learnt_from(spark):
     assert right >= 0.98 * len(judged) and wrong <= 0.01 * len(judged)
     odd = {r["written"]: r["c"] for r in found}
     assert odd["none"]["encoding"] is None and odd["empty"]["encoding"] == "utf-8" and odd["null"]["encoding"] is None
+
+
+def test_ranges_equal_sets():
+    rng = random.Random(6)
+    for _ in range(300):
+        ranges, seen = streams.Ranges([], []), set()
+        for _ in range(rng.randrange(1, 6)):
+            numbers = [rng.randrange(40) for _ in range(rng.randrange(0, 15))]
+            twice = sum(n in seen or numbers.index(n) < i for i, n in enumerate(numbers))
+            assert ranges.add(np.array(numbers, np.int64)) == twice
+            seen |= set(numbers)
+            assert [x for a, b in zip(ranges.begins, ranges.ends, strict=True) for x in range(a, b)] == sorted(seen)
+            assert ranges.count() == len(seen) and ranges.end() == max(seen, default=-1) + 1
+            assert all(ranges.covers(t) == set(range(t)).issubset(seen) for t in range(5))
