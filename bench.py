@@ -12,9 +12,9 @@ from pyspark.sql import SparkSession
 from sedimenta.queries import QUERIES
 
 HEADLINE = [
-    "profile_orders_fields", "profile_distinct_exact", "profile_distinct_kmv", "profile_bottomk_sample", "profile_events_value_kinds",
+    "profile_orders_fields", "profile_distinct_exact", "profile_distinct_kmv", "profile_bottomk_sample", "profile_events_value_kinds", "profile_full",
     "rule_sum_equals_orders", "rule_item_count", "rule_unique_by", "db_fk_missing", "plan_actions", "plan_quarantine_closure",
-    "norm_decimal", "norm_date", "log_template_mining", "pii_spans", "gaps_islands",
+    "norm_decimal", "norm_date", "log_template_mining", "pii_spans", "gaps_islands", "validated_dataset", "structural_sample", "name_evidence",
 ]
 
 

@@ -120,6 +120,16 @@ QUERIES = {q.__name__: q for q in (order_ordinals, line_gaps, key_occurrences, f
 _LINES = "(SELECT doc_id AS id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents)"
 ORACLE_SQL = {
     "order_ordinals": "SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS ordinal FROM orders",
+    "text_chunks": f"""
+        WITH RECURSIVE l AS (
+            SELECT id, line_no, octet_length(encode(line)) AS n FROM {_LINES}
+        ), r AS (
+            SELECT id, line_no, CAST(0 AS BIGINT) AS chunk, n AS held, n FROM l WHERE line_no = 0
+            UNION ALL SELECT l.id, l.line_no, r.chunk + CASE WHEN r.held + l.n > 1000 THEN 1 ELSE 0 END, CASE WHEN r.held + l.n > 1000 THEN l.n ELSE r.held + l.n END, l.n FROM r JOIN l ON l.id = r.id AND l.line_no = r.line_no + 1
+        ), c AS (
+            SELECT id, chunk, sum(n) AS bytes, count(*) AS lines FROM r GROUP BY id, chunk
+        )
+        SELECT id, CAST(sum(bytes) AS BIGINT) AS bytes, CAST(max(chunk) AS INTEGER) AS "last", CAST(max(CASE WHEN lines > 1 THEN bytes END) AS BIGINT) AS most FROM c GROUP BY id""",
     "line_gaps": f"""SELECT id, CAST(after AS INTEGER) AS after, CAST(line_no AS INTEGER) AS before FROM (SELECT *, lag(line_no) OVER (PARTITION BY id ORDER BY line_no) AS after FROM {_LINES} WHERE length(line) >= 80) WHERE line_no <> after + 1""",
     "key_occurrences": """SELECT kind, occurrence, count(*) AS n FROM (SELECT l_partkey % 3 AS kind, CAST(row_number() OVER (PARTITION BY l_orderkey, l_partkey % 3 ORDER BY l_linenumber, l_suppkey) - 1 AS INTEGER) AS occurrence FROM lineitem) GROUP BY 1, 2""",
     "first_events": "SELECT user_id, min(event_id) AS event_id, arg_min(event_type, event_id) AS event_type FROM events GROUP BY 1",
