@@ -63,7 +63,7 @@ def _keyed(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: s
     """Rows as ``row``, with what a mix needs of them: doc_id, source, size, draw and the draw's range and part."""
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
     keys = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"))
-    keys = keys.withColumn("draw", F.xxhash64(F.lit(seed), "doc_id"))
+    keys = keys.withColumn("draw", F.xxhash64(F.lit(seed), "doc_id", F.col(f"row.{text_col}")))  # ids may be null or repeat
     return keys.withColumn("range", F.pmod("draw", F.lit(PARTS))).withColumn("part", F.pmod(F.shiftright("draw", 8), F.lit(PARTS)))
 
 
@@ -98,7 +98,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: in
     """One row for each row of ``docs``: doc_id, source, size, source_size, target, epochs, taken.
 
     A source whose target is r times its size gives every document floor(r) whole repetitions. The rest is taken from
-    its documents in the order of a seeded hash of the id until the target is met; the document in which that
+    its documents in the order of a seeded hash of id and text until the target is met; the document in which that
     happens gives only its first words, so a source misses its target by less than one word. Ties of the hash go by
     id, then size; rows that agree in these too are interchangeable.
 

@@ -181,3 +181,12 @@ def test_plan_takes_every_piece_once():
             taken[l] += n
     assert taken == histogram
     assert sum(n for _, n in plan) <= 1.02 * lengths.sum() / 1024
+
+
+def test_rows_without_an_id_are_dealt_apart(spark):
+    """Many rows with a null id, or one and the same, fall into many parts, and the mix still meets its targets."""
+    rows = [(None if i % 2 else 7, f"text number {i} " + "word " * (i % 5), "en", "ab"[i % 3 == 0]) for i in range(3000)]
+    keyed = mixing._keyed(documents(spark, rows), 0, "doc_id", "text", "source")
+    assert keyed.select("range", "part").distinct().count() > 2500
+    for source, took, target in mixing.mix(documents(spark, rows)).groupBy("source").agg(F.sum("taken"), F.first("target")).collect():
+        assert abs(took - target) <= 1, source
