@@ -37,6 +37,12 @@ def fixed_groups(df: DataFrame, n: int, order: str = "line_no") -> DataFrame:
     return df.withColumn("group_no", F.floor(F.col(order) / n))
 
 
+def incomplete_groups(df: DataFrame, n: int, within: str = "id", order: str = "line_no") -> DataFrame:
+    """within, lines, fault of holders whose last group of n lines is not whole."""
+    by = df.groupBy(within).agg(F.count(F.lit(1)).alias("lines"))
+    return by.where(F.col("lines") % n != 0).select(within, "lines", F.lit("incomplete_group").alias("fault"))
+
+
 def blank_line_groups(df: DataFrame, within: str = "id", order: str = "line_no") -> DataFrame:
     """Lines that are not blank, with the group_no of their run; runs are parted by blank lines."""
     blank = F.trim("line") == ""

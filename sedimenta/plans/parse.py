@@ -61,6 +61,27 @@ def _values(variant, fields: dict[str, tuple[str, str]]):
     return [F.try_variant_get(variant, path, kind).alias(name) for name, (path, kind) in fields.items()]
 
 
+def tree_faults(docs: DataFrame, id_col: str, json_col: str, plan: TreePlan, required: list[str]) -> DataFrame:
+    """id, ordinal, field, fault of records that a plan cannot read as it says: a required field that is not there (absent) or of
+    another type (type), a record path that leads to no array (no_records), and text that is no JSON (malformed). An
+    explicit null is there."""
+    roots = docs.select(F.col(id_col).alias("id"), F.col(json_col).alias("_t"), F.try_parse_json(json_col).alias("v")).where("_t is not null")
+    whole = lambda field, fault: [F.lit(None).cast("int").alias("ordinal"), F.lit(field).alias("field"), F.lit(fault).alias("fault")]
+    out = roots.where("v is null").select("id", *whole(None, "malformed"))
+    records = roots.where("v is not null").withColumn("ordinal", F.lit(0))
+    if plan.record_path:
+        items = roots.where("v is not null").withColumn("_items", F.try_variant_get("v", plan.record_path, "array<variant>"))
+        out = out.union(items.where("_items is null").select("id", *whole(plan.record_path, "no_records")))
+        records = items.select("id", F.posexplode("_items").alias("ordinal", "v"))
+    found = []
+    for name in required:
+        path, kind = plan.fields[name]
+        own = F.try_variant_get("v", path, "variant")
+        fault = F.when(own.isNull(), "absent").when(~F.is_variant_null(own) & F.try_variant_get("v", path, kind).isNull(), "type")
+        found.append(F.struct(F.lit(name).alias("field"), fault.alias("fault")))
+    return out.union(records.select("id", "ordinal", F.inline(F.filter(F.array(*found), lambda x: x["fault"].isNotNull()))))
+
+
 def tree(docs: DataFrame, id_col: str, json_col: str, plan: TreePlan) -> dict[str, DataFrame]:
     """"record": id, ordinal and fields of each record; and for each child entity: id, ordinal, child_ordinal and fields.
 

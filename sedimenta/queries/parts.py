@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sedimenta.functions import forms
-from sedimenta.operators import inference, matching, physical, profile, relate, rules, schema, structure
+from sedimenta.operators import constraints, inference, matching, physical, profile, relate, rules, schema, structure
 from sedimenta.operators import lines as L
 from sedimenta.plans import parse, records
 from sedimenta.queries import relate as shared
@@ -152,7 +152,39 @@ def copied_fields(spark, d):
     return kept.select("p_partkey", "p_name", F.col("price").cast("double").alias("price"))
 
 
-QUERIES = {q.__name__: q for q in (row_identifiers, record_lines, lines_by_threes, started_groups, headed_sections, footer_sums, roles_by_first_cell, ranked_plan_candidates, finding_origins, column_labels, refs_not_seen, identities_supported, entity_tables, sure_targets, penalized_matches, pattern_shares, mapping_scores, mixed_comparisons, name_keys, copied_fields)}
+def incomplete_line_groups(spark, d):
+    return L.incomplete_groups(_lines(spark, d), 3)
+
+
+def tree_record_faults(spark, d):
+    """Orders' lines as arrays of records: some lack a field, some have a text where a number belongs, some are no array or no JSON."""
+    key = F.col("o_orderkey")
+    items = F.expr("transform(sequence(0, o_orderkey % 3), i -> concat('{', if(i = 1 and o_orderkey % 4 = 0, '', concat('\"n\": ', if(i = 0 and o_orderkey % 5 = 0, '\"x\"', if(i = 2, 'null', cast(i as string))), ', ')), '\"s\": \"', o_orderstatus, '\"}'))")
+    text = F.concat(F.lit('{"items": ['), F.array_join(items, ", "), F.lit("]}"))
+    text = F.when(key % 7 == 0, F.lit('{"items": 3}')).when(key % 11 == 0, F.lit('{"items": [')).otherwise(text)
+    plan = parse.TreePlan({"n": ("$.n", "int"), "s": ("$.s", "string")}, "$.items")
+    return parse.tree_faults(table(spark, d, "orders").select("o_orderkey", text.alias("j")), "o_orderkey", "j", plan, ["n", "s"])
+
+
+def target_refusals(spark, d):
+    """Lines against a declared target: types, lengths, ranges, forms, checks, a unique and two foreign keys, in one frame."""
+    lines = table(spark, d, "lineitem")
+    number = F.concat_ws("/", "l_orderkey", "l_linenumber")
+    uid = F.concat(F.lit("00000000-0000-0000-0000-"), F.lpad("l_orderkey", 12, "0"), F.when(F.col("l_linenumber") == 3, "x").otherwise(""))
+    rows = lines.select(number.alias("line"), "l_orderkey", "l_linenumber", uid.alias("uid"), F.when(F.col("l_linenumber") != 7, F.col("l_suppkey")).alias("seller"), F.col("l_partkey").cast("long").alias("part"),
+        F.concat("l_returnflag", F.when(F.col("l_linenumber") == 2, F.lit("\0")).otherwise("")).alias("flag"), (F.col("l_extendedprice") * F.when(F.col("l_linenumber") == 1, 1e35).otherwise(1.0)).alias("price"), F.col("l_quantity").cast("decimal(12,2)").alias("quantity"))
+    fields = {
+        "uid": constraints.Declared("uuid", False), "seller": constraints.Declared("smallint", False), "part": constraints.Declared("TINYINT"), "flag": constraints.Declared("varchar (1)", labels=("A", "N", "A\0")), "price": constraints.Declared("real"),
+        "quantity": constraints.Declared("numeric(3, 2)"), "l_linenumber": constraints.Declared("boolean"),
+    }
+    keys = [
+        constraints.Key("line", ("l_orderkey", "flag")), constraints.Key("order", ("l_orderkey",), table(spark, d, "orders").where("o_orderkey % 50 <> 0"), ("o_orderkey",)),
+        constraints.Key("pair", ("seller", "part"), lines.where("l_linenumber < 3"), ("l_suppkey", "l_partkey"), True),
+    ]
+    return constraints.target_issues(rows, "line", fields, keys, {"some": "quantity > 2", "early": "seller <> 5"})
+
+
+QUERIES = {q.__name__: q for q in (row_identifiers, record_lines, lines_by_threes, started_groups, headed_sections, footer_sums, roles_by_first_cell, ranked_plan_candidates, finding_origins, column_labels, refs_not_seen, identities_supported, entity_tables, sure_targets, penalized_matches, pattern_shares, mapping_scores, mixed_comparisons, name_keys, copied_fields, incomplete_line_groups, tree_record_faults, target_refusals)}
 
 _LINES = "(SELECT doc_id AS id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents)"
 _SCORED = f"(SELECT source, target, share AS score, split_part(source, '.', 1) AS entity, split_part(target, '.', 1) AS tab FROM ({shared._OVERLAP}))"
@@ -190,4 +222,18 @@ ORACLE_SQL = {
         CASE WHEN l_orderkey % 3 = 0 THEN 'RULE_MISSING_OPERAND' WHEN l_extendedprice <= 20000 THEN 'RULE_VIOLATION' END AS code, count(*) AS n FROM lineitem GROUP BY ALL""",
     "name_keys": "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') ELSE lower(p_name) END AS key FROM part",
     "copied_fields": "SELECT p_partkey, p_name, CAST(CAST(p_retailprice AS DECIMAL(15,2)) AS DOUBLE) AS price FROM part",
+    "incomplete_line_groups": f"SELECT id, count(*) AS lines, 'incomplete_group' AS fault FROM {_LINES} GROUP BY id HAVING count(*) % 3 <> 0",
+    "tree_record_faults": """
+        WITH r AS (SELECT o_orderkey AS id, unnest(range(0, o_orderkey % 3 + 1)) AS i FROM orders WHERE o_orderkey % 7 <> 0 AND o_orderkey % 11 <> 0)
+        SELECT o_orderkey AS id, CAST(NULL AS INTEGER) AS ordinal, '$.items' AS field, 'no_records' AS fault FROM orders WHERE o_orderkey % 7 = 0 UNION ALL SELECT o_orderkey, NULL, NULL, 'malformed' FROM orders WHERE o_orderkey % 11 = 0 AND o_orderkey % 7 <> 0
+        UNION ALL SELECT id, i, 'n', 'absent' FROM r WHERE i = 1 AND id % 4 = 0 UNION ALL SELECT id, i, 'n', 'type' FROM r WHERE i = 0 AND id % 5 = 0""",
+    "target_refusals": """
+        WITH l AS (SELECT concat(l_orderkey, '/', l_linenumber) AS k, *, CASE WHEN l_linenumber <> 7 THEN l_suppkey END AS seller, l_returnflag || CASE WHEN l_linenumber = 2 THEN 'z' ELSE '' END AS flag FROM lineitem)
+        SELECT k AS row_key, 'field' AS part, 'uid' AS name, 'DB_UUID' AS code FROM l WHERE l_linenumber = 3 UNION ALL SELECT k, 'field', 'seller', 'DB_NOT_NULL' FROM l WHERE seller IS NULL UNION ALL SELECT k, 'field', 'seller', 'DB_INTEGER_RANGE' FROM l WHERE seller > 32767
+        UNION ALL SELECT k, 'field', 'part', 'DB_INTEGER_RANGE' FROM l WHERE l_partkey > 127 UNION ALL SELECT k, 'field', 'flag', 'DB_NUL_BYTE' FROM l WHERE l_linenumber = 2 UNION ALL SELECT k, 'field', 'flag', 'DB_LENGTH' FROM l WHERE l_linenumber = 2
+        UNION ALL SELECT k, 'field', 'flag', 'DB_ENUM' FROM l WHERE flag NOT IN ('A', 'N', 'Az') UNION ALL SELECT k, 'field', 'price', 'DB_FLOAT_RANGE' FROM l WHERE l_linenumber = 1 AND l_extendedprice * 1e35 > 3.4028234663852886e38
+        UNION ALL SELECT k, 'field', 'quantity', 'DB_NUMERIC_RANGE' FROM l WHERE l_quantity >= 10 UNION ALL SELECT k, 'field', 'l_linenumber', 'DB_TYPE' FROM l
+        UNION ALL SELECT k, 'check', 'some', 'DB_CHECK' FROM l WHERE NOT l_quantity > 2 UNION ALL SELECT k, 'check', 'early', 'DB_CHECK' FROM l WHERE seller = 5
+        UNION ALL SELECT k, 'key', 'line', 'DB_UNIQUE' FROM (SELECT *, count(*) OVER (PARTITION BY l_orderkey, flag) AS n FROM l) WHERE n > 1 UNION ALL SELECT k, 'key', 'order', 'DB_FOREIGN_KEY' FROM l WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 50 <> 0)
+        UNION ALL SELECT k, 'key', 'pair', 'DB_FOREIGN_KEY' FROM l WHERE seller IS NOT NULL AND (l_suppkey, l_partkey) NOT IN (SELECT l_suppkey, l_partkey FROM lineitem WHERE l_linenumber < 3) UNION ALL SELECT k, 'key', 'pair', 'DB_FOREIGN_KEY_PARTIAL' FROM l WHERE seller IS NULL""",
 }
