@@ -21,6 +21,12 @@ def stream_batch_faults(spark, d):
     return streams.batch_faults(batches)
 
 
+def stream_first_seen(spark, d):
+    """Users' kinds of events as they first come."""
+    stream = streams.events_stream(spark, f"{d}/events.parquet")
+    return streams.run_to_table(streams.first_seen(stream, "ts", ["user_id", "event_type"], "3650 days").select("user_id", "event_type"), "append")
+
+
 def stream_manifest(spark, d):
     """Users as streams and their events as batches, out of order and in three parts, a manifest in the second. Some lack a batch
     or a manifest, some have a batch twice, one too many or the wrong number of rows."""
@@ -41,7 +47,7 @@ def stream_manifest(spark, d):
     return streams.run_to_table(streams.manifest_integrity(streams.events_stream(spark, path), late="12 hours"), "append").where("stream_id >= 0")
 
 
-QUERIES = {q.__name__: q for q in (stream_hourly_counts, stream_batch_faults, stream_manifest)}
+QUERIES = {q.__name__: q for q in (stream_hourly_counts, stream_batch_faults, stream_first_seen, stream_manifest)}
 
 ORACLE_SQL = {
     "stream_hourly_counts": """
@@ -50,6 +56,7 @@ ORACLE_SQL = {
     "stream_batch_faults": """
         WITH b AS (SELECT user_id AS stream_id, count(*) AS n, count(DISTINCT event_id % 7) AS d, max(event_id % 7) AS l FROM events GROUP BY 1)
         SELECT stream_id, 'duplicate' AS fault FROM b WHERE n > d UNION ALL SELECT stream_id, 'gap' FROM b WHERE l + 1 > d""",
+    "stream_first_seen": "SELECT DISTINCT user_id, event_type FROM events",
     "stream_manifest": """
         WITH b AS (
             SELECT user_id AS s, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS number, event_id % 5 AS n FROM events
