@@ -19,6 +19,8 @@ from sedimenta.functions.text import field_category
 
 SKETCH_SIZE = 1024
 CATEGORICAL_ROWS, CATEGORICAL_VALUES = 20, 20
+#: Short values of a field that a task remembers to have hashed.
+SEEN_VALUES = 1 << 16
 
 
 def kind_of(data_type: T.DataType) -> str:
@@ -95,12 +97,17 @@ def distinct_sketch(df: DataFrame, fields: list[str], k: int = SKETCH_SIZE) -> D
         import pyarrow as pa
 
         best, counts = [np.empty(0, "S16") for _ in fields], [0] * len(fields)
+        seen: list[set[str]] = [set() for _ in fields]  # values hashed lately
         for batch in batches:
             for i, kind in enumerate(kinds):
                 values = batch.column(i).drop_null()
                 counts[i] += len(values)
                 said = f"{kind}:".encode()
-                found = np.array([hashlib.sha256(said + v.encode("utf-8", "surrogatepass")).digest()[:16] for v in values.unique().to_pylist()], "S16")
+                fresh = [v for v in values.unique().to_pylist() if v not in seen[i]]
+                if len(seen[i]) > SEEN_VALUES:
+                    seen[i].clear()
+                seen[i].update(v for v in fresh if len(v) <= 64)
+                found = np.array([hashlib.sha256(said + v.encode("utf-8", "surrogatepass")).digest()[:16] for v in fresh], "S16")
                 if len(best[i]) > k:
                     found = found[found < best[i][-1]]
                 best[i] = np.unique(np.concatenate((best[i], found)))[: k + 1]
