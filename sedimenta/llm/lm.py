@@ -1,8 +1,9 @@
 """Language-model scores of whole documents by a gated recurrent network.
 
-Rows are kept in blocks of tokens. Vocabulary and counts come from all training tokens: each block gives its distinct
-tokens with their counts, which Spark adds up by token and joins back, so neither the counts nor the vocabulary are ever
-in one place, and a token travels once for each block however often it occurs.
+Rows are kept in blocks of tokens. Vocabulary and counts come from all training tokens: each block sends its distinct
+tokens with their counts, in order and cut by ranges of token numbers, to the owners of these ranges, who add up and answer
+each block with the totals. So neither the counts nor the vocabulary are ever in one place, and a token travels once for
+each block however often it occurs.
 
 The network predicts the frequent tokens: those whose count is at least a fixed share of all, so that their number has
 a bound whatever the corpus. All others are rare words by their last letters, within which a token has its smoothed
@@ -26,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedimenta.llm.common import ascii_words, fold, written
+from sedimenta.llm.common import fold, written
 
 HELD_OUT = 1
 #: A token is frequent if it is at least one in so many, which is also the bound on the number of frequent ones.
@@ -39,8 +40,12 @@ LANES, SCORE_LANES, STEPS = 128, 256, 256
 ROUNDS, RATE = 2, 0.08
 #: Tokens of a block at most (a longer document is a block of its own).
 BLOCK_TOKENS = 1 << 22
+#: Bytes of texts that are split at once (a longer text by itself).
+PIECE_BYTES = 32 << 20
 #: Numbers of a part of the weights, the unit in which they are averaged; sums of a part that one task adds up at most.
 PART, FAN_IN = 1 << 14, 64
+#: Distinct tokens of blocks that an owner adds up on average.
+OWNER_NUMBERS = 1 << 20
 START = 0
 #: Rare tokens by kind: the last letter; the last byte of another script; a digit; anything else.
 KINDS = 44
@@ -51,88 +56,158 @@ _KIND_BITS = 63
 
 def kind_of(word: bytes) -> int:
     """A number below KINDS, from the word's last letter."""
-    last = word.rstrip(b".,;:!?*%#$&|\"')")[-1:] or b"-"
+    last = word[-1:]
+    if not last.isalpha():
+        last = word.rstrip(b".,;:!?*%#$&|\"')")[-1:] or b"-"
     if last.isalpha():
         return last[0] - 97
     high = [b for b in word if b > 127] if not word.isascii() else ()
     return 26 + (high[-1] & 15) if high else 42 if last.isdigit() else 43
 
 
+def _numbers(words: list[bytes]) -> list[int]:
+    """64-bit numbers of words: the upper 58 bits of the word's XXH64 and its kind. The end is the empty word."""
+    from xxhash import xxh64_intdigest
+
+    return [h & ~_KIND_BITS | kind for h, kind in zip(map(xxh64_intdigest, words), map(kind_of, words), strict=True)]
+
+
 class _Tokens(dict):
-    """word -> its place among the distinct words of a block. The end is the empty word. ``numbers`` has the 64-bit number of
-    each place: the upper 58 bits of the word's XXH64 and its kind."""
+    """word -> its place among those asked for, of a few words; ``numbers`` has the number of each place."""
 
     def __init__(self):
         super().__init__()
         self.numbers: list[int] = []
 
     def __missing__(self, word: bytes) -> int:
-        import xxhash
-
         self[word] = place = len(self.numbers)
-        self.numbers.append(xxhash.xxh64_intdigest(word) & ~_KIND_BITS | kind_of(word))
+        self.numbers += _numbers([word])
         return place
 
 
+def _split(texts):
+    """Of stretches of some rows: the first row, tokens of all texts as places among the distinct words, the numbers of these
+    (the end is the last), and the tokens of each text. Arrow's lower case and white space are ASCII's, as wanted here."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    texts = pc.fill_null(texts, "")
+    pieces = np.cumsum(pc.binary_length(texts).to_numpy()) // PIECE_BYTES
+    bounds = [0, *(np.flatnonzero(np.diff(pieces)) + 1).tolist(), len(texts)]
+    for begin, end in zip(bounds[:-1], bounds[1:], strict=True):
+        split = pc.ascii_split_whitespace(pc.ascii_lower(texts[begin:end]))
+        lengths = pc.list_value_length(split).to_numpy().astype(np.int64)
+        coded = split.flatten().dictionary_encode()
+        distinct, places = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        none = distinct.index(b"") if b"" in distinct else -1  # before leading and after trailing white space
+        if none >= 0:
+            empty = places == none
+            lengths -= np.bincount(np.repeat(np.arange(len(lengths)), lengths)[empty], minlength=len(lengths))
+            places = places[~empty]
+        last = np.zeros(len(places) + len(lengths), bool)
+        last[np.cumsum(lengths + 1) - 1] = True
+        tokens = np.full(len(last), len(distinct), np.int32)
+        tokens[~last] = places
+        yield begin, tokens, np.array(_numbers([*distinct, b""]), np.uint64), lengths + 1
+
+
 def _blocks(batches):
-    """Rows into blocks: ids, fold marks, lengths in tokens (with the end), and tokens as places among the distinct."""
+    """Rows into blocks: ids, fold marks, lengths in tokens (with the end), tokens as places among the distinct, and these in
+    order with their counts in training rows."""
     import pyarrow as pa
     from pyspark import TaskContext
 
     name = TaskContext.get().partitionId() << 32
     names = [f.split()[0] for f in BLOCK_SCHEMA.split(", ")]
 
-    def block(ids, texts, places):
-        lengths = np.array([len(t) for t in texts], np.int64)
+    def block(ids, texts, lengths, numbers):
+        lengths = np.array(lengths, np.int64)
         held = np.array([fold(i) == HELD_OUT for i in ids], bool)
-        every = np.concatenate(texts)
-        counts = np.bincount(every[np.repeat(~held, lengths)], minlength=len(places.numbers))
+        distinct, place = np.unique(np.concatenate(numbers), return_inverse=True)
+        every = place.astype("<u4")[np.concatenate(texts)]
+        counts = np.bincount(every[np.repeat(~held, lengths)], minlength=len(distinct))
         whole = np.array([0 if i is None else i for i in ids], np.int64)
-        values = [name, whole.tobytes(), np.packbits([i is None for i in ids]).tobytes(), held.tobytes(), lengths.tobytes(), every.tobytes(), np.array(places.numbers, np.uint64).tobytes(), counts.astype("<i8").tobytes()]
+        values = [name, whole.tobytes(), np.packbits([i is None for i in ids]).tobytes(), held.tobytes(), lengths.tobytes(), every.tobytes(), distinct.tobytes(), counts.astype("<i8").tobytes(), len(distinct), int(counts.sum())]
         return pa.RecordBatch.from_arrays([pa.array([v]) for v in values], names=names)
 
-    ids, texts, size, places = [], [], 0, _Tokens()
+    def add(texts, tokens, numbers, piece):
+        """Tokens as places among the numbers of a block, which are told apart when it ends."""
+        if len(tokens):
+            met = np.flatnonzero(np.bincount(tokens, minlength=len(piece)))
+            place = np.zeros(len(piece), "<u4")
+            place[met] = np.arange(len(met)) + sum(map(len, numbers))
+            texts.append(place[tokens])
+            numbers.append(piece[met])
+
+    ids, texts, lengths, size, numbers = [], [], [], 0, []
     for batch in batches:
-        for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            words = ascii_words(text)
-            words.append(b"")
-            if ids and size + len(words) > BLOCK_TOKENS:
-                yield block(ids, texts, places)
-                ids, texts, size, places, name = [], [], 0, _Tokens(), name + 1
-            ids.append(i)
-            texts.append(np.fromiter(map(places.__getitem__, words), "<u4", len(words)))
-            size += len(words)
+        every_id = batch.column(0).to_pylist()
+        for first, tokens, piece, own in _split(batch.column(1)):
+            begin = at = 0
+            for k, length in enumerate(own.tolist()):
+                if ids and size + length > BLOCK_TOKENS:
+                    add(texts, tokens[begin:at], numbers, piece)
+                    yield block(ids, texts, lengths, numbers)
+                    ids, texts, lengths, size, numbers, name, begin = [], [], [], 0, [], name + 1, at
+                ids.append(every_id[first + k])
+                lengths.append(length)
+                size += length
+                at += length
+            add(texts, tokens[begin:], numbers, piece)
     if ids:
-        yield block(ids, texts, places)
+        yield block(ids, texts, lengths, numbers)
 
 
-BLOCK_SCHEMA = "block long, ids binary, nulls binary, held binary, lengths binary, tokens binary, distinct binary, train_counts binary"
+BLOCK_SCHEMA = "block long, ids binary, nulls binary, held binary, lengths binary, tokens binary, distinct binary, train_counts binary, n_distinct long, n_train long"
 
 
 def counted(docs: DataFrame) -> tuple[DataFrame, DataFrame, np.ndarray, np.ndarray, list[tuple[int, int]]]:
-    """Blocks; by block, the counts of its distinct tokens; tokens and distinct tokens of training rows by kind; and the
-    frequent tokens (number, count)."""
+    """Blocks; by block, the totals of its distinct tokens, in pieces that follow each other; tokens and distinct tokens of
+    training rows by kind; and the frequent tokens (number, count)."""
     blocks = written(docs.mapInArrow(_blocks, BLOCK_SCHEMA))
+    sums = blocks.agg(F.sum("n_distinct").alias("n_distinct"), F.sum("n_train").alias("n_train")).first()
+    owners, n_train = max(1, -(-(sums["n_distinct"] or 0) // OWNER_NUMBERS)), sums["n_train"] or 0
+    cuts = np.array([(i << 64) // owners for i in range(1, owners)], np.uint64)
 
-    def apart(batches):
+    def send(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for block, distinct, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                values = np.frombuffer(distinct, np.int64)
-                columns = [pa.array(np.full(len(values), block, np.int64)), pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values), pa.array(np.frombuffer(counts, np.int64))]
-                yield pa.RecordBatch.from_arrays(columns, names=["block", "place", "hash", "n"])
-
-    each = blocks.select("block", "distinct", "train_counts").mapInArrow(apart, "block long, place int, hash long, n long")
-    totals = written(each.groupBy("hash").agg(F.sum("n").alias("total")))
-    tokens, distinct = np.zeros(KINDS, np.int64), np.zeros(KINDS, np.int64)
-    for r in totals.groupBy(F.col("hash").bitwiseAND(_KIND_BITS).alias("kind")).agg(F.sum("total").alias("n"), F.count_if(F.col("total") > 0).alias("v")).collect():
-        tokens[r["kind"]], distinct[r["kind"]] = r["n"], r["v"]
-    often = totals.where((F.col("total") * FREQUENT >= int(tokens.sum())) & (F.col("total") > 1))
-    common = [(r["hash"], r["total"]) for r in often.collect()]  # FREQUENT rows at most
-    ordered = F.sort_array(F.collect_list(F.struct("place", "total")))
-    gathered = each.drop("n").join(totals, "hash").groupBy("block").agg(F.transform(ordered, lambda x: x["total"]).alias("totals"))
-    return blocks, gathered, tokens, distinct, sorted(common, key=lambda x: (-x[1], x[0]))
+            for block, distinct, counts in zip(*batch.columns, strict=True):
+                numbers, counts = np.frombuffer(distinct.as_buffer(), np.uint64), np.frombuffer(counts.as_buffer(), "<i8")
+                at = np.concatenate(([0], np.searchsorted(numbers, cuts), [len(numbers)])).astype(int).tolist()
+                mine = [o for o in range(owners) if at[o] < at[o + 1]]
+                pieces = [pa.array([x[at[o] : at[o + 1]].tobytes() for o in mine], pa.binary()) for x in (numbers, counts)]
+                yield pa.RecordBatch.from_arrays([pa.array(mine, pa.int32()), pa.array([block.as_py()] * len(mine), pa.int64()), *pieces], names=["owner", "block", "numbers", "counts"])
+
+    def add(key, group):
+        numbers = np.concatenate([np.frombuffer(x, np.uint64) for x in group["numbers"]])
+        order = np.argsort(numbers, kind="stable")
+        begins = np.flatnonzero(np.concatenate(([True], numbers[order[1:]] != numbers[order[:-1]])))
+        sizes = np.diff(begins, append=len(order))
+        own = np.add.reduceat(np.concatenate([np.frombuffer(x, "<i8") for x in group["counts"]])[order], begins)
+        totals = np.empty(len(order), "<i8")
+        totals[order] = np.repeat(own, sizes)
+        ends = np.cumsum([len(x) // 8 for x in group["numbers"]])
+        answers = pd.DataFrame({"owner": group["owner"], "block": group["block"], "totals": [x.tobytes() for x in np.split(totals, ends[:-1])]})
+        distinct = numbers[order[begins]]
+        kinds = (distinct & np.uint64(_KIND_BITS)).astype(np.int64)
+        by_kind = np.zeros((2, KINDS), np.int64)
+        np.add.at(by_kind[0], kinds, own)
+        np.add.at(by_kind[1], kinds, own > 0)
+        often = (own * FREQUENT >= n_train) & (own > 1)
+        said = {"owner": int(key[0]), "by_kind": by_kind.tobytes(), "often": np.stack((distinct[often].view(np.int64), own[often])).tobytes()}
+        return pd.concat([answers, pd.DataFrame([said])]).astype({"block": "Int64"})[["owner", "block", "totals", "by_kind", "often"]]
+
+    sent = blocks.select("block", "distinct", "train_counts").mapInArrow(send, "owner int, block long, numbers binary, counts binary")
+    owned = written(sent.groupBy("owner").applyInPandas(add, "owner int, block long, totals binary, by_kind binary, often binary"))
+    by_kind, common = np.zeros((2, KINDS), np.int64), []
+    for r in owned.where("block is null").select("by_kind", "often").collect():  # FREQUENT tokens at most in all
+        by_kind += np.frombuffer(r["by_kind"], np.int64).reshape(2, KINDS)
+        common += zip(*np.frombuffer(r["often"], np.int64).reshape(2, -1).tolist(), strict=True)
+    ordered = F.sort_array(F.collect_list(F.struct("owner", "totals")))
+    gathered = owned.where("block is not null").groupBy("block").agg(F.transform(ordered, lambda x: x["totals"]).alias("totals"))
+    return blocks, gathered, *by_kind, sorted(common, key=lambda x: (-x[1], x[0]))
 
 
 # ---- the network
@@ -195,19 +270,20 @@ class Steps:
     from_state: np.ndarray
 
 
-def run_window(p: dict, inputs: np.ndarray, h: np.ndarray, goes_on: np.ndarray | None = None) -> tuple[np.ndarray, Steps]:
+def run_window(p: dict, inputs: np.ndarray, h: np.ndarray, goes_on: np.ndarray | None = None, keep: bool = True) -> tuple[np.ndarray, Steps]:
     """States (step, lane, unit) after each step of inputs (step, lane), from states h (lane, unit). ``goes_on`` is 0 where
-    a text begins, which is where the state before it does not count."""
+    a text begins, which is where the state before it does not count. Without ``keep``, of the steps only the last stays."""
     (steps, lanes), k, kind = inputs.shape, h.shape[1], p["U"].dtype
     half = np.repeat(np.array([0.5, 0.5, 1], kind), k)  # a sigmoid is a tanh of half its argument
     recur = p["U"] * half[:, None]
     table = (p["E"] @ p["W"].T + p["b"]) * half
     from_input = np.ascontiguousarray(table[inputs].transpose(0, 2, 1))
-    out = Steps(*(np.empty((steps, n * k, lanes), kind) for n in (1, 2, 1, 1)))
+    out = Steps(*(np.empty((steps if keep else 1, n * k, lanes), kind) for n in (1, 2, 1, 1)))
     states = np.empty((steps, k, lanes), kind)
     h = np.ascontiguousarray(h.T)
     for t in range(steps):
-        before, zr, new, un, a = out.before[t], out.gates[t], out.new[t], out.from_state[t], from_input[t]
+        i, a = t if keep else 0, from_input[t]
+        before, zr, new, un = out.before[i], out.gates[i], out.new[i], out.from_state[i]
         if goes_on is None:
             before[:] = h
         else:
@@ -394,7 +470,7 @@ def score_texts(p: dict, shape: Shape, texts: list[np.ndarray], lanes: int = SCO
     out = np.zeros(len(texts))
     h = np.zeros((lanes, p["U"].shape[1]), np.float32)
     for x, y, goes_on, text in Lanes(texts, lanes).windows():
-        states, _ = run_window(p, x, h[: x.shape[1]], goes_on)
+        states, _ = run_window(p, x, h[: x.shape[1]], goes_on, keep=False)
         h, real = states[-1], y.ravel() != START
         states, y, text = states.reshape(-1, h.shape[1]), y.ravel(), text.ravel()
         if not real.all():
@@ -513,7 +589,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         for batch in frames:
             for row in batch.to_pylist():
                 words, tokens, lengths, starts, held = _texts(row, shape)
-                counts = np.array(row["totals"], np.int64)
+                counts = np.frombuffer(b"".join(row["totals"]), "<i8")
                 base = np.log10((counts + 0.5) / whole)
                 within = within_kinds(counts, words)
                 texts = np.split(words[tokens], starts[1:])
@@ -525,5 +601,5 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 )
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    told = blocks.drop("train_counts").join(gathered, "block")
+    told = blocks.drop("train_counts", "n_distinct", "n_train").join(gathered, "block")
     return told.select("ids", "nulls", "held", "lengths", "tokens", "distinct", "totals").mapInArrow(run, schema)

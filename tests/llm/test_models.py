@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -112,6 +113,41 @@ def test_language_model_scores(spark):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+@pytest.mark.parametrize("size", [1 << 20, 40])
+def test_counts_come_in_pieces(spark, monkeypatch, size):
+    """Blocks get the totals of their distinct tokens from the owners of ranges: a row for a piece, not one for a token."""
+    monkeypatch.setattr(lm, "OWNER_NUMBERS", size)
+    rows = [(i, " ".join(f"{'abc.7é'[j % 6]}{j * j % 97}{'xyz'[i % 3]}" for j in range(i)), "en", "a") for i in range(60)]
+    docs = documents(spark, rows).select("doc_id", "text").repartition(3)
+    blocks, gathered, tokens, distinct, common = lm.counted(docs)
+    train = Counter(w for i, t, *_ in rows if fold(i) != lm.HELD_OUT for w in [*t.encode().split(), b""])
+    places = lm._Tokens()
+    number = {w: np.uint64(places.numbers[places[w]]) for _, t, *_ in rows for w in [*t.encode().split(), b""]}
+    by_number = {number[w]: n for w, n in train.items()}
+    told = blocks.join(gathered, "block").collect()
+    assert len(told) == blocks.count() > 1
+    for r in told:
+        totals = np.frombuffer(b"".join(r["totals"]), "<i8")
+        assert totals.tolist() == [by_number.get(x, 0) for x in np.frombuffer(r["distinct"], np.uint64)]
+        assert len(r["totals"]) <= -(-sum(x["n_distinct"] for x in told) // size)
+    assert (len(told[0]["totals"]) > 1) == (size == 40)
+    assert (tokens.sum(), distinct.sum()) == (train.total(), len(train))
+    assert tokens.tolist() == [sum(n for w, n in train.items() if lm.kind_of(w) == k) for k in range(lm.KINDS)]
+    assert {np.int64(n).view(np.uint64): c for n, c in common} == {x: n for x, n in by_number.items() if n > 1 and n * lm.FREQUENT >= train.total()}
+
+
+@pytest.mark.parametrize("size", [1, 50, 1 << 25])
+def test_pieces_of_texts_hold_their_words(monkeypatch, size):
+    monkeypatch.setattr(lm, "PIECE_BYTES", size)
+    rng = np.random.default_rng(4)
+    texts = [None, "", " \t", *("".join(rng.choice(list("aB c\t\n\x0b\x0c\r\x1c\x85\xa0\u3000Éß. 7\x00🙂 "), n)) for n in range(40))]
+    found = []
+    for first, tokens, numbers, lengths in lm._split(pa.array(texts)):
+        assert first == len(found)
+        found += [numbers[x].tolist() for x in np.split(tokens, np.cumsum(lengths)[:-1])]
+    assert found == [lm._numbers([*(t or "").encode().lower().split(), b""]) for t in texts]
+
+
 def test_language_model_edge_cases(spark):
     found = lm.score(documents(spark)).collect()
     want = _base([(r[0], r[1]) for r in ROWS])
