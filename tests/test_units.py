@@ -271,6 +271,16 @@ def test_loads_that_conflict(spark, tmp_path):
     assert records.load_once(spark, rows, str(tmp_path / "t"), str(tmp_path / "l"), "k2", "b1", bad, "g")["rows"] == 1
 
 
+def test_fingerprints_of_records_in_one_place(spark):
+    """Records that their order does not tell apart: neither their names nor how they are dealt matter, an order that does tell still counts."""
+    of = lambda rows, parts: records.dataset_fingerprint(spark.createDataFrame(rows, "r string, place long, field string, kind string, value string").repartition(parts), "r", ["place"]).first()
+    rows = lambda name, place, n=300: [(name(i), place(i), "f", "string", f"v{i // 2}") for i in range(n)]
+    one = of(rows(lambda i: f"r{i}", lambda i: 0), 1)
+    assert one["records"] == 300 and of(rows(lambda i: f"other{1000 - i}", lambda i: 0)[::-1], 3) == one
+    assert of(rows(lambda i: f"r{i}", lambda i: 0, 299), 1)["fingerprint"] != one["fingerprint"]
+    assert len({of(rows(lambda i: f"r{i}", place), 2)["fingerprint"] for place in (lambda i: 0, lambda i: i, lambda i: -i)}) == 3
+
+
 def test_matching_context(spark):
     scored = spark.createDataFrame([("a", "x", 0.98), ("a", "y", 0.5), ("b", "x", 0.96), ("b", "y", 0.9), ("c", "z", 0.94)], "source string, target string, score double")
     assert [tuple(r) for r in matching.anchors(scored).collect()] == [("a", "x", 0.98)]
