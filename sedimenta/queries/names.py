@@ -12,8 +12,8 @@ def name_evidence(spark, d):
     """How alike are words that follow each other in a document, by every way of looking."""
     found = F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9À-ÿ]+"), F.lit(0))
     ws = table(spark, d, "documents").select(found.alias("w"))
-    pairs = ws.select(F.inline(F.arrays_zip(F.slice("w", F.lit(1), F.size("w") - 1).alias("source"), F.slice("w", F.lit(2), F.size("w")).alias("target")))).toDF("source", "target").distinct()
-    found = forms.with_evidence(pairs, "source", "target")
+    pairs = ws.select(F.inline(F.arrays_zip(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))).alias("source"), F.slice("w", F.lit(2), F.size("w")).alias("target")))).toDF("source", "target").distinct()
+    found = forms.with_evidence(pairs, "source", "target", free=True)
     return found.select("source", "target", *[F.round(f"evidence.{n}", 6).alias(n) for n in forms.EVIDENCE], F.round(forms.score(F.col("evidence")), 6).alias("score"))
 
 

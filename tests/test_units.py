@@ -8,10 +8,12 @@ import time
 from decimal import Decimal, localcontext
 from fractions import Fraction
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sedimenta import queries
 from sedimenta.functions import folding, forms
 from sedimenta.functions import normalize as N
 from sedimenta.functions import text as X
@@ -20,7 +22,7 @@ from sedimenta.plans import load, parse, records
 from sedimenta.sources import charsets, files, tables
 from sedimenta.sources.dialect import detect
 from sedimenta.streaming import streams
-from tests.oracle import SMALL
+from tests.oracle import SMALL, rows_of, spark_rows
 
 
 def test_dialects():
@@ -259,6 +261,26 @@ def test_name_evidence(spark):
     assert [tuple(round(r["evidence"][n], 6) for n in forms.EVIDENCE) for r in found] == [p[2:] for p in NAMES]
 
 
+def test_free_swaps_equal_sql():
+    rng = random.Random(4)
+    pairs = [["".join(rng.choice("abcd") for _ in range(rng.randint(0, 8))) for _ in range(2)] for _ in range(3000)] + [["ca", "abc"], ["einchst", "enlichst"], ["", "a"]]
+    con = duckdb.connect()
+    for most in (1, 3, 4):
+        told = con.execute("SELECT [least(damerau_levenshtein(x[1], x[2]), ?) FOR x IN ?]", [most + 1, pairs]).fetchall()[0][0]
+        assert forms.band_distances(*map(list, zip(*pairs, strict=True)), most, free=True).tolist() == told
+
+
+def test_name_evidence_of_odd_texts(spark, tmp_path):
+    """No text, no word, one word; swaps with a letter between; shares that end between two sixth places."""
+    texts = [None, "", "?", "one", "einchst enlichst, eintesch einstch", "a1b2c3d4e5f6g7h8i9j10k a1b2c3d4e5f6g7h8i9j10kLMNOPQRSTUVWX"]
+    texts += [" ".join("".join(f"{chr(97 + i % 26)}{i}" for i in range(a, a + n)) for a, n in ((0, 20), (10, 49), (30, 40), (49, 20)))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    found = con.execute(queries.ORACLE_SQL["name_evidence"])
+    assert spark_rows(queries.QUERIES["name_evidence"](spark, str(tmp_path))) == rows_of([c[0] for c in found.description], found.fetchall())
+
+
 def test_loads_that_conflict(spark, tmp_path):
     rows = spark.createDataFrame([("a", 1), ("b", 1), ("c", 2)], "uid string, g int")
     bad = spark.createDataFrame([("a", "X")], "uid string, code string")
