@@ -1,7 +1,8 @@
 """Sensitive spans with offsets, field-name classes, masking and restoring, phrases that try to instruct a reader model.
 
 Spans are arrays of struct(category, start, end) in code points, end exclusive, made from built-in expressions: a text
-split at a pattern's matches tells where these are. Phrases are sought in folded texts, whole Arrow batches at a time.
+split at a pattern's matches tells where these are. Texts are split only where there are matches, and at one letter put in
+their place: a pattern to split at would be compiled for each text. Phrases are sought in folded texts, whole Arrow batches at a time.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sedimenta.functions import folding
-from sedimenta.functions.normalize import card_like, inn
+from sedimenta.functions.normalize import card_like, inn, once
 
 # Patterns of personal data by category.
 PERSONAL = {
@@ -70,12 +71,12 @@ _IS = {
     "passport": ("passport", "паспорт", "passportnumber"), "email": ("email", "emailaddress", "электроннаяпочта"), "phone": ("phone", "phonenumber", "telephone", "телефон"),
     "inn": ("inn", "инн"), "snils": ("snils", "снилс"), "card": ("cardnumber", "creditcard", "pan", "номеркарты"),
 }
+_MARK = "\x1f"
 _SPANS = "array<struct<category:string,start:int,end:int,value:string>>"
 
 
 def matches(c: Column, pattern: str, category: str) -> Column:
     """Spans of a pattern's matches, leftmost first, without overlap."""
-    found, between = F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), F.split(c, pattern, -1)
 
     def step(acc, pair):
         start = acc["at"] + F.length(pair["before"])
@@ -83,9 +84,15 @@ def matches(c: Column, pattern: str, category: str) -> Column:
         span = F.struct(F.lit(category).alias("category"), start.alias("start"), end.alias("end"), pair["value"].alias("value"))
         return F.struct(end.alias("at"), F.array_append(acc["spans"], span).alias("spans"))
 
-    pairs = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda a, b: F.struct(a.alias("before"), b.alias("value")))
     none = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("spans"))
-    return F.aggregate(pairs, none, step, lambda acc: acc["spans"])
+
+    def placed(x, found):
+        between = F.when(F.contains(x, F.lit(_MARK)), F.split(x, pattern, -1)).otherwise(F.split(F.regexp_replace(x, F.lit(pattern), F.lit(_MARK)), _MARK, -1))
+        pairs = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda a, b: F.struct(a.alias("before"), b.alias("value")))
+        return F.when(F.size(found) == 0, F.array().cast(_SPANS)).otherwise(F.aggregate(pairs, none, step, lambda acc: acc["spans"]))
+
+    # bound, since a column that a function of an item names may be taken for an alias beside it
+    return once(c, lambda x: once(F.regexp_extract_all(x, F.lit(pattern), F.lit(0)), lambda found: placed(x, found)))
 
 
 def accepted(span: Column, inn_checked: bool = True, international: bool = False) -> Column:
@@ -172,20 +179,22 @@ def _token(text: Column, span: Column, salt: str) -> Column:
 
 def redacted(c: Column, salt: str = "", spans: Column | None = None) -> Column:
     """The text with each merged span replaced by a token of its category and a salted hash, equal values by equal tokens."""
-    merged = merged_spans(all_spans(c) if spans is None else spans)
 
-    def step(acc, x):
-        between = c.substr(acc["at"] + 1, x["start"] - acc["at"])
-        return F.struct(x["end"].alias("at"), F.concat(acc["text"], between, _token(c, x, salt)).alias("text"))
+    def done(text, merged):
+        def step(acc, x):
+            between = text.substr(acc["at"] + 1, x["start"] - acc["at"])
+            return F.struct(x["end"].alias("at"), F.concat(acc["text"], between, _token(text, x, salt)).alias("text"))
+
+        start = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
+        whole = F.aggregate(merged, start, step, lambda acc: F.concat(acc["text"], text.substr(acc["at"] + 1, F.length(text))))
+        return F.when(F.size(merged) == 0, text).otherwise(whole)
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
-    done = F.aggregate(merged, start, step, lambda acc: F.concat(acc["text"], c.substr(acc["at"] + 1, F.length(c))))
-    return F.when(F.size(merged) == 0, c).otherwise(done)
+    return once(F.struct(c.alias("text"), merged_spans(all_spans(c) if spans is None else spans).alias("merged")), lambda x: done(x["text"], x["merged"]))
 
 
-def placeholders(df: DataFrame, key: str, text: str, salt: str = "") -> DataFrame:
+def placeholders(df: DataFrame, key: str, text: str, salt: str = "", spans: Column | None = None) -> DataFrame:
     """key, token, value of every masked span: what a restricted table keeps, so that masked texts can be restored."""
-    spans = df.select(key, F.col(text).alias("t"), F.explode(merged_spans(all_spans(F.col(text)))).alias("s"))
+    spans = df.select(key, F.col(text).alias("t"), F.explode(merged_spans(all_spans(F.col(text)) if spans is None else spans)).alias("s"))
     return spans.select(key, _token(F.col("t"), F.col("s"), salt).alias("token"), F.col("t").substr(F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("value")).distinct()
 
 

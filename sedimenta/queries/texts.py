@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sedimenta.functions import text as X
 from sedimenta.operators import lines as L
+from sedimenta.sources.shared import written
 from sedimenta.sources.tables import table
 
 
@@ -74,13 +75,14 @@ def sensitive_spans(spark, d):
 
 
 def sensitive_masked(spark, d):
-    """Masked contacts: what is between the tokens, and that restoring gives the text back."""
-    rows = _contacts(spark, d)
-    masked = rows.withColumn("m", X.redacted(F.col("t")))
-    kept = X.placeholders(rows, "c_custkey", "t")
-    back = X.restored(masked, kept, "c_custkey", "m")
-    plain = masked.select("c_custkey", F.regexp_replace("m", r":[0-9a-f]{16}", "").alias("masked"))
-    return plain.join(back.select("c_custkey", (F.col("m") == F.col("t")).alias("restored")), "c_custkey")
+    """Masked contacts: what is between the tokens, and that restoring gives the text back. Spans are sought once, by as many
+    tasks as a shuffle has: the table is small for the work there is in it."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = written(_contacts(spark, d).repartition(parts, "c_custkey").withColumn("s", X.all_spans(F.col("t"))))
+    masked = rows.withColumn("m", X.redacted(F.col("t"), spans=F.col("s"))).withColumn("back", F.col("m"))
+    kept = X.placeholders(rows, "c_custkey", "t", spans=F.col("s"))
+    back = X.restored(masked, kept, "c_custkey", "back")
+    return back.select("c_custkey", F.regexp_replace("m", r":[0-9a-f]{16}", "").alias("masked"), (F.col("back") == F.col("t")).alias("restored"))
 
 
 def field_names_classified(spark, d):

@@ -160,6 +160,18 @@ def test_masks_of_overlapping_spans(spark):
     assert sorted(map(tuple, X.restored(masked, X.placeholders(df, "id", "t", "salt"), "id", "t").collect())) == sorted(map(tuple, df.collect()))
 
 
+def test_patterns_run_once(spark, tmp_path):
+    """Each pattern goes over a text once; the letter that marks matches may be in the text; rows of one key stay apart."""
+    df = spark.createDataFrame([("a\x1fb.c@d.org\x1f pwd=1\x1f2 +49 30 1234567",)], "t string")
+    out = df.select(X.redacted(F.col("t")).alias("t"), X.all_spans(F.col("t")).alias("s"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == 2 * len(X.PERSONAL | X.SECRETS)
+    assert [(s["category"], s["start"], s["end"]) for s in out.first()["s"]] == [("email", 2, 11), ("assignment", 17, 20), ("phone", 21, 35)]
+    assert X.restored(df.select(F.lit(1).alias("id"), X.redacted(F.col("t")).alias("t")), X.placeholders(df.withColumn("id", F.lit(1)), "id", "t"), "id", "t").first()["t"] == df.first()["t"]
+    spark.createDataFrame([(7,), (7,), (8,)], "c_custkey long").write.parquet(str(tmp_path / "customer.parquet"))
+    found = queries.QUERIES["sensitive_masked"](spark, str(tmp_path)).collect()
+    assert sorted(r["c_custkey"] for r in found) == [7, 7, 8] and all(r["restored"] for r in found)
+
+
 def test_numbers_that_do_not_fit(spark):
     from sedimenta.operators import constraints
 
