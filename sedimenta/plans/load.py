@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedimenta.sources.shared import written
+from sedimenta.sources.shared import discarded, tidied, written
 
 #: Rounds of neighbours that rejection spreads by before whole components are found.
 ROUNDS = 4
@@ -53,16 +53,28 @@ def rejection_closure(edges: DataFrame, rejected: DataFrame, cut=written) -> Dat
     return seen.join(direct.withColumn("direct", F.lit(True)), "node", "left").select("node", F.coalesce("direct", F.lit(False)).alias("direct"))
 
 
-def connected(edges: DataFrame, cut=written) -> DataFrame:
-    """node, component (its least node) of all nodes of ``edges`` (a, b: either way; nulls are no nodes).
+def connected(edges: DataFrame, cut=tidied) -> DataFrame:
+    """node, component (its least node) of all nodes of ``edges`` (a, b: either way; nulls are no nodes)."""
+    whole = edges.where("a is not null and b is not null")
+    found = components(whole.where("a <> b"), cut)
+    alone = whole.where("a = b").select(F.col("a").alias("node")).distinct().join(found, "node", "left_anti")
+    return found.union(alone.select("node", F.col("node").alias("component")))
+
 
-    Every round points each node's neighbours at the least node among them, larger ones first, then all, until stars
-    are left. Minima are combined before they are shuffled, and a node with many edges is a skewed join side that Spark
-    splits. Each round is written by ``cut``, edges only, and none rewrites what an earlier one has settled.
+def components(edges: DataFrame, cut=tidied) -> DataFrame:
+    """:func:`connected` for edges between two different nodes, as a table of its own.
+
+    Nodes with one edge take their neighbour's component and go through no round. Every round points each other node's
+    neighbours at the least node among them, larger ones first, then all, until stars are left. Minima are combined before
+    they are shuffled, and a node with many edges is a skewed join side that Spark splits. Each round is written by ``cut``,
+    edges only, none rewrites what an earlier one has settled, and a table goes when the next one is there.
     """
-    whole = edges.where("a is not null and b is not null")
-    alone = whole.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    now = cut(whole.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    every = cut(edges.select("a", "b"))
+    ends = cut(every.union(every.select("b", "a")).groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least"), F.count(F.lit(1)).alias("n")))
+    inner, outer = ends.where("n > 1"), ends.where("n = 1").select("node", "least")
+    core = every.join(inner.select(F.col("node").alias("a")), "a", "left_semi").join(inner.select(F.col("node").alias("b")), "b", "left_semi")
+    now = cut(core.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    discarded(every)
     last = None
     while True:
         both = now.union(now.select("b", "a"))
@@ -71,12 +83,21 @@ def connected(edges: DataFrame, cut=written) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         met = large.join(low, "a")
         small = met.select("a", F.col("m").alias("b")).union(met.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
-        now = cut(small.distinct())
+        before, now = now, cut(small.distinct())
+        discarded(before)
         state = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if state == last:
             break
         last = state
-    return alone.join(now.select(F.col("a").alias("node"), F.col("b").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    # the least node of a component may be one of those left out: each inner node knows its least neighbour
+    stars = inner.join(now.select(F.col("a").alias("node"), F.col("b").alias("star")), "node", "left").select("node", "least", F.coalesce("star", "node").alias("star"))
+    lowest = stars.groupBy("star").agg(F.min(F.least("node", "least")).alias("component"))
+    settled = cut(stars.join(lowest, "star").select("node", "component"))
+    discarded(now)
+    hung = outer.join(settled.select(F.col("node").alias("least"), "component"), "least", "left")  # two with no other edge have none
+    found = cut(settled.union(hung.select("node", F.coalesce("component", F.least("node", "least")))))
+    discarded(ends, settled)
+    return found
 
 
 def load_order(tables: list[str], edges: list[tuple[str, str]]) -> list[str] | None:

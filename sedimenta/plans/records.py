@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from sedimenta.plans.claims import Claim, Folder, LoadBusy, claimed
-from sedimenta.plans.load import connected
-from sedimenta.sources.shared import shared_dir, written
+from sedimenta.plans.load import components
+from sedimenta.sources.shared import discarded, shared_dir, tidied
 
 _AND = lambda terms: reduce(lambda a, b: a & b, terms)
 
@@ -65,13 +65,17 @@ def dependency_edges(children: DataFrame, columns: list[str], parents: DataFrame
 def dependency_groups(rows: DataFrame, edges: DataFrame, related: DataFrame | None = None) -> DataFrame:
     """uid, group: rows that load together or not at all. Rows of one source record are one group, so are those of records that
     are ``related`` (record_id, other_id), and rows that depend on each other."""
-    first = written(rows.groupBy("record_id").agg(F.min("uid").alias("_first")))
+    rows = tidied(rows.select("uid", "record_id"))
+    first = rows.groupBy("record_id").agg(F.min("uid").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    first = tidied((first if related is not None else first.where("_n > 1")).drop("_n"))
     links = rows.join(first, "record_id").select(F.col("uid").alias("a"), F.col("_first").alias("b")).union(edges.select("a", "b"))
     if related is not None:
         other = first.select(F.col("record_id").alias("other_id"), F.col("_first").alias("b"))
         links = links.union(related.join(first.withColumnRenamed("_first", "a"), "record_id").join(other, "other_id").select("a", "b"))
-    found = connected(links).select(F.col("node").alias("uid"), F.col("component").alias("group"))
-    return rows.select("uid").join(found, "uid", "left").select("uid", F.coalesce("group", "uid").alias("group"))
+    found = components(links.where("a <> b"))  # a row without links is a group of its own
+    out = tidied(rows.select("uid").join(found.select(F.col("node").alias("uid"), "component"), "uid", "left").select("uid", F.coalesce("component", "uid").alias("group")))
+    discarded(rows, first, found)
+    return out
 
 
 def parent_faults(children: DataFrame, parents: DataFrame, columns: list[str], parent_columns: list[str]) -> DataFrame:

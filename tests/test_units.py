@@ -7,6 +7,7 @@ import random
 import time
 from decimal import Decimal, localcontext
 from fractions import Fraction
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -21,6 +22,7 @@ from sedimenta.operators import matching, physical, profile, rules, schema, stru
 from sedimenta.plans import load, parse, records
 from sedimenta.sources import charsets, files, tables
 from sedimenta.sources.dialect import detect
+from sedimenta.sources.shared import shared_dir, tidied
 from sedimenta.streaming import streams
 from tests.oracle import SMALL, rows_of, spark_rows
 
@@ -305,6 +307,38 @@ def test_loads_that_conflict(spark, tmp_path):
     assert records.load_once(spark, rows, str(tmp_path / "t"), str(tmp_path / "l"), "k2", "b1", bad, "g")["rows"] == 1
 
 
+@pytest.mark.parametrize("n", [0, 1, 12, 40])
+def test_components_of_any_graph(spark, n):
+    """Chains, hubs, pairs, loops, edges said twice, nulls: the least node of each component, as by merging sets."""
+    rng = random.Random(n)
+    edges = [(f"n{rng.randrange(60)}", f"n{rng.randrange(60)}") for _ in range(n)] + [("p1", "p2"), ("q1", "q2"), ("q2", "q1"), ("loop", "loop"), ("hub", None), (None, None)] * (n > 0)
+    edges += [(f"a{i}", "hub") for i in range(n)] + [(f"c{i:02}", f"c{i + 1:02}") for i in range(n)] + [("hub", "z1"), ("z1", "z2"), ("z2", "A")] * (n > 1)
+    least = {x: x for e in edges if None not in e for x in e}
+    for _ in least:
+        for a, b in (e for e in edges if None not in e):
+            least[a] = least[b] = min(least[a], least[b])
+    found = load.connected(spark.createDataFrame(edges, "a string, b string")).collect()
+    assert len(found) == len(least) and {r["node"]: r["component"] for r in found} == least
+
+
+def test_groups_leave_one_table(spark):
+    """Rows that depend on one other go through no round, and of what is written on the way only the groups stay."""
+    rows = spark.createDataFrame([(f"l{i}", f"l{i}") for i in range(50)] + [("o1", "r"), ("o2", "r"), ("x", "x"), ("y", None), ("y2", None)], "uid string, record_id string")
+    edges = spark.createDataFrame([(f"l{i}", f"o{i % 2 + 1}") for i in range(50)], "a string, b string")
+    tables = lambda: {p.name for p in Path(shared_dir(spark).removeprefix("file:"), "sedimenta").glob("*")}
+    sizes, before = [], tables()
+    found = {r["uid"]: r["group"] for r in records.dependency_groups(rows, edges).collect()}
+    assert found == {f"l{i}": "l0" for i in range(50)} | {"o1": "l0", "o2": "l0", "x": "x", "y": "y", "y2": "y2"}
+    assert len(tables() - before) == 1
+
+    def cut(df):
+        out = tidied(df)
+        sizes.append(out.count())
+        return out
+
+    assert load.connected(edges, cut).where("component = 'l0'").count() == 26 and sizes[2:-2] == [0] * len(sizes[2:-2])
+
+
 def test_fingerprints_of_records_in_one_place(spark):
     """Records that their order does not tell apart: neither their names nor how they are dealt matter, an order that does tell still counts."""
     of = lambda rows, parts: records.dataset_fingerprint(spark.createDataFrame(rows, "r string, place long, field string, kind string, value string").repartition(parts), "r", ["place"]).first()
